@@ -63,29 +63,25 @@ def market_daily(
         .withColumn("discounted", F.coalesce((F.col("price") < F.col("price_first_seen")).cast("int"), F.lit(0)))
     )
     day = [*keys, "day"]
-    # one row per entity and day first, so that the distinct count is a plain count
-    levels = (
-        rows.groupBy(*day, "property_id")
-        .agg(F.sum("price").alias("_p"), F.count("price").alias("_n"), F.sum("discounted").alias("_d"))
-        .groupBy(*day)
-        .agg(
-            F.count(F.lit(1)).alias("inventory"),
-            (F.sum("_p") / F.sum("_n")).alias("mean_price"),
-            (F.sum("_d") / F.sum("_n")).alias("cut_breadth"),
-        )
-    )
     measures = F.array(
-        F.struct(F.lit("price").alias("measure"), F.col("price").alias("value")),
-        F.struct(F.lit("ppsqm").alias("measure"), F.col("ppsqm").alias("value")),
+        *[
+            F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+            for m in ("price", "ppsqm", "discounted")
+        ]
     )
     long = rows.select(*day, F.explode(measures).alias("_m")).select(*day, "_m.*")
-    medians = (
-        quantiles(long, [*day, "measure"], "value", {"median": 0.5})
-        .groupBy(*day)
-        .agg(
-            F.max(F.when(F.col("measure") == "price", F.col("median"))).alias("median_price"),
-            F.max(F.when(F.col("measure") == "ppsqm", F.col("median"))).alias("median_ppsqm"),
-        )
+    profile = quantiles(long, [*day, "measure"], "value", {"median": 0.5}, count="n", mean="mean")
+
+    def of(measure: str, column: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(column)))
+
+    # the panel has one row per entity and day, so the inventory is a plain count
+    levels = profile.groupBy(*day).agg(
+        of("price", "n").alias("inventory"),
+        of("price", "median").alias("median_price"),
+        of("price", "mean").alias("mean_price"),
+        of("ppsqm", "median").alias("median_ppsqm"),
+        of("discounted", "mean").alias("cut_breadth"),
     )
     new = (
         features.where(F.col("price_first_seen").between(*band))
@@ -98,8 +94,7 @@ def market_daily(
         .agg(F.count(F.lit(1)).alias("delistings"))
     )
     daily = (
-        levels.join(medians, day, "left")
-        .join(new, day, "left")
+        levels.join(new, day, "left")
         .join(gone, day, "left")
         .withColumn("new_listings", F.coalesce("new_listings", F.lit(0)))
         .withColumn("delistings", F.coalesce("delistings", F.lit(0)))
@@ -176,8 +171,7 @@ def daily_change_prices(
 
 def snapshot_prices(df: DataFrame, keys: Sequence[str] = TENANT) -> DataFrame:
     """Mean and median price of the entities seen in a run."""
-    mean = df.groupBy(*keys).agg(F.avg("price").alias("mean_price"), F.count(F.lit(1)).alias("listings"))
-    return mean.join(quantiles(df, keys, "price", {"median_price": 0.5}), list(keys), "left")
+    return quantiles(df, keys, "price", {"median_price": 0.5}, count="listings", mean="mean_price")
 
 
 # ------------------------------------------------------------------ flows and exits
@@ -216,10 +210,7 @@ def exits_by_period(exits: DataFrame, freq: str = "W", keys: Sequence[str] = TEN
     keys = list(keys)
     rows = exits.withColumn("period", period(F.col("last_seen"), freq))
     by = [*keys, "period"]
-    counts = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("exits"), F.avg("price_at_exit").alias("mean_exit_price")
-    )
-    out = counts.join(quantiles(rows, by, "price_at_exit", {"median_exit_price": 0.5}), by, "left")
+    out = quantiles(rows, by, "price_at_exit", {"median_exit_price": 0.5}, count="exits", mean="mean_exit_price")
     return out.withColumn("exits_roll_4", rolling("exits", "mean", 4, "period", keys)).withColumn(
         "median_exit_roll_4", rolling("median_exit_price", "mean", 4, "period", keys)
     )
@@ -228,14 +219,25 @@ def exits_by_period(exits: DataFrame, freq: str = "W", keys: Sequence[str] = TEN
 def exit_summary(exits: DataFrame, keys: Sequence[str] = TENANT) -> DataFrame:
     """Counts, median and mean exit price, median and mean percent against the first price."""
     keys = list(keys)
-    totals = exits.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("exits"),
-        F.count("price_at_exit").alias("with_price"),
-        F.avg("price_at_exit").alias("mean_exit_price"),
-        F.avg("exit_vs_first_pct").alias("mean_exit_pct"),
+    measures = F.array(
+        *[
+            F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value"))
+            for m, c in (("rows", F.lit(1.0)), ("price", F.col("price_at_exit")), ("pct", F.col("exit_vs_first_pct")))
+        ]
     )
-    return totals.join(quantiles(exits, keys, "price_at_exit", {"median_exit_price": 0.5}), keys, "left").join(
-        quantiles(exits, keys, "exit_vs_first_pct", {"median_exit_pct": 0.5}), keys, "left"
+    long = exits.select(*keys, F.explode(measures).alias("_m")).select(*keys, "_m.*")
+    profile = quantiles(long, [*keys, "measure"], "value", {"median": 0.5}, count="n", mean="mean")
+
+    def of(measure: str, column: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(column)))
+
+    return profile.groupBy(*keys).agg(
+        of("rows", "n").alias("exits"),
+        F.coalesce(of("price", "n"), F.lit(0)).alias("with_price"),
+        of("price", "mean").alias("mean_exit_price"),
+        of("price", "median").alias("median_exit_price"),
+        of("pct", "mean").alias("mean_exit_pct"),
+        of("pct", "median").alias("median_exit_pct"),
     )
 
 
@@ -254,10 +256,14 @@ def gap_analysis(
     stock = features.where((F.col("status") == "active") & F.col("price").between(*band)).withColumn(
         "_ppsqm", ratio(F.col("price"), F.col("sqm"))
     )
-    asking = (
-        stock.groupBy(*keys)
-        .agg(F.avg("price").alias("_amount"))
-        .join(quantiles(stock, keys, "_ppsqm", {"_asking": 0.5}), keys, "left")
+    measures = F.array(
+        *[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("price", "_ppsqm")]
+    )
+    long = stock.select(*keys, F.explode(measures).alias("_m")).select(*keys, "_m.*")
+    profile = quantiles(long, [*keys, "measure"], "value", {"median": 0.5}, mean="mean")
+    asking = profile.groupBy(*keys).agg(
+        F.max(F.when(F.col("measure") == "price", F.col("mean"))).alias("_amount"),
+        F.max(F.when(F.col("measure") == "_ppsqm", F.col("median"))).alias("_asking"),
     )
     closing = F.col("closing_mean_eur_m2_12m")
     return zones.join(asking, keys, "left").select(

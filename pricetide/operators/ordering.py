@@ -41,18 +41,30 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def _steps(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per fine step with the number of smaller values and the key's total."""
-    fine = counts.groupBy(*keys, "_coarse", "_fine").agg(F.sum("_count").alias("_step_count"))
-    coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("_step_count").alias("_coarse_count"))
+    fine = counts.groupBy(*keys, "_coarse", "_fine").agg(
+        F.sum("_count").alias("_step_count"), F.sum(F.col("_value") * F.col("_count")).alias("_step_sum")
+    )
+    coarse = fine.groupBy(*keys, "_coarse").agg(
+        F.sum("_step_count").alias("_coarse_count"), F.sum("_step_sum").alias("_coarse_sum")
+    )
     over_key = Window.partitionBy(*keys)
-    coarse = coarse.withColumn("_below", _prefix(F.col("_coarse_count"), over_key.orderBy("_coarse"))).withColumn(
-        "_total", F.sum("_coarse_count").over(over_key)
+    coarse = (
+        coarse.withColumn("_below", _prefix(F.col("_coarse_count"), over_key.orderBy("_coarse")))
+        .withColumn("_total", F.sum("_coarse_count").over(over_key))
+        .withColumn("_sum", F.sum("_coarse_sum").over(over_key))
     )
     inside = Window.partitionBy(*keys, "_coarse").orderBy("_fine")
     return (
         fine.withColumn("_inside", _prefix(F.col("_step_count"), inside))
         .join(coarse, [*keys, "_coarse"])
         .select(
-            *keys, "_coarse", "_fine", "_step_count", "_total", (F.col("_below") + F.col("_inside")).alias("_start")
+            *keys,
+            "_coarse",
+            "_fine",
+            "_step_count",
+            "_total",
+            "_sum",
+            (F.col("_below") + F.col("_inside")).alias("_start"),
         )
     )
 
@@ -92,8 +104,19 @@ def average_rank(
     return joined.withColumn(out, F.coalesce("_rank", F.lit(float(missing)))).drop("_rank")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, one column per entry of `wanted`."""
+def quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: dict[str, float],
+    count: str | None = None,
+    mean: str | None = None,
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per key, one column per entry of `wanted`.
+
+    `count` and `mean` name columns for the number and mean of the non-null values, which come
+    from the same pass.
+    """
     counts = value_counts(df, keys, value)
     targets = F.array(
         *[
@@ -125,8 +148,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str,
         for side, spot in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             hit = (spot >= F.col("_first")) & (spot <= last)
             ends.append(F.max(F.when(hit, F.col("_value"))).alias(f"{name}_{side}"))
-    picked = opened.groupBy(*keys).agg(*ends, F.max("_total").alias("_total"))
+    picked = opened.groupBy(*keys).agg(*ends, F.max("_total").alias("_total"), F.max("_sum").alias("_sum"))
     columns = []
+    if count:
+        columns.append(F.col("_total").alias(count))
+    if mean:
+        columns.append((F.col("_sum") / F.col("_total")).alias(mean))
     for name, q in wanted.items():
         place = F.lit(float(q)) * (F.col("_total") - 1)
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")

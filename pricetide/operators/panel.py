@@ -26,19 +26,24 @@ def active_segments(
     A retirement that is followed by a reactivation within `bridge_days` is noise and is bridged.
     Repeated events of one kind are ignored; so is a reactivation of a listed entity.
     """
-    keys = list(keys)
-    flips = (
-        events.where(F.col("event_type").isin("inactive", "reactivated"))
-        .join(entities.select(*keys), keys, "left_semi")
-        .withColumn("_at", F.struct("event_date", *tie))
+    return _segments(entities, events, as_of, bridge_days, list(keys), tie, []).select(
+        *keys, "start_day", "end_day"
     )
+
+
+def _segments(entities, events, as_of, bridge_days, keys, tie, carry) -> DataFrame:
     out, back = F.col("event_type") == "inactive", F.col("event_type") == "reactivated"
+    at = F.struct("event_date", *tie)
     # a day matters only by how it ends and whether the entity came back before a final
     # retirement, so an entity keeps at most two moves a day and its windows are calendar-bounded
-    days = flips.groupBy(*keys, F.to_date("event_date").alias("day")).agg(
-        F.max(F.when(out, F.col("_at"))).alias("_last_out"),
-        F.min(F.when(back, F.col("_at"))).alias("_first_in"),
-        F.max(F.when(back, F.col("_at"))).alias("_last_in"),
+    days = (
+        events.where(out | back)
+        .groupBy(*keys, F.to_date("event_date").alias("day"))
+        .agg(
+            F.max(F.when(out, at)).alias("_last_out"),
+            F.min(F.when(back, at)).alias("_first_in"),
+            F.max(F.when(back, at)).alias("_last_in"),
+        )
     )
     ends_out = F.col("_last_out").isNotNull() & F.coalesce(F.col("_last_out") > F.col("_last_in"), F.lit(True))
     came_back = F.coalesce(F.col("_first_in") < F.col("_last_out"), F.lit(False))
@@ -55,31 +60,32 @@ def active_segments(
         .withColumn("_next_day", F.lead("day").over(by_time))
         .withColumn("_prev_day", F.lag("day").over(by_time))
     )
-    gap = F.when(F.col("event_type") == "inactive", F.date_diff("_next_day", "day")).otherwise(
-        F.date_diff("day", "_prev_day")
-    )
-    edges = alternating.where(F.coalesce(gap > bridge_days, F.lit(True)))
-
-    # every remaining start is followed by its own end, if there is one
-    later = (
-        edges.withColumn("_end", F.lead("day").over(by_time))
-        .where(F.col("event_type") == "reactivated")
-        .select(*keys, F.col("day").alias("start_day"), F.col("_end").alias("end_day"))
-    )
-    first_end = edges.groupBy(*keys).agg(F.min("day").alias("_first_end"))
-    opening = entities.join(first_end, keys, "left").select(
-        *keys, F.to_date("first_seen").alias("start_day"), F.col("_first_end").alias("end_day")
+    gap = F.when(out, F.date_diff("_next_day", "day")).otherwise(F.date_diff("day", "_prev_day"))
+    edges = (
+        alternating.where(F.coalesce(gap > bridge_days, F.lit(True)))
+        .groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_list(F.when(back, F.col("day")))).alias("_starts"),
+            F.sort_array(F.collect_list(F.when(out, F.col("day")))).alias("_ends"),
+        )
     )
-    state = entities.select(*keys, "status", F.to_date("last_seen").alias("_last_day"))
+    # starts and ends alternate, beginning with the first sighting; a start without its own end
+    # runs on to the current state
+    first, last = F.to_date("first_seen"), F.to_date("last_seen")
+    starts = F.concat(F.array(first), F.coalesce("_starts", F.array().cast("array<date>")))
+    ends = F.coalesce("_ends", F.array().cast("array<date>"))
     open_end = F.when(F.col("status") == "active", F.to_date(instant(as_of))).otherwise(
-        F.greatest("_last_day", "start_day")
+        F.greatest(last, F.element_at("_open", -1))
     )
     return (
-        opening.unionByName(later)
-        .join(state, keys)
-        .withColumn("end_day", F.coalesce("end_day", open_end))
+        entities.join(edges, keys, "left")
+        .withColumn("_open", starts)
+        .withColumn("_closed", F.when(F.size(starts) > F.size(ends), F.concat(ends, F.array(open_end))).otherwise(ends))
+        .select(
+            *keys, *carry, F.explode(F.arrays_zip(F.col("_open").alias("s"), F.col("_closed").alias("e"))).alias("_span")
+        )
+        .select(*keys, *carry, F.col("_span.s").alias("start_day"), F.col("_span.e").alias("end_day"))
         .where(F.col("end_day") >= F.col("start_day"))
-        .select(*keys, "start_day", "end_day")
     )
 
 
@@ -111,25 +117,21 @@ def daily_panel(
     are exploded last, after every shuffle.
     """
     keys, tenant = list(keys), list(tenant)
-    segments = active_segments(entities, events, as_of, bridge_days, keys)
+    segments = _segments(entities, events, as_of, bridge_days, keys, ("id",), ["price_first_seen"])
     first_days = entities.groupBy(*tenant).agg(F.to_date(F.min("first_seen")).alias("_first_day"))
     last_day = F.to_date(instant(as_of))
+    months = F.sequence(F.trunc("start_day", "month"), F.trunc("end_day", "month"), F.expr("INTERVAL 1 MONTH"))
     pieces = (
         segments.join(first_days, tenant)
         .withColumn("start_day", F.greatest("start_day", "_first_day"))
         .withColumn("end_day", F.least("end_day", last_day))
         .where(F.col("end_day") >= F.col("start_day"))
-        .select(
-            *keys,
-            "start_day",
-            "end_day",
-            F.explode(
-                F.sequence(F.trunc("start_day", "month"), F.trunc("end_day", "month"), F.expr("INTERVAL 1 MONTH"))
-            ).alias("_month"),
-        )
+        .select(*keys, "price_first_seen", "start_day", "end_day", F.explode(months).alias("_month"))
         .select(
             *keys,
             "_month",
+            F.lit(1).alias("_kind"),
+            "price_first_seen",
             F.greatest("start_day", "_month").alias("_from"),
             F.least("end_day", F.last_day("_month")).alias("_to"),
         )
@@ -141,23 +143,29 @@ def daily_panel(
             F.sort_array(F.collect_list(F.struct("day", "price"))).alias("_steps"),
             F.max_by("price", "day").alias("_closing"),
         )
+        .withColumn("_kind", F.lit(0))
     )
-    # months of the entity in order; a month without steps inherits the last closing price
-    months = pieces.select(*keys, "_month").distinct().join(steps, [*keys, "_month"], "full_outer")
-    before = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    carried = months.withColumn("_carried", F.last("_closing", ignorenulls=True).over(before))
-    starts = entities.select(*keys, F.col("price_first_seen").alias("_first_price"))
-    day = F.col("day")
-    in_force = F.filter("_steps", lambda s: s["day"] <= day)
+    # an entity's months in order, a month's price steps ahead of its pieces; this is the as-of
+    # join, and its window is bounded by the calendar
+    ordered = Window.partitionBy(*keys).orderBy("_month", "_kind", "_from")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    until = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("_kind") == 0, F.struct("_month", "_steps", "_closing", "_carried"))
+    placed = (
+        pieces.unionByName(steps, allowMissingColumns=True)
+        .withColumn("_carried", F.last("_closing", ignorenulls=True).over(earlier))
+        .withColumn("_known", F.last(known, ignorenulls=True).over(until))
+        .where(F.col("_kind") == 1)
+    )
+    own = F.col("_known._month") == F.col("_month")
     return (
-        pieces.join(carried.drop("_closing"), [*keys, "_month"])
-        .join(starts, keys)
-        .withColumn("day", F.explode(F.sequence("_from", "_to")))
-        .select(
+        placed.select(
             *keys,
-            "day",
-            F.coalesce(F.try_element_at(in_force, F.lit(-1))["price"], F.col("_carried"), F.col("_first_price")).alias(
-                "price"
-            ),
+            "price_first_seen",
+            F.when(own, F.col("_known._steps")).alias("_steps"),
+            F.when(own, F.col("_known._carried")).otherwise(F.col("_known._closing")).alias("_price"),
+            F.explode(F.sequence("_from", "_to")).alias("day"),
         )
+        .withColumn("_step", F.try_element_at(F.filter("_steps", lambda s: s["day"] <= F.col("day")), F.lit(-1)))
+        .select(*keys, "day", F.coalesce("_step.price", "_price", "price_first_seen").alias("price"))
     )

@@ -15,6 +15,11 @@ OBS_AS_OF = "2001-12-01 00:00:00"
 INACTIVE_BEFORE = "2001-09-01 00:00:00"
 EVENT_AS_OF = "2024-01-31 00:00:00"
 KEYS = ["population"]
+# fixed values: dwelling words standing for the part types
+KINDS = {
+    "ECONOMY": "Piso", "STANDARD": "Ático", "PROMO": "Casa", "SMALL": "Estudio", "MEDIUM": "Planta baja",
+    "LARGE": "Dúplex",
+}
 ENTITY = ["population", "property_id"]
 
 
@@ -59,9 +64,12 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _describe(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.lit(None).cast("string")
+    for code, word in KINDS.items():
+        kind = F.when(F.col("p_type") == code, F.lit(word)).otherwise(kind)
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("property_id"),
-        F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("title"),
+        F.concat(kind, F.lit(" en carrer "), F.col("p_name"), F.lit(", "), F.col("p_brand")).alias("title"),
         F.concat(F.lit("https://listings.example/item/"), F.col("p_partkey")).alias("url"),
         F.col("p_type").alias("property_type"),
         F.col("p_brand").alias("neighborhood"),
@@ -185,8 +193,10 @@ _SQL = {
       SELECT population, property_id, seen_at AS date, price FROM (
         SELECT *, lag(price) OVER (PARTITION BY population, property_id ORDER BY seen_at) AS before FROM obs)
       WHERE before IS NULL OR before <> price""",
-    "part_facts": """
-      SELECT CAST(p_partkey AS VARCHAR) AS property_id, p_type || ' ' || p_name || ' ' || p_brand AS title,
+    "part_facts": f"""
+      SELECT CAST(p_partkey AS VARCHAR) AS property_id,
+             CASE p_type {' '.join(f"WHEN '{c}' THEN '{w}'" for c, w in KINDS.items())} END
+               || ' en carrer ' || p_name || ', ' || p_brand AS title,
              'https://listings.example/item/' || p_partkey AS url,
              p_type AS property_type, p_brand AS neighborhood, 20 + 3 * p_size AS sqm,
              nullif(p_size % 6, 0) AS rooms, 1 + p_size % 3 AS bathrooms,

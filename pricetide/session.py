@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,7 @@ def local_session(cores: int | str = "*", app: str = "pricetide", shuffle_partit
         .appName(app)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.autoBroadcastJoinThreshold", str(16 * 1024 * 1024))
     )
@@ -37,16 +40,25 @@ def local_session(cores: int | str = "*", app: str = "pricetide", shuffle_partit
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only when none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root or tempfile.mkdtemp(prefix="pricetide-ckpt-")
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Durable, eager checkpoint: survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared folder and read them back.
+
+    The result outlives any executor, is computed once, and is planned on its real size.
+    """
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@functools.lru_cache(maxsize=None)
+def _scratch_of(application: str, root: str | None) -> str:
+    return f"{root or tempfile.mkdtemp(prefix='pricetide-')}/pricetide/{application}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return _scratch_of(spark.sparkContext.applicationId, shared_folder(spark))
