@@ -63,11 +63,12 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*ENTITY, F.col("seen_at").alias("date"), "price")
 
 
-def _describe(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def describe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptive columns of every property."""
     kind = F.lit(None).cast("string")
     for code, word in KINDS.items():
         kind = F.when(F.col("p_type") == code, F.lit(word)).otherwise(kind)
-    parts = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("property_id"),
         F.concat(kind, F.lit(" en carrer "), F.col("p_name"), F.lit(", "), F.col("p_brand")).alias("title"),
         F.concat(F.lit("https://listings.example/item/"), F.col("p_partkey")).alias("url"),
@@ -82,10 +83,9 @@ def _describe(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") % 3 == 0).cast("int").alias("elevator"),
         (F.col("p_partkey") % 2 == 0).cast("int").alias("parking"),
     )
-    return df.join(parts, "property_id")
 
 
-def _fold_obs(df: DataFrame) -> DataFrame:
+def fold_obs(df: DataFrame) -> DataFrame:
     return df.groupBy(*ENTITY).agg(
         F.min("seen_at").alias("first_seen"),
         F.max("seen_at").alias("last_seen"),
@@ -98,9 +98,8 @@ def _fold_obs(df: DataFrame) -> DataFrame:
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current state of every property."""
     gone = F.col("last_seen") < F.to_timestamp(F.lit(INACTIVE_BEFORE))
-    return _describe(_fold_obs(obs(spark, sf_dir)), spark, sf_dir).withColumn(
-        "status", F.when(gone, "inactive").otherwise("active")
-    )
+    state = fold_obs(obs(spark, sf_dir)).join(describe_parts(spark, sf_dir), "property_id")
+    return state.withColumn("status", F.when(gone, "inactive").otherwise("active"))
 
 
 def property_events(spark: SparkSession, sf_dir: str) -> DataFrame:
