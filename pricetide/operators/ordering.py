@@ -163,3 +163,26 @@ def quantiles(
 
 def median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     return quantiles(df, keys, value, {out: 0.5})
+
+
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], row: Sequence[str], measures: dict[str, Column], missing: float | str = 0.5
+) -> DataFrame:
+    """Average-tie ranks of several columns at once; `row` identifies a row within its key.
+
+    The columns are stacked, ranked in one pass and laid out again, so the number of shuffles does
+    not grow with the number of columns.
+    """
+    row = list(row)
+    stacked = F.array(
+        *[F.struct(F.lit(n).alias("_measure"), c.cast("double").alias("_v")) for n, c in measures.items()]
+    )
+    scope = [*keys, "_measure"]
+    long = df.select(*dict.fromkeys([*keys, *row]), F.explode(stacked).alias("_s")).select(
+        *dict.fromkeys([*keys, *row]), "_s.*"
+    )
+    ranks = average_rank(long, scope, "_v", "_r", missing)
+    wide = ranks.groupBy(*dict.fromkeys([*keys, *row])).agg(
+        *[F.max(F.when(F.col("_measure") == n, F.col("_r"))).alias(n) for n in measures]
+    )
+    return df.join(wide, list(dict.fromkeys([*keys, *row])))
