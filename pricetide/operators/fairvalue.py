@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricetide.config import Thresholds
 from pricetide.functions.numbers import half_even
 from pricetide.operators.ordering import quantiles
+from pricetide.session import cut_lineage
 
 TENANT = ("population",)
 FLAGS = ("has_pool", "has_ac", "terrace", "elevator", "parking")
@@ -134,6 +135,8 @@ def negotiation_model(
     from pyspark.ml.regression import LinearRegression
 
     spark = features.sparkSession
+    # the fit passes over the features several times, so they are computed once
+    features = cut_lineage(features)
     numbers = [c for c in numbers if c in features.columns]
     classes = [c for c in classes if c in features.columns]
     measures = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in (*numbers, target)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricetide import config as C
-from pricetide.functions.dates import fractional_days, instant, whole_days
+from pricetide.functions.dates import fractional_days, instant
 from pricetide.functions.loans import required_rate
 from pricetide.functions.numbers import half_even, ratio
 from pricetide.operators import fairvalue as FV
@@ -15,6 +15,7 @@ from pricetide.operators import history as H
 from pricetide.operators import market as M
 from pricetide.operators import offers as OF
 from pricetide.operators import ranking as R
+from pricetide.operators.survival import kaplan_meier
 from pricetide.plans import views as V
 from pricetide.plans.q_history import _STATS_SQL
 from pricetide.plans.q_linkage import CFG as LINK
@@ -22,6 +23,7 @@ from pricetide.plans.q_market import GAP_SQL, SEARCH, zone_frame
 from pricetide.plans.q_panel import CURVE_SQL, curve_frame
 from pricetide.plans.registry import query
 from pricetide.plans.views import snug, snug_col, with_views
+from pricetide.session import cut_lineage
 
 # the tables' prices are a tenth of the defaults' scale
 CFG = C.Thresholds(
@@ -47,6 +49,10 @@ def _int(expr: str) -> str:
     return f"CAST(round_even({expr}, 0) AS BIGINT)"
 
 
+def _even(expr: str, digits: int) -> str:
+    return f"round_even(({expr}) * 1e{digits}, 0) / 1e{digits}"
+
+
 def afford_sql(source: str, price: str, name: str, savings: str = "160000.0", ltv: str = "0.8") -> str:
     """CTEs ending in `name`: every row of `source` with the affordability figures of `price`."""
     return f"""
@@ -139,14 +145,10 @@ def scenario_grid(spark, sf_dir):
         "c_custkey", "savings", "price", "cash_80", "payment_80", "cash_90", "payment_90", "months_no_extras",
         "verdict",
         F.when(path.startswith("✅"), path).alias("entry"),
-        F.when(FI_beyond(out), F.nullif(haggle, F.lit(""))).alias("haggle"),
+        F.when(F.col("verdict") == "fuera_de_alcance", F.nullif(haggle, F.lit(""))).alias("haggle"),
     )
 
 
-def FI_beyond(out):
-    return F.col("verdict") == "fuera_de_alcance"
-
-
 @query(
     "required_rate",
     f"""SELECT o_orderkey, CASE WHEN o_totalprice / 360 > 1000 THEN 0.0 ELSE
@@ -181,7 +183,7 @@ _FEATURE_SQL = f"""{_STATS_SQL},
         / 100 END AS cum_discount_pct
     FROM properties p LEFT JOIN stats s USING (population, property_id)),
   levels AS (SELECT population, round_even(sum(price) / sum(sqm), 0) AS unit FROM properties GROUP BY 1),
-  features AS (SELECT j.*, k % 6 = 0 AND true AS is_multi, CAST(k % 6 = 0 AS INT) AS multi_listed, 3 AS n_sources,
+  features AS (SELECT j.*, CAST(k % 6 = 0 AS INT) AS multi_listed, 3 AS n_sources,
       CAST(k % 9 = 0 AS INT) AS relist_count, CAST(k % 4 = 1 AS INT) AS kw_any_motivated,
       CAST(k % 8 = 3 AS INT) AS kw_renovation, k % 4 AS n_reactivations,
       CAST(k % 10 <> 0 AS INT) AS is_cluster_canonical, l.unit * j.sqm AS hedonic_fair_price,
@@ -250,35 +252,274 @@ _SCORES = ("quality_score", "value_score", "leverage_score")
         blended AS (SELECT *, 1 - least(greatest({_int('due')} - 1500.0, 0) / 600, 1) AS fit,
           CAST(price BETWEEN 20000 AND 30000 AND (kw_renovation = 1 OR hedonic_residual_pct < -10) AS INT) AS reno
           FROM paid)
-        SELECT population, property_id, {snug('quality', 3)} AS quality_score, {snug('value', 3)} AS value_score,
-          {snug('leverage', 3)} AS leverage_score, {_int('due')} AS monthly_payment_needed,
+        SELECT population, property_id, {_even('quality', 3)} AS quality_score, {_even('value', 3)} AS value_score,
+          {_even('leverage', 3)} AS leverage_score, {_int('due')} AS monthly_payment_needed,
           CAST(reno AS DOUBLE) AS reno_opportunity,
-          {snug('0.35 * value + 0.30 * leverage + 0.20 * fit + 0.10 * CAST(price BETWEEN 30000 AND 45000 AS INT) + 0.10 * reno', 3)}
+          {_even('0.35 * value + 0.30 * leverage + 0.20 * fit + 0.10 * CAST(price BETWEEN 30000 AND 45000 AS INT) + 0.10 * reno', 4)}
             AS final_score FROM blended""",
     ),
 )
 def rank_candidates(spark, sf_dir):
-    out = R.rank_candidates(feature_frame(spark, sf_dir), cfg=_SMOOTH)
-    return _smooth(out, (*_SCORES, "final_score"), 3).select(
+    return R.rank_candidates(feature_frame(spark, sf_dir), cfg=CFG).select(
         *V.ENTITY, *_SCORES, "monthly_payment_needed", "reno_opportunity", "final_score"
     )
 
 
-_SMOOTH = CFG
-
-
-def _smooth(df, names, digits):
-    return df
-
-
 @query(
     "rank_quality",
     with_views(
         ["price_history", "properties"],
         f"""{_ranking_sql('AND sqm BETWEEN 35 AND 400')} SELECT population, property_id,
-        {snug('quality', 3)} AS quality_score, {snug('value', 3)} AS value_score, {snug('leverage', 3)} AS leverage_score
+        {_even('quality', 3)} AS quality_score, {_even('value', 3)} AS value_score, {_even('leverage', 3)} AS leverage_score
         FROM parts""",
     ),
 )
 def rank_quality(spark, sf_dir):
     return R.rank_quality(feature_frame(spark, sf_dir), CFG).select(*V.ENTITY, *_SCORES)
+
+
+STUCK_SQL = f"""{_ranking_sql('AND sqm BETWEEN 35 AND 400')},
+  rated AS (SELECT *, {_even('quality', 3)} AS quality_score FROM parts),
+  gates AS (SELECT population, median(quality_score) AS gate FROM rated GROUP BY 1),
+  stuck AS (SELECT r.* FROM rated r JOIN gates g ON g.population = r.population
+    WHERE quality_score >= gate AND days_online_effective >= 30 AND hedonic_residual_pct > 10)"""
+
+
+def _quality(spark, sf_dir):
+    """Ranked once and written, because its readers pass over it more than once."""
+    return cut_lineage(R.rank_quality(feature_frame(spark, sf_dir), CFG))
+
+
+@query(
+    "stuck",
+    with_views(
+        ["price_history", "properties"],
+        f"""{STUCK_SQL}, {CURVE_SQL},
+        hits AS (SELECT s.population, s.property_id, s.quality_score, s.hedonic_residual_pct, s.days_online_effective,
+            count(c.t) AS n, arg_max(c.survival, c.t) AS s FROM stuck s LEFT JOIN curve c
+            ON c.population = s.population AND c.t <= s.days_online_effective GROUP BY 1, 2, 3, 4, 5)
+        SELECT population, property_id, quality_score, hedonic_residual_pct, days_online_effective,
+          {snug('1 - CASE WHEN n = 0 THEN 1.0 ELSE s END', 6)} AS staleness_pctile FROM hits""",
+    ),
+)
+def stuck(spark, sf_dir):
+    out = R.stuck(_quality(spark, sf_dir), curve_frame(spark, sf_dir))
+    return out.select(
+        *V.ENTITY, "quality_score", "hedonic_residual_pct", "days_online_effective",
+        snug_col(F.col("staleness_pctile"), 6).alias("staleness_pctile"),
+    )
+
+
+@query(
+    "shortlist",
+    with_views(
+        ["price_history", "properties"],
+        f"""{_ranking_sql('AND sqm BETWEEN 35 AND 400')},
+        rated AS (SELECT *, {_even('quality', 3)} AS quality_score, {_even('leverage', 3)} AS leverage_score FROM parts),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY quality_score DESC, property_id) AS q,
+          row_number() OVER (PARTITION BY population ORDER BY leverage_score DESC, property_id) AS l FROM rated),
+        picks AS (SELECT population, property_id, title, price, 'top_calidad' AS reason FROM placed WHERE q <= 15
+          UNION ALL SELECT population, property_id, title, price, 'top_palanca' FROM placed WHERE l <= 15)
+        SELECT population, property_id, any_value(title) AS title, any_value(price) AS price,
+          string_agg(DISTINCT reason, ', ' ORDER BY reason) AS reasons
+        FROM picks WHERE CAST(property_id AS BIGINT) % 5 <> 2 GROUP BY 1, 2""",
+    ),
+)
+def shortlist(spark, sf_dir):
+    visited = F.when(F.col("property_id").cast("long") % 5 == 2, F.col("last_seen"))
+    rated = _quality(spark, sf_dir).withColumn("enriched_at", visited)
+    return R.shortlist(
+        [(rated, "top_calidad", ["-quality_score"], 15), (rated, "top_palanca", ["-leverage_score"], 15)]
+    )
+
+
+_LADDER_SQL = f"""{_FEATURE_SQL}, {CURVE_SQL}, {GAP_SQL.strip()},
+  zone1 AS (SELECT population, arg_min(premium, zone) AS premium, arg_min(closing, zone) AS closing FROM gap GROUP BY 1),
+  aged AS (SELECT f.*, z.premium, z.closing,
+      (SELECT arg_max(c.survival, c.t) FROM curve c WHERE c.population = f.population
+         AND c.t <= f.days_online_effective) AS s FROM features f LEFT JOIN zone1 z USING (population)),
+  staled AS (SELECT *, 1 - coalesce(s, 1.0) AS stale FROM aged),
+  margins AS (SELECT *, least(18.0, 3 + CASE WHEN stale >= 0.9 THEN 6 WHEN stale >= 0.75 THEN 4 WHEN stale >= 0.5
+        THEN 2 ELSE 0 END + CASE WHEN n_cuts > 0 THEN least(1.5 * n_cuts, 4) ELSE 0 END
+      + CASE WHEN days_since_last_cut <= 21 THEN 1 ELSE 0 END + 2 * multi_listed + 2 * relist_count
+      + CASE WHEN n_reactivations >= 2 THEN 1 ELSE 0 END + 2 * kw_any_motivated
+      + CASE WHEN hedonic_residual_pct > 5 THEN least(0.5 * hedonic_residual_pct, 6) ELSE 0 END
+      + CASE WHEN (price_per_sqm / nullif(closing, 0) - 1) * 100 > coalesce(premium, 0) + 15 THEN 2 ELSE 0 END)::DOUBLE
+      AS m FROM staled)"""
+
+
+def _step(part: str) -> str:
+    return f"round_even(price * (1 - {part} * m / 100) / 500.0, 0) * 500"
+
+
+def _offers(spark, sf_dir):
+    gap = M.gap_analysis(V.properties(spark, sf_dir), zone_frame(spark, sf_dir), SEARCH)
+    return OF.add_offers(feature_frame(spark, sf_dir), curve_frame(spark, sf_dir), None, gap, cfg=CFG)
+
+
+@query(
+    "offer_ladder",
+    with_views(
+        ["price_history", "properties", "closing_prices"],
+        f"""{_LADDER_SQL} SELECT population, property_id, round_even(m * 10, 0) / 10 AS est_margin_pct,
+          {_step('1.0')} AS offer_opening, {_step('0.6')} AS offer_target, {_step('0.35')} AS offer_prudent,
+          least({_step('0.25')}, 58000.0) AS offer_walkaway,
+          round_even(hedonic_fair_price / (1 + premium / 100) / 500.0, 0) * 500 AS est_closing_value,
+          CASE WHEN m >= 12 THEN 'ruthless (open 12-18% below asking)' WHEN m >= 8 THEN 'firm (open ~8-12% below)'
+               WHEN m >= 5 THEN 'standard (open ~5-8% below)' ELSE 'act fast (well-priced; open <5% below)' END AS bucket
+        FROM margins""",
+    ),
+)
+def offer_ladder(spark, sf_dir):
+    return _offers(spark, sf_dir).select(
+        *V.ENTITY, "est_margin_pct", "offer_opening", "offer_target", "offer_prudent", "offer_walkaway",
+        "est_closing_value", "bucket",
+    )
+
+
+@query(
+    "offer_affordability",
+    with_views(
+        ["price_history", "properties", "closing_prices"],
+        f"""{_LADDER_SQL}, tagged AS (SELECT population, property_id, price, {_step('0.6')} AS target FROM margins),
+        {afford_sql('tagged', 'target', 'done')}
+        SELECT population, property_id, verdict AS affordability_target_verdict, months AS months_to_feasible_target,
+          {_int('required')} AS cash_needed_at_target, {_int('due')} AS monthly_payment_at_target FROM done""",
+    ),
+)
+def offer_affordability(spark, sf_dir):
+    return _offers(spark, sf_dir).select(
+        *V.ENTITY, "affordability_target_verdict", "months_to_feasible_target", "cash_needed_at_target",
+        "monthly_payment_at_target",
+    )
+
+
+@query("offer_rationale")
+def offer_rationale(spark, sf_dir):
+    return _offers(spark, sf_dir).select(*V.ENTITY, "est_margin_pct", "rationale")
+
+
+@query(
+    "motivated_list",
+    with_views(
+        ["price_history", "properties"],
+        f"""{_FEATURE_SQL} SELECT population, property_id, multi_listed, kw_any_motivated, relist_count FROM features
+        WHERE multi_listed = 1 OR kw_any_motivated = 1 OR relist_count >= 1""",
+    ),
+)
+def motivated_list(spark, sf_dir):
+    return R.motivated_list(feature_frame(spark, sf_dir)).select(
+        *V.ENTITY, "multi_listed", "kw_any_motivated", "relist_count"
+    )
+
+
+@query(
+    "renovation_list",
+    with_views(
+        ["price_history", "properties", "closing_prices"],
+        f"""{_LADDER_SQL} SELECT population, property_id, {_step('0.6')} + 10000.0 AS all_in_estimate FROM margins
+        WHERE price BETWEEN 20000 AND 30000 AND (kw_renovation = 1 OR hedonic_residual_pct < -10)""",
+    ),
+)
+def renovation_list(spark, sf_dir):
+    below = F.col("hedonic_residual_pct") < -10
+    marked = _offers(spark, sf_dir).withColumn(
+        "reno_opportunity",
+        (F.col("price").between(*CFG.renovation_band) & ((F.col("kw_renovation") == 1) | below)).cast("int"),
+    )
+    return R.renovation_list(marked, CFG).select(*V.ENTITY, "all_in_estimate")
+
+
+# ------------------------------------------------------------------ budget ranking and fair value
+
+
+def _budget_frame(spark, sf_dir):
+    props = V.properties(spark, sf_dir)
+    stats = H.history_stats(V.price_history(spark, sf_dir), V.OBS_AS_OF, extended=True)
+    now, k = instant(V.OBS_AS_OF), F.col("property_id").cast("long")
+    features = props.join(stats, V.ENTITY, "left").withColumns(
+        {
+            "price_per_sqm": ratio(F.col("price"), F.col("sqm")),
+            "days_online": fractional_days(now, F.col("first_seen")),
+            "days_since_last_seen": fractional_days(now, F.col("last_seen")),
+            "year_built": F.when(k % 3 == 0, 1950 + k % 70),
+            "similarity_score": k % 101,
+            "n_reactivations": k % 4,
+        }
+    )
+    return R.budget_features(features, (30_000, 45_000), 40_000, band_scale=12_000, anchor_scale=14_000)
+
+
+def _rank_mid(expr: str) -> str:
+    return f"""(rank() OVER (PARTITION BY population, ({expr}) IS NULL ORDER BY {expr})
+      + (count(*) OVER (PARTITION BY population, {expr}) - 1) / 2.0) / count({expr}) OVER (PARTITION BY population)"""
+
+
+@query(
+    "budget_features",
+    with_views(
+        ["price_history", "properties"],
+        f"""{_STATS_SQL},
+        base AS (SELECT p.*, CAST(p.property_id AS BIGINT) % 101 AS similarity_score, p.price / nullif(p.sqm, 0) AS unit,
+            CASE WHEN CAST(p.property_id AS BIGINT) % 3 = 0 THEN 1950 + CAST(p.property_id AS BIGINT) % 70 END AS year_built,
+            date_diff('second', p.first_seen, TIMESTAMP '{V.OBS_AS_OF}') / 86400.0 AS days_online,
+            greatest((p.price_first_seen - p.price) / p.price_first_seen, 0) AS discount,
+            coalesce(s.n_price_changes, 0) AS changes, coalesce(s.days_since_last_price_change, 0) AS since,
+            coalesce(s.history_span_days, 0) AS span
+          FROM properties p LEFT JOIN stats s USING (population, property_id)),
+        raw AS (SELECT *, {_rank_mid('sqm')} AS r1, {_rank_mid('bathrooms')} AS r3, {_rank_mid('similarity_score')} AS r5,
+            {_rank_mid('unit')} AS r6, {_rank_mid('days_online')} AS r7, {_rank_mid('discount')} AS r8,
+            {_rank_mid('changes')} AS r9, {_rank_mid('since')} AS r10, {_rank_mid('span')} AS r11,
+            CASE WHEN rooms IS NOT NULL THEN {_rank_mid('rooms')} END AS q2,
+            CASE WHEN year_built IS NOT NULL THEN {_rank_mid('year_built')} END AS q4 FROM base),
+        mids AS (SELECT population, median(q2) AS m2, median(q4) AS m4 FROM raw GROUP BY 1)
+        SELECT population, property_id,
+          {snug('0.6 * greatest(0, least(1, 1 - abs(price - 37500) / 12000)) + 0.4 * greatest(0, least(1, 1 - abs(price - 40000) / 14000))', 6)}
+            AS budget_fit_score,
+          {snug('greatest(0, least(1, 0.22 * r1 + 0.16 * coalesce(q2, m2) + 0.12 * r3 + 0.10 * coalesce(q4, m4) + 0.10 * r5 + 0.08 * has_pool + 0.08 * has_ac + 0.07 * terrace + 0.05 * elevator + 0.04 * parking + 0.08 * (1 - r6)))', 6)}
+            AS quality_score,
+          {snug('greatest(0, least(1, 0.35 * r7 + 0.30 * r8 + 0.15 * r9 + 0.10 * r10 + 0.10 * r11))', 6)} AS negotiation_proxy
+        FROM raw JOIN mids USING (population)""",
+    ),
+)
+def budget_features(spark, sf_dir):
+    out = _budget_frame(spark, sf_dir)
+    names = ("budget_fit_score", "quality_score", "negotiation_proxy")
+    return out.select(*V.ENTITY, *[snug_col(F.col(c), 6).alias(c) for c in names])
+
+
+@query("budget_ranking")
+def budget_ranking(spark, sf_dir):
+    """The full blend with the fitted negotiation model; the fit has no SQL twin."""
+    modelled = FV.negotiation_model(_budget_frame(spark, sf_dir))
+    ranked = R.budget_ranking(modelled, 45_000, "n_reactivations")
+    return R.top(ranked, ["-final_score"], 100).select(*V.ENTITY, "position", "final_score", "why_it_ranks")
+
+
+@query("hedonic_fit")
+def hedonic_fit(spark, sf_dir):
+    return FV.fit_hedonic(V.properties(spark, sf_dir), cfg=CFG)[1]
+
+
+@query("hedonic_scores")
+def hedonic_scores(spark, sf_dir):
+    out = FV.fit_hedonic(V.properties(spark, sf_dir), cfg=CFG)[0]
+    return out.select(*V.ENTITY, "price", "hedonic_fair_price", "hedonic_residual_pct")
+
+
+@query("candidate_report")
+def candidate_report(spark, sf_dir):
+    """The whole chain: features, fair value, survival, offers and ranking of every offered entity."""
+    features = FE.build_features(
+        V.properties(spark, sf_dir), V.price_history(spark, sf_dir), V.property_events(spark, sf_dir), V.OBS_AS_OF,
+        CFG, "edit",
+    )
+    # several consumers follow, so the features are written once
+    priced = cut_lineage(FV.fit_hedonic(features, cfg=CFG)[0])
+    gap = M.gap_analysis(priced, zone_frame(spark, sf_dir), SEARCH)
+    ranked = R.rank_candidates(priced, cfg=CFG)
+    offers = OF.add_offers(ranked, kaplan_meier(priced, V.OBS_AS_OF), None, gap, cfg=CFG)
+    return offers.select(
+        *V.ENTITY, "price", "cluster_id", "hedonic_residual_pct", "final_score", "est_margin_pct", "offer_target",
+        "bucket", "rationale",
+    )
