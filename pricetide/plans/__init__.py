@@ -6,7 +6,7 @@ import importlib
 
 from pricetide.plans.registry import CATALOG, Query
 
-_MODULES = ("q_history", "q_panel", "q_market", "q_linkage", "q_lifecycle", "q_value", "q_inspect")
+_MODULES = ("q_history", "q_panel", "q_market", "q_linkage", "q_lifecycle", "q_value", "q_inspect", "q_stream")
 
 
 def catalog() -> dict[str, Query]:

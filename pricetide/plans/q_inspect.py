@@ -17,6 +17,7 @@ from pricetide.plans.q_market import zone_frame
 from pricetide.plans.q_lifecycle import replay_frame, REPLAY_SQL
 from pricetide.plans.registry import query
 from pricetide.plans.views import snug, snug_col, with_views
+from pricetide.session import cut_lineage
 from pricetide.sources import baselines as B
 from pricetide.sources import exports as X
 from pricetide.sources import items as IT
@@ -223,7 +224,8 @@ def alert_filter(spark, sf_dir):
 @query("alert_messages")
 def alert_messages(spark, sf_dir):
     """Texts of the alerts for matching new entities and price drops of the whole replayed history."""
-    props = S.similarity(V.properties(spark, sf_dir), PROFILES)
+    # scored once and written; both kinds of alert read it
+    props = cut_lineage(S.similarity(V.properties(spark, sf_dir), PROFILES))
     wanted = props.where(S.matches_criteria(props, None, 60_000, 3, 2, 0, ("Ring", "Brand#2")))
     events = replay_frame(spark, sf_dir).select(*V.ENTITY, "event_type", "old_price", "new_price")
     new = wanted.join(events.where("event_type = 'inserted'").select(*V.ENTITY), V.ENTITY, "left_semi")
@@ -479,10 +481,33 @@ def page_description(spark, sf_dir):
     return PG.best_description(pages, longest_kept=None).select("page_id", "description")
 
 
-@query("page_cells")
+@query(
+    "page_cells",
+    with_views(
+        ["properties"],
+        """SELECT population, property_id AS reference, title, price, rooms, bathrooms, sqm FROM properties""",
+    ),
+)
 def page_cells(spark, sf_dir):
-    """Key-value rows of the pages' tables; the captured pages hold none, so few rows are expected."""
-    return PG.listing_rows(PG.table_cells(V.table(spark, sf_dir, "pages")), "web")
+    """Properties written as rows of a key-value table and read back."""
+
+    def cell(name, text, order=""):
+        return F.concat(F.lit(f"<td class='c' data-info='{name}'{order}"), text, F.lit("</td>"))
+
+    price = F.concat(F.lit(" data-order='"), F.translate(F.format_number("price", 2), ",.", ".,"), F.lit("'>caro"))
+    html = F.concat(
+        F.lit("<table><tr><th>x</th></tr><tr>"),
+        cell("referencia", F.concat(F.lit("> "), F.col("property_id"))),
+        cell("precio", price),
+        cell("superficie", F.concat(F.lit(">"), F.col("sqm"), F.lit(" m2"))),
+        cell("dormitorios", F.concat(F.lit("><b>"), F.coalesce(F.col("rooms").cast("string"), F.lit("")), F.lit("</b>"))),
+        cell("banos", F.concat(F.lit(">"), F.col("bathrooms"), F.lit(" baños"))),
+        cell("resumen", F.concat(F.lit(">"), F.col("title"))),
+        F.lit("</tr></table>"),
+    )
+    pages = V.properties(spark, sf_dir).select("population", html.alias("html"))
+    rows = PG.listing_rows(PG.table_cells(pages, "population"), "web")
+    return rows.select("population", "reference", "title", "price", "rooms", "bathrooms", "sqm")
 
 
 @query(

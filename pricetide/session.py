@@ -50,7 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The result outlives any executor, is computed once, and is planned on its real size.
     """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,3 +62,8 @@ def _scratch_of(application: str, root: str | None) -> str:
 
 def _scratch(spark: SparkSession) -> str:
     return _scratch_of(spark.sparkContext.applicationId, shared_folder(spark))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables or streaming state."""
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
