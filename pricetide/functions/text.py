@@ -8,6 +8,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from pricetide import config as C
 
@@ -23,7 +24,7 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Full compatibility decomposition for letters outside the Latin table."""
     for texts in batches:
@@ -85,7 +86,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_blocks_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two folded texts; run only on blocked pairs."""
     from difflib import SequenceMatcher

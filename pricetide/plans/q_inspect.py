@@ -9,10 +9,9 @@ from pricetide.functions import numbers as N
 from pricetide.functions import text as T
 from pricetide.operators import clean as CL
 from pricetide.operators import inspection as I
-from pricetide.operators import linkage as L
 from pricetide.operators import similarity as S
 from pricetide.plans import views as V
-from pricetide.plans.q_linkage import CFG, PROFILES
+from pricetide.plans.q_linkage import PROFILES, life_frame
 from pricetide.plans.q_market import zone_frame
 from pricetide.plans.q_lifecycle import replay_frame, REPLAY_SQL
 from pricetide.plans.registry import query
@@ -328,10 +327,9 @@ def timeline(spark, sf_dir):
 @query("inspector_payload")
 def inspector_payload(spark, sf_dir):
     """Nested history of every unit with a re-published listing; nesting differs between engines."""
-    aged = L.add_effective_age(V.properties(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit")
-    lives = L.market_life(L.cluster_ids(aged, CFG, similarity="edit"))
+    lives = cut_lineage(life_frame(spark, sf_dir))
     seeds = lives.where(F.col("relist_count") == 1)
-    return I.inspector_payload(I.inspector_members(lives, seeds, V.price_history(spark, sf_dir)))
+    return I.inspector_payload(I.inspector_members(lives, seeds, V.spell_history(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ baselines

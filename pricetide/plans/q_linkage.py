@@ -12,6 +12,7 @@ from pricetide.operators import similarity as S
 from pricetide.plans import views as V
 from pricetide.plans.registry import query
 from pricetide.plans.views import snug, snug_col, with_views
+from pricetide.session import cut_lineage
 
 # wider than the defaults, because the tables' prices spread over two orders of magnitude
 CFG = C.Thresholds(portals=("1", "2", "3", "4", "5"), cluster_price_tol=0.06, relist_price_tol=0.1)
@@ -52,19 +53,23 @@ EDGE_SQL = f"""{SIG_SQL},
     LEFT JOIN components c USING (population, property_id))"""
 
 
+def _of_spells(sql: str) -> str:
+    return sql.replace("FROM properties", "FROM spells")
+
+
 @query(
     "relist_join",
     with_views(
-        ["properties"],
-        f"""{RELIST_SQL} SELECT population, property_id, relisted_from,
+        ["spells"],
+        _of_spells(f"""{RELIST_SQL} SELECT population, property_id, relisted_from,
           least(first_seen, old_first) AS effective_first_seen, CAST(relisted_from IS NOT NULL AS INT) AS relist_count,
           round_even(date_diff('second', least(first_seen, coalesce(old_first, first_seen)),
             TIMESTAMP '{V.OBS_AS_OF}') / 86400.0 * 10, 0) / 10 AS days_online_effective
-        FROM properties LEFT JOIN relist USING (population, property_id)""",
+        FROM properties LEFT JOIN relist USING (population, property_id)"""),
     ),
 )
 def relist_join(spark, sf_dir):
-    out = L.add_effective_age(V.properties(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit")
+    out = L.add_effective_age(V.spells(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit")
     return out.select(*V.ENTITY, "relisted_from", "effective_first_seen", "relist_count", "days_online_effective")
 
 
@@ -124,23 +129,29 @@ def cluster_stats(spark, sf_dir):
 @query(
     "market_life",
     with_views(
-        ["properties"],
-        EDGE_SQL
-        + ","
-        + RELIST_SQL.split("FROM folded WHERE price IS NOT NULL AND sqm IS NOT NULL),")[1]
-        + """,
+        ["spells"],
+        _of_spells(
+            EDGE_SQL
+            + ","
+            + RELIST_SQL.split("FROM folded WHERE price IS NOT NULL AND sqm IS NOT NULL),")[1]
+            + """,
         links AS (SELECT population, cluster_id AS a, property_id AS b FROM clustered UNION ALL
           SELECT population, relisted_from, property_id FROM relist),
         two_way AS (SELECT population, a, b FROM links UNION ALL SELECT population, b, a FROM links),
         closure(population, node, seen) AS (SELECT population, property_id, property_id FROM properties
           UNION SELECT c.population, c.node, l.b FROM closure c
           JOIN two_way l ON l.population = c.population AND l.a = c.seen)
-        SELECT population, node AS property_id, min(seen) AS life_id FROM closure GROUP BY 1, 2""",
+        SELECT population, node AS property_id, min(seen) AS life_id FROM closure GROUP BY 1, 2"""
+        ),
     ),
 )
 def market_life(spark, sf_dir):
-    aged = L.add_effective_age(V.properties(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit")
-    return L.market_life(L.cluster_ids(aged, CFG, similarity="edit")).select(*V.ENTITY, "life_id")
+    return life_frame(spark, sf_dir).select(*V.ENTITY, "life_id")
+
+
+def life_frame(spark, sf_dir):
+    aged = L.add_effective_age(V.spells(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit")
+    return L.market_life(L.cluster_ids(cut_lineage(aged), CFG, similarity="edit"))
 
 
 @query("duplicate_pairs_blocks")

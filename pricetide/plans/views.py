@@ -102,6 +102,34 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.withColumn("status", F.when(gone, "inactive").otherwise("active"))
 
 
+def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each property's calendar years as separate entities: one is retired, the next re-publishes it."""
+    yearly = obs(spark, sf_dir).withColumn("_y", F.year("seen_at"))
+    state = yearly.groupBy(*ENTITY, "_y").agg(
+        F.min("seen_at").alias("first_seen"),
+        F.max("seen_at").alias("last_seen"),
+        F.min_by("price", "seen_at").alias("price_first_seen"),
+        F.max_by("price", "seen_at").alias("price"),
+        F.max_by("source", "seen_at").alias("source"),
+    )
+    return (
+        state.join(describe_parts(spark, sf_dir), "property_id")
+        .withColumn("property_id", F.concat_ws("-", "property_id", "_y"))
+        .withColumn("status", F.when(F.col("_y") < 2001, "inactive").otherwise("active"))
+        .drop("_y")
+    )
+
+
+def spell_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price log of the spells: all their sightings."""
+    return obs(spark, sf_dir).select(
+        "population",
+        F.concat_ws("-", "property_id", F.year("seen_at")).alias("property_id"),
+        F.col("seen_at").alias("date"),
+        "price",
+    )
+
+
 def property_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # fixed values: how the event stream maps onto lifecycle events
     kind = (
@@ -209,6 +237,13 @@ _SQL = {
                    arg_min(price, seen_at) AS price_first_seen, arg_max(price, seen_at) AS price,
                    arg_max(source, seen_at) AS source FROM obs GROUP BY 1, 2) o
       JOIN part_facts f USING (property_id)""",
+    "spells": """
+      SELECT o.* EXCLUDE (part_id, y), f.* EXCLUDE (property_id), o.part_id || '-' || o.y AS property_id,
+             CASE WHEN y < 2001 THEN 'inactive' ELSE 'active' END AS status
+      FROM (SELECT population, property_id AS part_id, year(seen_at) AS y, min(seen_at) AS first_seen,
+                   max(seen_at) AS last_seen, arg_min(price, seen_at) AS price_first_seen,
+                   arg_max(price, seen_at) AS price, arg_max(source, seen_at) AS source FROM obs GROUP BY 1, 2, 3) o
+      JOIN part_facts f ON f.property_id = o.part_id""",
     "property_events": """
       SELECT r.r_name AS population, e.event_id AS id, CAST(e.user_id AS VARCHAR) AS property_id,
              CASE e.event_type WHEN 'signup' THEN 'inserted' WHEN 'error' THEN 'inactive'
@@ -236,6 +271,7 @@ _SQL = {
 _NEEDS = {
     "price_history": ["obs"],
     "properties": ["obs", "part_facts"],
+    "spells": ["obs", "part_facts"],
     "event_history": ["property_events"],
 }
 

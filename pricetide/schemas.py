@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Flat columns written as 'name type, name type'; needs no session."""
+    pairs = (column.split() for column in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 PROPERTIES = _struct(
@@ -33,12 +41,15 @@ TABLES = {
 FLAGS = ("has_pool", "has_ac", "terrace", "elevator", "parking", "is_favourite")
 # what an observation may carry; the bookkeeping columns belong to the fold
 BOOKKEEPING = ("price_first_seen", "missed_runs", "enriched_at", "first_seen", "last_seen", "status")
-BASELINE_ZONE = _struct(
-    "last_12m struct<mean_eur_m2:double,transactions:bigint,mean_amount_eur:double,mean_surface_m2:double>, "
-    "annual_mean_eur_m2 map<string,double>, annual_median_eur_m2 map<string,double>, "
-    "annual_transactions map<string,double>, annual_mean_amount_eur map<string,double>, "
-    "yoy_price_change_pct map<string,double>, monthly_mean_eur_m2_last_12m map<string,double>, "
-    "monthly_transactions_last_12m map<string,double>"
+BASELINE_ZONE = T.StructType(
+    [T.StructField("last_12m", _struct("mean_eur_m2 double, transactions bigint, mean_amount_eur double, mean_surface_m2 double"))]
+    + [
+        T.StructField(name, T.MapType(T.StringType(), T.DoubleType()))
+        for name in (
+            "annual_mean_eur_m2", "annual_median_eur_m2", "annual_transactions", "annual_mean_amount_eur",
+            "yoy_price_change_pct", "monthly_mean_eur_m2_last_12m", "monthly_transactions_last_12m",
+        )
+    ]
 )
 BUYER = _struct(
     "monthly_net_income double, savings double, extra_cash_if_needed double, monthly_savings double, "
@@ -46,12 +57,13 @@ BUYER = _struct(
     "stretch_payment double, itp_rate double, fees_rate double, max_ltv double"
 )
 RAW_ITEM = _struct(
-    "url string, propertyUrl string, price string, priceInfo struct<amount:string>, rooms string, roomNumber string, "
+    "url string, propertyUrl string, price string, rooms string, roomNumber string, "
     "bathrooms string, bathNumber string, size string, constructedArea string, propertyType string, "
     "property_type string, type string, operation string, dealType string, city string, town string, "
     "municipality string, district string, area string, neighborhood string, zone string, postalCode string, "
     "zipCode string, latitude string, lat string, longitude string, lng string, lon string, energyRating string, "
     "energy_label string, yearBuilt string, builtYear string, constructionYear string, floor string, "
-    "terrace string, elevator string, parking string, garage string, features array<string>, description string, "
+    "terrace string, elevator string, parking string, garage string, description string, "
     "orientation string, cardOrientation string, title string, address string"
 )
+RAW_ITEM.add("priceInfo", _struct("amount string")).add("features", T.ArrayType(T.StringType()))
