@@ -77,16 +77,15 @@ def _titled(df: DataFrame) -> DataFrame:
     return df.withColumn("title", fold(F.col("title")))
 
 
-def _with_signature(pairs: DataFrame) -> DataFrame:
+def _signed(df: DataFrame) -> DataFrame:
+    """What a folded title says about type and street, once per row rather than per pair."""
+    return df.withColumns({"kind": title_type(F.col("title")), "streets": street_tokens(F.col("title"))})
+
+
+def _compatible(pairs: DataFrame) -> DataFrame:
     """Keep pairs whose titles can name the same unit."""
-    return pairs.where(
-        ~contradict(
-            title_type(F.col("a.title")),
-            street_tokens(F.col("a.title")),
-            title_type(F.col("b.title")),
-            street_tokens(F.col("b.title")),
-        )
-    )
+    a, b = F.col("a"), F.col("b")
+    return pairs.where(~contradict(a["kind"], a["streets"], b["kind"], b["streets"]))
 
 
 # ------------------------------------------------------------------ duplicates
@@ -94,10 +93,9 @@ def _with_signature(pairs: DataFrame) -> DataFrame:
 
 def _representatives(pool: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per distinct (rooms, size, price, folded title), named by its smallest id."""
-    return (
-        _titled(pool)
-        .groupBy(*keys, F.coalesce(F.col("rooms").cast("long"), F.lit(-1)).alias("_rooms"), "sqm", "price", "title")
-        .agg(F.min("property_id").alias("property_id"))
+    rooms = F.coalesce(F.col("rooms").cast("long"), F.lit(-1)).alias("_rooms")
+    return _signed(
+        _titled(pool).groupBy(*keys, rooms, "sqm", "price", "title").agg(F.min("property_id").alias("property_id"))
     )
 
 
@@ -129,7 +127,7 @@ def duplicate_pairs(
         F.when(a["property_id"] < b["property_id"], a).otherwise(b).alias("a"),
         F.when(a["property_id"] < b["property_id"], b).otherwise(a).alias("b"),
     )
-    agreed = _with_signature(close)
+    agreed = _compatible(close)
     # an equal price needs no look at the titles, so those pairs hand the comparison nothing
     left = F.when(a["price"] != b["price"], a["title"]).otherwise(F.lit(""))
     scored = agreed.select(
@@ -273,8 +271,8 @@ def relist_matches(
     usable = _titled(properties.where(F.col("price").isNotNull() & F.col("sqm").isNotNull()))
     compared = [*keys, "rooms", "sqm", "price", "title"]
     # distinct offers on both sides; of equal retired ones only the earliest can be chosen
-    new = usable.where(F.col("status") == "active").select(*compared, "first_seen").distinct()
-    old = (
+    new = _signed(usable.where(F.col("status") == "active").select(*compared, "first_seen").distinct())
+    old = _signed(
         usable.where((F.col("status") == "inactive") & F.col("last_seen").isNotNull())
         .groupBy(*compared, "last_seen")
         .agg(F.min(F.struct("first_seen", "property_id")).alias("origin"))
@@ -288,7 +286,7 @@ def relist_matches(
         & (F.abs(a["price"] - b["price"]) / F.greatest(b["price"], F.lit(1.0)) <= cfg.relist_price_tol)
     )
     best = (
-        _with_signature(pairs)
+        _compatible(pairs)
         .withColumn("_similarity", TITLE_SIMILARITY[similarity](a["title"], b["title"]))
         .where(F.col("_similarity") >= cfg.title_similarity)
         .groupBy("a")

@@ -304,8 +304,8 @@ def gap_analysis(spark, sf_dir):
 )
 def pct_rank_avg(spark, sf_dir):
     props = V.properties(spark, sf_dir).select(*V.ENTITY, "rooms", "price")
-    ranked = O.average_rank(O.average_rank(props, ["population"], "rooms", "rooms_rank"), ["population"], "price",
-                            "price_rank")
+    measures = {"rooms_rank": F.col("rooms"), "price_rank": F.col("price")}
+    ranked = O.average_ranks(props, ["population"], ["property_id"], measures)
     return ranked.select(*V.ENTITY, *[snug_col(F.col(c), 6).alias(c) for c in ("rooms_rank", "price_rank")])
 
 

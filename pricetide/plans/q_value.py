@@ -260,7 +260,8 @@ _SCORES = ("quality_score", "value_score", "leverage_score")
     ),
 )
 def rank_candidates(spark, sf_dir):
-    return R.rank_candidates(feature_frame(spark, sf_dir), cfg=CFG).select(
+    # written once: the ranks pass over the features several times
+    return R.rank_candidates(cut_lineage(feature_frame(spark, sf_dir)), cfg=CFG).select(
         *V.ENTITY, *_SCORES, "monthly_payment_needed", "reno_opportunity", "final_score"
     )
 
@@ -275,7 +276,7 @@ def rank_candidates(spark, sf_dir):
     ),
 )
 def rank_quality(spark, sf_dir):
-    return R.rank_quality(feature_frame(spark, sf_dir), CFG).select(*V.ENTITY, *_SCORES)
+    return R.rank_quality(cut_lineage(feature_frame(spark, sf_dir)), CFG).select(*V.ENTITY, *_SCORES)
 
 
 STUCK_SQL = f"""{_ranking_sql('AND sqm BETWEEN 35 AND 400')},
@@ -287,7 +288,7 @@ STUCK_SQL = f"""{_ranking_sql('AND sqm BETWEEN 35 AND 400')},
 
 def _quality(spark, sf_dir):
     """Ranked once and written, because its readers pass over it more than once."""
-    return cut_lineage(R.rank_quality(feature_frame(spark, sf_dir), CFG))
+    return cut_lineage(R.rank_quality(cut_lineage(feature_frame(spark, sf_dir)), CFG))
 
 
 @query(
@@ -437,7 +438,7 @@ def _budget_frame(spark, sf_dir):
     props = V.properties(spark, sf_dir)
     stats = H.history_stats(V.price_history(spark, sf_dir), V.OBS_AS_OF, extended=True)
     now, k = instant(V.OBS_AS_OF), F.col("property_id").cast("long")
-    features = props.join(stats, V.ENTITY, "left").withColumns(
+    features = cut_lineage(props.join(stats, V.ENTITY, "left")).withColumns(
         {
             "price_per_sqm": ratio(F.col("price"), F.col("sqm")),
             "days_online": fractional_days(now, F.col("first_seen")),
