@@ -428,3 +428,11 @@ def test_item_lists_and_details(spark):
     assert facts[1]["year_built"] is None
     urls = spark.createDataFrame([("http://h.x/list?p=2&o=1",)], "u string").select(items.page_number(F.col("u")).alias("n"), items.with_page(F.col("u"), F.lit(3)).alias("w")).first()
     assert (urls["n"], urls["w"]) == (2, "http://h.x/list?o=1&p=3")
+
+
+def test_copies_make_a_star_not_a_clique(spark):
+    rows = [("p", f"{i:04d}", "s", "Pis en venda", 500_000.0, 90, 3, day(0), day(1), "active") for i in range(600)]
+    df = spark.createDataFrame(rows, LISTING)
+    assert linkage.copy_edges(df).count() == 599
+    assert linkage.duplicate_pairs(df).count() == 0
+    assert set(values(linkage.cluster_ids(df), "cluster_id")) == {"0000"}
