@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, warc
+from pricetide.llm import bpe, lines, quality, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,3 +35,47 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+_LINES_SQL = r"""
+WITH line AS (
+  SELECT doc_id, i - 1 AS i, trim(ls[i], ' ') AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n,
+         len(ls) AS n_lines
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+       UNNEST(range(1, len(ls) + 1)) AS u(i)
+), worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE n > 0
+), span AS (
+  SELECT a.doc_id, a.p, a.i AS start, b.p AS e,
+         sum(b.n) OVER w AS words, list(b.line) OVER w AS part, list(b.i) OVER w AS lines
+  FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.p BETWEEN a.p AND a.p + 7
+  WINDOW w AS (PARTITION BY a.doc_id, a.p ORDER BY b.p)
+), win AS (
+  SELECT * FROM span WHERE words >= 25 OR e = p + 7
+  QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY e) = 1
+), later AS (
+  SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, start) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(lines) AS i FROM later)
+)
+SELECT d.doc_id, coalesce(max(l.n_lines), 0) AS n_lines, count(g.i) AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line_text END, chr(10) ORDER BY l.i), '')) AS kept_sha256
+FROM documents d
+LEFT JOIN (SELECT doc_id, i - 1 AS i, ls[i] AS line_text, len(ls) AS n_lines
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+                UNNEST(range(1, len(ls) + 1)) AS u(i)) l ON l.doc_id = d.doc_id
+LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i
+GROUP BY d.doc_id
+"""
+
+
+@query("op10_line_dedup", _LINES_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = lines.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return marked.select(
+        "doc_id",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(lines.kept_text(text, F.col("__removed")), 256).alias("kept_sha256"),
+    )
