@@ -21,9 +21,17 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def spaced(text: Column) -> Column:
+    """The text with each of the other five separators replaced by a space; null is an empty text."""
+    text = F.coalesce(text, F.lit(""))
+    for other in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(other), F.lit(" "))
+    return text
+
+
 def words_of(text: Column) -> Column:
-    """The words of a text as an array; null is an empty text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """The words of a text as an array; a split at one plain character is several times faster than a pattern."""
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 _STEP = 1 << 20

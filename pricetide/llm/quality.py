@@ -22,15 +22,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import WORD, id_and_text, words_of
+from pricetide.llm.common import WORD, id_and_text, spaced, words_of
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.25
+THRESHOLD = -0.12
 TRUSTED_LIMIT = 20_000
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 #: The columns that `measured` adds, before it folds them into one.
 _PARTS = "__quality_text __quality_words __quality_hashes __quality_keys".split()
 
@@ -39,12 +39,9 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _ngrams(hashes: Column, buckets: int) -> Column:
-    """Buckets of all words, then of all neighbouring pairs."""
-    n = F.lit(buckets).cast("long")
-    single = F.transform(hashes, lambda h: F.pmod(h, n).cast("int"))
-    pairs = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), n).cast("int"))
-    return F.concat(single, F.slice(pairs, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
+def _shifted(hashes: Column) -> Column:
+    """The hashes from the second one on."""
+    return F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0)))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
@@ -64,9 +61,12 @@ def ratio_weights(
     """log(target / raw) of every bucket."""
     trusted = trusted_ids(labels, trusted_limit).withColumn("trusted", F.lit(1))
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(trusted), "doc_id", "left")
+    n = F.lit(buckets).cast("long")
     grams = (
-        rows.select("trusted", _hashes(words_of(F.col("text"))).alias("hashes"))
-        .select("trusted", F.explode(_ngrams(F.col("hashes"), buckets)).alias("bucket"))
+        rows.select("trusted", _hashes(words_of(F.col("text"))).alias("h"))
+        .select("trusted", F.inline(F.arrays_zip(F.col("h").alias("a"), _shifted(F.col("h")).alias("b"))).alias("a", "b"))
+        .select("trusted", F.stack(F.lit(2), F.pmod("a", n), F.when(F.col("b").isNotNull(), F.pmod(F.xxhash64("a", "b"), n))).alias("bucket"))
+        .where("bucket IS NOT NULL")
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     )
@@ -78,6 +78,14 @@ def ratio_weights(
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
 
 
+def _count_of(text: Column, characters: str) -> Column:
+    """How often any of the characters occurs."""
+    rest = text
+    for c in characters:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return (F.length(text) - F.length(rest)).cast("long")
+
+
 def _repeated_words(words: Column, keys: Column) -> Column:
     """Words inside windows that occur more than once in the text.
 
@@ -124,24 +132,21 @@ def measured(docs: DataFrame, weights: list[float] | None, threshold: float = TH
         table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
         modulus = F.lit(len(weights)).cast("long")
         weight = lambda x: F.get(table, F.pmod(x, modulus).cast("int"))
-        singles = F.aggregate(h, F.lit(0.0), lambda total, x: total + weight(x))
-        follow = F.slice(h, 2, F.greatest(n - 1, F.lit(0)))
-        pairs = F.aggregate(
-            F.zip_with(h, follow, lambda a, b: F.when(b.isNotNull(), weight(F.xxhash64(a, b))).otherwise(F.lit(0.0))),
-            F.lit(0.0),
-            lambda total, x: total + x,
-        )
-        score = F.when(n > 0, (singles + pairs) / F.greatest(2 * n - 1, F.lit(1))).otherwise(F.lit(0.0))
+        pair = lambda a, b: weight(a) + F.when(b.isNotNull(), weight(F.xxhash64(a, b))).otherwise(0.0)
+        total = F.aggregate(F.zip_with(h, _shifted(h), pair), F.lit(0.0), lambda acc, x: acc + x)
+        score = F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1))).otherwise(F.lit(0.0))
     values = {
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "word_chars": F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("long"),
+        "n_symbols": _count_of(text, SYMBOLS),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeated_words(words, keys),
         "score": score,
     }
-    out = staged.withColumn("__quality_values", F.struct(*(v.alias(k) for k, v in values.items())))
-    v = F.col("__quality_values")
+    # columns of their own, used more than once: the optimizer then computes each of them once
+    named = {f"__quality_{k}": v for k, v in values.items()}
+    out = staged.withColumns(named)
+    v = {k: F.col(f"__quality_{k}") for k in values}
     failed = (v["n_words"] < MIN_WORDS) | (100 * v["n_repeat_words"] > MAX_REPEATED_PERCENT * v["n_words"])
     return out.withColumn(
         out_col,
@@ -151,7 +156,7 @@ def measured(docs: DataFrame, weights: list[float] | None, threshold: float = TH
             (~failed & (v["score"] >= threshold)).alias("kept"),
             v["score"].alias("score"),
         ),
-    ).drop(*_PARTS, "__quality_values")
+    ).drop(*_PARTS, *named)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
