@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, lines, quality, warc
+from pricetide.llm import bpe, lines, neardup, quality, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
@@ -37,6 +37,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _LINES_SQL = r"""
 WITH line AS (
   SELECT doc_id, i - 1 AS i, trim(ls[i], ' ') AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n,
