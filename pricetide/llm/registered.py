@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, decontaminate, lines, neardup, quality, warc
+from pricetide.llm import bpe, chat, decontaminate, lines, neardup, quality, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
@@ -89,3 +89,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(lines.kept_text(text, F.col("__removed")), 256).alias("kept_sha256"),
     )
+
+
+_ESCAPE_SQL = "replace(replace(replace(replace({}, chr(92), repeat(chr(92), 2)), '<', chr(92) || 'l'), '[', chr(92) || 'b'), chr(10), chr(92) || 'n')"
+_CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length({_ESCAPE_SQL.format('role')}) + 1 + length({_ESCAPE_SQL.format('text')}) + 11)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """The conversation rows as JSON records, in one of seven layouts each, as mixed sources would send them."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    message = lambda *pairs: F.struct(*(v.alias(k) for k, v in pairs))
+    foreign = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    messages = F.to_json(F.struct(F.array(message(("role", role), ("content", text))).alias("messages")))
+    sent = F.to_json(F.struct(F.array(message(("from", foreign), ("value", text))).alias("conversations")))
+    said = message(("speaker", F.struct(role.alias("kind"))), ("body", F.struct(text.alias("text"))))
+    dialog = F.to_json(F.struct(F.array(said).alias("dialog")))
+    flat = F.to_json(F.struct(role.alias("role"), text.alias("text")))
+    one = lambda user, other: F.when(role == "user", F.to_json(user)).when(role == "assistant", F.to_json(other)).otherwise(messages)
+    prompt = one(F.struct(text.alias("prompt")), F.struct(text.alias("completion")))
+    instruction = one(F.struct(text.alias("instruction")), F.struct(text.alias("output")))
+    nested = F.struct(text.alias("text"))
+    question = one(F.struct(nested.alias("question")), F.struct(nested.alias("answer")))
+    sent = F.when(role.isin("human", "gpt"), messages).otherwise(sent)  # its names for user and assistant
+    layouts = [messages, sent, dialog, flat, prompt, instruction, question]
+    pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(layouts)).cast("long"))
+    record = layouts[0]
+    for k, layout in enumerate(layouts[1:], 1):
+        record = F.when(pick == k, layout).otherwise(record)
+    return rows.select("conv_id", "turn", record.alias("record"))
+
+
+@query("op5_chat_format", _CHAT_SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    turns = chat.canonical_turns(_records(rows.unionByName(extra)))
+    return chat.read_back(chat.formatted(turns))
