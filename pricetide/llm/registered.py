@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, chat, decontaminate, lines, neardup, quality, warc
+from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, quality, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
@@ -17,6 +17,52 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_LICENSE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '@WORD') AS words FROM d
+), phrase(phrase, label) AS (VALUES @PHRASES
+), p AS (
+  SELECT doc_id, i - 1 AS start, label
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w
+        WHERE regexp_matches(text, 'cc|general|reserved')) x, phrase
+  WHERE array_to_string(words[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS own
+  FROM p GROUP BY doc_id
+), t AS (
+  SELECT label, list_distinct(regexp_extract_all(lower(text), '@WORD')) AS words
+  FROM (VALUES @TEMPLATES) v(label, text)
+), line AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(l, '@WORD')) AS own
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)
+), m AS (
+  SELECT doc_id, list(DISTINCT label) AS found, max(common / size) AS score
+  FROM (SELECT doc_id, label, len(list_intersect(own, words)) AS common, len(words) AS size FROM line, t)
+  WHERE common * 100 >= @PERCENT * size GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ','), '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+for _name, _value in {
+    "@WORD": r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+    "@PHRASES": ", ".join(f"({_QUOTED(p)}, {_QUOTED(n)})" for p, n in licenses.PHRASES),
+    "@TEMPLATES": ", ".join(f"({_QUOTED(n)}, {_QUOTED(t)})" for n, t in licenses.TEMPLATES),
+    "@PERCENT": str(licenses.PERCENT),
+}.items():
+    _LICENSE_SQL = _LICENSE_SQL.replace(_name, _value)
+
+
+@query("op3_license_scan", _LICENSE_SQL)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
