@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, quality, warc
+from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, quality, suffixes, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
@@ -93,6 +93,19 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.kept_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["stop"] - r["start"])
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 _LINES_SQL = r"""
 WITH line AS (
   SELECT doc_id, i - 1 AS i, trim(ls[i], ' ') AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n,
