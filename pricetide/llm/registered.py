@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, quality, suffixes, warc
+from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, pitmanyor, quality, suffixes, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_pitman_yor")
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf_dir, "documents"))
+
+
 _QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
 _LICENSE_SQL = r"""
 WITH d AS (
