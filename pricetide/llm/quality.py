@@ -1,8 +1,8 @@
 """Quality rules: repetition and symbol measures, and a hashed n-gram log-likelihood ratio.
 
-Words and word pairs fall into `buckets` hash buckets. Two multinomials with add-one smoothing are
-counted over them: the raw one over every document, the target one over trusted documents (labelled
-good and not toxic). A document's score is the mean over its n-grams of log(target / raw), so it does
+Words and word pairs fall into `buckets` hash buckets. Two multinomials are counted over them: the raw one
+over every document, with add-one smoothing, and the target one over trusted documents (labelled good and
+not toxic), with the raw one as its prior, so that few trusted words cannot condemn what they lack. A document's score is the mean over its n-grams of log(target / raw), so it does
 not depend on length; it is kept if the score reaches `threshold` and no base rule speaks against it.
 
 The trusted set is a bounded sample of the labels (`trusted_limit` ids, by hash of the id); counts of
@@ -10,8 +10,7 @@ the corpus cover all documents. Only the bucket table, bounded by `buckets`, rea
 only the sampled ids are broadcast. Scoring is part of the scan: one pass, no shuffle.
 
 Nulls: a null text is empty, hence fails. Documents without n-grams score 0. Without trusted documents
-every score is near 0 or below, from the raw counts against a flat target; pass weights of your own
-then, or use `weights=None` for base rules alone. Repeated rows count as often as they occur, null ids
+both multinomials are equal and every score is 0; `weights=None` gives the base rules alone. Repeated rows count as often as they occur, null ids
 are ordinary, an empty table gives an empty result. Other columns pass through `measured`.
 """
 
@@ -25,7 +24,9 @@ from pyspark.sql import functions as F
 from pricetide.llm.common import WORD, id_and_text, spaced, words_of
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.12
+THRESHOLD = -0.2
+#: Weight, in n-grams, of the raw multinomial as the prior of the target one.
+PRIOR = 100_000
 TRUSTED_LIMIT = 20_000
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -70,12 +71,12 @@ def ratio_weights(
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     )
-    raw, target = [1] * buckets, [1] * buckets
+    raw, target = [1] * buckets, [0] * buckets
     for row in grams.collect():  # one row a bucket at most
         raw[row.bucket] += row.raw
         target[row.bucket] += row.target
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
+    every, trusted_grams = sum(raw), sum(target)
+    return [math.log((t + PRIOR * r / every) / (trusted_grams + PRIOR) / (r / every)) for t, r in zip(target, raw)]
 
 
 def _count_of(text: Column, characters: str) -> Column:
@@ -169,5 +170,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text passes, with all their columns."""
     weights = ratio_weights(docs, labels, id_col=id_col, text_col=text_col)
-    rows = measured(docs, weights, threshold, text_col, "__quality")
-    return rows.where(F.col("__quality")["kept"]).drop("__quality")
+    rows = measured(docs, weights, threshold, text_col, "__quality").withColumn("__quality_row", F.monotonically_increasing_id())
+    # a filter does not sink below a row number: else it would repeat every measure underneath
+    return rows.where(F.col("__quality")["kept"] & (F.col("__quality_row") >= 0)).drop("__quality", "__quality_row")
