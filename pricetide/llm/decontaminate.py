@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pricetide.llm.common import id_and_text, mixed, utf8, word_hashes
 from pricetide.session import cut_lineage
 
-#: Masks for items of at least their length, and the one for shorter items.
-MASKS = ("110110101111", "111010110111", "101101111011")
+#: Masks for items of at least their length, and the one for shorter items. For every distance of 3 to 9
+#: some mask ignores two words that far apart, so even words replaced at regular distances leave hits.
+MASKS = ("110110110110", "111011101110", "111101111011", "101101110101")
 SHORT_MASK = "1111"
 MIN_MATCHED, MISMATCH = 13, -2
 BITMAP = 24
