@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of byte positions. Every adjacent pair that has a merge rank waits in the
-bucket of that rank; a bitmap of three levels over the ranks tells by find-first-set which bucket is
+bucket of that rank; a bitmap of two levels over the ranks tells by find-first-set which bucket is
 next, whatever the length of the pre-token. A merge changes two pairs; their old entries stay where
 they are and are skipped when they surface. Work grows as n log n in the length of a pre-token.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,82 +26,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens up to this length are remembered by a worker, and so many of them at once.
-REMEMBERED_CHARS, REMEMBERED = 48, 200_000
-
-
-class RankQueue:
-    """Positions by rank; the lowest rank first, and in it the leftmost position."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves: dict[int, int] = {}
-        self.branches: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf, branch = rank >> 6, rank >> 12
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & 63)
-        self.branches[branch] = self.branches.get(branch, 0) | 1 << (leaf & 63)
-        self.top |= 1 << branch
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        branch = (self.top & -self.top).bit_length() - 1
-        mask = self.branches[branch]
-        leaf = branch << 6 | (mask & -mask).bit_length() - 1
-        mask = self.leaves[leaf]
-        rank = leaf << 6 | (mask & -mask).bit_length() - 1
-        position = heapq.heappop(self.buckets[rank])
-        if not self.buckets[rank]:
-            self._clear(rank, leaf, branch)
-        return rank, position
-
-    def _clear(self, rank: int, leaf: int, branch: int) -> None:
-        del self.buckets[rank]
-        self.leaves[leaf] &= ~(1 << (rank & 63))
-        if not self.leaves[leaf]:
-            self.branches[branch] &= ~(1 << (leaf & 63))
-            if not self.branches[branch]:
-                self.top &= ~(1 << branch)
+REMEMBERED_CHARS, REMEMBERED = 48, 400_000
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
+    """Token ids of one pre-token.
+
+    The queue is written out in place, as it runs for every new pre-token: `buckets` has the waiting
+    positions of a rank (leftmost first), `leaves` a bitmap of 256 ranks each, `top` one bit a leaf.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    get = ranks.get
+    after, before = list(range(1, n + 2)), list(range(-1, n))
     waiting = [-1] * n  # the rank under which the pair that starts here was queued last
-    queue, get = RankQueue(), ranks.get
-
-    def offer(at: int) -> None:
-        middle = after[at]
-        rank = get(piece[at : after[middle]]) if middle < n else None
-        waiting[at] = -1 if rank is None else rank
-        if rank is not None:
-            queue.push(rank, at)
-
+    buckets: dict[int, list[int]] = {}
+    leaves: dict[int, int] = {}
+    top = 0
     for at in range(n - 1):
-        offer(at)
-    while (entry := queue.pop()) is not None:
-        rank, at = entry
+        rank = get(piece[at : at + 2])
+        if rank is not None:
+            waiting[at] = rank
+            if rank in buckets:
+                buckets[rank].append(at)
+            else:
+                buckets[rank] = [at]
+                leaf = rank >> 8
+                leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
+                top |= 1 << leaf
+    while top:
+        leaf = (top & -top).bit_length() - 1
+        mask = leaves[leaf]
+        first = mask & -mask
+        rank = leaf << 8 | first.bit_length() - 1
+        bucket = buckets[rank]
+        at = heapq.heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            leaves[leaf] = mask = mask ^ first
+            if not mask:
+                top &= top - 1
         if waiting[at] != rank:
             continue  # stale: one of its two tokens has been merged since
         gone = after[at]
         waiting[gone] = -1
-        after[at] = after[gone]
-        if after[at] < n:
-            before[after[at]] = at
-        offer(at)
-        if before[at] >= 0:
-            offer(before[at])
+        after[at] = end = after[gone]
+        before[end] = at
+        waiting[at] = -1
+        for left in (at, before[at]) if at else (at,):
+            middle = after[left]
+            if middle >= n:
+                continue
+            rank = get(piece[left : after[middle]])
+            if rank is None:
+                waiting[left] = -1
+                continue
+            waiting[left] = rank
+            if rank in buckets:
+                heapq.heappush(buckets[rank], left)
+            else:
+                buckets[rank] = [left]
+                leaf = rank >> 8
+                leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & 255)
+                top |= 1 << leaf
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -109,18 +99,30 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Remembered(dict):
-    """Packed ids of pre-tokens, computed when first asked for."""
+    """Packed ids of pre-tokens, computed when first asked for.
+
+    Two generations bound the memory: a full one becomes the old one, and what is met again moves on.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = np.array(merged(word.encode("utf-8"), self.ranks), "<u4").tobytes()
+        packed = self.old.get(word)
+        if packed is None:
+            ids = merged(word.encode("utf-8"), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= REMEMBERED_CHARS:
             self[word] = packed
         return packed
 
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
 
 class Codec:
     def __init__(self, rank_file: bytes, pattern: str) -> None:
@@ -132,8 +134,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known.age()
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, packed: bytes) -> bytes:
