@@ -183,12 +183,13 @@ def work_queue(
     ids: DataFrame | None = None,
     skip_enriched: bool = False,
 ) -> DataFrame:
-    """Entities whose detail page is due: an explicit id list, or target band and newest first."""
+    """Entities whose detail page is due: an explicit list of (tenant, id), or target band and newest first."""
     columns = [*TENANT, "property_id", "url", "price", "title", "source"]
     reachable = df.where(F.col("url").isNotNull())
     fresh = F.col("enriched_at").isNull()
     if ids is not None:
-        picked = reachable.join(ids.select("property_id").distinct(), "property_id", "left_semi")
+        entity = [*TENANT, "property_id"]
+        picked = reachable.join(ids.select(*entity).distinct(), entity, "left_semi")
         return (picked.where(fresh) if skip_enriched else picked).select(*columns)
     return (
         reachable.where((F.col("status") == "active") & F.col("price").between(*band) & fresh)

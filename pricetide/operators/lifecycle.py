@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricetide import schemas
 from pricetide.functions.dates import instant
 from pricetide.functions.numbers import heal_first_price, sane_price, truthy_flag
+from pricetide.session import cut_lineage
 
 TENANT = ("population",)
 
@@ -24,12 +25,18 @@ class Fold:
     snapshot: DataFrame
     price_log: DataFrame
     events: DataFrame
+    derive: Callable[[DataFrame], Fold]
+
+    def settled(self) -> Fold:
+        """The same outcome, derived from joined rows that are written once."""
+        return self.derive(cut_lineage(self.joined))
 
 
 def last_sighting(batch: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """Last row per id of a run, as a map-side combined aggregate."""
+    """Last row per id of a run, as a map-side combined aggregate; rows at one position go by their hash."""
     rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(position)).alias("_r")).select(*keys, "_r.*")
+    order = F.struct(F.col(position), F.xxhash64(*rest))
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
 def unreliable_sources(runs: DataFrame, keys: Sequence[str] = TENANT) -> DataFrame:
@@ -140,13 +147,14 @@ def fold_run(
         "last_seen": F.when(is_seen, now).otherwise(F.col("last_seen")),
         "status": F.when(is_seen, F.lit("active")).when(F.col("_is_retired"), F.lit("inactive")).otherwise(F.col("status")),
     }
-    snapshot = joined.select(*entity, *[pick(c) for c in fields], *[v.alias(k) for k, v in book.items()]).select(
-        *schemas.PROPERTIES.names
-    )
-    log = joined.where(
-        (F.col("_is_new") & F.col("n_price").isNotNull()) | F.col("_is_repriced")
-    ).select(*entity, F.col("n_price").alias("price"), now.alias("date"))
-    return Fold(joined, snapshot, log, _events(joined, entity, now))
+    def derive(joined: DataFrame) -> Fold:
+        state = joined.select(*entity, *[pick(c) for c in fields], *[v.alias(k) for k, v in book.items()])
+        log = joined.where(
+            (F.col("_is_new") & F.col("n_price").isNotNull()) | F.col("_is_repriced")
+        ).select(*entity, F.col("n_price").alias("price"), now.alias("date"))
+        return Fold(joined, state.select(*schemas.PROPERTIES.names), log, _events(joined, entity, now), derive)
+
+    return derive(joined)
 
 
 def _events(joined: DataFrame, entity: Sequence[str], now: Column) -> DataFrame:

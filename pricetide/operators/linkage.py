@@ -19,7 +19,7 @@ from pricetide.config import Thresholds
 from pricetide.functions.dates import fractional_days, instant, whole_days
 from pricetide.functions.numbers import half_even
 from pricetide.functions.text import TITLE_SIMILARITY, contradict, fold, street_tokens, title_type
-from pricetide.session import cut_lineage
+from pricetide.session import cut_lineage, discard
 
 TENANT = ("population",)
 SLICE = 4_096  # home rows per salt slice of a cell
@@ -122,7 +122,7 @@ def duplicate_pairs(
         (a["property_id"] != b["property_id"])
         & (~same_cell | (a["property_id"] < b["property_id"]))
         & (F.abs(a["sqm"] - b["sqm"]) <= cfg.cluster_sqm_tol)
-        & (F.abs(a["price"] - b["price"]) / F.greatest(a["price"], b["price"]) <= cfg.cluster_price_tol)
+        & (F.try_divide(F.abs(a["price"] - b["price"]), F.greatest(a["price"], b["price"])) <= cfg.cluster_price_tol)
     ).select(
         F.when(a["property_id"] < b["property_id"], a).otherwise(b).alias("a"),
         F.when(a["property_id"] < b["property_id"], b).otherwise(a).alias("b"),
@@ -163,7 +163,7 @@ def copy_edges(properties: DataFrame, active_only: bool = True, keys: Sequence[s
 
 
 def connected_components(
-    edges: DataFrame, keys: Sequence[str] = TENANT, a: str = "a_id", b: str = "b_id", max_rounds: int = 50
+    edges: DataFrame, keys: Sequence[str] = TENANT, a: str = "a_id", b: str = "b_id"
 ) -> DataFrame:
     """Every linked node with the smallest node of its component.
 
@@ -179,7 +179,7 @@ def connected_components(
         .distinct()
     )
     state = _fingerprint(pairs)
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy(*node).agg(F.min("v").alias("_low")).withColumn("_low", F.least("_low", "u"))
         large = (
@@ -192,13 +192,12 @@ def connected_components(
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        pairs = cut_lineage(small)
+        before, pairs = pairs, cut_lineage(small)
         now = _fingerprint(pairs)
+        discard(before)
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = pairs.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -9,6 +9,7 @@ from pricetide.functions import numbers as N
 from pricetide.functions import text as T
 from pricetide.operators import clean as CL
 from pricetide.operators import inspection as I
+from pricetide.operators import lifecycle as L
 from pricetide.operators import similarity as S
 from pricetide.plans import views as V
 from pricetide.plans.q_linkage import PROFILES, life_frame
@@ -163,11 +164,17 @@ def work_queue(spark, sf_dir):
     with_views(
         ["properties"],
         f"""{_DIRTY_SQL} SELECT population, property_id, url, price, title, source FROM dirty
-        WHERE url IS NOT NULL AND enriched_at IS NULL AND property_id IN (SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem)""",
+        WHERE url IS NOT NULL AND enriched_at IS NULL AND (population, property_id) IN
+          (SELECT r_name, CAST(l_suppkey AS VARCHAR) FROM lineitem JOIN region ON r_regionkey = (l_suppkey + l_linenumber % 2) % 5)""",
     ),
 )
 def work_queue_by_id(spark, sf_dir):
-    ids = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("property_id"))
+    """Half of the ids are asked for under a tenant that does not have them."""
+    regions = V.table(spark, sf_dir, "region")
+    asked = V.table(spark, sf_dir, "lineitem").withColumn("r_regionkey", (F.col("l_suppkey") + F.col("l_linenumber") % 2) % 5)
+    ids = asked.join(regions, "r_regionkey").select(
+        F.col("r_name").alias("population"), F.col("l_suppkey").cast("string").alias("property_id")
+    )
     typed = CL.coerce_types(_dirty(spark, sf_dir))
     return CL.work_queue(typed, (0, 0), (0, 0), 0, ids=ids, skip_enriched=True)
 
@@ -483,7 +490,9 @@ def page_description(spark, sf_dir):
     "page_cells",
     with_views(
         ["properties"],
-        """SELECT population, property_id AS reference, title, price, rooms, bathrooms, sqm FROM properties""",
+        """SELECT population, 'web_' || property_id AS property_id, 'http://h.x/inmueble/' || property_id || '/' AS url,
+          property_id AS reference, CASE WHEN sqm % 3 = 0 THEN 'Vila ' || property_id ELSE title END AS title, price, rooms,
+          bathrooms, sqm, CASE WHEN sqm % 3 = 0 THEN 0 ELSE has_ac END AS has_ac FROM properties""",
     ),
 )
 def page_cells(spark, sf_dir):
@@ -492,6 +501,7 @@ def page_cells(spark, sf_dir):
     def cell(name, text, order=""):
         return F.concat(F.lit(f"<td class='c' data-info='{name}'{order}"), text, F.lit("</td>"))
 
+    cool = F.when(F.col("has_ac") == 1, "Aire condicionado y jardín").otherwise("Aire libre")
     price = F.concat(F.lit(" data-order='"), F.translate(F.format_number("price", 2), ",.", ".,"), F.lit("'>caro"))
     html = F.concat(
         F.lit("<table><tr><th>x</th></tr><tr>"),
@@ -500,12 +510,39 @@ def page_cells(spark, sf_dir):
         cell("superficie", F.concat(F.lit(">"), F.col("sqm"), F.lit(" m2"))),
         cell("dormitorios", F.concat(F.lit("><b>"), F.coalesce(F.col("rooms").cast("string"), F.lit("")), F.lit("</b>"))),
         cell("banos", F.concat(F.lit(">"), F.col("bathrooms"), F.lit(" baños"))),
-        cell("resumen", F.concat(F.lit(">"), F.col("title"))),
+        cell("foto", F.concat(F.lit("><a href='/inmueble/"), F.col("property_id"), F.lit("/'>f</a>"))),
+        cell("resumen", F.concat(F.lit(">"), F.when(F.col("sqm") % 3 == 0, "").otherwise(F.concat("title", F.lit("<br>"), cool)))),
         F.lit("</tr></table>"),
     )
     pages = V.properties(spark, sf_dir).select("population", html.alias("html"))
-    rows = PG.listing_rows(PG.table_cells(pages, "population"), "web")
-    return rows.select("population", "reference", "title", "price", "rooms", "bathrooms", "sqm")
+    rows = PG.listing_rows(PG.table_cells(pages, "population"), "web", "http://h.x/list", "Vila")
+    return rows.select(
+        "population", "property_id", "url", "reference", "title", "price", "rooms", "bathrooms", "sqm", "has_ac"
+    )
+
+
+@query(
+    "detail_patch",
+    with_views(
+        ["properties"],
+        """SELECT population, property_id, CASE WHEN sqm % 2 = 0 THEN 1 ELSE terrace END AS terrace,
+          CASE WHEN sqm % 5 = 0 THEN 1 ELSE elevator END AS elevator, CASE WHEN sqm % 7 = 0 THEN 1 ELSE parking END AS parking,
+          CASE WHEN 1900 + sqm <= 2026 THEN 1900 + sqm END AS year_built FROM properties""",
+    ),
+)
+def detail_patch(spark, sf_dir):
+    """Facts read from detail texts and patched in: what a text does not name stays as stored."""
+    props = V.properties(spark, sf_dir).withColumn("year_built", F.lit(None).cast("int"))
+    said = F.concat_ws(
+        ". ",
+        F.when(F.col("sqm") % 2 == 0, "Amplia Terraza"),
+        F.when(F.col("sqm") % 5 == 0, "Finca con ascensor"),
+        F.when(F.col("sqm") % 7 == 0, "Párking privado"),
+        F.concat(F.lit("Construido en "), (1900 + F.col("sqm")).cast("string")),
+    )
+    patch = PG.detail_facts(props.select(*V.ENTITY, said.alias("text"))).drop("text")
+    patched = L.patch_details(props, patch, ("terrace", "elevator", "parking", "year_built"))
+    return patched.select(*V.ENTITY, "terrace", "elevator", "parking", "year_built")
 
 
 @query(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +33,7 @@ def local_session(cores: int | str = "*", app: str = "pricetide", shuffle_partit
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.autoBroadcastJoinThreshold", str(16 * 1024 * 1024))
+        .config("spark.checkpoint.dir", "file:///tmp/pricetide-local")
     )
     spark = tuned(builder, shuffle_partitions).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,15 +55,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@functools.lru_cache(maxsize=None)
-def _scratch_of(application: str, root: str | None) -> str:
-    return f"{root or tempfile.mkdtemp(prefix='pricetide-')}/pricetide/{application}"
-
-
 def _scratch(spark: SparkSession) -> str:
-    return _scratch_of(spark.sparkContext.applicationId, shared_folder(spark))
+    """The application's own folder: where the cluster says, else on the session's default filesystem."""
+    root = shared_folder(spark)
+    if root is None:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if default.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{default.rstrip('/')}/tmp" if not default.startswith("file:") else "file:///tmp"
+    return f"{root.rstrip('/')}/pricetide/{spark.sparkContext.applicationId}"
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder for intermediate tables or streaming state."""
     return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a frame of `cut_lineage` that nothing reads any more."""
+    spark = df.sparkSession
+    own = _scratch(spark).removeprefix("file://")
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricetide import config as C
 from pricetide.functions.numbers import first_int, parse_price
 from pricetide.functions.text import capture, matches
-from pricetide.sources.items import absolute_url
+from pricetide.sources.items import absolute_url, item_id
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class PageRules:
 # fixed values: words that reveal an amenity in running text
 AMENITY_WORDS = {
     "has_pool": r"(?iu)piscina",
-    "has_ac": r"(?iu)aire (acondicionad|condicionat)",
+    "has_ac": r"(?iu)aire condicionad|aire acondicionad|aire condicionat",
     "terrace": r"(?iu)terraza|terrassa",
     "elevator": r"(?iu)ascensor",
     "parking": r"(?iu)garaje|p[aá]rking|plaza de garaje",
@@ -61,6 +61,13 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, _TAG, " "), r"\s+", " "))
 
 
+def _lines_of(html: Column) -> Column:
+    """Visible text with the line ends that breaks and blocks make."""
+    broken = F.regexp_replace(html, r"(?i)<br\s*/?>|</(p|div|li)>", "\n")
+    flat = F.regexp_replace(F.regexp_replace(broken, _TAG, " "), r"[^\S\n]+", " ")
+    return F.trim(F.regexp_replace(flat, r" ?\n\s*", "\n"))
+
+
 def extract_fields(pages: DataFrame, rules: PageRules = LISTING_RULES, html: str = "html") -> DataFrame:
     """One column per rule: the first pattern of a field that matches, parsed by its kind."""
     body = F.col("_body")
@@ -124,24 +131,47 @@ def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     cells = F.regexp_extract_all("_row", F.lit(cell), 1)
 
     def value(c: Column) -> Column:
-        return F.coalesce(capture(c, r"data-order=['\"]([^'\"]+)['\"]"), plain_text(c))
-
-    entries = F.transform(cells, lambda c: F.struct(capture(c, r"data-info=['\"]([^'\"]+)['\"]"), value(c)))
+        return F.coalesce(capture(c, r"data-order=['\"]([^'\"]+)['\"]"), _lines_of(c))
+
+    def name(c: Column) -> Column:
+        return capture(c, r"data-info=['\"]([^'\"]+)['\"]")
+
+    # the address of a cell's link is an entry of its own, under the cell's name
+    entries = F.flatten(
+        F.transform(
+            cells,
+            lambda c: F.array(
+                F.struct(name(c).alias("k"), value(c).alias("v")),
+                F.struct(F.concat(name(c), F.lit("_href")).alias("k"), capture(c, r"<a[^>]*href=['\"]([^'\"]*)['\"]").alias("v")),
+            ),
+        )
+    )
     return rows.where(F.size(cells) > 0).select(key, "position", F.map_from_entries(entries).alias("cells"))
 
 
-def listing_rows(cells: DataFrame, source: str) -> DataFrame:
-    """Key-value rows as canonical columns."""
+def listing_rows(cells: DataFrame, source: str, base_url: str = "", city: str = "") -> DataFrame:
+    """Key-value rows as canonical columns; rows with neither address nor reference name nothing and go.
+
+    The title is the first line of the summary, else city and reference; the id comes from the
+    address, else from the reference.
+    """
 
     def of(name: str) -> Column:
         return F.try_element_at("cells", F.lit(name))
 
     summary = F.coalesce(of("resumen"), F.lit(""))
-    return cells.select(
+    reference = F.nullif(F.trim(of("referencia")), F.lit(""))
+    url = F.nullif(absolute_url(F.lit(base_url), of("foto_href")), F.lit(""))
+    return cells.where(F.coalesce(url, reference).isNotNull()).select(
         *[c for c in cells.columns if c != "cells"],
         F.lit(source).alias("source"),
-        of("referencia").alias("reference"),
-        F.substring(F.element_at(F.split(summary, "\n"), 1), 1, 120).alias("title"),
+        item_id(F.lit(source), F.coalesce(url, reference)).alias("property_id"),
+        url.alias("url"),
+        reference.alias("reference"),
+        F.coalesce(
+            F.nullif(F.element_at(F.split(F.trim(summary), "\n"), 1), F.lit("")),
+            F.concat(F.lit(f"{city} "), F.coalesce(reference, F.lit(""))),
+        ).alias("title"),
         parse_price(of("precio")).alias("price"),
         first_int(of("dormitorios")).alias("rooms"),
         first_int(of("banos")).alias("bathrooms"),
@@ -157,13 +187,13 @@ def best_description(
     html: str = "html",
     shortest: int = 40,
     shortest_paragraph: int = 80,
-    longest_kept: int | None = 6000,
+    longest_kept: int | None = None,
 ) -> DataFrame:
     """Description text by priority: marked blocks, the summary tag, then the longest paragraph.
 
     Short texts do not count; legal and cookie notices are vetoed from the last two tiers. Each
-    page is judged on its own arrays, without a shuffle. The stored length is a feature of the
-    store; `longest_kept=None` keeps all of it.
+    page is judged on its own arrays, without a shuffle. The whole text is kept unless the caller
+    names a length.
     """
     body = F.col("_body")
     long_enough = [
@@ -189,15 +219,22 @@ def best_description(
 
 
 def detail_facts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Amenities, building year, floor and energy letter from a detail page's text."""
+    """Amenities, building year, floor and energy letter from a detail page's text.
+
+    An amenity that is not named is unknown, not absent: NULL, so a patch keeps what is stored.
+    """
     body = F.col(text)
+
+    def named(amenity: str) -> Column:
+        return F.when(matches(body, AMENITY_WORDS[amenity]) == 1, 1)
+
     # fixed values: wording of the facts
     year = capture(body, r"(?iu)(?:construi|constru[iï]|any de construcci)[a-zóï]*[^0-9]{0,15}(\d{4})").try_cast("int")
     return df.withColumns(
         {
-            "terrace": matches(body, AMENITY_WORDS["terrace"]),
-            "elevator": matches(body, AMENITY_WORDS["elevator"]),
-            "parking": matches(body, AMENITY_WORDS["parking"]),
+            "terrace": named("terrace"),
+            "elevator": named("elevator"),
+            "parking": named("parking"),
             "year_built": F.when(year.between(1800, 2026), year),
             "floor": capture(body, r"(Planta \d+[ªa]?|Bajo|Entresuelo|[ÁA]tico)"),
             "energy_rating": capture(body, r"[Cc]alificaci[oó]n energ[eé]tica[:\s]*([A-G])\b"),

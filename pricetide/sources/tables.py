@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from pricetide import schemas
 from pricetide.operators.lifecycle import Fold
-from pricetide.session import cut_lineage
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -58,12 +57,13 @@ def read_table(spark: SparkSession, root: str, name: str, population: str | None
 def _published(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/published"
     if not _exists(spark, path):
-        return spark.createDataFrame([], "run_id string")
-    return spark.read.schema("run_id string").json(path)
+        return spark.createDataFrame([], "run_id string, place long")
+    return spark.read.schema("run_id string, place long").json(path)
 
 
 def _last_run(spark: SparkSession, root: str) -> str | None:
-    return _published(spark, root).agg(F.max("run_id")).first()[0]
+    """The run published last, whatever its name."""
+    return _published(spark, root).agg(F.max_by("run_id", F.struct("place", "run_id"))).first()[0]
 
 
 def append_log(df: DataFrame, root: str, name: str, run_id: str) -> None:
@@ -83,29 +83,29 @@ def write_snapshot(df: DataFrame, root: str, run_id: str) -> None:
     spark = df.sparkSession
     target = f"{root}/properties/run_id={run_id}"
     # an attempt that was never published may have left files under the same run
-    if _last_run(spark, root) == run_id:
+    if not _published(spark, root).where(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"run {run_id} is already published")
-    df.repartition("population", F.pmod(F.xxhash64("property_id"), F.lit(64))).write.mode("overwrite").partitionBy(
-        "population"
-    ).parquet(target)
+    df.hint("rebalance", "population").write.mode("overwrite").partitionBy("population").parquet(target)
 
 
 def publish(spark: SparkSession, root: str, run_id: str) -> None:
     """Make a completely written run visible."""
-    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("append").json(f"{root}/published")
+    place = _published(spark, root).agg(F.coalesce(F.max("place"), F.lit(0)) + 1).first()[0]
+    marker = spark.createDataFrame([(run_id, place)], "run_id string, place long")
+    marker.coalesce(1).write.mode("append").json(f"{root}/published")
 
 
 def write_fold(fold: Fold, runs: DataFrame, root: str, run_id: str) -> None:
     """Write one run: snapshot, price log, events, run log, then the marker.
 
-    The events and the log are small next to the state and come from the same join; each is
-    written from its own materialised rows so that the join result is not recomputed in part.
+    All three derive from one join, which is written once and read by each, so that a source that
+    moves meanwhile cannot give them different answers.
     """
     spark = fold.snapshot.sparkSession
-    events, log = cut_lineage(fold.events), cut_lineage(fold.price_log)
+    fold = fold.settled()
     write_snapshot(fold.snapshot, root, run_id)
-    append_log(log, root, "price_history", run_id)
-    append_log(events, root, "property_events", run_id)
+    append_log(fold.price_log, root, "price_history", run_id)
+    append_log(fold.events, root, "property_events", run_id)
     append_log(conform(runs, schemas.RUNS), root, "runs", run_id)
     publish(spark, root, run_id)
 
@@ -120,22 +120,22 @@ def table_catalog(spark: SparkSession, database: str | None = None) -> DataFrame
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, position int")
 
 
-def entity_by_id(properties: DataFrame, property_id: str) -> DataFrame:
-    return properties.where(F.col("property_id") == property_id)
+def entity_by_id(properties: DataFrame, population: str, property_id: str) -> DataFrame:
+    return properties.where((F.col("population") == population) & (F.col("property_id") == property_id))
 
 
-def price_history_of(history: DataFrame, property_id: str) -> DataFrame:
-    return history.where(F.col("property_id") == property_id).orderBy("date")
+def price_history_of(history: DataFrame, population: str, property_id: str) -> DataFrame:
+    return history.where((F.col("population") == population) & (F.col("property_id") == property_id)).orderBy("date")
 
 
-def events_of(events: DataFrame, property_id: str) -> DataFrame:
+def events_of(events: DataFrame, population: str, property_id: str) -> DataFrame:
     order = ["event_date", *(["id"] if "id" in events.columns else [])]
-    return events.where(F.col("property_id") == property_id).orderBy(*order)
+    return events.where((F.col("population") == population) & (F.col("property_id") == property_id)).orderBy(*order)
 
 
-def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """One id per line; blank lines and lines starting with # are ignored."""
+def read_id_list(spark: SparkSession, path: str, population: str) -> DataFrame:
+    """A tenant's ids, one per line; blank lines and lines starting with # are ignored."""
     line = F.trim("value")
     return (
-        spark.read.text(path).where((line != "") & ~line.startswith("#")).select(line.alias("property_id")).distinct()
+        spark.read.text(path).where((line != "") & ~line.startswith("#")).select(F.lit(population).alias("population"), line.alias("property_id")).distinct()
     )

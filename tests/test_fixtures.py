@@ -401,7 +401,7 @@ def test_store_round_trip(spark, tmp_path):
 def test_files(spark, tmp_path):
     ids = tmp_path / "ids.txt"
     ids.write_text("# nothing\n\n  # here\n")
-    empty = tables.read_id_list(spark, str(ids))
+    empty = tables.read_id_list(spark, str(ids), "p")
     props = spark.createDataFrame([("p", "1", "u", 1.0, "t", "s", None)], "population string, property_id string, url string, price double, title string, source string, enriched_at timestamp")
     assert clean.work_queue(props, (0, 9), (0, 9), 40, ids=empty).count() == 0
     budget = tmp_path / "budget.json"
@@ -424,7 +424,7 @@ def test_item_lists_and_details(spark):
     got = [(r["page_id"], r["position"], r["link"]) for r in pages.listing_links(df).orderBy("page_id", "position").collect()]
     assert got == [(1, 0, "a"), (1, 1, "b"), (2, 0, "http://h.x/c"), (2, 1, "http://h.x/d")]
     facts = pages.detail_facts(spark.createDataFrame([("Piso con ascensor. Construido en 1987. Planta 3ª. Calificación energética: D",), ("Construido en 1750",)], "text string")).collect()
-    assert (facts[0]["elevator"], facts[0]["terrace"], facts[0]["year_built"], facts[0]["floor"], facts[0]["energy_rating"]) == (1, 0, 1987, "Planta 3ª", "D")
+    assert (facts[0]["elevator"], facts[0]["terrace"], facts[0]["year_built"], facts[0]["floor"], facts[0]["energy_rating"]) == (1, None, 1987, "Planta 3ª", "D")
     assert facts[1]["year_built"] is None
     urls = spark.createDataFrame([("http://h.x/list?p=2&o=1",)], "u string").select(items.page_number(F.col("u")).alias("n"), items.with_page(F.col("u"), F.lit(3)).alias("w")).first()
     assert (urls["n"], urls["w"]) == (2, "http://h.x/list?o=1&p=3")
