@@ -99,46 +99,65 @@ def _representatives(pool: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def duplicate_pairs(
-    properties: DataFrame,
-    cfg: Thresholds = Thresholds(),
-    active_only: bool = True,
-    similarity: str = "blocks",
-    keys: Sequence[str] = TENANT,
-) -> DataFrame:
-    """Pairs of representatives that are almost surely the same unit, smaller id first.
-
-    Same rooms (unknown is its own value), size and price within tolerance, no contradiction, and
-    either the same price or similar titles.
-    """
-    keys = list(keys)
-    reps = _representatives(_pool(properties, active_only), keys)
-    pairs = near_pairs(reps, reps, [*keys, "_rooms"], cfg.cluster_sqm_tol, cfg.cluster_price_tol, _HALF)
+def _close_pairs(rows: DataFrame, block: Sequence[str], cfg: Thresholds) -> DataFrame:
+    """Pairs of rows within both tolerances that can name the same unit, smaller id as `a`."""
+    pairs = near_pairs(rows, rows, block, cfg.cluster_sqm_tol, cfg.cluster_price_tol, _HALF)
     a, b = F.col("a"), F.col("b")
     same_cell = (_size_cell(a["sqm"], cfg.cluster_sqm_tol) == _size_cell(b["sqm"], cfg.cluster_sqm_tol)) & (
         _price_cell(a["price"], cfg.cluster_price_tol) == _price_cell(b["price"], cfg.cluster_price_tol)
     )
+    gap = F.try_divide(F.abs(a["price"] - b["price"]), F.greatest(a["price"], b["price"]))
     close = pairs.where(
         (a["property_id"] != b["property_id"])
         & (~same_cell | (a["property_id"] < b["property_id"]))
         & (F.abs(a["sqm"] - b["sqm"]) <= cfg.cluster_sqm_tol)
-        & (F.try_divide(F.abs(a["price"] - b["price"]), F.greatest(a["price"], b["price"])) <= cfg.cluster_price_tol)
+        & ((a["price"] == b["price"]) | (gap <= cfg.cluster_price_tol))
     ).select(
         F.when(a["property_id"] < b["property_id"], a).otherwise(b).alias("a"),
         F.when(a["property_id"] < b["property_id"], b).otherwise(a).alias("b"),
     )
-    agreed = _compatible(close)
-    # an equal price needs no look at the titles, so those pairs hand the comparison nothing
-    left = F.when(a["price"] != b["price"], a["title"]).otherwise(F.lit(""))
-    scored = agreed.select(
-        *[a[k].alias(k) for k in keys],
-        a["property_id"].alias("a_id"),
-        b["property_id"].alias("b_id"),
-        (a["price"] == b["price"]).alias("same_price"),
-        TITLE_SIMILARITY[similarity](left, b["title"]).alias("similarity"),
+    return _compatible(close)
+
+
+def duplicate_pairs(
+    properties: DataFrame,
+    cfg: Thresholds = Thresholds(),
+    active_only: bool = True,
+    similarity: str = "blocks",
+    keys: Sequence[str] = TENANT,
+) -> DataFrame:
+    """Links between representatives that are almost surely the same unit, smaller id first.
+
+    Same rooms (unknown is its own value), size and price within tolerance, no contradiction, and
+    either the same price or similar titles. At one price and size only what a title declares (type
+    and street) matters, so titles that declare the same form a star around their smallest id, and
+    the stars' heads stand for them where sizes differ; round prices cost no pairs. Where prices
+    differ, distinct titles are compared, after a bound on what their lengths allow.
+    """
+    keys = list(keys)
+    reps = cut_lineage(_representatives(_pool(properties, active_only), keys))
+    declared = [*keys, "_rooms", "sqm", "price", "kind", "streets"]
+    heads = reps.groupBy(*declared).agg(F.min("property_id").alias("property_id"))
+    named = reps.withColumn("kind", F.coalesce("kind", F.lit("")))
+    stars = named.join(
+        heads.withColumn("kind", F.coalesce("kind", F.lit(""))).withColumnRenamed("property_id", "a_id"), declared
+    ).where(F.col("property_id") != F.col("a_id"))
+    sure = [F.lit(True).alias("same_price"), F.lit(None).cast("double").alias("similarity")]
+    a, b = F.col("a"), F.col("b")
+    ends = [*[a[k].alias(k) for k in keys], a["property_id"].alias("a_id"), b["property_id"].alias("b_id")]
+    level = _close_pairs(heads, [*keys, "_rooms", "price"], cfg)
+    apart = _close_pairs(reps, [*keys, "_rooms"], cfg).where(a["price"] != b["price"])
+    lengths = F.length(a["title"]), F.length(b["title"])
+    bound = 2 * F.least(*lengths) / F.greatest(F.lit(1), lengths[0] + lengths[1])
+    scored = (
+        apart.where(bound >= cfg.title_similarity)
+        .select(*ends, F.lit(False).alias("same_price"), TITLE_SIMILARITY[similarity](a["title"], b["title"]).alias("similarity"))
+        .where(F.col("similarity") >= cfg.title_similarity)
     )
-    return scored.where(F.col("same_price") | (F.col("similarity") >= cfg.title_similarity)).withColumn(
-        "similarity", F.when(~F.col("same_price"), F.col("similarity"))
+    return (
+        stars.select(*keys, "a_id", F.col("property_id").alias("b_id"), *sure)
+        .unionByName(level.select(*ends, *sure))
+        .unionByName(scored)
     )
 
 

@@ -79,13 +79,22 @@ def relist_join(spark, sf_dir):
         ["properties"],
         f"""{SIG_SQL},
         reps AS (SELECT population, rooms, sqm, price, t, any_value(kind) AS kind, any_value(streets) AS streets,
-          min(property_id) AS property_id FROM sig WHERE status = 'active' GROUP BY 1, 2, 3, 4, 5)
-        SELECT a.population, a.property_id AS a_id, b.property_id AS b_id, a.price = b.price AS same_price,
-          CASE WHEN a.price <> b.price THEN {snug(_EDIT, 6)} END AS similarity
+          min(property_id) AS property_id FROM sig WHERE status = 'active' GROUP BY 1, 2, 3, 4, 5),
+        starred AS (SELECT *, min(property_id) OVER (PARTITION BY population, coalesce(rooms, -1), sqm, price, kind, streets) AS head
+          FROM reps)
+        SELECT population, head AS a_id, property_id AS b_id, true AS same_price, NULL::DOUBLE AS similarity
+        FROM starred WHERE head <> property_id
+        UNION ALL
+        SELECT a.population, a.property_id, b.property_id, true, NULL
+        FROM starred a JOIN starred b ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1)
+          AND a.price = b.price AND a.property_id < b.property_id
+        WHERE a.property_id = a.head AND b.property_id = b.head AND abs(a.sqm - b.sqm) <= 3 AND NOT {_CONTRADICT}
+        UNION ALL
+        SELECT a.population, a.property_id, b.property_id, false, {snug(_EDIT, 6)}
         FROM reps a JOIN reps b ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1)
           AND a.property_id < b.property_id
-        WHERE abs(a.sqm - b.sqm) <= 3 AND abs(a.price - b.price) / greatest(a.price, b.price) <= 0.06
-          AND NOT {_CONTRADICT} AND (a.price = b.price OR {_EDIT} >= 0.45)""",
+        WHERE a.price <> b.price AND abs(a.sqm - b.sqm) <= 3 AND abs(a.price - b.price) / greatest(a.price, b.price) <= 0.06
+          AND NOT {_CONTRADICT} AND {_EDIT} >= 0.45""",
     ),
 )
 def duplicate_pairs(spark, sf_dir):

@@ -430,6 +430,14 @@ def test_item_lists_and_details(spark):
     assert (urls["n"], urls["w"]) == (2, "http://h.x/list?o=1&p=3")
 
 
+def test_one_price_makes_stars_whatever_the_titles(spark):
+    rows = [("p", f"{i:04d}", "s", f"Pis numero {i}", 500_000.0, 90, 3, day(0), day(1), "active") for i in range(600)]
+    rows += [("p", f"z{i}", "s", "Gratis", 0.0, 90, 3, day(0), day(1), "active") for i in range(2)]
+    df = spark.createDataFrame(rows, LISTING)
+    assert linkage.duplicate_pairs(df).count() == 599
+    assert set(values(linkage.cluster_ids(df), "cluster_id")) == {"0000", "z0"}
+
+
 def test_copies_make_a_star_not_a_clique(spark):
     rows = [("p", f"{i:04d}", "s", "Pis en venda", 500_000.0, 90, 3, day(0), day(1), "active") for i in range(600)]
     df = spark.createDataFrame(rows, LISTING)
