@@ -122,61 +122,130 @@ def negotiation_model(
     numbers: Sequence[str] = MODEL_NUMBERS,
     classes: Sequence[str] = MODEL_CLASSES,
     target: str = "negotiation_proxy",
+    keys: Sequence[str] = TENANT,
 ) -> DataFrame:
-    """Ridge of the negotiation proxy on everything known, scaled to 0-1 as `negotiation_model_score`.
+    """Ridge of the negotiation proxy on everything known, scaled to 0-1 per tenant as `negotiation_model_score`.
 
-    The constant column is penalised like the others. That is ordinary least squares with one
-    extra row sqrt(alpha)·e_j and target 0 per coefficient, which the built-in regression solves
-    without a penalty of its own. Only column statistics and class levels reach the driver.
+    Every tenant has its own medians, scales, fit and range. The normal equations are sums: products of
+    numbers, sums of numbers per class level, and counts of level pairs that occur together, all taken
+    by aggregates that combine before their shuffle. Only these sums of a tenant meet in one task, where
+    conjugate gradients solve them without a dense matrix, in the same way however many levels there
+    are. The constant column is penalised like the others.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    spark = features.sparkSession
+    keys = list(keys)
     # the fit passes over the features several times, so they are computed once
     features = cut_lineage(features)
     numbers = [c for c in numbers if c in features.columns]
     classes = [c for c in classes if c in features.columns]
-    measures = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in (*numbers, target)])
-    long = features.select(F.explode(measures).alias("_s")).select("_s.*")
-    middles = {r["m"]: r["median"] for r in quantiles(long, ["m"], "v", {"median": 0.5}).collect()}
-    filled = features.withColumns(
-        {f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.lit(middles.get(c, 0.0))) for c in (*numbers, target)}
-        | {f"_c_{c}": F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in classes}
+    scaled = _scaled(features, [*numbers, target], numbers, keys)
+    scaled = cut_lineage(
+        scaled.withColumn("_x", F.array(F.lit(1.0), *[F.col(f"_n_{c}") for c in numbers], F.col(f"_n_{target}"))).withColumn(
+            "_levels",
+            F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("missing"))) for c in classes]).cast("array<string>"),
+        )
     )
-    moments = filled.agg(
-        *[F.avg(f"_n_{c}").alias(f"m_{c}") for c in numbers], *[F.stddev_pop(f"_n_{c}").alias(f"s_{c}") for c in numbers]
-    ).first()
-    scaled = filled.withColumns(
-        {f"_n_{c}": (F.col(f"_n_{c}") - F.lit(moments[f"m_{c}"])) / F.lit(moments[f"s_{c}"] or 1.0) for c in numbers}
-    ).withColumn("_one", F.lit(1.0))
-    stages = [StringIndexer(inputCols=[f"_c_{c}" for c in classes], outputCols=[f"_i_{c}" for c in classes])] if classes else []
-    if classes:
-        stages.append(
-            OneHotEncoder(
-                inputCols=[f"_i_{c}" for c in classes], outputCols=[f"_v_{c}" for c in classes], dropLast=False
-            )
+    beta = _ridge(scaled, len(numbers) + 2, alpha, keys)
+    head = beta.where("_level IS NULL").select(*keys, F.col("_beta").alias("_numbers"))
+    terms = F.zip_with(F.slice("_x", 1, len(numbers) + 1), F.col("_numbers"), lambda x, b: x * b)
+    raw = scaled.join(head, keys, "left").withColumn("_raw", F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
+    levels = beta.where("_level IS NOT NULL").select(*keys, F.col("_level"), F.element_at("_beta", 1).alias("_b"))
+    for place in range(len(classes)):
+        raw = (
+            raw.withColumn("_level", F.element_at("_levels", place + 1))
+            .join(levels, [*keys, "_level"], "left")
+            .withColumn("_raw", F.col("_raw") + F.coalesce("_b", F.lit(0.0)))
+            .drop("_level", "_b")
         )
-    stages.append(
-        VectorAssembler(inputCols=["_one", *[f"_n_{c}" for c in numbers], *[f"_v_{c}" for c in classes]], outputCol="_x")
+    ends = raw.groupBy(*keys).agg(F.min("_raw").alias("_low"), F.max("_raw").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    score = F.when(high > low, (F.col("_raw") - low) / (high - low)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_raw")))
     )
-    encoded = Pipeline(stages=stages).fit(scaled).transform(scaled)
-    width = encoded.schema["_x"].metadata["ml_attr"]["num_attrs"]
-    unit = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda j: F.when(j == F.col("id"), F.lit(float(np.sqrt(alpha)))).otherwise(F.lit(0.0)),
+    return raw.join(ends, keys).withColumn("negotiation_model_score", score).select(*features.columns, "negotiation_model_score")
+
+
+def _scaled(df: DataFrame, filled: Sequence[str], numbers: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """`_n_<name>`: missing values as the tenant's median, `numbers` then as z-scores."""
+    keys = list(keys)
+    measures = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in filled])
+    long = df.select(*keys, F.explode(measures).alias("_s")).select(*keys, "_s.*")
+    middle = quantiles(long, [*keys, "m"], "v", {"median": 0.5}).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("m") == c, F.col("median"))).alias(f"_mid_{c}") for c in filled]
     )
-    extra = spark.range(width).select(array_to_vector(unit).alias("_x"), F.lit(0.0).alias("_y"))
-    train = encoded.select("_x", F.col(f"_n_{target}").alias("_y")).unionByName(extra)
-    solver = "normal" if width <= 4096 else "l-bfgs"
-    model = LinearRegression(
-        featuresCol="_x", labelCol="_y", predictionCol="_raw", fitIntercept=False, regParam=0.0, solver=solver,
-        standardization=False,
-    ).fit(train)
-    raw = model.transform(encoded)
-    low, high = raw.agg(F.min("_raw"), F.max("_raw")).first()
-    span = (high - low) if high is not None and high > low else None
-    score = (F.col("_raw") - low) / span if span else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_raw")))
-    return raw.withColumn("negotiation_model_score", score).select(*features.columns, "negotiation_model_score")
+    known = df.join(middle, keys, "left").withColumns(
+        {f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_mid_{c}"), F.lit(0.0)) for c in filled}
+    )
+    spread = known.groupBy(*keys).agg(
+        *[F.avg(f"_n_{c}").alias(f"_avg_{c}") for c in numbers], *[F.stddev_pop(f"_n_{c}").alias(f"_dev_{c}") for c in numbers]
+    )
+    flat = lambda c: F.when(F.col(f"_dev_{c}") == 0, 1.0).otherwise(F.col(f"_dev_{c}"))
+    return known.join(spread, keys).withColumns(
+        {f"_n_{c}": (F.col(f"_n_{c}") - F.col(f"_avg_{c}")) / flat(c) for c in numbers}
+    )
+
+
+def _ridge(scaled: DataFrame, width: int, alpha: float, keys: Sequence[str]) -> DataFrame:
+    """Coefficients per tenant: one row with those of the numbers, and one for each level."""
+    keys = list(keys)
+    none = F.lit(None).cast("string")
+    at = lambda i: F.element_at("_x", i + 1)
+    upper = [(i, j) for i in range(width) for j in range(i, width)]
+    products = scaled.groupBy(*keys).agg(*[F.sum(at(i) * at(j)).alias(f"p{i}_{j}") for i, j in upper]).select(
+        *keys, none.alias("a"), none.alias("b"), F.array(*[F.col(f"p{i}_{j}") for i, j in upper]).alias("sums")
+    )
+    one = scaled.select(*keys, F.explode("_levels").alias("a"), "_x")
+    mixed = one.groupBy(*keys, "a").agg(*[F.sum(at(i)).alias(f"p{i}") for i in range(width)]).select(
+        *keys, "a", none.alias("b"), F.array(*[F.col(f"p{i}") for i in range(width)]).alias("sums")
+    )
+    pairs = F.flatten(
+        F.transform("_levels", lambda x, i: F.transform(F.slice("_levels", i + 2, F.size("_levels")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    )
+    both = scaled.select(*keys, F.inline(pairs)).groupBy(*keys, "a", "b").agg(F.array(F.count(F.lit(1)).cast("double")).alias("sums"))
+    fields = ", ".join(f"{k} {dict(scaled.dtypes)[k]}" for k in keys)
+    sums = products.unionByName(mixed).unionByName(both)
+    return sums.groupBy(*keys).applyInPandas(_conjugate(keys, width, alpha), f"{fields}, _level string, _beta array<double>")
+
+
+def _conjugate(keys: Sequence[str], width: int, alpha: float):
+    keys = list(keys)
+
+    def solve(sums: pd.DataFrame) -> pd.DataFrame:
+        top = sums[sums.a.isna()].iloc[0]
+        mixed = sums[sums.a.notna() & sums.b.isna()].sort_values("a")
+        both = sums[sums.b.notna()]
+        upper = np.triu_indices(width)
+        gram = np.zeros((width, width))
+        gram[upper] = top.sums
+        gram = gram + np.triu(gram, 1).T
+        levels = mixed.a.tolist()
+        place = {level: i for i, level in enumerate(levels)}
+        cross = np.array(mixed.sums.tolist()).reshape(len(levels), width)
+        counts, n = cross[:, 0], width - 1
+        left = both.a.map(place).to_numpy(dtype=np.int64)
+        right = both.b.map(place).to_numpy(dtype=np.int64)
+        weight = np.array([v[0] for v in both.sums])
+
+        def times(v: np.ndarray) -> np.ndarray:
+            x, y = v[:n], v[n:]
+            low = cross[:, :n] @ x + counts * y
+            low += np.bincount(left, weight * y[right], len(y)) + np.bincount(right, weight * y[left], len(y))
+            return np.concatenate([gram[:n, :n] @ x + cross[:, :n].T @ y, low]) + alpha * v
+
+        goal = np.concatenate([gram[:n, n], cross[:, n]])
+        scale = 1 / (np.concatenate([np.diag(gram)[:n], counts]) + alpha)
+        beta, rest = np.zeros(len(goal)), goal.copy()
+        step = scale * rest
+        gain = rest @ step
+        for _ in range(20 * len(goal)):
+            if np.linalg.norm(rest) <= 1e-12 * np.linalg.norm(goal):
+                break
+            image = times(step)
+            length = gain / (step @ image)
+            beta, rest = beta + length * step, rest - length * image
+            before, gain = gain, rest @ (scale * rest)
+            step = scale * rest + gain / before * step
+        rows = [[*top[keys], None, beta[:n].tolist()]]
+        rows += [[*top[keys], level, [b]] for level, b in zip(levels, beta[n:].tolist())]
+        return pd.DataFrame(rows, columns=[*keys, "_level", "_beta"])
+
+    return solve

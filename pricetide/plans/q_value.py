@@ -8,6 +8,7 @@ from pricetide import config as C
 from pricetide.functions.dates import fractional_days, instant
 from pricetide.functions.loans import required_rate
 from pricetide.functions.numbers import half_even, ratio
+from pricetide.operators import clean as CL
 from pricetide.operators import fairvalue as FV
 from pricetide.operators import features as FE
 from pricetide.operators import finance as FI
@@ -493,7 +494,8 @@ def budget_features(spark, sf_dir):
 def budget_ranking(spark, sf_dir):
     """The full blend with the fitted negotiation model; the fit has no SQL twin."""
     modelled = FV.negotiation_model(_budget_frame(spark, sf_dir))
-    ranked = R.budget_ranking(modelled, 45_000, "n_reactivations")
+    ranked = R.budget_ranking(modelled, 45_000, "n_reactivations").where("status = 'active'")
+    ranked = CL.band_or_wider(ranked, (25_000, 50_000), (20_000, 60_000), 10)
     return R.top(ranked, ["-final_score"], 100).select(*V.ENTITY, "position", "final_score", "why_it_ranks")
 
 

@@ -376,11 +376,15 @@ def test_negotiation_model_is_penalised_least_squares(spark):
     n = 60
     a, b, s = rng.normal(5, 2, n), rng.normal(0, 1, n), rng.choice(["x", "y", "z"], n)
     y = 0.1 * a + 0.2 * (s == "x") + rng.normal(0, 0.1, n)
-    df = spark.createDataFrame([(float(a[i]), float(b[i]), str(s[i]), float(y[i]), i) for i in range(n)], "price double, sqm double, source string, negotiation_proxy double, i int")
-    got = fairvalue.negotiation_model(df, numbers=("price", "sqm"), classes=("source",)).orderBy("i")
+    fields = "population string, price double, sqm double, source string, floor string, negotiation_proxy double, i int"
+    df = spark.createDataFrame([("p", float(a[i]), float(b[i]), str(s[i]), f"f{i % 7}", float(y[i]), i) for i in range(n)], fields)
+    # another tenant changes nothing
+    other = spark.createDataFrame([("q", 9.0 * i, -3.0, "x", None, 7.0 - i, 100 + i) for i in range(9)], fields)
+    both = fairvalue.negotiation_model(df.unionByName(other), numbers=("price", "sqm"), classes=("source", "floor"))
+    got = both.where("population = 'p'").orderBy("i")
     z = lambda v: (v - v.mean()) / v.std()
-    x = np.column_stack([np.ones(n), z(a), z(b), *[(s == level).astype(float) for level in "xyz"]])
-    raw = x @ np.linalg.solve(x.T @ x + 5 * np.eye(6), x.T @ y)
+    x = np.column_stack([np.ones(n), z(a), z(b), *[(s == level).astype(float) for level in "xyz"], *[(np.arange(n) % 7 == k).astype(float) for k in range(7)]])
+    raw = x @ np.linalg.solve(x.T @ x + 5 * np.eye(13), x.T @ y)
     want = (raw - raw.min()) / (raw.max() - raw.min())
     assert values(got, "negotiation_model_score") == pytest.approx(list(want), abs=1e-8)
 
