@@ -144,7 +144,7 @@ def negotiation_model(
             F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("missing"))) for c in classes]).cast("array<string>"),
         )
     )
-    beta = _ridge(scaled, len(numbers) + 2, alpha, keys)
+    beta = cut_lineage(_ridge(scaled, len(numbers) + 2, alpha, keys))
     head = beta.where("_level IS NULL").select(*keys, F.col("_beta").alias("_numbers"))
     terms = F.zip_with(F.slice("_x", 1, len(numbers) + 1), F.col("_numbers"), lambda x, b: x * b)
     raw = scaled.join(head, keys, "left").withColumn("_raw", F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
@@ -156,6 +156,7 @@ def negotiation_model(
             .withColumn("_raw", F.col("_raw") + F.coalesce("_b", F.lit(0.0)))
             .drop("_level", "_b")
         )
+    raw = cut_lineage(raw.drop("_x", "_numbers", "_levels"))
     ends = raw.groupBy(*keys).agg(F.min("_raw").alias("_low"), F.max("_raw").alias("_high"))
     low, high = F.col("_low"), F.col("_high")
     score = F.when(high > low, (F.col("_raw") - low) / (high - low)).otherwise(
