@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricetide.functions.dates import period
 from pricetide.functions.numbers import half_even, ratio
 from pricetide.operators.ordering import quantiles
+from pricetide.session import cut_lineage
 
 TENANT = ("population",)
 
@@ -295,6 +296,7 @@ def market_verdict(market: DataFrame, zones: DataFrame | None = None, keys: Sequ
     with closing-price zones has a fifth signal that is never friendly.
     """
     keys = list(keys)
+    market = cut_lineage(market)  # a row a tenant and day, read by slopes and last values
     measures = ["inventory", "median_ppsqm_7d", "months_of_supply", "cut_breadth"]
     slopes = trend_slope(market, measures, keys=keys).groupBy(*keys).agg(
         *[F.max(F.when(F.col("measure") == m, F.col("slope_30"))).alias(f"{m}_slope") for m in measures]

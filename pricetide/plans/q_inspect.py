@@ -391,7 +391,7 @@ _ITEM_ODD = "CAST(property_id AS BIGINT) % 2 = 1"
     "normalise_items",
     with_views(
         ["properties"],
-        f"""SELECT population, 'idealista_' || CASE WHEN {_ITEM_ODD} THEN property_id ELSE 'hash' END AS property_id,
+        f"""SELECT population, 'idealista_' || CASE WHEN {_ITEM_ODD} THEN property_id ELSE substr(md5(url), 1, 16) END AS property_id,
           title, price, rooms, bathrooms, sqm, CAST({_ITEM_ODD} AND has_pool = 1 OR NOT {_ITEM_ODD} AND has_pool = 1 AS INT)
             AS has_pool, CAST(NOT {_ITEM_ODD} AND has_ac = 1 AS INT) AS has_ac, neighborhood, property_type, parking
         FROM properties""",
@@ -422,11 +422,7 @@ def normalise_items(spark, sf_dir):
     items = props.select("population", F.when(odd, F.to_json(plain)).otherwise(F.to_json(other)).alias("json"))
     out = IT.normalise_items(items)
     return out.select(
-        "population",
-        F.when(F.col("url").contains("/inmueble/"), F.col("property_id")).otherwise(F.lit("idealista_hash")).alias(
-            "property_id"
-        ),
-        "title", "price", "rooms", "bathrooms", "sqm", "has_pool", "has_ac", "neighborhood", "property_type", "parking",
+        "population", "property_id", "title", "price", "rooms", "bathrooms", "sqm", "has_pool", "has_ac", "neighborhood", "property_type", "parking",
     )
 
 

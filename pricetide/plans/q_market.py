@@ -86,8 +86,10 @@ _VERDICT_SQL = f"""{SLOPE_SQL},
       max(slope_30) FILTER (WHERE measure = 'months_of_supply') AS mos,
       max(slope_30) FILTER (WHERE measure = 'cut_breadth') AS cb FROM slopes GROUP BY 1),
   lasts AS (SELECT population, arg_max(months_of_supply, day) FILTER (WHERE months_of_supply IS NOT NULL) AS mos_now,
+      arg_max(median_ppsqm_7d, day) FILTER (WHERE median_ppsqm_7d IS NOT NULL) AS pp_now,
+      arg_max(cut_breadth, day) FILTER (WHERE cut_breadth IS NOT NULL) AS cb_now,
       max(day) - min(day) AS history_days FROM market GROUP BY 1),
-  signals AS (SELECT l.population, l.history_days,
+  signals AS (SELECT l.population, l.history_days, inv, pp, mos, cb, mos_now, pp_now, cb_now,
       CAST(coalesce(inv > 0.5, false) AS INT) AS inventory_friendly,
       CAST(coalesce(pp < 0, false) AS INT) AS ppsqm_friendly,
       CASE WHEN history_days >= 150 THEN CAST(coalesce(mos_now > 6, false) OR coalesce(mos > 0.3, false) AS INT) END
@@ -100,6 +102,10 @@ _VERDICT_SQL = f"""{SLOPE_SQL},
         AS DOUBLE) / (3 + CAST(supply_friendly IS NOT NULL AS INT) + CAST(cycle_friendly IS NOT NULL AS INT))
       AS score FROM signals)
   SELECT population, CAST(history_days AS INT) AS history_days, inventory_friendly, ppsqm_friendly, supply_friendly,
+    round_even(inv * 10, 0) / 10 AS inventory_change_30d, round_even(pp_now, 0) AS eur_m2_now,
+    round_even(pp * 10, 0) / 10 AS eur_m2_change_30d, round_even(mos_now * 10, 0) / 10 AS supply_now,
+    round_even(mos * 100, 0) / 100 AS supply_change_30d, round_even(cb_now * 1000, 0) / 1000 AS cut_breadth_now,
+    round_even(cb * 1000, 0) / 1000 AS cut_breadth_change_30d,
     cuts_friendly, cycle_friendly, round_even(score * 100, 0) / 100 AS buyer_score,
     CASE WHEN score >= 0.6 THEN '{M.VERDICTS[0]}' WHEN score >= 0.3 THEN '{M.VERDICTS[1]}'
          ELSE '{M.VERDICTS[2]}' END AS verdict FROM scored"""
@@ -109,7 +115,8 @@ _VERDICT_SQL = f"""{SLOPE_SQL},
 def market_verdict(spark, sf_dir):
     zones = V.closing_prices(spark, sf_dir).select("population").distinct()
     return M.market_verdict(market_frame(spark, sf_dir), zones).select(
-        "population", "history_days", "inventory_friendly", "ppsqm_friendly", "supply_friendly", "cuts_friendly",
+        "inventory_change_30d", "eur_m2_now", "eur_m2_change_30d", "supply_now", "supply_change_30d", "cut_breadth_now",
+        "cut_breadth_change_30d", "population", "history_days", "inventory_friendly", "ppsqm_friendly", "supply_friendly", "cuts_friendly",
         "cycle_friendly", "buyer_score", "verdict",
     )
 

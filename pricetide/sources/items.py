@@ -18,7 +18,7 @@ def _either(*names: str) -> Column:
 def item_id(source: Column, url: Column) -> Column:
     """Portal id from the address, else a stable hash of it."""
     number = F.nullif(F.regexp_extract(url, r"/inmueble/(\d+)/", 1), F.lit(""))
-    return F.concat(source, F.lit("_"), F.coalesce(number, F.xxhash64(url).cast("string")))
+    return F.concat(source, F.lit("_"), F.coalesce(number, F.substring(F.md5(url), 1, 16)))
 
 
 def slug_id(source: Column, url: Column) -> Column:
