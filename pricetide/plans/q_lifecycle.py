@@ -149,17 +149,20 @@ def upsert_snapshot(spark, sf_dir):
     "fold_events",
     with_views(
         ["obs", "part_facts"],
-        f"""{FOLD_SQL} SELECT population, property_id, 'inserted' AS event_type, new_source AS source,
-            CAST(NULL AS DOUBLE) AS old_price, new_price FROM folded WHERE seen AND NOT known
-          UNION ALL SELECT population, property_id, 'reactivated', new_source, NULL, new_price FROM folded
-            WHERE seen AND known AND status = 'inactive'
-          UNION ALL SELECT population, property_id, 'price_change', new_source, old_price, new_price FROM folded
-            WHERE seen AND known AND new_price <> old_price
-          UNION ALL SELECT population, property_id, 'inactive', old_source, NULL, NULL FROM folded WHERE retired""",
+        f"""{FOLD_SQL}, made AS (
+          SELECT population, property_id, 'inserted' AS event_type, new_source AS source, NULL AS old_status,
+            'active' AS new_status, CAST(NULL AS DOUBLE) AS old_price, new_price FROM folded WHERE seen AND NOT known
+          UNION ALL SELECT population, property_id, 'reactivated', new_source, 'inactive', 'active', NULL, new_price
+            FROM folded WHERE seen AND known AND status = 'inactive'
+          UNION ALL SELECT population, property_id, 'price_change', new_source, NULL, NULL, old_price, new_price
+            FROM folded WHERE seen AND known AND new_price <> old_price
+          UNION ALL SELECT population, property_id, 'inactive', old_source, 'active', 'inactive', NULL, NULL
+            FROM folded WHERE retired)
+          SELECT *, TIMESTAMP '{RUN_AT}' AS event_date FROM made""",
     ),
 )
 def fold_events(spark, sf_dir):
-    return _fold(spark, sf_dir).events.drop("old_status", "new_status", "event_date")
+    return _fold(spark, sf_dir).events
 
 
 @query(

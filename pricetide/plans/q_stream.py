@@ -127,19 +127,23 @@ def stream_against_first(spark, sf_dir):
           FROM seen WHERE last IS NULL
         UNION ALL SELECT population, property_id, 'reactivated', NULL, price FROM seen
           WHERE date_trunc('milliseconds', seen_at) - date_trunc('milliseconds', last) > INTERVAL 2 DAYS
+        UNION ALL SELECT population, property_id, 'inactive', NULL, NULL FROM seen
+          WHERE date_trunc('milliseconds', seen_at) - date_trunc('milliseconds', last) > INTERVAL 2 DAYS
         UNION ALL SELECT population, property_id, 'price_change', before, price FROM seen
           WHERE last IS NOT NULL AND price <> before""",
     ),
 )
 def stream_lifecycle_query(spark, sf_dir):
-    """Everything but retirements, whose timers still run when the files are drained."""
+    """All events, with the retirements that a return follows; later timers still run when the files are drained."""
     seen = (
         _events(spark, sf_dir)
         .where(F.col("new_price").isNotNull())
         .select("population", "property_id", F.col("event_date").alias("seen_at"), F.col("new_price").alias("price"))
     )
     out = _drain(spark, stream_lifecycle(seen, grace_days=2))
-    return out.where(F.col("event_type") != "inactive").drop("event_date")
+    back = out.where("event_type = 'reactivated'").groupBy("population", "property_id").agg(F.max("event_date").alias("_back"))
+    settled = (F.col("event_type") != "inactive") | (F.col("event_date") <= F.col("_back"))
+    return out.join(back, ["population", "property_id"], "left").where(settled).drop("event_date", "_back")
 
 
 @query(
