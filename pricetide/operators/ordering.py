@@ -5,6 +5,7 @@ Order is then resolved on a fixed ladder of value intervals: coarse steps, fine
 coarse step, values inside a fine step. Each window sorts one rung only: a few thousand coarse
 steps per key, at most `FINE` fine steps, and the values within a relative width of about 2e-7.
 The ladder is a fixed function of the value, so recomputed tasks always agree with each other.
+The counts are written once, as every rung reads them; what comes before runs a single time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.session import cut_lineage
+
 COARSE = 64  # coarse steps per doubling of (1 + |value|)
 FINE = 65_536  # fine steps per coarse step
 
@@ -71,7 +74,7 @@ def _steps(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their count, the number of smaller values and the total."""
-    counts = value_counts(df, keys, value)
+    counts = cut_lineage(value_counts(df, keys, value))
     inside = Window.partitionBy(*keys, "_coarse", "_fine").orderBy("_value")
     return (
         counts.join(_steps(counts, keys), [*keys, "_coarse", "_fine"])
@@ -117,7 +120,7 @@ def quantiles(
     `count` and `mean` name columns for the number and mean of the non-null values, which come
     from the same pass.
     """
-    counts = value_counts(df, keys, value)
+    counts = cut_lineage(value_counts(df, keys, value))
     targets = F.array(
         *[
             F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("place"))

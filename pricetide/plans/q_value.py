@@ -193,7 +193,7 @@ _FEATURE_SQL = f"""{_STATS_SQL},
 
 
 def feature_frame(spark, sf_dir):
-    props = V.properties(spark, sf_dir)
+    props = cut_lineage(V.properties(spark, sf_dir))
     stats = H.history_stats(V.price_history(spark, sf_dir), V.OBS_AS_OF).select(
         *V.ENTITY, "n_cuts", "days_since_last_cut"
     )
@@ -355,7 +355,7 @@ def _step(part: str) -> str:
 
 
 def _offers(spark, sf_dir):
-    gap = M.gap_analysis(V.properties(spark, sf_dir), zone_frame(spark, sf_dir), SEARCH)
+    gap = M.gap_analysis(cut_lineage(V.properties(spark, sf_dir)), zone_frame(spark, sf_dir), SEARCH)
     return OF.add_offers(feature_frame(spark, sf_dir), curve_frame(spark, sf_dir), None, gap, cfg=CFG)
 
 
