@@ -35,24 +35,20 @@ MASKS = ("110110110110", "111011101110", "111101111011", "101101110101")
 SHORT_MASK = "1111"
 MIN_MATCHED, MISMATCH = 13, -2
 BITMAP = 24
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_FACTOR = np.random.default_rng(6).integers(0, 2**63, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def seeds(words: np.ndarray, which: int) -> np.ndarray:
-    """The seed at every place where the mask fits."""
-    mask = SHORT_MASK if which == len(MASKS) else MASKS[which]
-    many = max(0, len(words) - len(mask) + 1)
-    out = np.full(many, which + 1, np.uint64)
-    for k, wanted in enumerate(mask):
-        if wanted == "1":
-            out = (out ^ words[k : k + many]) * _STEP + np.uint64(k)
-            out ^= out >> np.uint64(29)
-    return mixed(out)
+def seeds(words: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
+    """Of each mask, the seeds at all places where it fits: a sum of the words it selects, each times the
+    odd factor of its place, which all masks share."""
+    span = len(masks[0])
+    many = max(0, len(words) - span + 1)
+    terms = [words[k : k + many] * _FACTOR[k] for k in range(span)]
+    return [mixed(sum((t for t, wanted in zip(terms, mask) if wanted == "1"), np.full(many, _FACTOR[-1 - i]))) for i, mask in enumerate(masks)]
 
 
 def _item_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds = range(len(MASKS)) if len(words) >= len(MASKS[0]) else [len(MASKS)]
-    found = [seeds(words, k) for k in kinds]
+    found = seeds(words, MASKS if len(words) >= len(MASKS[0]) else (SHORT_MASK,))
     return np.concatenate(found), np.concatenate([np.arange(len(f)) for f in found])
 
 
@@ -110,25 +106,42 @@ def _hits(docs: DataFrame, bitmap: np.ndarray, id_col: str, text_col: str) -> Da
     names = ["doc_key", "doc_id", "doc_words", "seeds", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
         for batch in batches:
-            picked, out = [], ([], [], [])
+            rows, words, size = [], [], 0
             for row, text in enumerate(utf8(batch.column("text"))):
-                words = word_hashes(text)
-                found, places = [], []
-                for which in range(len(MASKS) + 1):
-                    own = seeds(words, which)
-                    at = np.flatnonzero(_in_bitmap(held, own))
-                    if len(at):
-                        found.append(own[at])
-                        places.append(at)
-                if found:
-                    picked.append(row)
-                    for column, value in zip(out, (words.tobytes(), np.concatenate(found).astype(np.int64), np.concatenate(places))):
-                        column.append(value)
-            kept = [batch.column(n).take(pa.array(picked, pa.int64())) for n in ("doc_key", "doc_id")]
-            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, k) for v, k in zip(out, kinds))], names)
+                rows.append(row)
+                words.append(word_hashes(text))
+                size += len(words[-1])
+                if size > 1 << 16:
+                    yield found(batch, rows, words)
+                    rows, words, size = [], [], 0
+            if rows:
+                yield found(batch, rows, words)
+
+    def found(batch: pa.RecordBatch, rows: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
+        """Hits in some documents at a time; seeds that span two of them do not count."""
+        together = np.concatenate(words)
+        ends = np.cumsum([len(w) for w in words])
+        hits = []
+        for masks in (MASKS, (SHORT_MASK,)):
+            for own in seeds(together, masks):
+                at = np.flatnonzero(_in_bitmap(sent.value, own))
+                doc = np.searchsorted(ends, at, side="right")
+                inside = at + len(masks[0]) <= ends[doc]
+                hits.append((doc[inside], at[inside], own[at[inside]]))
+        doc, at, seed = (np.concatenate(c) for c in zip(*hits))
+        order = np.argsort(doc, kind="stable")
+        doc, at, seed = doc[order], at[order], seed[order].view(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else [0]
+        picked = [int(doc[a]) for a in edges[:-1]]
+        cuts = list(zip(edges, edges[1:]))
+        kept = [batch.column(n).take(pa.array([rows[d] for d in picked], pa.int64())) for n in ("doc_key", "doc_id")]
+        columns = [
+            pa.array([words[d].tobytes() for d in picked], pa.binary()),
+            pa.array([seed[a:b] for a, b in cuts], pa.list_(pa.int64())),
+            pa.array([at[a:b] - (ends[d] - len(words[d])) for d, (a, b) in zip(picked, cuts)], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays([*kept, *columns], names)
 
     schema = f"doc_key long, doc_id {kind}, doc_words binary, seeds array<long>, places array<long>"
     return rows.mapInArrow(run, schema)
