@@ -12,11 +12,11 @@ branches by another minwise token, and so on until no large node is left. Two se
 meet at the first level of a tree with probability s, so `TREES` independent trees miss a pair at 0.85
 with probability 0.15 ** 10, or (1 - 0.85 ** 2) ** 10 if both lie in a crowded node and part once.
 
-Comparisons only have to find families, so they emit a spanning forest of each node, not its pairs, with
-a loose cut on the sketches (a pair at 0.85 falls below 0.55 once in some hundred million). Families
-are the components of these forests. Each family's texts are then brought together once and compared
-exactly, on full sets, through an inverted index; links of a spanning forest come out. A family of more
-than `FAMILY` texts is dealt out as pairs of parts, so no task holds more than two parts.
+Comparisons only have to find families, so they emit stars over what they connect in a node, not its pairs,
+with a loose cut on the sketches (a pair at 0.85 falls below 0.55 once in some hundred million). Families
+are the components of these stars. Each family's texts are then brought together once and compared
+exactly, on full sets, through an inverted index; that settles its components. A family of more than
+`FAMILY` texts is dealt out as pairs of parts, so no task holds more than two parts.
 
 Nulls: a null text is empty; a document without words has an empty set and no links; a null id takes
 no part and gets a null component. Documents that share an id count as one node. An empty table gives an
@@ -38,7 +38,7 @@ from pricetide.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 85
 TREES, SKETCH = 10, 64
-SMALL, FAMILY = 256, 4096
+SMALL, FAMILY = 2048, 4096
 LOOSE, CLOSE = 0.55, 0.85
 _R = np.random.default_rng(8)
 _SALT = _R.integers(0, 2**63, (TREES + SKETCH, 1), dtype=np.uint64)
@@ -110,10 +110,15 @@ class _Forest:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
-        self.up[b] = a
-        return a != b
+        self.up[max(a, b)] = min(a, b)
+
+    def stars(self, ids: list) -> Iterator[tuple]:
+        """(first member of the tree, member) for all other members."""
+        for i, own in enumerate(ids):
+            if (root := self.root(i)) != i and ids[root] != own:
+                yield ids[root], own
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -145,7 +150,7 @@ def _edges_of(left: list, right: list, kind: pa.DataType) -> pa.RecordBatch:
 
 
 def _compare_small(members: DataFrame, kind: str) -> DataFrame:
-    """A spanning forest of similar sketches of every small node."""
+    """Stars over the classes of every small node that similar sketches connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, arrow = [], [], pa.int64()
@@ -156,9 +161,10 @@ def _compare_small(members: DataFrame, kind: str) -> DataFrame:
             for i in range(len(ids) - 1):
                 alike = (sketch[i + 1 :] == sketch[i]).sum(axis=1)
                 for j in (np.flatnonzero(alike >= LOOSE * SKETCH) + i + 1).tolist():
-                    if forest.join(i, j):
-                        left.append(ids[i])
-                        right.append(ids[j])
+                    forest.join(i, j)
+            for a, b in forest.stars(ids):
+                left.append(a)
+                right.append(b)
             if len(left) > 10_000:
                 yield _edges_of(left, right, arrow)
                 left, right = [], []
@@ -207,8 +213,8 @@ def families(classes: DataFrame) -> DataFrame:
         depth += 1
 
 
-def _exact_links(ids: list, sets: list[np.ndarray], forest: _Forest) -> Iterator[tuple]:
-    """Links at the threshold between sets not yet connected, by counting common shingles."""
+def _exact_links(sets: list[np.ndarray], forest: _Forest) -> None:
+    """Join what is linked at the threshold, by counting the common shingles of every pair that has any."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
         pairs = [(0, np.array([1]), np.array([len(np.intersect1d(*sets, assume_unique=True))]))]
@@ -232,33 +238,49 @@ def _exact_links(ids: list, sets: list[np.ndarray], forest: _Forest) -> Iterator
     for i, others, common in pairs:
         linked = 100 * common >= PERCENT * (sizes[i] + sizes[others] - common)
         for j in others[linked].tolist():
-            if forest.join(i, j):
-                yield ids[i], ids[j]
+            forest.join(i, j)
 
 
 def exact_links(docs: DataFrame, family: DataFrame, kind: str) -> DataFrame:
-    """A spanning forest of confirmed links (a_id, b_id) within each family (rep, family)."""
+    """Stars (a_id, b_id) over what confirmed links connect within each family (rep, family).
+
+    `whole` tells that the family was compared in one task, so that a_id already names the component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, arrow = [], [], pa.int64()
         for group in _groups(batches, ["family", "low", "high"]):
             ids = group.column("rep").to_pylist()
-            arrow = group.schema.field("rep").type
-            sets = [shingles(text) for text in utf8(group.column("text"))]
-            for a, b in _exact_links(ids, sets, _Forest(len(ids))):
-                left.append(a)
-                right.append(b)
-        yield _edges_of(left, right, arrow)
+            forest = _Forest(len(ids))
+            for i in range(1, len(ids)):
+                if ids[i] == ids[i - 1]:  # texts under one id
+                    forest.join(i - 1, i)
+            _exact_links([shingles(text) for text in utf8(group.column("text"))], forest)
+            stars = list(forest.stars(ids))
+            left, right = zip(*stars) if stars else ((), ())
+            edges = _edges_of(list(left), list(right), group.schema.field("rep").type)
+            whole = pa.array([group.column("parts")[0].as_py() == 1] * len(left), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*edges.columns, whole], ["a_id", "b_id", "whole"])
 
     sized = family.join(family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts")), "family")
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    dealt = sized.select("family", "rep", part.alias("part"), other.alias("other"))
-    dealt = dealt.select("family", "rep", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep")
+    dealt = sized.select("family", "rep", "parts", part.alias("part"), other.alias("other"))
+    dealt = dealt.select("family", "rep", "parts", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    # both sides grow with the corpus: never a broadcast, also where one is small today
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.hint("merge"), "rep")
     keys = ["family", "low", "high"]
-    rows = texts.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "rep", "text")
-    return rows.mapInArrow(run, f"a_id {kind}, b_id {kind}")
+    rows = texts.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "rep", "parts", "text")
+    return rows.mapInArrow(run, f"a_id {kind}, b_id {kind}, whole boolean")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """rep and component of every linked class but the components' own names."""
+    done = links.where("whole").select(F.col("b_id").alias("rep"), F.col("a_id").alias("component")).distinct()
+    parts = links.where("NOT whole")
+    if parts.isEmpty():
+        return done
+    linked = connected_components(parts, keys=())
+    return done.unionByName(linked.select(F.col("node").alias("rep"), "component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,8 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     loose = connected_components(families(classes), keys=())
     family = cut_lineage(loose.select(F.col("node").alias("rep"), F.col("component").alias("family")))
-    linked = connected_components(exact_links(rows, family, kind), keys=())
-    found = classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+    linked = _components(cut_lineage(exact_links(rows, family, kind)))
+    found = classes.join(linked, "rep", "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("component")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
