@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens up to this length are remembered by a worker, and so many of them at once.
-REMEMBERED_CHARS, REMEMBERED = 48, 400_000
+REMEMBERED_CHARS, REMEMBERED = 48, 250_000
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
