@@ -145,7 +145,8 @@ GROUP BY d.doc_id
 
 @query("op10_line_dedup", _LINES_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = lines.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # its SQL twin deletes whole windows only, without the tails of repeated runs
+    marked = lines.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=False)
     text = F.coalesce("text", F.lit(""))
     return marked.select(
         "doc_id",

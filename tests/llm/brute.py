@@ -94,3 +94,22 @@ def removed_bytes(docs, length=100):
             seen.add(part)
         out[d] = flags
     return out
+
+
+def left_lines(docs, min_words=25, max_lines=8):
+    """{id: text} without later copies of maximal runs of equal lines, by comparing every two places."""
+    lines = {d: [(i, x.strip(" "), len(words(x))) for i, x in enumerate(t.split("\n")) if words(x)] for d, t in docs.items()}
+    gone = {d: set() for d in docs}
+    places = [(d, p) for d in sorted(docs) for p in range(len(lines[d]))]
+    for at, (d, p) in enumerate(places):
+        for e, q in places[:at]:
+            a, b = lines[d], lines[e]
+            if p and q and a[p - 1][1] == b[q - 1][1]:
+                continue  # not where a maximal run begins
+            n = 0
+            while p + n < len(a) and q + n < len(b) and a[p + n][1] == b[q + n][1]:
+                n += 1
+            if n >= max_lines or sum(x[2] for x in a[p : p + n]) >= min_words:
+                gone[d] |= {x[0] for x in a[p : p + n]}
+    left = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
+    return {d: t for d, t in left.items() if not gone[d] or words(t)}

