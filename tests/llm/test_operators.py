@@ -91,6 +91,15 @@ def test_quality_rejects_junk(spark, passages):
     assert min(rows[i] for i in range(40)) > max(rows[i] for i in range(40, 50))
 
 
+def test_quality_agrees_with_the_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    rows = quality.quality_rules(docs, labels).select("doc_id", "base_failed", "kept").collect()
+    found = [(label[r.doc_id], r.kept) for r in rows if not r.base_failed and r.doc_id in label]
+    assert found.count((0, True)) <= 0.1 * found.count((0, False))
+    assert found.count((1, False)) <= 0.001 * found.count((1, True))
+
+
 # ---- language model ------------------------------------------------------------------------------
 
 
