@@ -9,11 +9,14 @@ Trees: a class enters each tree at the node of that tree's token. Nodes of up to
 compared exhaustively on their sketches. A larger node is compared with one pivot; what is close to the
 pivot leaves (anything similar to it is similar enough to the pivot to be found through it), the rest
 branches by another minwise token, and so on until no large node is left. Two sets of similarity s
-meet at the first level of a tree with probability s, so `TREES` independent trees miss a pair at 0.85
-with probability 0.15 ** 10, or (1 - 0.85 ** 2) ** 10 if both lie in a crowded node and part once.
+meet at the first level of a tree with probability s, so t independent trees miss a pair at the threshold s
+with probability (1 - s) ** t, or (1 - s ** 2) ** t if both lie in a crowded node and part once. The number of
+trees follows from the threshold, so that the latter is at most `MISS`: 10 at 0.85, 13 at 0.80.
 
 Comparisons only have to find families, so they emit stars over what they connect in a node, not its pairs,
-with a loose cut on the sketches (a pair at 0.85 falls below 0.55 once in some hundred million). Families
+with a loose cut on the sketches that a pair at the threshold misses once in a hundred million (`STRAY`: 36 of
+64 bytes at 0.85, 31 at 0.80). What leaves with a pivot is so close that anything at the threshold with it has
+a similarity of at least `TRANSIT` to the pivot. Families
 are the components of these stars. Each family's texts are then brought together once and compared
 exactly, on full sets, through an inverted index; that settles its components. A family of more than
 `FAMILY` texts is dealt out as pairs of parts, so no task holds more than two parts.
@@ -26,6 +29,8 @@ empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +42,39 @@ from pricetide.operators.linkage import connected_components
 from pricetide.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 85
-TREES, SKETCH = 10, 64
+SKETCH = 64
 SMALL, FAMILY = 2048, 4096
-LOOSE, CLOSE = 0.55, 0.85
-_R = np.random.default_rng(8)
-_SALT = _R.integers(0, 2**63, (TREES + SKETCH, 1), dtype=np.uint64)
-_ODD = _R.integers(0, 2**63, (TREES + SKETCH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MISS, STRAY, TRANSIT = 2.8e-6, 1e-8, 0.7
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def trees(percent: int) -> int:
+    """How many trees a threshold needs."""
+    return ceil(log(MISS) / log(1 - (percent / 100) ** 2)) if percent < 100 else 1
+
+
+def loose(percent: int) -> int:
+    """How many bytes of two sketches agree at least, for two sets at the threshold."""
+    same = percent / 100 + (1 - percent / 100) / 256
+    below, cut = 0.0, 0
+    while cut < SKETCH and (below := below + comb(SKETCH, cut) * same**cut * (1 - same) ** (SKETCH - cut)) <= STRAY:
+        cut += 1
+    return cut
+
+
+def close(percent: int) -> float:
+    """The similarity to a pivot from which on a class leaves with it."""
+    return min(1.0, 1 + TRANSIT - percent / 100)
+
+
+@cache
+def _functions(many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash functions of so many trees and of the sketch."""
+    rng = np.random.default_rng(8)
+    salt, odd = (rng.integers(0, 2**63, (many + SKETCH, 1), dtype=np.uint64) for _ in range(2))
+    return salt, odd * np.uint64(2) + np.uint64(1)
+
+
 def shingles(text: bytes) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
     words = word_hashes(text)
@@ -60,16 +89,17 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def minwise(found: np.ndarray) -> np.ndarray:
-    """The smallest value of a set under each hash function."""
-    low = np.full(TREES + SKETCH, 2**64 - 1, np.uint64)
+def minwise(found: np.ndarray, many: int) -> np.ndarray:
+    """The smallest value of a set under each hash function of so many trees and the sketch."""
+    salt, odd = _functions(many)
+    low = np.full(many + SKETCH, 2**64 - 1, np.uint64)
     for at in range(0, len(found), 4096):
-        part = (found[None, at : at + 4096] ^ _SALT) * _ODD
+        part = (found[None, at : at + 4096] ^ salt) * odd
         low = np.minimum(low, part.min(axis=1))
     return low
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, many: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, the trees' tokens and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +107,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out = [[], [], [], [], []]
             for text in utf8(batch.column("text")):
                 found = shingles(text)
-                low = minwise(found) if len(found) else None
+                low = minwise(found, many) if len(found) else None
                 again = mixed(found ^ _STEP)
                 row = (
                     len(found),
                     int(found.sum().astype(np.int64)) if len(found) else None,
                     int(np.bitwise_xor.reduce(again).astype(np.int64)) if len(found) else None,
-                    None if low is None else low[:TREES].astype(np.int64).tolist(),
-                    None if low is None else mixed(low[TREES:]).astype(np.uint8).tobytes(),
+                    None if low is None else low[:many].astype(np.int64).tolist(),
+                    None if low is None else mixed(low[many:]).astype(np.uint8).tobytes(),
                 )
                 for column, value in zip(out, row):
                     column.append(value)
@@ -149,18 +179,18 @@ def _edges_of(left: list, right: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["a_id", "b_id"])
 
 
-def _compare_small(members: DataFrame, kind: str) -> DataFrame:
+def _compare_small(members: DataFrame, kind: str, percent: int) -> DataFrame:
     """Stars over the classes of every small node that similar sketches connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, arrow = [], [], pa.int64()
+        left, right, arrow, least = [], [], pa.int64(), loose(percent)
         for group in _groups(batches, ["tree", "node"]):
             ids, sketch = group.column("rep").to_pylist(), _sketches(group.column("sketch"))
             arrow = group.schema.field("rep").type
             forest = _Forest(len(ids))
             for i in range(len(ids) - 1):
                 alike = (sketch[i + 1 :] == sketch[i]).sum(axis=1)
-                for j in (np.flatnonzero(alike >= LOOSE * SKETCH) + i + 1).tolist():
+                for j in (np.flatnonzero(alike >= least) + i + 1).tolist():
                     forest.join(i, j)
             for a, b in forest.stars(ids):
                 left.append(a)
@@ -190,7 +220,7 @@ def _with_pivot(members: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"tree int, node long, rep {kind}, pivot {kind}, sketch binary, alike double")
 
 
-def families(classes: DataFrame) -> DataFrame:
+def families(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Loose links (a_id, b_id) between classes: every pair at the threshold is connected through them."""
     kind = classes.schema["rep"].dataType.simpleString()
     level = classes.select("rep", F.posexplode("tokens").alias("tree", "node"))
@@ -199,21 +229,21 @@ def families(classes: DataFrame) -> DataFrame:
         crowded = level.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         members = level.join(crowded, ["tree", "node"])
         members = cut_lineage(members.join(sketch, "rep") if "sketch" not in level.columns else members)
-        found = _compare_small(members.where(F.col("size") <= SMALL), kind)
+        found = _compare_small(members.where(F.col("size") <= SMALL), kind, percent)
         large = members.where(F.col("size") > SMALL).drop("size")
         if large.isEmpty():
             return found if edges is None else edges.unionByName(found)
         held = cut_lineage(_with_pivot(large))
-        stars = held.where((F.col("alike") >= LOOSE) & (F.col("pivot") != F.col("rep")))
+        stars = held.where((F.col("alike") >= loose(percent) / SKETCH) & (F.col("pivot") != F.col("rep")))
         found = found.unionByName(stars.select(F.col("pivot").alias("a_id"), F.col("rep").alias("b_id")))
         edges = found if edges is None else edges.unionByName(found)
         byte = F.pmod(F.xxhash64("tree", F.lit(depth)), F.lit(SKETCH).cast("long")).cast("int")
         token = F.xxhash64("node", F.substring("sketch", byte + 1, F.lit(1)))
-        level = held.where(F.col("alike") < CLOSE).select("tree", token.alias("node"), "rep", "sketch")
+        level = held.where(F.col("alike") < close(percent)).select("tree", token.alias("node"), "rep", "sketch")
         depth += 1
 
 
-def _exact_links(sets: list[np.ndarray], forest: _Forest) -> None:
+def _exact_links(sets: list[np.ndarray], forest: _Forest, percent: int) -> None:
     """Join what is linked at the threshold, by counting the common shingles of every pair that has any."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
@@ -236,12 +266,12 @@ def _exact_links(sets: list[np.ndarray], forest: _Forest) -> None:
 
         pairs = map(overlaps, range(len(sets)))
     for i, others, common in pairs:
-        linked = 100 * common >= PERCENT * (sizes[i] + sizes[others] - common)
+        linked = 100 * common >= percent * (sizes[i] + sizes[others] - common)
         for j in others[linked].tolist():
             forest.join(i, j)
 
 
-def exact_links(docs: DataFrame, family: DataFrame, kind: str) -> DataFrame:
+def exact_links(docs: DataFrame, family: DataFrame, kind: str, percent: int = PERCENT) -> DataFrame:
     """Stars (a_id, b_id) over what confirmed links connect within each family (rep, family).
 
     `whole` tells that the family was compared in one task, so that a_id already names the component.
@@ -254,7 +284,7 @@ def exact_links(docs: DataFrame, family: DataFrame, kind: str) -> DataFrame:
             for i in range(1, len(ids)):
                 if ids[i] == ids[i - 1]:  # texts under one id
                     forest.join(i - 1, i)
-            _exact_links([shingles(text) for text in utf8(group.column("text"))], forest)
+            _exact_links([shingles(text) for text in utf8(group.column("text"))], forest, percent)
             stars = list(forest.stars(ids))
             left, right = zip(*stars) if stars else ((), ())
             edges = _edges_of(list(left), list(right), group.schema.field("rep").type)
@@ -283,19 +313,22 @@ def _components(links: DataFrame) -> DataFrame:
     return done.unionByName(linked.select(F.col("node").alias("rep"), "component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable through links) and kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable through links) and kept.
+
+    Sets that share at least `percent` of what either holds are linked.
+    """
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = cut_lineage(signatures(rows, "doc_id", "text"))
+    signed = cut_lineage(signatures(rows, "doc_id", "text", trees(percent)))
     classes = cut_lineage(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("key_a", "key_b")
         .agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
     )
-    loose = connected_components(families(classes), keys=())
+    loose = connected_components(families(classes, percent), keys=())
     family = cut_lineage(loose.select(F.col("node").alias("rep"), F.col("component").alias("family")))
-    linked = _components(cut_lineage(exact_links(rows, family, kind)))
+    linked = _components(cut_lineage(exact_links(rows, family, kind, percent)))
     found = classes.join(linked, "rep", "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("component")
     )
@@ -306,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id names its component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

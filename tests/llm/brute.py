@@ -52,7 +52,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """{id: (n_shingles, component, kept)} by comparing all pairs."""
     sets = {d: shingle_set(t) for d, t in docs.items()}
     up = {d: d for d in docs}
@@ -66,7 +66,7 @@ def near_duplicates(docs):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}

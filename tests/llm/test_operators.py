@@ -334,6 +334,17 @@ def test_dropping_near_copies(spark, passages):
     assert {(r.component_id, r.n_shingles > 0) for r in neardup.near_duplicates(lost).collect()} == {(None, True)}
 
 
+def test_the_threshold_is_a_parameter(spark, passages, monkeypatch):
+    assert [neardup.trees(p) for p in (85, 80)] == [10, 13] and [neardup.loose(p) for p in (85, 80)] == [36, 31]
+    texts = near_copies(passages[:6], 30)
+    expected = {p: brute.near_duplicates(dict(enumerate(texts)), p) for p in (80, 85)}
+    assert sum(k for *_, k in expected[80].values()) < sum(k for *_, k in expected[85].values())
+    for small in (neardup.SMALL, 8):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, texts), percent=80).collect()}
+        assert got == expected[80]
+
+
 # ---- suffix arrays -------------------------------------------------------------------------------
 
 

@@ -38,3 +38,10 @@ def test_stages_keep_columns_and_take_effect(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.n_tokens for r in out} == {d: len(codec.encode(r.text)) // 4 for d, r in left.items()}
     assert all(r.n_chars == len(r.text) for r in left.values())
+
+
+def test_near_copies_at_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; two words changed far apart cost ten of them
+    changed = [f"new{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 90 of 110 are common: 0.82
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3]
