@@ -119,18 +119,15 @@ WITH line AS (
        UNNEST(range(1, len(ls) + 1)) AS u(i)
 ), worded AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE n > 0
-), span AS (
-  SELECT a.doc_id, a.p, a.i AS start, b.p AS e,
-         sum(b.n) OVER w AS words, list(b.line) OVER w AS part, list(b.i) OVER w AS lines
-  FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.p BETWEEN a.p AND a.p + 7
-  WINDOW w AS (PARTITION BY a.doc_id, a.p ORDER BY b.p)
-), win AS (
-  SELECT * FROM span WHERE words >= 25 OR e = p + 7
-  QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY e) = 1
-), later AS (
-  SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, start) > 1
+), pair AS (
+  SELECT a.doc_id, a.i, a.p, a.n, b.doc_id AS of, a.p - b.p AS shift
+  FROM worded a JOIN worded b ON b.line = a.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.p < a.p))
+), step AS (
+  SELECT *, p - row_number() OVER (PARTITION BY doc_id, of, shift ORDER BY p) AS run FROM pair
+), long AS (
+  SELECT list(i) AS lines, doc_id FROM step GROUP BY doc_id, of, shift, run HAVING sum(n) >= 25 OR count(*) >= 8
 ), gone AS (
-  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(lines) AS i FROM later)
+  SELECT DISTINCT doc_id, unnest(lines) AS i FROM long
 )
 SELECT d.doc_id, coalesce(max(l.n_lines), 0) AS n_lines, count(g.i) AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line_text END, chr(10) ORDER BY l.i), '')) AS kept_sha256
@@ -145,8 +142,7 @@ GROUP BY d.doc_id
 
 @query("op10_line_dedup", _LINES_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL twin deletes whole windows only, without the tails of repeated runs
-    marked = lines.marked(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=False)
+    marked = lines.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return marked.select(
         "doc_id",
