@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, pitmanyor, quality, suffixes, warc
+from pricetide.llm import alignment, bpe, chat, decontaminate, licenses, lines, neardup, packing, pitmanyor, quality, suffixes, variants, warc
 from pricetide.llm.common import table
 from pricetide.llm.registry import query
 from pricetide.session import scratch_folder
@@ -199,3 +199,23 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     turns = chat.canonical_turns(_records(rows.unionByName(extra)))
     return chat.read_back(chat.formatted(turns))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = alignment.alignments(table(spark, sf_dir, "documents"), *paths, keep_groups=False)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    # the end id lies in the vocabulary of 49 408 ids
+    packing.write(packing.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1), folder, vocabulary=49_408)
+    return packing.read(spark, folder, keep_ids=False)
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
