@@ -13,32 +13,32 @@ in document order: all documents of part n come before those of part n + 1. They
 Spark's own sink, so a lost task leaves no half file.
 
 Nulls: a null text is empty and holds only what is appended; null document ids come first. Repeated ids
-are ordered by their ids' hash and keep a row each. Other columns are not read. An empty table gives no
+are ordered by their texts' hash and keep a row each. Other columns are not read. An empty table gives no
 documents. A text may be split over blocks but not over files.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricetide.llm import pieces as P
 from pricetide.llm.common import id_and_text
-from pricetide.session import cut_lineage, discard
+from pricetide.session import cut_lineage
 
 MAGIC = b"PTIDPK01"
-#: Ids of a full block, and packed bytes a file is meant to hold.
-BLOCK_IDS, FILE_BYTES = 1 << 16, 64 << 20
-#: Bytes of text that are encoded at once, and distinct words a worker remembers.
-TEXT_BYTES, REMEMBERED = 8 << 20, 200_000
+#: Ids of a full block, and bytes of text a file is meant to hold.
+BLOCK_IDS, FILE_BYTES = 1 << 16, 256 << 20
+#: Bytes of text that are encoded at once, and words a worker remembers in each of two generations.
+TEXT_BYTES, REMEMBERED = 8 << 20, 250_000
 _HEADER, _TRAILER = struct.Struct("<8sII"), struct.Struct("<QQQQI8s")
 
 
@@ -140,98 +140,88 @@ class IdFile:
 
 
 class WordEncoder:
-    """Ids of whole texts, for a tokenizer that drops white space: each new word goes through the library once.
+    """Ids of whole texts, for a tokenizer that drops white space: a new word goes through the library once.
 
-    What is remembered is bounded: a full memory is dropped whole.
+    Many words go in a row, parted by a mark that is a word of one id; words that hold the mark go one by one.
     """
 
+    MARK = b"\x7f"
+
     def __init__(self, file: bytes) -> None:
         self.tokenizer = Tokenizer.from_buffer(file)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        run = lambda some: self.tokenizer.encode_batch(some, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, np.uint32) for w, e in zip(new, P.in_slices(run, [w.decode() for w in new]))}
-        out = [self.known[w] if w in self.known else fresh[w] for w in words]
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
+        self.memory = P.Memory(REMEMBERED)
+        self.mark = self._ids([self.MARK.decode()])[0]
+        if len(self.mark) != 1:
+            raise ValueError("the mark between words is more than one id of this vocabulary")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _made(self, words: pa.Array, step: int = 4096) -> list[bytes]:
+        out, all_words = [], words.to_pylist()
+        for at in range(0, len(all_words), step):
+            some = all_words[at : at + step]
+            row = (b" " + self.MARK + b" ").join(b"" if self.MARK in w else w for w in some)
+            ids = np.array(self._ids([row.decode()])[0], np.int32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) != len(some) - 1:
+                raise ValueError("a word of this vocabulary reads as the mark")
+            starts, ends = np.append(0, marks + 1), np.append(marks, len(ids))
+            data = ids.astype("<i4").tobytes()
+            made = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+            for k, w in enumerate(some):
+                if self.MARK in w:
+                    made[k] = np.array(self._ids([w.decode()])[0], "<i4").tobytes()
+            out += made
         return out
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text where it is given, and the texts' offsets among them."""
         distinct, places, offsets = P.words(texts)
-        lists = self._encoded(distinct.to_pylist())
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.zeros(0, np.uint32), *lists])
-        own = lengths[places]
-        ids = flat[P.ragged((np.cumsum(lengths) - lengths)[places], own)]
+        numbers, starts, counts = P.joined(self.memory.values(distinct, self._made))
+        own = counts[places]
+        ids = numbers[P.ragged(starts[places], own)].astype(np.uint32)
         ends = np.concatenate([[0], np.cumsum(own)])[offsets]
         if end is None:
             return ids, ends
         return np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
 
 
-def encoded(
-    docs: DataFrame, tokenizer_path: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text",
-    text_bytes: int = TEXT_BYTES,
-) -> DataFrame:
-    """Per document: doc_id, seq (which tells rows apart), n_tokens and its ids as 32-bit integers."""
-    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    file = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, "rb").read())
+def write(
+    docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end: int | None = None, id_col: str = "doc_id",
+    text_col: str = "text", block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES, text_bytes: int = TEXT_BYTES,
+) -> None:
+    """Encode whole texts and write their ids, `end` after each text where it is given, in ascending document order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = P.loaded("words", file.value, WordEncoder)
-        seq = TaskContext.get().partitionId() << 40
-        for table in P.sized(batches, "text", text_bytes):
-            n = table.num_rows
-            texts = P.whole(table.column("text"), pa.string()).fill_null("")
-            ids, offsets = encoder.encode(texts, end)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": P.whole(table.column("doc_id"), pa.int64()),
-                "seq": pa.array(np.arange(seq, seq + n)),
-                "n_tokens": pa.array(np.diff(offsets)),
-                "ids": P.binary_array(offsets * 4, ids.astype("<u4").view(np.uint8)),
-            })
-            seq += n
-
-    return rows.mapInArrow(run, "doc_id long, seq long, n_tokens long, ids binary")
-
-
-def write(tokens: DataFrame, folder: str, vocabulary: int, block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES) -> None:
-    """Write the rows of `encoded` to files in ascending document order.
-
-    Rows are written once before they are dealt by ranges of ids, so the texts are encoded once and
-    the order of repeated ids is settled. Ranges also split one id that many rows share.
+    Texts are dealt by ranges of document ids and encoded where they are written, so ids are never
+    shuffled. Ranges also split one id, or one row, that a large part of the rows repeats.
     """
+    spark = docs.sparkSession
+    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+    order = ["doc_id", "_hash", "_row"]
+    numbered = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    dealt = numbered.repartitionByRange(files, *order).sortWithinPartitions(*order)
     bits = width(vocabulary)
-    tokens = cut_lineage(tokens)
-    spark = tokens.sparkSession
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * bits // (8 * file_bytes)))
-    order = ["doc_id", "_hash", "seq"]
-    dealt = tokens.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    file = spark.sparkContext.broadcast(open(tokenizer_path, "rb").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def documents():
-            for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                    yield doc_id, np.frombuffer(ids.as_buffer(), "<u4")
-
-        first = next(found := documents(), None)
-        if first is None:
-            return
+        encoder = P.loaded("words", file.value, WordEncoder)
 
-        def all_documents():
-            yield first
-            yield from found
+        def documents() -> Iterator[tuple[int | None, np.ndarray]]:
+            for table in P.sized(batches, "text", text_bytes):
+                ids, offsets = encoder.encode(P.whole(table.column("text"), pa.string()).fill_null(""), end)
+                for k, doc_id in enumerate(table.column("doc_id").to_pylist()):
+                    yield doc_id, ids[offsets[k] : offsets[k + 1]]
 
-        for section in sections(all_documents(), bits, block_ids):
-            yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], ["section"])
+        found = documents()
+        for first in found:  # a part without rows leaves no file
+            for section in sections(itertools.chain([first], found), bits, block_ids):
+                yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], ["section"])
 
-    dealt.select("doc_id", "ids").mapInArrow(run, "section binary").select(F.col("section").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
-    discard(tokens)
+    written = dealt.select("doc_id", "text").mapInArrow(run, "section binary").select(F.col("section").cast("string").alias("value"))
+    written.write.option("lineSep", "\n").text(folder)
 
 
 def read(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:

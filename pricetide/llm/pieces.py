@@ -104,6 +104,14 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, places, np.searchsorted(at, offsets)
 
 
+def _ends_solid(data: np.ndarray) -> np.ndarray:
+    """Whether each byte ends a character that is surely no white space; in one text, whatever precedes it."""
+    ends = (data >= 0x21) & (data < 0x7F)
+    ends[1:] |= (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    ends[2:] |= (data[:-2] >= 0xE4) & (data[:-2] < 0xF0)
+    return ends
+
+
 def spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct pieces, the piece at each place, and the texts' offsets among the places.
 
@@ -116,16 +124,23 @@ def spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     if len(data):
         cut[:-1] &= _SOLID_LEAD[data[1:]]
         cut[-1] = False
-        ends = (data >= 0x21) & (data < 0x7F)
-        ends[1:] |= (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-        ends[2:] |= (data[:-2] >= 0xE4) & (data[:-2] < 0xF0)
-        cut[1:] &= ends[:-1]
+        cut[1:] &= _ends_solid(data)[:-1]
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     at = np.flatnonzero(cut)
     distinct, places = _coded(binary_array(np.append(at, len(data)), data))
     return distinct, places, np.searchsorted(at, offsets)
 
 
+def joinable(pieces: pa.Array) -> np.ndarray:
+    """Pieces of a space and a word, which in a row stay pieces of their own."""
+    offsets, data = buffers(pieces)
+    starts, ends = offsets[:-1], offsets[1:]
+    out = ends - starts > 1
+    some = np.flatnonzero(out)
+    out[some] = (data[starts[some]] == 0x20) & _SOLID_LEAD[data[starts[some] + 1]] & _ends_solid(data)[ends[some] - 1]
+    return out
+
+
 _LOADED: dict[tuple[str, str], object] = {}
 
 
@@ -138,7 +153,60 @@ def loaded(kind: str, file: bytes, load: Callable[[bytes], object]):
     return _LOADED[key]
 
 
-def in_slices(encode: Callable[[list[str]], list], pieces: list[str], step: int = 4096) -> Iterator:
-    """Encodings of many pieces, a few thousand objects at a time."""
-    for at in range(0, len(pieces), step):
-        yield from encode(pieces[at : at + step])
+class Memory:
+    """What was made of pieces met lately, in a worker process.
+
+    Two generations bound it: a full one becomes the old one, and what is met again moves on.
+    """
+
+    def __init__(self, pieces: int, longest: int = 40) -> None:
+        self.size, self.longest = pieces, longest
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def values(self, distinct: pa.Array, make: Callable[[pa.Array], list[bytes]]) -> list[bytes]:
+        """The value of each piece; `make` is asked once, for those that are not remembered."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        keys = distinct.to_pylist()
+        found = list(map(self.new.get, keys))
+        late = [k for k, value in enumerate(found) if value is None]
+        missing = []
+        for k in late:
+            value = self.old.get(keys[k])
+            if value is None:
+                missing.append(k)
+            else:
+                found[k] = self.new[keys[k]] = value
+        for k, value in zip(missing, make(pc.take(distinct, pa.array(missing, pa.int32())))):
+            found[k] = value
+            if len(keys[k]) <= self.longest:
+                self.new[keys[k]] = value
+        return found
+
+
+def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers of packed values, and where each value starts and how many numbers it has."""
+    numbers = np.frombuffer(b"".join(values), "<i4")
+    counts = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    return numbers, np.cumsum(counts) - counts, counts
+
+
+def split(numbers: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Packed numbers of the runs between consecutive offsets."""
+    data, ends = numbers.astype("<i4").tobytes(), (offsets * 4).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def lists(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.ListArray:
+    """Lists of ids by place, from parts of (places, ids of each, ids)."""
+    counts = np.zeros(n, np.int64)
+    starts = np.zeros(n, np.int64)
+    at = 0
+    for places, own, ids in parts:
+        counts[places] = own
+        starts[places] = at + np.cumsum(own) - own
+        at += len(ids)
+    flat = np.concatenate([np.zeros(0, np.int32), *(ids for _, _, ids in parts)])
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[ragged(starts, counts)]))

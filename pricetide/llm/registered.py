@@ -212,7 +212,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     # the end id lies in the vocabulary of 49 408 ids
-    packing.write(packing.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1), folder, vocabulary=49_408)
+    packing.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end=1)
     return packing.read(spark, folder, keep_ids=False)
 
 

@@ -20,7 +20,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", " ", "  two  spaces ", "a▁b", "plain words here", "tab\there\r\nand   there", "x", "<|endoftext|> and </s> <s>",
     "中文 字。 \U0001f642 \U0001f642", "e ́ é é", "don't 's  't it's", "<0x41> \x00 \x1c y \x85 z", "　 wide   x",
-    "z" * 5000, "word " * 2000, "it's à la carte, naïve café", "A a A a", "ﬁ ① Ａ İI", "end ", "กำ   x",
+    "z" * 5000, "word " * 2000, "it's à la carte, naïve café", "A a A a", "ﬁ ① Ａ İI", "a\x7fb \x7f \x7f\x7f c", "end ", "กำ   x",
 ]
 
 
@@ -122,7 +122,7 @@ def test_id_files_of_odd_rows(spark):
     rows = [(None, "no id"), (-3, "below")] + [(k, t) for k, t in enumerate(ODD + [t for _, t in random_rows(9)])]
     folder = scratch_folder(spark)
     frame = docs_of(spark, rows).repartition(5)
-    packing.write(packing.encoded(frame, WORD_BPE, end=1, text_bytes=900), folder, 49_408, block_ids=7)
+    packing.write(frame, folder, WORD_BPE, 49_408, end=1, block_ids=7, text_bytes=900)
     got = packing.read(spark, folder)
     assert [tuple(r)[:4] for r in got.orderBy(got.doc_id.asc_nulls_first()).collect()] == brute.id_rows(rows)
     ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got.collect()}
@@ -133,12 +133,12 @@ def test_id_files_of_odd_rows(spark):
 def test_repeated_ids_and_empty_tables_of_ids(spark):
     rows = [(4, "same"), (4, "same"), (4, "other words"), (1, "first")]
     folder = scratch_folder(spark)
-    packing.write(packing.encoded(docs_of(spark, rows), WORD_BPE), folder, 49_408)
+    packing.write(docs_of(spark, rows), folder, WORD_BPE, 49_408)
     got = sorted((r.doc_id, r.start, r.n_tokens) for r in packing.read(spark, folder).collect())
     assert [r[0] for r in got] == [1, 4, 4, 4] and got[0] == (1, 0, 1)
     assert [r[1] for r in got][1:] == np.cumsum([r[2] for r in got])[:-1].tolist()
     folder = scratch_folder(spark)
-    packing.write(packing.encoded(docs_of(spark, rows).limit(0), WORD_BPE), folder, 49_408)
+    packing.write(docs_of(spark, rows).limit(0), folder, WORD_BPE, 49_408)
     assert packing.read(spark, folder).count() == 0
 
 
