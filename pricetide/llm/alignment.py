@@ -34,7 +34,9 @@ from pricetide.llm.common import id_and_text
 from pricetide.session import cut_lineage
 
 #: Bytes of text in a chunk: larger ones send fewer pairs, smaller ones need less memory.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Pieces whose ids a worker remembers from chunk to chunk, in each of two generations.
+REMEMBERED = 250_000
 
 _SPACE = "▁".encode()
 
@@ -47,6 +49,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+#: Bytes of pieces that go through a tokenizer in a row.
+_ROW = 1 << 16
+
+
 class _Side:
     """A tokenizer: ids of many pieces, and the bytes of each id."""
 
@@ -56,8 +62,30 @@ class _Side:
         self.lengths = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
         self.size = len(token_bytes)
 
-    def lists(self, pieces: list[str]) -> pa.ListArray:
-        return pa.array(P.in_slices(self.encode, pieces), pa.list_(pa.int32()))
+    def lists(self, pieces: pa.Array) -> pa.ListArray:
+        """Ids of each piece. Spaced words go in a row and are told apart by their ends; others go one by one."""
+        rows = P.joinable(pieces) & ~np.asarray(pc.match_substring(pieces, _SPACE))
+        places = np.flatnonzero(rows)
+        offsets, data = P.buffers(pc.take(pieces, pa.array(places)))
+        parts, alone, at = [], [np.flatnonzero(~rows)], 0
+        while at < len(places):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _ROW, "right")) - 1)
+            text = data[offsets[at] : offsets[stop]].tobytes().decode()
+            ids = np.array(self.encode([text])[0], np.int32)
+            ends = np.cumsum(self.lengths[ids])
+            last = np.searchsorted(ends, offsets[at + 1 : stop + 1] - offsets[at])
+            if len(ends) and ends[-1] == offsets[stop] - offsets[at] and (ends[last] == offsets[at + 1 : stop + 1] - offsets[at]).all():
+                parts.append((places[at:stop], np.diff(last, prepend=-1), ids))
+            else:  # a token reaches over an end, or its bytes are not the text's
+                alone.append(places[at:stop])
+            at = stop
+        alone = np.concatenate(alone)
+        texts = pc.take(pieces, pa.array(alone)).cast(pa.string()).to_pylist()
+        for at in range(0, len(texts), 4096):
+            found = self.encode(texts[at : at + 4096])
+            own = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append((alone[at : at + 4096], own, np.concatenate([np.array(ids, np.int32) for ids in found])))
+        return P.lists(parts, len(pieces))
 
 
 def byte_level(file: bytes) -> _Side:
@@ -85,6 +113,38 @@ def byte_fallback(file: bytes) -> _Side:
     return _Side(lambda some: model.encode([s[1:] for s in some], num_threads=1), plain)
 
 
+class _Pair:
+    """Both tokenizers, with the ids of pieces that were met lately."""
+
+    def __init__(self, a: _Side, b: _Side) -> None:
+        self.a, self.b = a, b
+        self.memory = P.Memory(REMEMBERED)
+
+    def _made(self, pieces: pa.Array) -> list[bytes]:
+        """Per piece the number of its first ids, those, and its second ids."""
+        n = len(pieces)
+        a, b = self.a.lists(pieces), self.b.lists(pieces)
+        ca, cb = np.diff(np.asarray(a.offsets)), np.diff(np.asarray(b.offsets))
+        own = 1 + ca.astype(np.int64) + cb
+        starts = np.cumsum(own) - own
+        out = np.zeros(int(own.sum()), np.int32)
+        out[starts] = ca
+        out[P.ragged(starts + 1, ca)] = np.asarray(a.values)
+        out[P.ragged(starts + 1 + ca, cb)] = np.asarray(b.values)
+        return P.split(out, np.append(starts, len(out)) if n else np.zeros(1, np.int64))
+
+    def lists(self, pieces: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        numbers, starts, counts = P.joined(self.memory.values(pieces, self._made))
+        ca = numbers[starts].astype(np.int64)
+        cb = counts - 1 - ca
+
+        def lists(starts: np.ndarray, own: np.ndarray) -> pa.ListArray:
+            offsets = np.concatenate([[0], np.cumsum(own)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[P.ragged(starts, own)]))
+
+        return lists(starts + 1, ca), lists(starts + 1 + ca, cb)
+
+
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all lists, and the list each belongs to."""
     return np.asarray(pc.list_flatten(lists)), np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
@@ -124,11 +184,9 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 class _Pieces:
     """Distinct pieces of a chunk, aligned: their token, group and link counts, id pairs and group texts."""
 
-    def __init__(self, distinct: pa.Array, a: _Side, b: _Side) -> None:
-        n = len(distinct)
-        texts = distinct.cast(pa.string()).to_pylist()
-        (ia, pa_), (ib, pb) = _flat(a.lists(texts)), _flat(b.lists(texts))
-        del texts
+    def __init__(self, distinct: pa.Array, pair: _Pair) -> None:
+        n, a, b = len(distinct), pair.a, pair.b
+        (ia, pa_), (ib, pb) = map(_flat, pair.lists(distinct))
         self.ok = _lossless(distinct, a, ia, pa_) & _lossless(distinct, b, ib, pb)
         ka, kb = self.ok[pa_], self.ok[pb]
         ia, pa_, ib, pb = ia[ka], pa_[ka], ib[kb], pb[kb]
@@ -171,12 +229,12 @@ def _signs(a: int, b: int) -> pa.Array:
     return pa.array([f"{i}{end}".encode() for n, ends in ((a, ",|"), (b, ",;")) for end in ends for i in range(n)], pa.binary())
 
 
-def _chunk(texts: pa.Array, a: _Side, b: _Side) -> tuple[dict, np.ndarray, np.ndarray]:
+def _chunk(texts: pa.Array, tokenizers: _Pair) -> tuple[dict, np.ndarray, np.ndarray]:
     """Columns of a chunk's documents, and its distinct pairs with the number of documents that hold each."""
     blank = np.asarray(pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0))
     given = pc.binary_join_element_wise(pa.scalar(" "), pc.fill_null(texts, ""), pa.scalar(""))
     distinct, places, offsets = P.spaced(given)
-    aligned = _Pieces(distinct, a, b)
+    aligned = _Pieces(distinct, tokenizers)
     n = len(texts)
     good = ~blank & (P.run_sums(~aligned.ok[places], offsets) == 0)
     doc = np.repeat(np.arange(n), np.diff(offsets))
@@ -220,12 +278,12 @@ def aligned(
     schema = f"chunk long, row int, doc_id {id_type}, {counts}, groups string, pair binary, times binary, keys array<long>, held array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = P.loaded("byte level", a_file.value, byte_level)
-        b = P.loaded("byte fallback", b_file.value, byte_fallback)
+        load = lambda _: _Pair(byte_level(a_file.value), byte_fallback(b_file.value))
+        tokenizers = P.loaded("pair", a_file.value + b_file.value, load)
         chunk = TaskContext.get().partitionId() << 32
         for table in P.sized(batches, "text", chunk_bytes):
             n = table.num_rows
-            columns, keys, docs = _chunk(P.whole(table.column("text"), pa.string()), a, b)
+            columns, keys, docs = _chunk(P.whole(table.column("text"), pa.string()), tokenizers)
             ids = table.column("doc_id").combine_chunks()
             ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
             none = lambda k: pa.nulls(k, pa.list_(pa.int64()))
@@ -239,6 +297,8 @@ def aligned(
                 {"chunk": pa.array([chunk]), "row": pa.array([-1], pa.int32()), "doc_id": pa.nulls(1, ids.type), **own, **packed}
             )
             chunk += 1
+            del columns, own
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
