@@ -32,6 +32,7 @@ MIN_LETTERS, MIN_COUNT, RATIO = 7, 2, 10
 BITS_A_WORD, FILTER_BYTES = 20, 32 << 20
 #: 64-bit blocks in a segment of a filter, and words probed at once.
 _SEGMENT, _STEP = 1 << 13, 2048
+_WORDS_A_TASK = 50_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,7 +180,9 @@ def near_words(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
                 word, n, near = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(near, pa.string())], ["word", "n", "near"])
 
-    guessed = words.mapInArrow(probed, "word string, n long, near string")
+    # a word makes hundreds of probes: a few thousand words are a task, however small their table
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words.count() // _WORDS_A_TASK)
+    guessed = words.repartition(tasks).mapInArrow(probed, "word string, n long, near string")
     known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     pairs = guessed.join(known, "near").select("word", "n", "near", "near_n")
     both = F.array(*(F.struct(F.col(w).alias("word"), F.col(n).alias("n"), F.col(x).alias("near"), F.col(m).alias("near_n"))
