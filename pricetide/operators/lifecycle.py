@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricetide import schemas
 from pricetide.functions.dates import instant
 from pricetide.functions.numbers import heal_first_price, sane_price, truthy_flag
+from pricetide.operators import scans
 from pricetide.session import cut_lineage
 
 TENANT = ("population",)
@@ -261,6 +262,37 @@ def replay(obs: DataFrame, runs: DataFrame, grace: int = 2, keys: Sequence[str]
     )
 
 
+def sighting_events(sightings: DataFrame, grace_days: int, keys: Sequence[str] = ("population", "property_id")) -> DataFrame:
+    """All events of a closed log of sightings (seen_at, price, gone), with a grace in days instead of runs.
+
+    The batch counterpart of the streaming lifecycle. Each row sees its neighbours through time buckets,
+    so an entity may hold any part of the log. The last sighting's retirement counts, as for a closed stream.
+    """
+    keys = list(keys)
+    order = ["seen_at", "gone", "price"]
+    rows = sightings.select(*keys, "seen_at", F.col("price").cast("double").alias("price"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    rows = scans.neighbour(scans.neighbour(rows, keys, order, ["gone"]), keys, order, ["seen_at", "gone"], ahead=True)
+    seen = scans.neighbour(rows.where(~F.col("gone")), keys, ["seen_at", "price"], ["seen_at", "price"], prefix="last_")
+    grace = F.make_dt_interval(F.lit(grace_days))
+    ends = F.col("seen_at") + grace
+    number = F.lit(None).cast("double")
+
+    def event(when: Column, kind: str, at: Column, old: Column = number, new: Column = number) -> Column:
+        parts = (F.lit(kind).alias("event_type"), at.alias("event_date"), old.alias("old_price"), new.alias("new_price"))
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(*parts))
+
+    at, new, known = F.col("seen_at"), F.col("price"), F.col("last_seen_at").isNotNull()
+    returned = F.col("prev_gone") | (at > F.col("last_seen_at") + grace)
+    lapsed = F.col("next_seen_at").isNull() | (F.col("next_seen_at") > ends)
+    made = F.array(
+        event(~known, "inserted", at, new=new),
+        event(known & returned, "reactivated", at, new=new),
+        event(known & new.isNotNull() & ~new.eqNullSafe(F.col("last_price")), "price_change", at, F.col("last_price"), new),
+        event(lapsed | F.col("next_gone"), "inactive", F.when(lapsed, ends).otherwise(F.col("next_seen_at"))),
+    )
+    return seen.select(*keys, F.inline(F.filter(made, lambda e: e.isNotNull())))
+
+
 # ------------------------------------------------------------------ repairs and patches
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricetide.operators.lifecycle import sighting_events
 from pricetide.plans import views as V
 from pricetide.plans.registry import query
 from pricetide.plans.views import snug, snug_col, with_views
-from pricetide.session import scratch_folder
+from pricetide.session import cut_lineage, scratch_folder
 from pricetide.streaming import flows as S
 from pricetide.streaming.lifecycle import stream_lifecycle
 
@@ -29,14 +30,13 @@ def _events(spark, sf_dir):
     kind = (
         F.when(F.col("event_type") == "signup", "inserted")
         .when(F.col("event_type") == "error", "inactive")
-        .when(F.col("event_type") == "view", "reactivated")
+        .when(F.col("event_type").isin("view", "click"), "reactivated")
         .when(F.col("event_type") == "purchase", "price_change")
     )
     return (
         _stream(spark, sf_dir, "events")
         .withColumn("_region", (F.col("user_id") % 5).cast("int"))
         .join(_region_map(spark, sf_dir), "_region")
-        .where(F.col("event_type") != "click")
         .select(
             "population",
             F.col("event_id").alias("id"),
@@ -48,9 +48,17 @@ def _events(spark, sf_dir):
     )
 
 
-def _drain(spark, stream, mode="append"):
+def _drain(spark, stream):
+    """What the stream emits while it runs."""
     folder = scratch_folder(spark)
-    S.run_available(stream, f"{folder}/state", S.batch_table(f"{folder}/out", whole=mode == "complete"), mode)
+    S.run_available(stream, f"{folder}/state", S.batch_table(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _closed(spark, stream, build, ts="event_date"):
+    """What the stream has emitted once it is closed."""
+    folder = scratch_folder(spark)
+    S.run_closed(stream, build, folder, S.batch_table(f"{folder}/out"), ts)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -65,7 +73,7 @@ def _drain(spark, stream, mode="append"):
     ),
 )
 def stream_flows(spark, sf_dir):
-    return _drain(spark, S.daily_flows(_events(spark, sf_dir)), "complete")
+    return _closed(spark, _events(spark, sf_dir), S.daily_flows)
 
 
 @query(
@@ -81,7 +89,7 @@ def stream_flows(spark, sf_dir):
 )
 def stream_sessions(spark, sf_dir):
     seen = _events(spark, sf_dir).withColumnRenamed("event_date", "seen_at")
-    return _drain(spark, S.presence_sessions(seen, gap="6 hours"), "complete")
+    return _closed(spark, seen, lambda rows: S.presence_sessions(rows, gap="6 hours"), "seen_at")
 
 
 @query(
@@ -96,7 +104,7 @@ def stream_sessions(spark, sf_dir):
     ),
 )
 def stream_absorption(spark, sf_dir):
-    return _drain(spark, S.sliding_absorption(_events(spark, sf_dir), days=7), "complete")
+    return _closed(spark, _events(spark, sf_dir), lambda rows: S.sliding_absorption(rows, days=7))
 
 
 @query(
@@ -116,34 +124,106 @@ def stream_against_first(spark, sf_dir):
     )
 
 
-@query(
-    "stream_lifecycle",
-    with_views(
-        ["property_events"],
-        """seen AS (SELECT population, property_id, event_date AS seen_at, new_price AS price,
-            lag(event_date) OVER w AS last, lag(new_price) OVER w AS before FROM property_events
-            WHERE new_price IS NOT NULL WINDOW w AS (PARTITION BY population, property_id ORDER BY event_date))
-        SELECT population, property_id, 'inserted' AS event_type, CAST(NULL AS DOUBLE) AS old_price, price AS new_price
-          FROM seen WHERE last IS NULL
-        UNION ALL SELECT population, property_id, 'reactivated', NULL, price FROM seen
-          WHERE date_trunc('milliseconds', seen_at) - date_trunc('milliseconds', last) > INTERVAL 2 DAYS
-        UNION ALL SELECT population, property_id, 'inactive', NULL, NULL FROM seen
-          WHERE date_trunc('milliseconds', seen_at) - date_trunc('milliseconds', last) > INTERVAL 2 DAYS
-        UNION ALL SELECT population, property_id, 'price_change', before, price FROM seen
-          WHERE last IS NOT NULL AND price <> before""",
-    ),
-)
-def stream_lifecycle_query(spark, sf_dir):
-    """All events, with the retirements that a return follows; later timers still run when the files are drained."""
-    seen = (
-        _events(spark, sf_dir)
-        .where(F.col("new_price").isNotNull())
-        .select("population", "property_id", F.col("event_date").alias("seen_at"), F.col("new_price").alias("price"))
+_EVENTS_SQL = """steps AS (SELECT population, property_id, event_date AS t, event_type = 'inactive' AS gone, new_price AS price,
+    lag(event_type = 'inactive') OVER w AS after_gone, lead(event_date) OVER w AS next_t, lead(event_type = 'inactive') OVER w AS next_gone
+  FROM property_events WINDOW w AS (PARTITION BY population, property_id ORDER BY event_date, event_type = 'inactive', new_price NULLS FIRST)),
+seen AS (SELECT *, lag(t) OVER w AS last, lag(price) OVER w AS before FROM steps WHERE NOT gone
+  WINDOW w AS (PARTITION BY population, property_id ORDER BY t, price NULLS FIRST)),
+lifecycle AS (
+  SELECT population, property_id, 'inserted' AS event_type, t AS event_date, CAST(NULL AS DOUBLE) AS old_price, price AS new_price
+    FROM seen WHERE last IS NULL
+  UNION ALL SELECT population, property_id, 'reactivated', t, NULL, price FROM seen
+    WHERE last IS NOT NULL AND (after_gone OR t - last > INTERVAL 2 DAYS)
+  UNION ALL SELECT population, property_id, 'price_change', t, before, price FROM seen
+    WHERE last IS NOT NULL AND price IS NOT NULL AND price IS DISTINCT FROM before
+  UNION ALL SELECT population, property_id, 'inactive', t + INTERVAL 2 DAYS, NULL, NULL FROM seen
+    WHERE next_t IS NULL OR next_t - t > INTERVAL 2 DAYS
+  UNION ALL SELECT population, property_id, 'inactive', next_t, NULL, NULL FROM seen
+    WHERE next_gone AND next_t - t <= INTERVAL 2 DAYS)"""
+_LIFECYCLE_SQL = with_views(["property_events"], f"{_EVENTS_SQL} SELECT * FROM lifecycle")
+
+
+def _sightings(events):
+    """Every event is a sighting, but for those that take the entity off."""
+    return events.select(
+        "population",
+        "property_id",
+        F.col("event_date").alias("seen_at"),
+        F.col("new_price").alias("price"),
+        (F.col("event_type") == "inactive").alias("gone"),
     )
-    out = _drain(spark, stream_lifecycle(seen, grace_days=2))
-    back = out.where("event_type = 'reactivated'").groupBy("population", "property_id").agg(F.max("event_date").alias("_back"))
-    settled = (F.col("event_type") != "inactive") | (F.col("event_date") <= F.col("_back"))
-    return out.join(back, ["population", "property_id"], "left").where(settled).drop("event_date", "_back")
+
+
+@query("stream_lifecycle", _LIFECYCLE_SQL)
+def stream_lifecycle_query(spark, sf_dir):
+    """All events of all rows, with every retirement, also those that only the closing watermark fires."""
+    seen = _sightings(_events(spark, sf_dir))
+    return _closed(spark, seen, lambda rows: stream_lifecycle(rows, grace_days=2), "seen_at")
+
+
+@query("sighting_events", _LIFECYCLE_SQL)
+def sighting_events_query(spark, sf_dir):
+    return sighting_events(_sightings(V.property_events(spark, sf_dir)), grace_days=2)
+
+
+# A row arrives with the eight days of its event time; one in fifty comes two such deliveries later.
+_ARRIVAL_DAYS, _LATE_EVERY, _LATE_BY, _DELAY = 8, 50, 2, "2 days"
+_ARRIVALS_SQL = f"""arrivals AS (SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(event_date AS DATE)) / {_ARRIVAL_DAYS}.0) AS INT)
+    + CASE WHEN id % {_LATE_EVERY} = 0 THEN {_LATE_BY} ELSE 0 END AS arrival FROM property_events),
+tops AS (SELECT arrival, max(max(epoch_ms(event_date))) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - 2 * 86400000 AS passed FROM arrivals GROUP BY arrival),
+sides AS (SELECT a.*, coalesce(epoch_us(event_date) <= passed * 1000, false) AS late FROM arrivals a JOIN tops USING (arrival))"""
+
+
+def _delivered(spark, sf_dir, build):
+    """Run a stream over the events, delivered in parts of which some rows come late; the folder of its results.
+
+    Each delivery is a run of its own on the same checkpoint, as a job that is started again and again.
+    """
+    folder = scratch_folder(spark)
+    days = F.date_diff(F.col("event_date"), F.lit("2024-01-01").cast("date"))
+    late = F.when(F.col("id") % _LATE_EVERY == 0, _LATE_BY).otherwise(0)
+    rows = cut_lineage(V.property_events(spark, sf_dir).withColumn("arrival", (F.floor(days / _ARRIVAL_DAYS) + late).cast("int")))
+    inbox = rows.drop("arrival")
+    inbox.limit(0).write.parquet(f"{folder}/inbox")
+    stream = build(S.read_stream(spark, f"{folder}/inbox", inbox.schema))
+    for (arrival,) in sorted(rows.select("arrival").distinct().collect()):
+        rows.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(f"{folder}/inbox")
+        S.run_available(stream, f"{folder}/state", S.batch_table(f"{folder}/out", ["late"]))
+    return f"{folder}/out", inbox.schema
+
+
+def _split(stream):
+    return S.split_late(stream, "event_date", _DELAY, V.ENTITY)
+
+
+_SIDE_SQL = with_views(["property_events"], f"{_ARRIVALS_SQL} SELECT * EXCLUDE (arrival, late) FROM sides WHERE {{}} late")
+
+
+@query("stream_on_time", _SIDE_SQL.format("NOT"))
+def stream_on_time(spark, sf_dir):
+    out, schema = _delivered(spark, sf_dir, _split)
+    return S.late_table(spark, out, schema, late=False)
+
+
+@query("stream_late_rows", _SIDE_SQL.format(""))
+def stream_late_rows(spark, sf_dir):
+    """The side table: each row that came after the watermark had passed it, once."""
+    out, schema = _delivered(spark, sf_dir, _split)
+    return S.late_table(spark, out, schema, late=True)
+
+
+@query("stream_reconciled", _LIFECYCLE_SQL)
+def stream_reconciled(spark, sf_dir):
+    """The lifecycle of the rows on time, with the entities of the late rows replayed: as if none had been late."""
+    out, schema = _delivered(spark, sf_dir, _split)
+    on_time, late = (S.late_table(spark, out, schema, late=side) for side in (False, True))
+    folder = scratch_folder(spark)
+    on_time.write.parquet(f"{folder}/on_time")
+    stream = _sightings(S.read_stream(spark, f"{folder}/on_time", on_time.schema))
+    streamed = _closed(spark, stream, lambda rows: stream_lifecycle(rows, grace_days=2), "seen_at")
+    replay = lambda rows: sighting_events(rows, grace_days=2)
+    return S.reconcile(streamed, _sightings(on_time), _sightings(late), replay, V.ENTITY)
 
 
 @query(

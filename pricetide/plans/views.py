@@ -135,20 +135,16 @@ def property_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (
         F.when(F.col("event_type") == "signup", "inserted")
         .when(F.col("event_type") == "error", "inactive")
-        .when(F.col("event_type") == "view", "reactivated")
+        .when(F.col("event_type").isin("view", "click"), "reactivated")
         .when(F.col("event_type") == "purchase", "price_change")
     )
-    events = (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type") != "click")
-        .select(
-            F.col("event_id").alias("id"),
-            F.col("user_id"),
-            F.col("user_id").cast("string").alias("property_id"),
-            kind.alias("event_type"),
-            F.col("ts").alias("event_date"),
-            F.when(F.col("event_type") == "purchase", F.col("value")).alias("new_price"),
-        )
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id"),
+        F.col("user_id").cast("string").alias("property_id"),
+        kind.alias("event_type"),
+        F.col("ts").alias("event_date"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("new_price"),
     )
     return _population(spark, sf_dir, F.col("user_id"), events).drop("user_id")
 
@@ -164,7 +160,7 @@ def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current state of the event entities."""
-    flips = F.col("event_type").isin("error", "view")
+    flips = F.col("event_type").isin("error", "view", "click")
     events = table(spark, sf_dir, "events")
     folded = events.groupBy("user_id").agg(
         F.min("ts").alias("first_seen"),
@@ -247,9 +243,9 @@ _SQL = {
     "property_events": """
       SELECT r.r_name AS population, e.event_id AS id, CAST(e.user_id AS VARCHAR) AS property_id,
              CASE e.event_type WHEN 'signup' THEN 'inserted' WHEN 'error' THEN 'inactive'
-                  WHEN 'view' THEN 'reactivated' WHEN 'purchase' THEN 'price_change' END AS event_type,
+                  WHEN 'view' THEN 'reactivated' WHEN 'click' THEN 'reactivated' WHEN 'purchase' THEN 'price_change' END AS event_type,
              e.ts AS event_date, CASE WHEN e.event_type = 'purchase' THEN e.value END AS new_price
-      FROM events e JOIN region r ON r.r_regionkey = e.user_id % 5 WHERE e.event_type <> 'click'""",
+      FROM events e JOIN region r ON r.r_regionkey = e.user_id % 5""",
     "event_history": """
       SELECT population, property_id, id, event_date AS date, new_price AS price
       FROM property_events WHERE new_price IS NOT NULL""",
@@ -259,7 +255,7 @@ _SQL = {
              CASE WHEN flip = 'error' THEN 'inactive' ELSE 'active' END AS status
       FROM (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen,
                    (array_agg(event_type ORDER BY ts DESC, event_id DESC)
-                      FILTER (WHERE event_type IN ('error', 'view')))[1] AS flip,
+                      FILTER (WHERE event_type IN ('error', 'view', 'click')))[1] AS flip,
                    (array_agg(value ORDER BY ts, event_id))[1] AS price_first_seen,
                    (array_agg(value ORDER BY ts DESC, event_id DESC))[1] AS price
             FROM events GROUP BY user_id) JOIN region r ON r.r_regionkey = user_id % 5""",

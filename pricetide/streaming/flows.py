@@ -1,9 +1,15 @@
-"""Stateful aggregates on streams: repeats, daily flows, presence sessions, enrichment and alerts."""
+"""Stateful aggregates on streams: repeats, daily flows, presence sessions, enrichment and alerts.
+
+All aggregates work in append mode: a window or session is emitted once, when the watermark has passed
+it, and leaves the state. A stream that ends is closed by a row far ahead in event time (`closing`).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +44,13 @@ def daily_flows(events: DataFrame, ts: str = "event_date", delay: str = "2 days"
 def sliding_absorption(
     events: DataFrame, ts: str = "event_date", delay: str = "2 days", days: int = 28, keys: Sequence[str] = TENANT
 ) -> DataFrame:
-    """Removals within the trailing window, advancing daily."""
+    """Removals within the trailing window, advancing daily. Rows without a kind only move the watermark."""
+    removed = F.col("event_type") == "inactive"
     return (
-        events.where(F.col("event_type") == "inactive")
+        events.where(removed | F.col("event_type").isNull())
         .withWatermark(ts, delay)
         .groupBy(*keys, F.window(ts, f"{days} days", "1 day").alias("_w"))
-        .agg(F.count(F.lit(1)).alias("removed"))
+        .agg(F.count_if(removed).alias("removed"))
         .select(*keys, F.col("_w.end").cast("date").alias("until"), "removed")
     )
 
@@ -72,36 +79,114 @@ def against_first_price(events: DataFrame, properties: DataFrame, keys: Sequence
     )
 
 
+#: State in RocksDB: on the executor's disk, checkpointed as changes, so it may outgrow memory.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(
     stream: DataFrame,
     checkpoint: str,
     write: Callable[[DataFrame, int], None],
     mode: str = "append",
-) -> None:
-    """Process what has arrived, batch by batch, then stop."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+) -> list[dict]:
+    """Process what has arrived, batch by batch, then stop; the progress of each batch."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKS)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(_STORE, before)
     query.awaitTermination()
+    return query.recentProgress
 
 
-def batch_table(path: str, whole: bool = False) -> Callable[[DataFrame, int], None]:
-    """Sink for `run_available`: one folder per batch, so a repeated batch replaces itself.
-
-    `whole` keeps only the newest result, for streams that emit their full table each time.
-    """
+def batch_table(path: str, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """Append sink for `run_available`: one folder per batch, so a repeated batch replaces itself and no row is written twice."""
 
     def write(df: DataFrame, batch: int) -> None:
-        target = path if whole else f"{path}/batch={batch}"
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
 
     return write
 
 
+def closing(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream together with the closing row that `close` will put into `folder`."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def close(spark: SparkSession, schema: T.StructType, folder: str, ts: str, at: str = "2200-01-01 00:00:00") -> None:
+    """Put a row into `folder` that has only an event time, far ahead: with it the watermark passes all others."""
+    columns = [F.lit(at).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*columns).write.mode("append").parquet(folder)
+
+
+def run_closed(
+    stream: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, write: Callable[[DataFrame, int], None], ts: str
+) -> list[dict]:
+    """Process all that has arrived, then the closing row, in append mode: the result is complete."""
+    query = build(closing(stream, f"{folder}/closing"))
+    done = run_available(query, f"{folder}/state", write)
+    close(stream.sparkSession, stream.schema, f"{folder}/closing", ts)
+    return done + run_available(query, f"{folder}/state", write)
+
+
+# ------------------------------------------------------------------ late rows
+
+
+def split_late(events: DataFrame, ts: str, delay: str, keys: Sequence[str], parts: int = 64) -> DataFrame:
+    """The stream with `late`: whether the watermark had passed a row before it arrived.
+
+    A stateful operator sees the watermark of its batch; the state is one number of late rows for each of
+    `parts`. Rows pass as packed text, so all types come out as they went in; a row without an event time is never late.
+    """
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    options = {"timestampFormat": micros, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    packed = events.select(
+        F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part"), F.col(ts).alias("at"), F.to_json(F.struct(*events.columns), options).alias("row")
+    )
+
+    def mark(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        passed = np.datetime64(state.getCurrentWatermarkMs(), "ms")
+        count = state.get[0] if state.exists else 0
+        for batch in batches:
+            late = batch["at"].to_numpy().astype("datetime64[us]") <= passed
+            count += int(late.sum())
+            yield pd.DataFrame({"row": batch["row"], "late": late})
+        state.update((count,))
+
+    marked = (
+        packed.withWatermark("at", delay)
+        .groupBy("part")
+        .applyInPandasWithState(mark, "row string, late boolean", "late long", "append", "NoTimeout")
+    )
+    return marked.select(F.from_json("row", events.schema, options).alias("row"), "late").select("row.*", "late")
+
+
+def late_table(spark: SparkSession, path: str, schema: T.StructType, late: bool) -> DataFrame:
+    """One side of what `batch_table(path, ["late"])` wrote of a split stream."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("late", T.BooleanType())])).parquet(path).where(F.col("late") == late).drop("late", "batch")
+
+
+def reconcile(streamed: DataFrame, on_time: DataFrame, late: DataFrame, replay: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The events of a stream, with those of every entity that has late rows made anew from all its rows.
+
+    Only these entities are replayed; what the stream said of all others stands.
+    """
+    touched = late.select(*keys).distinct()
+    rows = on_time.unionByName(late).join(touched, list(keys), "left_semi")
+    return streamed.join(touched, list(keys), "left_anti").unionByName(replay(rows).select(*streamed.columns))
+
+
 def alert_sink(path: str, properties: DataFrame, is_match, message) -> Callable[[DataFrame, int], None]:
     """Sink that joins a batch of events with current facts and writes the alerts it raises."""
 

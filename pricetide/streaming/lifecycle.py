@@ -4,61 +4,145 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+_COLUMNS = ["population", "property_id", "event_type", "event_date", "old_price", "new_price"]
 _OUT = (
     "population string, property_id string, event_type string, event_date timestamp, old_price double, "
     "new_price double"
 )
-_STATE = "last_seen long, price double, active boolean"
+_DAY = 86_400_000_000
 
 
-def stream_lifecycle(sightings: DataFrame, grace_days: int, delay: str = "2 days") -> DataFrame:
-    """Events per entity from sightings (population, property_id, seen_at, price).
+class Lifecycle(StatefulProcessor):
+    """One entity's state, and its sightings that wait for the watermark.
 
-    State is one small row per entity. An entity unseen for `grace_days` is retired by an
-    event-time timer; sightings later than the watermark are left to the batch replay.
+    Sightings wait in the state, in buckets of event time, and are taken in event-time order once the
+    watermark has passed a bucket, so neither arrival order nor the cut into batches changes
+    the result. A call holds one bucket of one entity. An entity has one timer at a time: for its
+    next waiting bucket, else for its retirement, else for forgetting it.
     """
-    grace = int(grace_days) * 86_400_000
-
-    def advance(key, batches: Iterator[pd.DataFrame], state):
-        rows = []
-
-        def emit(kind, ms, old=None, new=None):
-            rows.append((*key, kind, pd.Timestamp(ms, unit="ms"), old, new))
-
-        if state.hasTimedOut:
-            last, price, _ = state.get
-            emit("inactive", last + grace)
-            state.update((last, price, False))
-        else:
-            last, price, active = state.get if state.exists else (None, None, False)
-            seen = pd.concat(list(batches)).sort_values(["seen_at", "price"])
-            stamps = seen["seen_at"].to_numpy().astype("datetime64[ms]").astype("int64")
-            for ms, asked in zip(stamps.tolist(), seen["price"].tolist()):
-                asked = None if pd.isna(asked) else float(asked)
-                if last is None:
-                    emit("inserted", ms, None, asked)
-                else:
-                    if active and ms - last > grace:
-                        emit("inactive", last + grace)
-                        active = False
-                    if not active:
-                        emit("reactivated", ms, None, asked)
-                    if asked is not None and asked != price:
-                        emit("price_change", ms, price, asked)
-                last, price, active = ms if last is None else max(last, ms), asked, True
-            state.update((last, price, active))
-            state.setTimeoutTimestamp(max(last + grace, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            rows, columns=["population", "property_id", "event_type", "event_date", "old_price", "new_price"]
-        )
 
+    def __init__(self, grace: int, bucket: int, forget: int | None) -> None:
+        self.grace, self.bucket, self.forget = grace, bucket, forget
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "last_seen bigint, price double, active boolean")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.waiting = handle.getMapState("waiting", "bucket bigint", "rows array<struct<at:bigint,gone:boolean,price:double>>")
+
+    def _end(self, at: int) -> int:
+        """End, in milliseconds, of the bucket that holds an instant in microseconds."""
+        return (at // self.bucket + 1) * self.bucket // 1000
+
+    def _wake(self, at: int) -> None:
+        """See that the entity is woken at `at` or before."""
+        planned = self.timer.get()[0] if self.timer.exists() else None
+        if planned is None or at < planned:
+            if planned is not None:
+                self.handle.deleteTimer(planned)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        first = None
+        for batch in rows:
+            at = batch["seen_at"].to_numpy().astype("datetime64[us]").astype("int64")
+            buckets = at // self.bucket
+            gone, price = batch["gone"].to_numpy(bool), batch["price"].to_numpy(float, na_value=np.nan)
+            for b in np.unique(buckets).tolist():
+                end = (b + 1) * self.bucket // 1000
+                if end <= passed:
+                    continue  # settled already; these rows belong to the batch reconciliation
+                own = np.flatnonzero(buckets == b)
+                new = [(int(at[k]), bool(gone[k]), None if np.isnan(price[k]) else float(price[k])) for k in own]
+                old = self.waiting.getValue((b,))[0] if self.waiting.containsKey((b,)) else []
+                self.waiting.updateValue((b,), ([tuple(r) for r in old] + new,))
+                first = end if first is None else min(first, end)
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        ends = sorted(((b + 1) * self.bucket // 1000, b) for (b,) in self.waiting.keys())
+        last, price, active = self.known.get() if self.known.exists() else (None, None, False)
+        for end, b in ends:
+            if end > passed:
+                break
+            rows = sorted((tuple(r) for r in self.waiting.getValue((b,))[0]), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0.0))
+            made, last, price, active = self._taken(rows, last, price, active)
+            self.waiting.removeKey((b,))
+            yield self._frame(key, made)
+        later = [end for end, _ in ends if end > passed]
+        if active and self._end(last + self.grace) <= passed:
+            yield self._frame(key, [("inactive", last + self.grace, None, None)])
+            active = False
+        if last is not None:
+            self.known.update((last, price, active))
+        if active:
+            later.append(self._end(last + self.grace))
+        elif last is not None and self.forget is not None:
+            forgotten = self._end(last + self.forget)
+            if forgotten <= passed and not later:
+                self.known.clear()
+            else:
+                later.append(max(forgotten, passed + 1))
+        if later:
+            self._wake(min(later))
+
+    def _taken(self, rows, last, price, active):
+        """Events of sightings in order, and the state after them."""
+        made = []
+        for at, gone, asked in rows:
+            if active and at - last > self.grace:
+                made.append(("inactive", last + self.grace, None, None))
+                active = False
+            if gone:
+                if active:
+                    made.append(("inactive", at, None, None))
+                active = False
+                continue
+            if last is None:
+                made.append(("inserted", at, None, asked))
+            else:
+                if not active:
+                    made.append(("reactivated", at, None, asked))
+                if asked is not None and asked != price:
+                    made.append(("price_change", at, price, asked))
+            last, price, active = at, asked, True
+        return made, last, price, active
+
+    @staticmethod
+    def _frame(key, made) -> pd.DataFrame:
+        frame = pd.DataFrame([(*key, kind, pd.Timestamp(at, unit="us"), old, new) for kind, at, old, new in made], columns=_COLUMNS)
+        return frame.astype({"event_date": "datetime64[us]", "old_price": float, "new_price": float})
+
+
+def stream_lifecycle(
+    sightings: DataFrame, grace_days: int, delay: str = "2 days", bucket_hours: int = 6, forget_days: int | None = None
+) -> DataFrame:
+    """Events per entity from sightings (population, property_id, seen_at, price, and gone if a row takes the entity off).
+
+    An entity unseen for more than `grace_days` is retired, at the instant its grace ends; `gone` retires
+    it at once. Events appear when the watermark has passed them, retirements also
+    without a later row of their entity. State is a small row per entity and the rows that wait for the
+    watermark; with `forget_days`, an entity unseen so long is dropped from it and counts as new when it
+    comes back. Rows whose bucket has been settled are left out: `flows.split_late` keeps them aside.
+    """
+    gone = F.coalesce("gone", F.lit(False)) if "gone" in sightings.columns else F.lit(False)
+    processor = Lifecycle(int(grace_days) * _DAY, int(bucket_hours) * 3_600_000_000, None if forget_days is None else int(forget_days) * _DAY)
     return (
-        sightings.select("population", "property_id", "seen_at", F.col("price").cast("double").alias("price"))
+        sightings.select("population", "property_id", "seen_at", F.col("price").cast("double").alias("price"), gone.alias("gone"))
         .withWatermark("seen_at", delay)
         .groupBy("population", "property_id")
-        .applyInPandasWithState(advance, _OUT, _STATE, "append", "EventTimeTimeout")
+        .transformWithStateInPandas(processor, _OUT, "append", "eventTime")
+        .where(F.col("property_id").isNotNull())
     )
