@@ -35,8 +35,8 @@ from pricetide.session import cut_lineage
 
 #: Bytes of text in a chunk: larger ones send fewer pairs, smaller ones need less memory.
 CHUNK_BYTES = 4 << 20
-#: Pieces whose ids a worker remembers from chunk to chunk, in each of two generations.
-REMEMBERED = 250_000
+#: Pieces whose ids a worker remembers from chunk to chunk.
+REMEMBERED = 800_000
 
 _SPACE = "▁".encode()
 
@@ -50,7 +50,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 #: Bytes of pieces that go through a tokenizer in a row.
-_ROW = 1 << 16
+_ROW = 1 << 12
 
 
 class _Side:
@@ -62,8 +62,8 @@ class _Side:
         self.lengths = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
         self.size = len(token_bytes)
 
-    def lists(self, pieces: pa.Array) -> pa.ListArray:
-        """Ids of each piece. Spaced words go in a row and are told apart by their ends; others go one by one."""
+    def ids(self, pieces: pa.Array) -> P.Made:
+        """Ids of all pieces, and how many each has. Spaced words go in a row and are told apart by their ends; others go one by one."""
         rows = P.joinable(pieces) & ~np.asarray(pc.match_substring(pieces, _SPACE))
         places = np.flatnonzero(rows)
         offsets, data = P.buffers(pc.take(pieces, pa.array(places)))
@@ -85,7 +85,7 @@ class _Side:
             found = self.encode(texts[at : at + 4096])
             own = np.fromiter(map(len, found), np.int64, len(found))
             parts.append((alone[at : at + 4096], own, np.concatenate([np.array(ids, np.int32) for ids in found])))
-        return P.lists(parts, len(pieces))
+        return P.in_order(parts, len(pieces))
 
 
 def byte_level(file: bytes) -> _Side:
@@ -96,7 +96,7 @@ def byte_level(file: bytes) -> _Side:
     size = tokenizer.get_vocab_size()
     tokens = [tokenizer.id_to_token(i) or "" for i in range(size)]
     plain = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens]
-    return _Side(lambda some: [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)], plain)
+    return _Side(lambda some: [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)], plain)
 
 
 def byte_fallback(file: bytes) -> _Side:
@@ -120,21 +120,19 @@ class _Pair:
         self.a, self.b = a, b
         self.memory = P.Memory(REMEMBERED)
 
-    def _made(self, pieces: pa.Array) -> list[bytes]:
+    def _made(self, pieces: pa.Array) -> P.Made:
         """Per piece the number of its first ids, those, and its second ids."""
-        n = len(pieces)
-        a, b = self.a.lists(pieces), self.b.lists(pieces)
-        ca, cb = np.diff(np.asarray(a.offsets)), np.diff(np.asarray(b.offsets))
-        own = 1 + ca.astype(np.int64) + cb
+        (a, ca), (b, cb) = self.a.ids(pieces), self.b.ids(pieces)
+        own = 1 + ca + cb
         starts = np.cumsum(own) - own
         out = np.zeros(int(own.sum()), np.int32)
         out[starts] = ca
-        out[P.ragged(starts + 1, ca)] = np.asarray(a.values)
-        out[P.ragged(starts + 1 + ca, cb)] = np.asarray(b.values)
-        return P.split(out, np.append(starts, len(out)) if n else np.zeros(1, np.int64))
+        out[P.ragged(starts + 1, ca)] = a
+        out[P.ragged(starts + 1 + ca, cb)] = b
+        return out, own
 
     def lists(self, pieces: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
-        numbers, starts, counts = P.joined(self.memory.values(pieces, self._made))
+        numbers, starts, counts = self.memory.values(pieces, self._made)
         ca = numbers[starts].astype(np.int64)
         cb = counts - 1 - ca
 

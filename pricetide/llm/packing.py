@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,8 +38,8 @@ from pricetide.session import cut_lineage
 MAGIC = b"PTIDPK01"
 #: Ids of a full block, and bytes of text a file is meant to hold.
 BLOCK_IDS, FILE_BYTES = 1 << 16, 256 << 20
-#: Bytes of text that are encoded at once, and words a worker remembers in each of two generations.
-TEXT_BYTES, REMEMBERED = 8 << 20, 250_000
+#: Bytes of text that are encoded at once, and words a worker remembers.
+TEXT_BYTES, REMEMBERED = 8 << 20, 1_500_000
 _HEADER, _TRAILER = struct.Struct("<8sII"), struct.Struct("<QQQQI8s")
 
 
@@ -139,46 +140,70 @@ class IdFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: Kinds of bytes in plain words: letters (ASCII, and the two bytes of U+00C0 to U+00FF), digits, other signs.
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_KIND = np.zeros(256, np.int8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[list(b"'<|")] = 0  # may start a contraction or a special token
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+
+
 class WordEncoder:
-    """Ids of whole texts, for a tokenizer that drops white space: a new word goes through the library once.
+    """Ids of whole texts, for a tokenizer that drops white space and marks the ends of its words.
 
-    Many words go in a row, parted by a mark that is a word of one id; words that hold the mark go one by one.
+    A new word goes through the library once. Plain words go many in a row, told apart by the number of
+    ends in each: one for each run of letters, each digit and each run of signs. Others go one by one.
     """
 
-    MARK = b"\x7f"
+    ROW = 256
 
     def __init__(self, file: bytes) -> None:
         self.tokenizer = Tokenizer.from_buffer(file)
         self.memory = P.Memory(REMEMBERED)
-        self.mark = self._ids([self.MARK.decode()])[0]
-        if len(self.mark) != 1:
-            raise ValueError("the mark between words is more than one id of this vocabulary")
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _made(self, words: pa.Array, step: int = 4096) -> list[bytes]:
-        out, all_words = [], words.to_pylist()
-        for at in range(0, len(all_words), step):
-            some = all_words[at : at + step]
-            row = (b" " + self.MARK + b" ").join(b"" if self.MARK in w else w for w in some)
-            ids = np.array(self._ids([row.decode()])[0], np.int32)
-            marks = np.flatnonzero(ids == self.mark[0])
-            if len(marks) != len(some) - 1:
-                raise ValueError("a word of this vocabulary reads as the mark")
-            starts, ends = np.append(0, marks + 1), np.append(marks, len(ids))
-            data = ids.astype("<i4").tobytes()
-            made = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-            for k, w in enumerate(some):
-                if self.MARK in w:
-                    made[k] = np.array(self._ids([w.decode()])[0], "<i4").tobytes()
-            out += made
-        return out
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(words: pa.Array) -> np.ndarray:
+        """Word ends of each plain word, 0 for others."""
+        offsets, data = P.buffers(words)
+        kind = _KIND[data]
+        second = np.flatnonzero(data == 0xC3) + 1  # of a letter; the signs U+00D7 and U+00F7 are none
+        kind[second] = np.where((data[second] == 0x97) | (data[second] == 0xB7), 0, _LETTER)
+        new = kind != np.concatenate([[0], kind[:-1]])
+        new[offsets[:-1]] = True
+        new |= kind == _DIGIT
+        return np.where(P.run_sums(kind == 0, offsets) == 0, P.run_sums(new, offsets), 0)
+
+    def _made(self, words: pa.Array) -> P.Made:
+        parts = self._parts(words)
+        plain = np.flatnonzero(parts)
+        alone, made = [np.flatnonzero(parts == 0)], []
+        texts = pc.take(words, pa.array(plain)).to_pylist()
+        for at in range(0, len(plain), self.ROW):
+            places = plain[at : at + self.ROW]
+            ids = np.array(self._ids([b" ".join(texts[at : at + self.ROW]).decode()])[0], np.int32)
+            ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(parts[places]) - 1
+            if len(ends) == last[-1] + 1:
+                made.append((places, np.diff(ends[last], prepend=-1), ids))
+            else:
+                alone.append(places)
+        alone = np.concatenate(alone)
+        texts = pc.take(words, pa.array(alone)).cast(pa.string()).to_pylist()
+        for at in range(0, len(texts), 4096):
+            found = self._ids(texts[at : at + 4096])
+            own = np.fromiter(map(len, found), np.int64, len(found))
+            made.append((alone[at : at + 4096], own, np.concatenate([np.array(ids, np.int32) for ids in found])))
+        return P.in_order(made, len(words))
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text where it is given, and the texts' offsets among them."""
         distinct, places, offsets = P.words(texts)
-        numbers, starts, counts = P.joined(self.memory.values(distinct, self._made))
+        numbers, starts, counts = self.memory.values(distinct, self._made)
         own = counts[places]
         ids = numbers[P.ragged(starts[places], own)].astype(np.uint32)
         ends = np.concatenate([[0], np.cumsum(own)])[offsets]

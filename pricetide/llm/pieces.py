@@ -153,60 +153,60 @@ def loaded(kind: str, file: bytes, load: Callable[[bytes], object]):
     return _LOADED[key]
 
 
+#: What is made of some pieces: all their numbers, and how many each has.
+Made = tuple[np.ndarray, np.ndarray]
+
+
 class Memory:
-    """What was made of pieces met lately, in a worker process.
+    """What was made of pieces met lately, in a worker process: plain arrays, some 40 bytes a piece.
 
-    Two generations bound it: a full one becomes the old one, and what is met again moves on.
+    A full memory keeps the half that was met last.
     """
 
-    def __init__(self, pieces: int, longest: int = 40) -> None:
-        self.size, self.longest = pieces, longest
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def values(self, distinct: pa.Array, make: Callable[[pa.Array], list[bytes]]) -> list[bytes]:
-        """The value of each piece; `make` is asked once, for those that are not remembered."""
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
-        keys = distinct.to_pylist()
-        found = list(map(self.new.get, keys))
-        late = [k for k, value in enumerate(found) if value is None]
-        missing = []
-        for k in late:
-            value = self.old.get(keys[k])
-            if value is None:
-                missing.append(k)
-            else:
-                found[k] = self.new[keys[k]] = value
-        for k, value in zip(missing, make(pc.take(distinct, pa.array(missing, pa.int32())))):
-            found[k] = value
-            if len(keys[k]) <= self.longest:
-                self.new[keys[k]] = value
-        return found
-
-
-def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All numbers of packed values, and where each value starts and how many numbers it has."""
-    numbers = np.frombuffer(b"".join(values), "<i4")
-    counts = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    return numbers, np.cumsum(counts) - counts, counts
-
-
-def split(numbers: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Packed numbers of the runs between consecutive offsets."""
-    data, ends = numbers.astype("<i4").tobytes(), (offsets * 4).tolist()
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-
-def lists(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.ListArray:
-    """Lists of ids by place, from parts of (places, ids of each, ids)."""
+    def __init__(self, size: int, longest: int = 40) -> None:
+        self.size, self.longest, self.now = size, longest, 0
+        self.pieces = pa.array([], pa.binary())
+        self.numbers, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def values(self, distinct: pa.Array, make: Callable[[pa.Array], Made]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, and where those of each piece start and how many they are; `make` is asked for what is not remembered."""
+        self.now += 1
+        at = pc.index_in(distinct, value_set=self.pieces)
+        new = np.asarray(pc.is_null(at))
+        at = np.asarray(pc.fill_null(at, 0)).astype(np.int64)
+        fresh = pc.filter(distinct, pa.array(new))
+        made, own = make(fresh)
+        numbers = np.concatenate([self.numbers, made])
+        begun = np.cumsum(own) - own + len(self.numbers)
+        starts, counts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        starts[new], counts[new] = begun, own
+        old = at[~new]
+        starts[~new], counts[~new] = self.starts[old], self.counts[old]
+        self.met[old] = self.now
+        self._keep(fresh, numbers, begun, own)
+        return numbers, starts, counts
+
+    def _keep(self, fresh: pa.Array, numbers: np.ndarray, begun: np.ndarray, own: np.ndarray) -> None:
+        short = np.asarray(pc.less_equal(pc.binary_length(fresh), self.longest))
+        pieces = pa.concat_arrays([self.pieces, pc.filter(fresh, pa.array(short))])
+        starts, counts = np.concatenate([self.starts, begun[short]]), np.concatenate([self.counts, own[short]])
+        met = np.concatenate([self.met, np.full(int(short.sum()), self.now)])
+        if len(pieces) > self.size:
+            last = np.sort(np.argpartition(met, len(met) - self.size // 2)[-(self.size // 2) :])
+            pieces, starts, counts, met = pc.take(pieces, pa.array(last)), starts[last], counts[last], met[last]
+        self.pieces, self.met, self.counts = pieces, met, counts
+        self.numbers, self.starts = numbers[ragged(starts, counts)], np.cumsum(counts) - counts
+
+
+def in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Made:
+    """Numbers by place, from parts of (places, how many each has, numbers)."""
     counts = np.zeros(n, np.int64)
     starts = np.zeros(n, np.int64)
     at = 0
-    for places, own, ids in parts:
+    for places, own, numbers in parts:
         counts[places] = own
         starts[places] = at + np.cumsum(own) - own
-        at += len(ids)
-    flat = np.concatenate([np.zeros(0, np.int32), *(ids for _, _, ids in parts)])
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[ragged(starts, counts)]))
+        at += len(numbers)
+    flat = np.concatenate([np.zeros(0, np.int32), *(numbers for _, _, numbers in parts)])
+    return flat[ragged(starts, counts)], counts
