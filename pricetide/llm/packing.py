@@ -39,7 +39,7 @@ MAGIC = b"PTIDPK01"
 #: Ids of a full block, and bytes of text a file is meant to hold.
 BLOCK_IDS, FILE_BYTES = 1 << 16, 256 << 20
 #: Bytes of text that are encoded at once, and words a worker remembers.
-TEXT_BYTES, REMEMBERED = 8 << 20, 1_500_000
+TEXT_BYTES, REMEMBERED = 4 << 20, 600_000
 _HEADER, _TRAILER = struct.Struct("<8sII"), struct.Struct("<QQQQI8s")
 
 
@@ -239,6 +239,7 @@ def write(
                 ids, offsets = encoder.encode(P.whole(table.column("text"), pa.string()).fill_null(""), end)
                 for k, doc_id in enumerate(table.column("doc_id").to_pylist()):
                     yield doc_id, ids[offsets[k] : offsets[k + 1]]
+                pa.default_memory_pool().release_unused()
 
         found = documents()
         for first in found:  # a part without rows leaves no file
