@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.dates import period
 from pricetide.functions.numbers import half_even, ratio
-from pricetide.operators.ordering import quantiles
+from pricetide.operators.ordering import quantiles, running_quantiles
 from pricetide.session import cut_lineage
 
 TENANT = ("population",)
@@ -51,32 +51,35 @@ def trend_slope(
 
 
 def market_daily(
-    panel: DataFrame, features: DataFrame, band: tuple[float, float], keys: Sequence[str] = TENANT
+    spans: DataFrame, features: DataFrame, band: tuple[float, float], keys: Sequence[str] = TENANT
 ) -> DataFrame:
-    """Inventory, price levels, cut breadth, flows, absorption and months of supply per day."""
+    """Inventory, price levels, cut breadth, flows, absorption and months of supply per day.
+
+    `spans` are runs of days at one price (`panel.price_spans`): all levels come from where runs begin and end.
+    """
     keys = list(keys)
     effective = "effective_first_seen" if "effective_first_seen" in features.columns else "first_seen"
     facts = features.select(*keys, "property_id", "sqm", "price_first_seen")
     rows = (
-        panel.where(F.col("price").between(*band))
+        spans.where(F.col("price").between(*band))
         .join(facts, [*keys, "property_id"], "left")
         .withColumn("ppsqm", ratio(F.col("price"), F.col("sqm")))
         .withColumn("discounted", F.coalesce((F.col("price") < F.col("price_first_seen")).cast("int"), F.lit(0)))
     )
     day = [*keys, "day"]
-    measures = F.array(
-        *[
-            F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-            for m in ("price", "ppsqm", "discounted")
-        ]
-    )
-    long = rows.select(*day, F.explode(measures).alias("_m")).select(*day, "_m.*")
-    profile = quantiles(long, [*day, "measure"], "value", {"median": 0.5}, count="n", mean="mean")
+    measures = ("price", "ppsqm", "discounted")
+    turn = lambda at, by: [
+        F.struct(at.alias("day"), F.lit(by).alias("delta"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+        for m in measures
+    ]
+    turns = F.array(*turn(F.col("start_day"), 1), *turn(F.date_add("end_day", 1), -1))
+    changes = rows.select(*keys, F.inline(turns))
+    profile = running_quantiles(changes, [*keys, "measure"], "day", "value", "delta", {"median": 0.5}, count="n", mean="mean")
 
     def of(measure: str, column: str) -> Column:
         return F.max(F.when(F.col("measure") == measure, F.col(column)))
 
-    # the panel has one row per entity and day, so the inventory is a plain count
+    # an entity has one span at a time, so the inventory is a plain count
     levels = profile.groupBy(*day).agg(
         of("price", "n").alias("inventory"),
         of("price", "median").alias("median_price"),

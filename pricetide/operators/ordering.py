@@ -164,6 +164,96 @@ def quantiles(
     return picked.select(*keys, *columns)
 
 
+#: Steps per coarse step of the ladder on which running quantiles descend: at most 256 from one to the next.
+_RUNGS = {"_r0": 1, "_r1": 256, "_r2": FINE}
+
+
+def running_quantiles(
+    changes: DataFrame,
+    keys: Sequence[str],
+    day: str,
+    value: str,
+    delta: str,
+    wanted: dict[str, float],
+    count: str | None = None,
+    mean: str | None = None,
+) -> DataFrame:
+    """Exact quantiles, number and mean of the values that hold on each day, from changes alone.
+
+    A row of `changes` says that from `day` on `delta` more (or fewer) entries have the value. A day's
+    quantile is found by descending the ladder: at each rung the steps below the current one are counted
+    as of that day by a running sum of their changes, and the step that holds the wanted place is opened.
+    Rows are changed values, and days times the 256 steps of a rung (the coarse rung's some hundred); no
+    entry is laid out over days. One row per key and day with any value.
+    """
+    keys = list(keys)
+    number = F.col(value).cast("double")
+    height = _height(F.col("_value"))
+    base = (
+        changes.where(number.isNotNull() & ~F.isnan(number))
+        .groupBy(*keys, number.alias("_value"), F.col(day).alias("_day"))
+        .agg(F.sum(delta).cast("long").alias("_delta"))
+        .where("_delta <> 0")
+        .withColumns({rung: F.floor(height * steps) for rung, steps in _RUNGS.items()})
+    )
+    base = cut_lineage(base)
+    # decimals, so that what is added and taken away again leaves nothing
+    exact = F.col("_value").cast("decimal(24,8)") * F.col("_delta").cast("decimal(12,0)")
+    moves = base.groupBy(*keys, "_day").agg(F.sum("_delta").alias("_moved"), F.sum(exact).alias("_worth"))
+    calendar = moves.groupBy(*keys).agg(F.explode(F.sequence(F.min("_day"), F.max("_day"))).alias("_day"))
+    so_far = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    totals = (
+        calendar.join(moves, [*keys, "_day"], "left")
+        .select(*keys, "_day", F.sum("_moved").over(so_far).alias("_n"), F.sum("_worth").over(so_far).alias("_sum"))
+        .where("_n > 0")
+    )
+    totals = cut_lineage(totals)
+    spots = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in wanted.items()}
+    ends = F.array_distinct(F.array(*(side(spot).cast("long") for spot in spots.values() for side in (F.floor, F.ceil))))
+    open_steps = totals.select(*keys, "_day", F.explode(ends).alias("_place")).withColumns(
+        {"_parent": F.lit(0).cast("double"), "_left": F.col("_place")}
+    )
+    parent = F.lit(0)
+    for rung in [*_RUNGS, "_value"]:
+        steps = base.groupBy(*keys, parent.cast("double").alias("_parent"), F.col(rung).cast("double").alias("_step"), "_day").agg(F.sum("_delta").alias("_delta"))
+        # a place per day: small, and read more than once by the next rung
+        open_steps = cut_lineage(_opened(open_steps, steps, keys))
+        parent = F.col(rung)
+    found = {name: {} for name in wanted}
+    for name, spot in spots.items():
+        for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+            found[name][side] = F.max(F.when(F.col("_place") == at, F.col("_parent")))
+    ends = [c.alias(f"_{name}_{side}") for name, sides in found.items() for side, c in sides.items()]
+    picked = open_steps.join(totals, [*keys, "_day"]).groupBy(*keys, "_day").agg(*ends, F.max("_n").alias("_n"), F.max("_sum").alias("_sum"))
+    columns = [F.col("_n").alias(count)] if count else []
+    if mean:
+        columns.append((F.col("_sum").cast("double") / F.col("_n")).alias(mean))
+    for name, spot in spots.items():
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        columns.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    return picked.select(*keys, F.col("_day").alias(day), *columns)
+
+
+def _opened(wanted: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """For each wanted place of a day inside a parent step, the step that holds it and the place inside that.
+
+    Both windows are bounded by the calendar and the steps of one parent, whatever the number of entries.
+    """
+    scope = [*keys, "_parent"]
+    inside = steps.join(wanted.select(*scope).distinct(), scope, "left_semi")
+    asked = wanted.join(inside.select(*scope, "_step").distinct(), scope).withColumn("_delta", F.lit(0).cast("long"))
+    log = inside.withColumns({"_place": F.lit(None).cast("long"), "_left": F.lit(None).cast("long")})
+    # of one day, changes come before what is asked (null places sort first)
+    as_of = Window.partitionBy(*scope, "_step").orderBy("_day", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    held = log.unionByName(asked).withColumn("_held", F.sum("_delta").over(as_of)).where(F.col("_place").isNotNull() & (F.col("_held") > 0))
+    below = _prefix(F.col("_held"), Window.partitionBy(*keys, "_day", "_place").orderBy("_step"))
+    return (
+        held.withColumn("_below", below)
+        .where((F.col("_below") <= F.col("_left")) & (F.col("_left") < F.col("_below") + F.col("_held")))
+        .select(*keys, "_day", "_place", F.col("_step").alias("_parent"), (F.col("_left") - F.col("_below")).alias("_left"))
+    )
+
+
 def median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     return quantiles(df, keys, value, {out: 0.5})
 

@@ -100,6 +100,52 @@ def daily_prices(history: DataFrame, keys: Sequence[str] = ENTITY, tie: Sequence
     )
 
 
+def price_spans(
+    entities: DataFrame,
+    history: DataFrame,
+    events: DataFrame,
+    as_of: str | dt.datetime,
+    bridge_days: int = 5,
+    keys: Sequence[str] = ENTITY,
+    tenant: Sequence[str] = ("population",),
+    tie: Sequence[str] = ("price",),
+) -> DataFrame:
+    """The same prices as `daily_panel`, as inclusive runs of days on which an entity was listed at one price.
+
+    As many rows as segments and price changes, however long they last. The windows hold one entity's
+    changes, at most one row a day.
+    """
+    keys, tenant = list(keys), list(tenant)
+    segments = _segments(entities, events, as_of, bridge_days, keys, ("id",), ["price_first_seen"])
+    first_days = entities.groupBy(*tenant).agg(F.to_date(F.min("first_seen")).alias("_first_day"))
+    listed = (
+        segments.join(first_days, tenant)
+        .withColumn("start_day", F.greatest("start_day", "_first_day"))
+        .withColumn("end_day", F.least("end_day", F.to_date(instant(as_of))))
+        .where(F.col("end_day") >= F.col("start_day"))
+    )
+    first = F.col("price_first_seen").cast("double")
+    none = F.lit(None).cast("double")
+    edge = lambda day, opens, first: F.struct(day.alias("day"), F.lit(opens).alias("_open"), first.alias("_first"))
+    edges = listed.select(*keys, F.inline(F.array(edge(F.col("start_day"), True, first), edge(F.date_add("end_day", 1), False, none))))
+    steps = daily_prices(history, keys, tie).select(*keys, "day", F.col("price").cast("double").alias("price"))
+    turns = (
+        edges.unionByName(steps, allowMissingColumns=True)
+        .groupBy(*keys, "day")
+        .agg(F.max("_open").alias("_open"), F.max("_first").alias("_first"), F.max("price").alias("price"))
+    )
+    by_day = Window.partitionBy(*keys).orderBy("day")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        turns.withColumn("_listed", F.last("_open", ignorenulls=True).over(so_far))
+        .withColumn("_known", F.last("price", ignorenulls=True).over(so_far))
+        .withColumn("_stored", F.last("_first", ignorenulls=True).over(so_far))
+        .withColumn("_next", F.lead("day").over(by_day))
+        .where("_listed")
+        .select(*keys, F.col("day").alias("start_day"), F.date_sub("_next", 1).alias("end_day"), F.coalesce("_known", "_stored").alias("price"))
+    )
+
+
 def daily_panel(
     entities: DataFrame,
     history: DataFrame,

@@ -64,3 +64,17 @@ def change_points(
     return neighbour(df, keys, order, [value], grain=grain).where(
         F.col(previous).isNull() | (F.col(value) != F.col(previous))
     )
+
+
+def merge_runs(df: DataFrame, keys: Sequence[str], start: str, end: str, value: str) -> DataFrame:
+    """Inclusive day runs of a key, with adjoining runs of one value made one.
+
+    A run starts a new one unless the run before ends on the day before with the same value. Windows hold
+    one key's runs, at most one a day.
+    """
+    by_day = Window.partitionBy(*keys).orderBy(start)
+    joins = (F.date_add(F.lag(end).over(by_day), 1) == F.col(start)) & F.lag(value).over(by_day).eqNullSafe(F.col(value))
+    numbered = df.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn(
+        "_run", F.sum("_new").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    return numbered.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.first(value).alias(value)).drop("_run")

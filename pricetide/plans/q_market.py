@@ -9,7 +9,7 @@ from pricetide.operators import market as M
 from pricetide.operators import ordering as O
 from pricetide.plans import views as V
 from pricetide.plans.q_history import EXIT_SQL, price_at_exit
-from pricetide.plans.q_panel import PANEL_SQL, panel_frame
+from pricetide.plans.q_panel import PANEL_SQL, spans_frame
 from pricetide.plans.registry import query
 from pricetide.plans.views import snug, snug_col, with_views
 
@@ -45,7 +45,7 @@ _DAILY_ROUNDED = ("mean_price", "median_price", "median_ppsqm", "cut_breadth", "
 
 
 def market_frame(spark, sf_dir):
-    return M.market_daily(panel_frame(spark, sf_dir), V.entities(spark, sf_dir), BAND)
+    return M.market_daily(spans_frame(spark, sf_dir), V.entities(spark, sf_dir), BAND)
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricetide.operators import panel as P
+from pricetide.operators import scans
 from pricetide.operators import survival as K
 from pricetide.plans import views as V
 from pricetide.plans.registry import query
@@ -57,6 +58,31 @@ def panel_frame(spark, sf_dir):
     )
 
 
+def spans_frame(spark, sf_dir):
+    """The panel as runs of days at one price."""
+    return P.price_spans(
+        V.entities(spark, sf_dir),
+        V.event_history(spark, sf_dir),
+        V.property_events(spark, sf_dir),
+        V.EVENT_AS_OF,
+        tie=("id",),
+    )
+
+
+@query(
+    "price_spans",
+    with_views(
+        ["property_events", "event_history", "entities"],
+        f"""{PANEL_SQL},
+        runs AS (SELECT *, CAST(day AS DATE) - CAST(row_number() OVER (PARTITION BY population, property_id, price ORDER BY day) AS INT) AS run FROM panel)
+        SELECT population, property_id, price, min(day) AS start_day, max(day) AS end_day FROM runs GROUP BY population, property_id, price, run""",
+    ),
+)
+def price_spans(spark, sf_dir):
+    spans = spans_frame(spark, sf_dir)
+    return scans.merge_runs(spans, V.ENTITY, "start_day", "end_day", "price")
+
+
 @query("intervals", with_views(["property_events", "entities"], f"{SEGMENT_SQL} SELECT * FROM segments"))
 def intervals(spark, sf_dir):
     return P.active_segments(V.entities(spark, sf_dir), V.property_events(spark, sf_dir), V.EVENT_AS_OF)
