@@ -20,13 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricetide.llm import pieces as P
+
 #: Pre-tokens up to this length are remembered by a worker, and so many of them at once.
-REMEMBERED_CHARS, REMEMBERED = 48, 250_000
+REMEMBERED_CHARS, REMEMBERED = 48, 100_000
+#: Spaced words whose ids a worker remembers, and bytes of text that are taken at once.
+WORDS, TEXT_BYTES = 600_000, 4 << 20
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -128,17 +133,39 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str) -> None:
         lines = (line.split() for line in rank_file.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        tokens = dict.fromkeys(range(max(self.ranks.values(), default=-1) + 1), b"")
+        tokens.update((rank, token) for token, rank in self.ranks.items())
+        self.tokens = pa.array(tokens.values(), pa.binary())
         self.split = regex.compile(pattern).findall
         self.known = _Remembered(self.ranks)
+        self.memory = P.Memory(WORDS)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         self.known.age()
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
+    def _made(self, pieces: pa.Array) -> P.Made:
+        packed = [self.encode(text) for text in pieces.cast(pa.string()).to_pylist()]
+        return np.frombuffer(b"".join(packed), "<i4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+
+    def encode_all(self, texts: pa.Array, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the texts' offsets among them. By words, each new word is split and merged once."""
+        if not by_words:
+            ids, counts = self._made(texts)
+            return ids, np.concatenate([[0], np.cumsum(counts)])
+        distinct, places, offsets = P.spaced(texts)
+        numbers, starts, counts = self.memory.values(distinct, self._made)
+        own = counts[places]
+        return numbers[P.ragged(starts[places], own)], np.concatenate([[0], np.cumsum(own)])[offsets]
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of runs of ids."""
+        ends, data = P.buffers(pc.take(self.tokens, pa.array(ids)))
+        return P.binary_array(ends[offsets], data)
+
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return self.decode_all(np.frombuffer(packed, "<u4"), np.array([0, len(packed) // 4]))[0].as_py()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -191,13 +218,32 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids"
     return tokens.mapInArrow(run, _schema(tokens, out_col))
 
 
-def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: the number of tokens, the digest of its ids and that of what they decode to."""
+def digests(
+    docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", by_words: bool = True
+) -> DataFrame:
+    """Per document: the number of tokens, the digest of its ids and that of what they decode to, in one pass.
+
+    `by_words` tells that the pattern starts a match at every single space between two characters that are no
+    white space, as those of byte-level vocabularies do; then a batch's distinct words are encoded once each.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = decode(encode(rows, rank_path, pattern).select("doc_id", "ids"), rank_path, pattern)
-    return coded.select(
-        "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ranks = docs.sparkSession.sparkContext.broadcast(open(rank_path, "rb").read())
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks.value, pattern)
+        for table in P.sized(batches, "text", TEXT_BYTES):
+            texts = P.whole(table.column("text"), pa.string()).fill_null("")
+            ids, offsets = codec.encode_all(texts, by_words)
+            decoded = codec.decode_all(ids, offsets)
+            packed, ends = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
+            sha = lambda data: hashlib.sha256(data).hexdigest()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": table.column("doc_id").combine_chunks(),
+                "n_tokens": pa.array(np.diff(offsets)),
+                "ids_sha256": pa.array([sha(packed[a:b]) for a, b in zip(ends, ends[1:])], pa.string()),
+                "decoded_sha256": pa.array([sha(x.as_buffer()) for x in decoded], pa.string()),
+            })
+            pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, schema)

@@ -10,6 +10,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -176,6 +177,15 @@ def test_bpe_agrees_with_the_library(codec, texts):
         assert codec.decode(packed) == text.encode()
 
 
+def test_bpe_by_words_is_the_same(codec, texts):
+    for some in ([t or "" for t in texts.values()], [t or "" for t in ODD], [" a  b\u00a0 c d\u3000 e ", "x's 's don't\n y", "a\u0301 b", "\U0001f642 \U0001f642"]):
+        for by_words in (True, False):
+            ids, offsets = codec.encode_all(pa.array(some, pa.string()), by_words)
+            parts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            assert parts == [codec.encode(t) for t in some]
+            assert codec.decode_all(ids, offsets).to_pylist() == [t.encode() for t in some]
+
+
 def test_bpe_rows(spark):
     frame = docs_of(spark, ODD)
     got = {r.doc_id: r for r in bpe.digests(frame, RANKS, public_tokenizers.PATTERN).collect()}
