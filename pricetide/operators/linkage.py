@@ -12,10 +12,10 @@ import datetime as dt
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.config import Thresholds
+from pricetide.config import PISO_ALIASES, TITLE_TYPES, Thresholds
 from pricetide.functions.dates import fractional_days, instant, whole_days
 from pricetide.functions.numbers import half_even
 from pricetide.functions.text import TITLE_SIMILARITY, contradict, fold, street_tokens, title_type
@@ -119,6 +119,62 @@ def _close_pairs(rows: DataFrame, block: Sequence[str], cfg: Thresholds) -> Data
     return _compatible(close)
 
 
+def _level_links(heads: DataFrame, block: Sequence[str], cfg: Thresholds) -> DataFrame:
+    """Links (a_id, b_id) at one price that connect what all compatible pairs within the size tolerance would.
+
+    Titles are compatible when their types are and they share a street word, or one of the two names none.
+    So titles meet in groups of one pair of compatible types and one street word, in which all are compatible: there,
+    neighbouring sizes form a chain. Titles without a street form a chain of their own and are linked to the
+    groups' heads. Links are a few per title, type and word, however many titles share them.
+    """
+    together = F.array_compact(
+        F.array(
+            F.coalesce("kind", F.lit("")),
+            *(F.when(F.col("kind").isNull(), F.lit(kind)) for kind in TITLE_TYPES),
+            *(F.when(F.col("kind").isin("piso", alias), F.lit(f"piso or {alias}")) for alias in PISO_ALIASES),
+        )
+    )
+    words = F.when(F.size("streets") > 0, F.col("streets")).otherwise(F.array(F.lit("")))
+    group = [*block, "_types", "_word"]
+    members = heads.select(*block, "sqm", "property_id", F.explode(F.array_distinct(together)).alias("_types"), words.alias("_words"))
+    members = members.select(*block, "sqm", "property_id", "_types", F.explode("_words").alias("_word"))
+    firsts = members.groupBy(*group, "sqm").agg(F.min("property_id").alias("_first"))
+    own = members.join(firsts, [*group, "sqm"]).select(F.col("_first").alias("a_id"), F.col("property_id").alias("b_id"), *block)
+    by_size = Window.partitionBy(*group).orderBy("sqm")
+    near = F.col("sqm") - F.lag("sqm").over(by_size) <= cfg.cluster_sqm_tol
+    chain = firsts.select(*block, F.when(near, F.lag("_first").over(by_size)).alias("a_id"), F.col("_first").alias("b_id"))
+    cell = _size_cell(F.col("sqm"), cfg.cluster_sqm_tol)
+    around = F.explode(F.array(*(cell + shift for shift in (-1, 0, 1)))).alias("_cell")
+    plain = firsts.where("_word = ''").select(*block, "_types", F.col("sqm").alias("_sqm"), F.col("_first").alias("_plain"), around)
+    mixed = (
+        firsts.where("_word <> ''")
+        .select(*block, "_types", "sqm", "_first", cell.alias("_cell"))
+        .join(plain, [*block, "_types", "_cell"])
+        .where(F.abs(F.col("sqm") - F.col("_sqm")) <= cfg.cluster_sqm_tol)
+        .select(*block, F.col("_plain").alias("a_id"), F.col("_first").alias("b_id"))
+    )
+    links = own.unionByName(chain).unionByName(mixed)
+    ends = F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")
+    return links.where(F.col("a_id") != F.col("b_id")).select(*block, *ends).distinct()
+
+
+def _links(properties: DataFrame, cfg: Thresholds, active_only: bool, similarity: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Links between representatives at one price, and scored ones where prices differ."""
+    reps = cut_lineage(_representatives(_pool(properties, active_only), keys))
+    level = _level_links(reps, [*keys, "_rooms", "price"], cfg).select(*keys, "a_id", "b_id")
+    a, b = F.col("a"), F.col("b")
+    ends = [*[a[k].alias(k) for k in keys], a["property_id"].alias("a_id"), b["property_id"].alias("b_id")]
+    apart = _close_pairs(reps, [*keys, "_rooms"], cfg).where(a["price"] != b["price"])
+    lengths = F.length(a["title"]), F.length(b["title"])
+    bound = 2 * F.least(*lengths) / F.greatest(F.lit(1), lengths[0] + lengths[1])
+    scored = (
+        apart.where(bound >= cfg.title_similarity)
+        .select(*ends, TITLE_SIMILARITY[similarity](a["title"], b["title"]).alias("similarity"))
+        .where(F.col("similarity") >= cfg.title_similarity)
+    )
+    return level, scored
+
+
 def duplicate_pairs(
     properties: DataFrame,
     cfg: Thresholds = Thresholds(),
@@ -129,36 +185,20 @@ def duplicate_pairs(
     """Links between representatives that are almost surely the same unit, smaller id first.
 
     Same rooms (unknown is its own value), size and price within tolerance, no contradiction, and
-    either the same price or similar titles. At one price and size only what a title declares (type
-    and street) matters, so titles that declare the same form a star around their smallest id, and
-    the stars' heads stand for them where sizes differ; round prices cost no pairs. Where prices
+    either the same price or similar titles. At one price the titles need not be alike, so what hangs
+    together there is given as a star around its smallest id; round prices cost no pairs. Where prices
     differ, distinct titles are compared, after a bound on what their lengths allow.
     """
     keys = list(keys)
-    reps = cut_lineage(_representatives(_pool(properties, active_only), keys))
-    declared = [*keys, "_rooms", "sqm", "price", "kind", "streets"]
-    heads = reps.groupBy(*declared).agg(F.min("property_id").alias("property_id"))
-    named = reps.withColumn("kind", F.coalesce("kind", F.lit("")))
-    stars = named.join(
-        heads.withColumn("kind", F.coalesce("kind", F.lit(""))).withColumnRenamed("property_id", "a_id"), declared
-    ).where(F.col("property_id") != F.col("a_id"))
-    sure = [F.lit(True).alias("same_price"), F.lit(None).cast("double").alias("similarity")]
-    a, b = F.col("a"), F.col("b")
-    ends = [*[a[k].alias(k) for k in keys], a["property_id"].alias("a_id"), b["property_id"].alias("b_id")]
-    level = _close_pairs(heads, [*keys, "_rooms", "price"], cfg)
-    apart = _close_pairs(reps, [*keys, "_rooms"], cfg).where(a["price"] != b["price"])
-    lengths = F.length(a["title"]), F.length(b["title"])
-    bound = 2 * F.least(*lengths) / F.greatest(F.lit(1), lengths[0] + lengths[1])
-    scored = (
-        apart.where(bound >= cfg.title_similarity)
-        .select(*ends, F.lit(False).alias("same_price"), TITLE_SIMILARITY[similarity](a["title"], b["title"]).alias("similarity"))
-        .where(F.col("similarity") >= cfg.title_similarity)
-    )
-    return (
-        stars.select(*keys, "a_id", F.col("property_id").alias("b_id"), *sure)
-        .unionByName(level.select(*ends, *sure))
-        .unionByName(scored)
-    )
+    level, scored = _links(properties, cfg, active_only, similarity, keys)
+    stars = connected_components(level, keys).where(F.col("node") != F.col("component"))
+    return stars.select(
+        *keys,
+        F.col("component").alias("a_id"),
+        F.col("node").alias("b_id"),
+        F.lit(True).alias("same_price"),
+        F.lit(None).cast("double").alias("similarity"),
+    ).unionByName(scored.withColumn("same_price", F.lit(False)))
 
 
 def _pool(properties: DataFrame, active_only: bool) -> DataFrame:
@@ -237,8 +277,9 @@ def cluster_ids(
 ) -> DataFrame:
     """Every entity with its cluster: the smallest linked id, or its own id."""
     keys = list(keys)
-    edges = duplicate_pairs(properties, cfg, active_only, similarity, keys).select(*keys, "a_id", "b_id")
-    linked = connected_components(edges.unionByName(copy_edges(properties, active_only, keys)), keys)
+    level, scored = _links(properties, cfg, active_only, similarity, keys)
+    edges = level.unionByName(scored.drop("similarity")).unionByName(copy_edges(properties, active_only, keys))
+    linked = connected_components(edges, keys)
     return properties.join(
         linked.select(*keys, F.col("node").alias("property_id"), "component"), [*keys, "property_id"], "left"
     ).withColumn("cluster_id", F.coalesce("component", "property_id")).drop("component")

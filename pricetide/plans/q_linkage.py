@@ -80,15 +80,13 @@ def relist_join(spark, sf_dir):
         f"""{SIG_SQL},
         reps AS (SELECT population, rooms, sqm, price, t, any_value(kind) AS kind, any_value(streets) AS streets,
           min(property_id) AS property_id FROM sig WHERE status = 'active' GROUP BY 1, 2, 3, 4, 5),
-        starred AS (SELECT *, min(property_id) OVER (PARTITION BY population, coalesce(rooms, -1), sqm, price, kind, streets) AS head
-          FROM reps)
-        SELECT population, head AS a_id, property_id AS b_id, true AS same_price, NULL::DOUBLE AS similarity
-        FROM starred WHERE head <> property_id
-        UNION ALL
-        SELECT a.population, a.property_id, b.property_id, true, NULL
-        FROM starred a JOIN starred b ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1)
-          AND a.price = b.price AND a.property_id < b.property_id
-        WHERE a.property_id = a.head AND b.property_id = b.head AND abs(a.sqm - b.sqm) <= 3 AND NOT {_CONTRADICT}
+        level AS (SELECT a.population, a.property_id AS a, b.property_id AS b FROM reps a JOIN reps b
+          ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1) AND a.price = b.price
+          AND a.property_id <> b.property_id AND abs(a.sqm - b.sqm) <= 3 AND NOT {_CONTRADICT}),
+        reach(population, node, seen) AS (SELECT population, property_id, property_id FROM reps
+          UNION SELECT r.population, r.node, l.b FROM reach r JOIN level l ON l.population = r.population AND l.a = r.seen)
+        SELECT population, min(seen) AS a_id, node AS b_id, true AS same_price, NULL::DOUBLE AS similarity
+        FROM reach GROUP BY population, node HAVING min(seen) <> node
         UNION ALL
         SELECT a.population, a.property_id, b.property_id, false, {snug(_EDIT, 6)}
         FROM reps a JOIN reps b ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1)

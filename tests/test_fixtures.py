@@ -442,6 +442,44 @@ def test_one_price_makes_stars_whatever_the_titles(spark):
     assert set(values(linkage.cluster_ids(df), "cluster_id")) == {"0000", "z0"}
 
 
+def test_one_street_word_makes_few_links(spark):
+    """Titles that all share a street word and a price are linked in number, not in square."""
+    rows = [("p", f"{i:04d}", "s", f"Pis carrer sant w{i:03d}x", 500_000.0, 90 + i % 2, 3, day(0), day(1), "active") for i in range(300)]
+    reps = linkage._representatives(spark.createDataFrame(rows, LISTING), ["population"])
+    assert reps.count() == 300
+    assert linkage._level_links(reps, ["population", "_rooms", "price"], C.Thresholds()).count() <= 3 * 300
+    assert linkage.duplicate_pairs(spark.createDataFrame(rows, LISTING)).count() == 299
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_at_one_price_connect_what_all_pairs_would(spark, seed):
+    rng = random.Random(seed)
+    kinds = ["Pis", "Àtic", "Dúplex", "Casa", "Estudi", "Planta baixa", "Local", ""]
+    streets = ["", "carrer Major", "carrer Nou", "carrer Major Nou", "avinguda Mar", "rambla del Mar Gran"]
+    rows = [("p", f"{i:03d}", "s", f"{rng.choice(kinds)} {i} {rng.choice(streets)}", 5e5, rng.randint(50, 80), rng.choice([None, 2]), day(0), day(1), "active") for i in range(70)]
+    df = spark.createDataFrame(rows, LISTING)
+    reps = linkage._representatives(df, ["population"])
+    up = {r.property_id: r.property_id for r in reps.collect()}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    nodes = reps.collect()
+    alias = {frozenset(("piso", a)) for a in C.PISO_ALIASES}
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            kind = a.kind is None or b.kind is None or a.kind == b.kind or frozenset((a.kind, b.kind)) in alias
+            street = not a.streets or not b.streets or set(a.streets) & set(b.streets)
+            if a._rooms == b._rooms and abs(a.sqm - b.sqm) <= 3 and kind and street:
+                x, y = find(a.property_id), find(b.property_id)
+                up[max(x, y)] = min(x, y)
+    got = {r.b_id: r.a_id for r in linkage.duplicate_pairs(df).collect()}
+    assert got == {x: find(x) for x in up if find(x) != x}
+    assert 3 < len(set(map(find, up))) < len(up)
+
+
 def test_copies_make_a_star_not_a_clique(spark):
     rows = [("p", f"{i:04d}", "s", "Pis en venda", 500_000.0, 90, 3, day(0), day(1), "active") for i in range(600)]
     df = spark.createDataFrame(rows, LISTING)
