@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from pricetide.llm import pieces as P
 
 #: Pre-tokens up to this length are remembered by a worker, and so many of them at once.
-REMEMBERED_CHARS, REMEMBERED = 48, 100_000
+REMEMBERED_CHARS, REMEMBERED = 48, 200_000
 #: Spaced words whose ids a worker remembers, and bytes of text that are taken at once.
-WORDS, TEXT_BYTES = 600_000, 4 << 20
+WORDS, TEXT_BYTES = 1_500_000, 4 << 20
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
