@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import chain
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,19 +87,81 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+#: From this length on the measure leaves out very common letters of the second text; such texts go one by one.
+_PLAIN_LENGTH = 200
+_SIDE_BY_SIDE = 4096  # pairs compared at once
+
+
+def _codes(texts: list[str], blank: int) -> np.ndarray:
+    """Code points of texts, a row each, filled up with a value that equals nothing."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), max(1, int(lengths.max(initial=0)))), blank, np.int32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<i4")
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
+    return out
+
+
+def matched_letters(left: list[str], right: list[str]) -> np.ndarray:
+    """Letters of both texts' matching blocks: the longest common block (first in the left text, then in the
+    right one), then the same left and right of it.
+
+    All pairs advance together: a round finds the longest block of every open stretch of every pair by one
+    sweep over the left texts' letters.
+    """
+    a, b = _codes(left, -1), _codes(right, -2)
+    total = np.zeros(len(left), np.int64)
+    pair = np.arange(len(left))
+    low_a, high_a = np.zeros(len(left), np.int64), np.fromiter(map(len, left), np.int64, len(left))
+    low_b, high_b = np.zeros(len(left), np.int64), np.fromiter(map(len, right), np.int64, len(right))
+    columns = np.arange(b.shape[1])[None, :]
+    while len(pair):
+        inside = (columns >= low_b[:, None]) & (columns < high_b[:, None])
+        letters = np.where(inside, b[pair], -2)
+        run = np.zeros((len(pair), b.shape[1] + 1), np.int32)  # common letters up to here, of the row before
+        best, end_a, end_b = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+        for i in range(int(low_a.min()), int(high_a.max())):
+            here = (low_a <= i) & (i < high_a)
+            same = (letters == a[pair, i][:, None]) & here[:, None]
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            longest = run.max(axis=1)
+            better = np.flatnonzero(longest > best)
+            best[better] = longest[better]
+            end_a[better] = i + 1
+            end_b[better] = run[better].argmax(axis=1)
+        some = best > 0
+        np.add.at(total, pair[some], best[some])
+        before = np.flatnonzero(some & (end_a - best > low_a) & (end_b - best > low_b))
+        after = np.flatnonzero(some & (end_a < high_a) & (end_b < high_b))
+        pair, low_a, high_a, low_b, high_b = (
+            np.concatenate([pair[before], pair[after]]),
+            np.concatenate([low_a[before], end_a[after]]),
+            np.concatenate([(end_a - best)[before], high_a[after]]),
+            np.concatenate([low_b[before], end_b[after]]),
+            np.concatenate([(end_b - best)[before], high_b[after]]),
+        )
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def matching_blocks_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio of two folded texts; run only on blocked pairs."""
+    """Ratcliff/Obershelp ratio of two folded texts, 0 where one is blank; run only on blocked pairs."""
     from difflib import SequenceMatcher
 
-    pairs = pd.DataFrame({"a": a, "b": b})
-    distinct = pairs.drop_duplicates()
-    scores = [
-        SequenceMatcher(None, left, right).ratio() if left and right else 0.0
-        for left, right in zip(distinct["a"], distinct["b"])
-    ]
-    known = dict(zip(zip(distinct["a"], distinct["b"]), scores))
-    return pd.Series([known[pair] for pair in zip(a, b)], dtype="float64")
+    pairs = pd.DataFrame({"a": a.fillna(""), "b": b.fillna("")})
+    place, distinct = pd.factorize(pd.MultiIndex.from_frame(pairs))
+    left, right = map(list, zip(*distinct)) if len(distinct) else ([], [])
+    lengths = np.array([[len(x), len(y)] for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+    scores = np.zeros(len(left))
+    plain = np.flatnonzero((lengths[:, 0] > 0) & (lengths[:, 1] > 0) & (lengths[:, 1] < _PLAIN_LENGTH))
+    # of like lengths, so that little is filled up
+    plain = plain[np.argsort(lengths[plain].sum(axis=1), kind="stable")]
+    for at in range(0, len(plain), _SIDE_BY_SIDE):
+        some = plain[at : at + _SIDE_BY_SIDE]
+        matched = matched_letters([left[k] for k in some], [right[k] for k in some])
+        scores[some] = 2.0 * matched / lengths[some].sum(axis=1)
+    for k in np.flatnonzero((lengths[:, 0] > 0) & (lengths[:, 1] >= _PLAIN_LENGTH)):
+        scores[k] = SequenceMatcher(None, left[k], right[k]).ratio()
+    return pd.Series(scores[place], dtype="float64")
 
 
 TITLE_SIMILARITY = {"edit": edit_similarity, "blocks": matching_blocks_similarity}

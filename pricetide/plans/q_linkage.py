@@ -57,6 +57,16 @@ def _of_spells(sql: str) -> str:
     return sql.replace("FROM properties", "FROM spells")
 
 
+# what hangs together at one price, as stars
+_LEVEL_SQL = f"""level AS (SELECT a.population, a.property_id AS a, b.property_id AS b FROM reps a JOIN reps b
+          ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1) AND a.price = b.price
+          AND a.property_id <> b.property_id AND abs(a.sqm - b.sqm) <= 3 AND NOT {_CONTRADICT}),
+        reach(population, node, seen) AS (SELECT population, property_id, property_id FROM reps
+          UNION SELECT r.population, r.node, l.b FROM reach r JOIN level l ON l.population = r.population AND l.a = r.seen)"""
+_STARS_SQL = """SELECT population, min(seen) AS a_id, node AS b_id, true AS same_price, NULL::DOUBLE AS similarity
+        FROM reach GROUP BY population, node HAVING min(seen) <> node"""
+
+
 @query(
     "relist_join",
     with_views(
@@ -80,13 +90,8 @@ def relist_join(spark, sf_dir):
         f"""{SIG_SQL},
         reps AS (SELECT population, rooms, sqm, price, t, any_value(kind) AS kind, any_value(streets) AS streets,
           min(property_id) AS property_id FROM sig WHERE status = 'active' GROUP BY 1, 2, 3, 4, 5),
-        level AS (SELECT a.population, a.property_id AS a, b.property_id AS b FROM reps a JOIN reps b
-          ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1) AND a.price = b.price
-          AND a.property_id <> b.property_id AND abs(a.sqm - b.sqm) <= 3 AND NOT {_CONTRADICT}),
-        reach(population, node, seen) AS (SELECT population, property_id, property_id FROM reps
-          UNION SELECT r.population, r.node, l.b FROM reach r JOIN level l ON l.population = r.population AND l.a = r.seen)
-        SELECT population, min(seen) AS a_id, node AS b_id, true AS same_price, NULL::DOUBLE AS similarity
-        FROM reach GROUP BY population, node HAVING min(seen) <> node
+        {_LEVEL_SQL}
+        {_STARS_SQL}
         UNION ALL
         SELECT a.population, a.property_id, b.property_id, false, {snug(_EDIT, 6)}
         FROM reps a JOIN reps b ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1)
@@ -161,10 +166,42 @@ def life_frame(spark, sf_dir):
     return L.market_life(L.cluster_ids(cut_lineage(aged), CFG, similarity="edit"))
 
 
-@query("duplicate_pairs_blocks")
+# Matching blocks: runs of equal letters lie on diagonals; the longest one inside a stretch splits it in two.
+_BLOCKS_SQL = f"""{SIG_SQL},
+  reps AS (SELECT population, rooms, sqm, price, t, any_value(kind) AS kind, any_value(streets) AS streets,
+    min(property_id) AS property_id FROM sig WHERE status = 'active' GROUP BY 1, 2, 3, 4, 5),
+  cand AS (SELECT row_number() OVER () AS k, a.population, a.property_id AS a_id, b.property_id AS b_id, a.t AS ta, b.t AS tb
+    FROM reps a JOIN reps b ON a.population = b.population AND coalesce(a.rooms, -1) = coalesce(b.rooms, -1)
+      AND a.property_id < b.property_id
+    WHERE a.price <> b.price AND abs(a.sqm - b.sqm) <= 3 AND abs(a.price - b.price) / greatest(a.price, b.price) <= 0.06
+      AND NOT {_CONTRADICT}),
+  hits AS (SELECT k, i, j FROM (SELECT k, ta, tb, unnest(range(1, length(ta) + 1)) AS i FROM cand) x,
+      UNNEST(range(1, length(tb) + 1)) AS u(j) WHERE substr(ta, i, 1) = substr(tb, j, 1)),
+  diagonals AS (SELECT k, i, i - j AS d, i - row_number() OVER (PARTITION BY k, i - j ORDER BY i) AS g FROM hits),
+  runs AS (SELECT k, d, min(i) AS i0, max(i) + 1 AS i1 FROM diagonals GROUP BY k, d, g),
+  stretch(k, la, ha, lb, hb) AS (SELECT k, 1::BIGINT, length(ta) + 1, 1::BIGINT, length(tb) + 1 FROM cand
+    UNION ALL SELECT k, part.la, part.ha, part.lb, part.hb FROM (
+      SELECT k, unnest([{{'la': la, 'ha': m.i, 'lb': lb, 'hb': m.j}},
+                        {{'la': m.i + m.n, 'ha': ha, 'lb': m.j + m.n, 'hb': hb}}]) AS part FROM (
+        SELECT s.k, la, ha, lb, hb, arg_min({{'i': i, 'j': i - d, 'n': e - i}}, (i - e, i, i - d)) AS m FROM (
+          SELECT s.*, r.d, greatest(r.i0, s.la, s.lb + r.d) AS i, least(r.i1, s.ha, s.hb + r.d) AS e
+          FROM stretch s JOIN runs r ON r.k = s.k) s WHERE e > i GROUP BY ALL))
+    WHERE part.la < part.ha AND part.lb < part.hb),
+  blocks AS (SELECT k, la, lb, max(e - i) AS n FROM (
+      SELECT s.*, greatest(r.i0, s.la, s.lb + r.d) AS i, least(r.i1, s.ha, s.hb + r.d) AS e
+      FROM stretch s JOIN runs r ON r.k = s.k) WHERE e > i GROUP BY k, la, ha, lb, hb),
+  scores AS (SELECT k, 2.0 * sum(n) AS matched FROM blocks GROUP BY k),
+  {_LEVEL_SQL}
+  {_STARS_SQL}
+  UNION ALL SELECT population, a_id, b_id, false, {snug('matched / (length(ta) + length(tb))', 6)} AS similarity
+  FROM cand JOIN scores USING (k) WHERE matched / (length(ta) + length(tb)) >= 0.45"""
+
+
+@query("duplicate_pairs_blocks", with_views(["properties"], _BLOCKS_SQL))
 def duplicate_pairs_blocks(spark, sf_dir):
-    """The same pairs judged by matching blocks; no SQL twin exists for that measure."""
-    return L.duplicate_pairs(V.properties(spark, sf_dir), CFG, similarity="blocks").drop("similarity")
+    """The same links judged by matching blocks, with the measured similarity."""
+    out = L.duplicate_pairs(V.properties(spark, sf_dir), CFG, similarity="blocks")
+    return out.withColumn("similarity", snug_col(F.col("similarity"), 6))
 
 
 # ------------------------------------------------------------------ similarity

@@ -214,6 +214,20 @@ def test_veto(spark):
     assert got == [w for *_, w in pairs]
 
 
+def test_matching_blocks_equal_the_plain_measure(spark):
+    rng = random.Random(8)
+    text = lambda n, letters="abc d": "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    pairs = [(text(12), text(12)) for _ in range(400)] + [(text(60, "abcdefgh ç中"), text(60, "abcdefgh ç中")) for _ in range(200)]
+    pairs += [(text(150), text(260)) for _ in range(20)] + [("x" * 199, "x" * 199), ("x" * 200, "x" * 200), ("pis", "pis"), ("", "a"), ("ab", "ba"), ("abxab", "ab")]
+    left, right = map(list, zip(*pairs))
+    plain = [sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in pairs]
+    assert T.matched_letters(left, right).tolist() == plain
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*pairs, (None, "a"), ("a", None)])], "i int, a string, b string")
+    got = {r.i: r.s for r in df.select("i", T.matching_blocks_similarity("a", "b").alias("s")).collect()}
+    want = [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs] + [0.0, 0.0]
+    assert [got[i] for i in range(len(want))] == pytest.approx(want)
+
+
 def test_relist_and_duplicates_against_brute_force(spark):
     rng = random.Random(9)
     titles = ["Pis en venda a Rubí", "Pis en venda al carrer Major, Rubí", "Àtic en venda a Rubí", "Casa amb jardí", "Piso en venta en Rubí"]
