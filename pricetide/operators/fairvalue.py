@@ -245,6 +245,8 @@ def _conjugate(keys: Sequence[str], width: int, alpha: float):
             beta, rest = beta + length * step, rest - length * image
             before, gain = gain, rest @ (scale * rest)
             step = scale * rest + gain / before * step
+        else:
+            raise ArithmeticError(f"no solution in {20 * len(goal)} steps; residual {np.linalg.norm(rest):.3g}")
         rows = [[*top[keys], None, beta[:n].tolist()]]
         rows += [[*top[keys], level, [b]] for level, b in zip(levels, beta[n:].tolist())]
         return pd.DataFrame(rows, columns=[*keys, "_level", "_beta"])

@@ -24,6 +24,7 @@ class Fold:
 
     joined: DataFrame
     snapshot: DataFrame
+    changed: DataFrame  # the rows of `snapshot` that the run touched
     price_log: DataFrame
     events: DataFrame
     derive: Callable[[DataFrame], Fold]
@@ -149,11 +150,13 @@ def fold_run(
         "status": F.when(is_seen, F.lit("active")).when(F.col("_is_retired"), F.lit("inactive")).otherwise(F.col("status")),
     }
     def derive(joined: DataFrame) -> Fold:
-        state = joined.select(*entity, *[pick(c) for c in fields], *[v.alias(k) for k, v in book.items()])
+        kept = ["_seen", "_is_missed"]
+        state = joined.select(*entity, *[pick(c) for c in fields], *[v.alias(k) for k, v in book.items()], *kept)
         log = joined.where(
             (F.col("_is_new") & F.col("n_price").isNotNull()) | F.col("_is_repriced")
         ).select(*entity, F.col("n_price").alias("price"), now.alias("date"))
-        return Fold(joined, state.select(*schemas.PROPERTIES.names), log, _events(joined, entity, now), derive)
+        touched = state.where(is_seen | F.col("_is_missed")).select(*schemas.PROPERTIES.names)
+        return Fold(joined, state.select(*schemas.PROPERTIES.names), touched, log, _events(joined, entity, now), derive)
 
     return derive(joined)
 

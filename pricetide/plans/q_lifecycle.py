@@ -10,6 +10,8 @@ from pricetide.operators import lifecycle as L
 from pricetide.plans import views as V
 from pricetide.plans.registry import query
 from pricetide.plans.views import with_views
+from pricetide.session import scratch_folder
+from pricetide.sources import tables
 
 LAST_RUN = "2001-11"
 LAST_RUN_START = "2001-11-01 00:00:00"
@@ -105,6 +107,10 @@ FOLD_SQL = f"""{RUNS_SQL},
 
 
 def _fold(spark, sf_dir):
+    return _state_and_fold(spark, sf_dir)[1]
+
+
+def _state_and_fold(spark, sf_dir):
     """Everything before the last month is the stored state; the last month is the run."""
     obs = V.obs(spark, sf_dir)
     titles = V.describe_parts(spark, sf_dir).select("property_id", "title")
@@ -120,14 +126,12 @@ def _fold(spark, sf_dir):
     )
     batch = obs.where(F.col("run_id") == LAST_RUN).join(titles, "property_id")
     runs = runs_frame(spark, sf_dir).where(F.col("run_id") == LAST_RUN)
-    return L.fold_run(current, batch, runs, RUN_AT, position="seen_at")
+    return current, L.fold_run(current, batch, runs, RUN_AT, position="seen_at")
 
 
-@query(
-    "upsert_snapshot",
-    with_views(
-        ["obs", "part_facts"],
-        f"""{FOLD_SQL} SELECT population, property_id, title, CASE WHEN seen THEN new_source ELSE old_source END AS source,
+_SNAPSHOT_SQL = with_views(
+    ["obs", "part_facts"],
+    f"""{FOLD_SQL} SELECT population, property_id, title, CASE WHEN seen THEN new_source ELSE old_source END AS source,
           CASE WHEN seen THEN new_price ELSE old_price END AS price,
           CASE WHEN NOT seen THEN price_first_seen WHEN NOT known THEN new_price
                WHEN price_first_seen / new_price > 50 OR price_first_seen / new_price < 0.02 THEN new_price
@@ -136,13 +140,28 @@ def _fold(spark, sf_dir):
           coalesce(first_seen, TIMESTAMP '{RUN_AT}') AS first_seen,
           CASE WHEN seen THEN TIMESTAMP '{RUN_AT}' ELSE last_seen END AS last_seen,
           CASE WHEN seen THEN 'active' WHEN retired THEN 'inactive' ELSE status END AS status FROM folded""",
-    ),
 )
+_SNAPSHOT = (
+    "population", "property_id", "title", "source", "price", "price_first_seen", "missed_runs", "first_seen", "last_seen",
+    "status",
+)
+
+
+@query("upsert_snapshot", _SNAPSHOT_SQL)
 def upsert_snapshot(spark, sf_dir):
-    return _fold(spark, sf_dir).snapshot.select(
-        "population", "property_id", "title", "source", "price", "price_first_seen", "missed_runs", "first_seen",
-        "last_seen", "status",
-    )
+    return _fold(spark, sf_dir).snapshot.select(*_SNAPSHOT)
+
+
+@query("store_merged", _SNAPSHOT_SQL)
+def store_merged(spark, sf_dir):
+    """The same state through the store: a base, the rows the run touched, a compaction of some tenants, and the read that merges them."""
+    root = scratch_folder(spark)
+    current, fold = _state_and_fold(spark, sf_dir)
+    tables.write_base(current, root, "before")
+    runs = runs_frame(spark, sf_dir).where(F.col("run_id") == LAST_RUN)
+    tables.write_fold(fold, runs, root, "run")
+    tables.compact(spark, root, "compacted", share=0.3)
+    return tables.read_table(spark, root, "properties").select(*_SNAPSHOT)
 
 
 @query(

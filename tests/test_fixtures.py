@@ -416,6 +416,34 @@ def test_store_round_trip(spark, tmp_path):
     assert tables.read_table(spark, root, "runs").count() == 2
 
 
+def test_store_merges_on_read(spark, tmp_path):
+    """Reads equal the folds' whole snapshots; a run writes what it touched; compaction rewrites single tenants."""
+    root = str(tmp_path / "store")
+    runs = spark.createDataFrame([(t, day(0), "s1", 2, "ok") for t in "pq"], "population string, run_date timestamp, source string, listings_returned int, status string")
+    rng = random.Random(1)
+    state, places = None, []
+    for n in range(5):
+        tenants = "pq" if n == 0 else rng.choice(["p", "q", "pq"]) if n != 3 else "q"
+        rows = [(t, f"{i:02d}", "s1", float(rng.randint(50, 60)), None, i) for t in tenants for i in range(30) if n == 0 or rng.random() < 0.2]
+        stored = tables.read_table(spark, root, "properties")
+        fold = lifecycle.fold_run(stored, _run(spark, rows), runs, day(n))
+        snapshot = sorted(map(str, fold.snapshot.collect()))
+        touched = fold.changed.count()
+        tables.write_fold(fold, runs, root, f"r{9 - n}")  # order of runs comes from their markers, not their names
+        assert spark.read.parquet(f"{root}/changes/run_id=r{9 - n}").count() == touched <= stored.where(F.col("population").isin(*tenants)).count() + len(rows)
+        assert sorted(map(str, tables.read_table(spark, root, "properties").collect())) == snapshot
+        if n == 3:
+            places = tables.compact(spark, root, "c1", share=1.5)
+            assert places and sorted(map(str, tables.read_table(spark, root, "properties").collect())) == snapshot
+            assert {r[0] for r in spark.read.parquet(f"{root}/properties").select("population").distinct().collect()} == set(places)
+    fold.changed.limit(1).write.partitionBy("population").parquet(f"{root}/changes/run_id=unpublished")
+    assert sorted(map(str, tables.read_table(spark, root, "properties").collect())) == snapshot
+    with pytest.raises(ValueError):
+        tables.write_fold(fold, runs, root, "r5")
+    only = tables.read_table(spark, root, "properties", "q")
+    assert only.count() == 30 and tables.compact(spark, str(tmp_path / "none"), "c") == []
+
+
 def test_files(spark, tmp_path):
     ids = tmp_path / "ids.txt"
     ids.write_text("# nothing\n\n  # here\n")
