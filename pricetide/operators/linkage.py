@@ -261,6 +261,38 @@ def connected_components(
     return pairs.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def grown_components(
+    forest: DataFrame, edges: DataFrame, keys: Sequence[str] = TENANT, a: str = "a_id", b: str = "b_id"
+) -> DataFrame:
+    """The rows by which new links change a stored forest (node, component): moved nodes and new ones.
+
+    Links are lifted to the components of their ends, and only the graph of these components is closed. So the work
+    grows with the new links and the components they meet; the forest itself is only read. Components
+    never split: links are added, not taken away.
+    """
+    keys = list(keys)
+    links = edges.where(F.col(a) != F.col(b)).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    ends = links.select(*keys, F.explode(F.array("_a", "_b")).alias("node")).distinct()
+    known = cut_lineage(ends.join(forest.select(*keys, "node", "component"), [*keys, "node"], "left").withColumn("_root", F.coalesce("component", "node")))
+    root = lambda end: known.select(*keys, F.col("node").alias(end), F.col("_root").alias(f"{end}_root"))
+    lifted = links.join(root("_a"), [*keys, "_a"]).join(root("_b"), [*keys, "_b"])
+    merged = connected_components(lifted.select(*keys, F.col("_a_root").alias("a_id"), F.col("_b_root").alias("b_id")), keys)
+    merged = merged.select(*keys, F.col("node").alias("_root"), F.col("component").alias("_new"))
+    moved = (
+        forest.select(*keys, "node", F.col("component").alias("_root"))
+        .join(merged.where("_root <> _new"), [*keys, "_root"])
+        .select(*keys, "node", F.col("_new").alias("component"))
+    )
+    added = known.where("component IS NULL").join(merged, [*keys, "_root"], "left")
+    return moved.unionByName(added.select(*keys, "node", F.coalesce("_new", "_root").alias("component")))
+
+
+def grow_forest(forest: DataFrame, changes: DataFrame, keys: Sequence[str] = TENANT) -> DataFrame:
+    """The forest with the changed rows in place of theirs."""
+    node = [*keys, "node"]
+    return forest.join(changes.select(*node), node, "left_anti").unionByName(changes.select(*forest.columns))
+
+
 def _fingerprint(pairs: DataFrame) -> tuple:
     row = pairs.agg(
         F.count(F.lit(1)), F.bit_xor(F.xxhash64(*pairs.columns)), F.sum(F.xxhash64(*pairs.columns).cast("decimal(38,0)"))

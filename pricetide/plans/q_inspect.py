@@ -283,6 +283,67 @@ def table_summary(spark, sf_dir):
     return I.table_summary(V.properties(spark, sf_dir)).withColumn("value", snug_col(F.col("value")))
 
 
+_PROFILED = ("price", "price_first_seen", "sqm", "rooms", "bathrooms", "has_pool", "title", "status")
+_NUMBERS = _PROFILED[:6]
+
+
+@query(
+    "column_profile",
+    with_views(
+        ["properties"],
+        " UNION ALL ".join(
+            f"""SELECT population, '{c}' AS column, count(*) AS rows, count({c}) AS filled, {{}} min(CAST({c} AS VARCHAR)) IS NOT NULL AS known
+            FROM properties GROUP BY 1""".format(
+                f"{snug(f'avg({c})')} AS mean, {snug(f'stddev_samp({c})')} AS std, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high,"
+                if c in _NUMBERS
+                else "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS low, NULL::DOUBLE AS high,"
+            )
+            for c in _PROFILED
+        ),
+    ),
+)
+def column_profile(spark, sf_dir):
+    """The exact part of every column's profile, merged from the sketches of two batches."""
+    rows = V.properties(spark, sf_dir).select("population", *_PROFILED)
+    late = F.col("price") > 50_000
+    parts = [I.column_sketches(rows.where(when)) for when in (late, ~late)]
+    profile = I.column_profile(I.merge_sketches(parts[0].unionByName(parts[1])))
+    return profile.select(
+        "population", "column", "rows", "filled", snug_col(F.col("mean")).alias("mean"), snug_col(F.col("std")).alias("std"), "low", "high",
+        F.col("first_text").isNotNull().alias("known"),
+    )
+
+
+@query(
+    "table_samples",
+    with_views(
+        ["properties", "price_history", "property_events"],
+        " UNION ALL ".join(
+            f"""SELECT '{table}' AS table_name, population, property_id, CAST({stamp} AS TIMESTAMP) AS stamp FROM (
+              SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY population ORDER BY md5('|' || {key}), {order}) <= 30)"""
+            for table, stamp, key, order in (
+                ("properties", "last_seen", "property_id", "property_id"),
+                ("price_history", "date", "property_id || '|' || CAST(epoch_us(date) AS VARCHAR)", "property_id, epoch_us(date)"),
+                ("property_events", "event_date", "CAST(id AS VARCHAR)", "id"),
+            )
+        ),
+    ),
+)
+def table_samples(spark, sf_dir):
+    """Thirty rows of each table and tenant, the same on every run."""
+    dated = V.price_history(spark, sf_dir).withColumn("at", F.unix_micros("date"))
+    parts = (
+        ("properties", V.properties(spark, sf_dir), "last_seen", ["property_id"]),
+        ("price_history", dated, "date", ["property_id", "at"]),
+        ("property_events", V.property_events(spark, sf_dir), "event_date", ["id"]),
+    )
+    out = None
+    for table, rows, stamp, ids in parts:
+        some = I.samples(rows, 30, ids=ids).select(F.lit(table).alias("table_name"), *V.ENTITY, F.col(stamp).cast("timestamp").alias("stamp"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 @query(
     "newest_entities",
     with_views(

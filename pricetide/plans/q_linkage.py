@@ -138,9 +138,7 @@ def cluster_stats(spark, sf_dir):
     )
 
 
-@query(
-    "market_life",
-    with_views(
+_LIFE_SQL = with_views(
         ["spells"],
         _of_spells(
             EDGE_SQL
@@ -155,12 +153,30 @@ def cluster_stats(spark, sf_dir):
           JOIN two_way l ON l.population = c.population AND l.a = c.seen)
         SELECT population, node AS property_id, min(seen) AS life_id FROM closure GROUP BY 1, 2"""
         ),
-    ),
-)
+    )
+
+
+@query("market_life", _LIFE_SQL)
 def market_life(spark, sf_dir):
     return life_frame(spark, sf_dir).select(*V.ENTITY, "life_id")
 
 
+@query("market_life_grown", _LIFE_SQL)
+def market_life_grown(spark, sf_dir):
+    """The same units from a stored forest: clusters first, then only what the re-listings change of it."""
+    aged = cut_lineage(L.add_effective_age(V.spells(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit"))
+    clustered = cut_lineage(L.cluster_ids(aged, CFG, similarity="edit"))
+    forest = cut_lineage(
+        clustered.where(F.col("cluster_id") != F.col("property_id"))
+        .select("population", F.explode(F.array("cluster_id", "property_id")).alias("node"), F.col("cluster_id").alias("component"))
+        .distinct()
+    )
+    again = clustered.where(F.col("relisted_from").isNotNull()).select("population", F.col("relisted_from").alias("a_id"), F.col("property_id").alias("b_id"))
+    grown = L.grow_forest(forest, cut_lineage(L.grown_components(forest, again)))
+    units = grown.select("population", F.col("node").alias("property_id"), "component")
+    return clustered.join(units, V.ENTITY, "left").select(*V.ENTITY, F.coalesce("component", "property_id").alias("life_id"))
+
+
 def life_frame(spark, sf_dir):
     aged = L.add_effective_age(V.spells(spark, sf_dir), V.OBS_AS_OF, CFG, similarity="edit")
     return L.market_life(L.cluster_ids(cut_lineage(aged), CFG, similarity="edit"))

@@ -15,6 +15,7 @@ from pricetide import config as C
 from pricetide.functions import numbers as N
 from pricetide.functions import text as T
 from pricetide.functions.dates import whole_days
+from pricetide.operators import inspection
 from pricetide.operators import (
     clean, fairvalue, features, finance, history, lifecycle, linkage, market, offers, ordering, panel, ranking, scans,
     similarity, survival,
@@ -528,3 +529,46 @@ def test_copies_make_a_star_not_a_clique(spark):
     assert linkage.copy_edges(df).count() == 599
     assert linkage.duplicate_pairs(df).count() == 0
     assert set(values(linkage.cluster_ids(df), "cluster_id")) == {"0000"}
+
+
+def test_profiles_merge_and_their_sketches_are_close(spark):
+    rng = random.Random(2)
+    rows = [("p", rng.gauss(100, 15), rng.choice("abcdef"), None, rng.randint(0, 5000)) for _ in range(20_000)] + [("q", None, None, None, 1)]
+    df = spark.createDataFrame(rows, "population string, x double, c string, empty string, n int")
+    whole = inspection.column_sketches(df)
+    split = inspection.merge_sketches(inspection.column_sketches(df.where("n % 3 = 0")).unionByName(inspection.column_sketches(df.where("n % 3 > 0"))))
+    for sketches in (whole, split):
+        got = {(r.population, r.column): r for r in inspection.column_profile(sketches).collect()}
+        x = np.array([r[1] for r in rows if r[1] is not None])
+        row = got["p", "x"]
+        assert (row.rows, row.filled, row.low, row.high) == (20_000, 20_000, x.min(), x.max())
+        assert (row.mean, row.std) == (pytest.approx(x.mean()), pytest.approx(x.std(ddof=1)))
+        for q, value in ((0.25, row.q25), (0.5, row.q50), (0.75, row.q75)):
+            assert abs((x <= value).mean() - q) < 0.03
+        assert got["p", "c"].distinct == 6 and abs(got["p", "n"].distinct / len({r[4] for r in rows[:-1]}) - 1) < 0.1
+        assert (got["p", "c"].first_text, got["p", "c"].last_text, got["p", "c"].mean) == ("a", "f", None)
+        assert (got["p", "empty"].filled, got["q", "x"].q50, got["q", "x"].std) == (0, None, None)
+
+
+def test_samples_are_bounded_and_the_same_for_any_cut(spark):
+    df = spark.createDataFrame([("p" if i % 3 else "q", str(i), i) for i in range(3000)], "population string, property_id string, v int")
+    one, other = (inspection.samples(d, 7) for d in (df.repartition(13), df.coalesce(1)))
+    assert sorted(one.collect()) == sorted(other.collect()) and one.groupBy("population").count().where("count = 7").count() == 2
+    assert "WindowGroupLimit" in one._jdf.queryExecution().executedPlan().toString()  # a task sends no more than it may
+    assert sorted(inspection.samples(df, 7, seed="x").collect()) != sorted(one.collect())
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_a_grown_forest_is_the_closure_of_all_links(spark, seed):
+    rng = random.Random(seed)
+    batches = [[("p", f"{rng.randint(0, 60):02d}", f"{rng.randint(0, 60):02d}") for _ in range(n)] for n in (25, 8, 20)]
+    edge = "population string, a_id string, b_id string"
+    forest = linkage.connected_components(spark.createDataFrame(batches[0], edge))
+    for n in range(1, len(batches)):
+        changes = linkage.grown_components(forest, spark.createDataFrame(batches[n], edge))
+        before = {r.node: r.component for r in forest.collect()}
+        assert all(before.get(r.node) != r.component for r in changes.collect())  # only what changes
+        forest = linkage.grow_forest(forest, changes)
+        whole = linkage.connected_components(spark.createDataFrame(sum(batches[: n + 1], []), edge))
+        assert sorted(forest.collect()) == sorted(whole.select(*forest.columns).collect())
+    assert linkage.grown_components(forest, spark.createDataFrame([], edge)).count() == 0
