@@ -122,32 +122,42 @@ def max_price(spark, sf_dir):
     return out.withColumn("asking_ceiling", FI.asking_ceiling(F.col("binding_max_price")))
 
 
-@query(
-    "scenario_grid",
-    f"""WITH {_BUYERS_SQL}, {afford_sql('buyers', 'price', 'a80', 'savings', '0.8')},
+def _dotted(expr: str) -> str:
+    return f"replace(format('{{:,}}', {_int(expr)}), ',', '.')"
+
+
+_PATH_SQL = f"""WITH RECURSIVE {_BUYERS_SQL}, {afford_sql('buyers', 'price', 'a80', 'savings', '0.8')},
+    halves(price, step, lo, hi) AS (SELECT DISTINCT price, 0, 0.0::DOUBLE, 12.0::DOUBLE FROM buyers
+      UNION ALL SELECT price, step + 1, CASE WHEN {_pay('price * 0.8', '((lo + hi) / 2)')} > 1800.0 THEN lo ELSE (lo + hi) / 2 END,
+        CASE WHEN {_pay('price * 0.8', '((lo + hi) / 2)')} > 1800.0 THEN (lo + hi) / 2 ELSE hi END FROM halves WHERE step < 60),
+    rates AS (SELECT price, CASE WHEN price * 0.8 / 360 > 1800.0 THEN 0.0 ELSE round_even(lo * 100, 0) / 100 END AS rate
+      FROM halves WHERE step = 60),
     a80_out AS (SELECT c_custkey, savings, price, {_int('gap_cash')} AS gap, months, months_no_extras,
       {_int('due')} AS due, {_int(_pay('full_loan'))} AS pay80, {_int('price - full_loan + costs')} AS cash80,
-      {_PCT1.format('allowed / price')} AS ltv, verdict, {_int('price * 0.2 + costs')} AS unused,
+      {_PCT1.format('allowed / price')} AS ltv, verdict,
       {_int(_pay('price * 0.9'))} AS pay90, {_int('price - price * 0.9 + costs')} AS cash90,
       {_int(f"least(({_loan('1800.0')} + savings + 30000) / 1.115, (savings + 30000) / (1 - 0.8 + (0.10 + 0.015)), {_loan('1800.0')} / 0.8)")}
-        AS binding FROM a80)
+        AS binding FROM a80),
+    ways AS (SELECT *, pay80 > 1800 AS bound, list_filter([
+      CASE WHEN gap <= 30000 AND pay80 <= 1800 THEN 'usar extras (faltan ' || {_int('gap / 1000.0')} || 'k)' END,
+      CASE WHEN pay90 <= 1800 AND cash90 <= savings THEN 'hipoteca 90% (cash ok. cuota ' || {_dotted('pay90')} || ' €)'
+           WHEN pay90 <= 1800 AND cash90 <= savings + 30000 THEN 'hipoteca 90% + extras (cuota ' || {_dotted('pay90')} || ' €)' END,
+      CASE WHEN months_no_extras > 0 AND pay80 > 1800 THEN 'ahorrar ' || months || ' meses con extras (baja el LTV a '
+             || {_int('ltv')} || '% para mantener cuota ≤ ' || {_dotted('1800.0')} || ' €)'
+           WHEN months_no_extras > 0 THEN 'ahorrar ' || months_no_extras || ' meses (sin extras)' END,
+      CASE WHEN pay80 > 1800 AND rate > 0 AND rate < 2.0 THEN 'tipo ≤ ' || printf('%.2f', rate) || '% (hoy asumes 2.0%)' END
+      ], lambda x: x IS NOT NULL) AS found FROM a80_out JOIN rates USING (price)),
+    listed AS (SELECT *, CASE WHEN len(found) = 0 OR months > 24
+        THEN list_append(found, 'negociar el precio a ≤ ' || {_int('binding / 1000.0')} || 'k') ELSE found END AS levers FROM ways)
     SELECT c_custkey, savings, price, cash80 AS cash_80, pay80 AS payment_80, cash90 AS cash_90, pay90 AS payment_90,
       months_no_extras, verdict, CASE WHEN gap = 0 AND due <= 1700 THEN '✅ entra ya (80% LTV, solo ahorros)'
-        WHEN gap = 0 AND due <= 1800 THEN '✅ entra ya al 80%, pero con cuota exigente' END AS entry,
-      CASE WHEN NOT (gap = 0 AND due <= 1800) AND months > 24
-        THEN 'negociar el precio a ≤ ' || {_int('binding / 1000.0')} || 'k' END AS haggle
-    FROM a80_out""",
-)
+        WHEN gap = 0 AND due <= 1800 THEN '✅ entra ya al 80%, pero con cuota exigente'
+        ELSE array_to_string(levers[:3], ' · o ') END AS path FROM listed"""
+
+
+@query("scenario_grid", _PATH_SQL)
 def scenario_grid(spark, sf_dir):
-    out = FI.scenario_grid(_buyers(spark, sf_dir), "price", {"savings": "savings"})
-    path = F.col("path")
-    haggle = F.regexp_extract(path, r"(negociar el precio a ≤ \d+k)$", 1)
-    return out.select(
-        "c_custkey", "savings", "price", "cash_80", "payment_80", "cash_90", "payment_90", "months_no_extras",
-        "verdict",
-        F.when(path.startswith("✅"), path).alias("entry"),
-        F.when(F.col("verdict") == "fuera_de_alcance", F.nullif(haggle, F.lit(""))).alias("haggle"),
-    )
+    return FI.scenario_grid(_buyers(spark, sf_dir), "price", {"savings": "savings"})
 
 
 @query(
