@@ -46,16 +46,28 @@ def unreliable_sources(runs: DataFrame, keys: Sequence[str] = TENANT) -> DataFra
     return runs.where(F.col("status").isin("failed", "empty")).select(*keys, "source").distinct()
 
 
-def run_outcomes(batch: DataFrame, registry: DataFrame, keys: Sequence[str] = ("population", "run_id")) -> DataFrame:
-    """Rows per registered source of a run, and whether it was ok or empty."""
+def run_outcomes(
+    batch: DataFrame, registry: DataFrame, keys: Sequence[str] = ("population", "run_id"), failures: DataFrame | None = None
+) -> DataFrame:
+    """Rows per registered source of a run, and whether it was ok, empty or failed.
+
+    `failures` names the sources whose collection broke off in a run; whatever they sent before counts as nothing.
+    """
     counts = batch.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("listings_returned"))
     runs = batch.select(*keys).distinct()
     shared = [k for k in keys if k in registry.columns]
     expected = runs.join(registry.select(*shared, "source").distinct(), shared)
+    rows = expected.join(counts, [*keys, "source"], "left")
+    if failures is None:
+        rows = rows.withColumn("_failed", F.lit(False))
+    else:
+        broken = failures.select(*keys, "source").distinct().withColumn("_failed", F.lit(True))
+        rows = rows.join(broken, [*keys, "source"], "left")
+    failed = F.coalesce("_failed", F.lit(False))
     return (
-        expected.join(counts, [*keys, "source"], "left")
-        .withColumn("listings_returned", F.coalesce("listings_returned", F.lit(0)))
-        .withColumn("status", F.when(F.col("listings_returned") > 0, "ok").otherwise("empty"))
+        rows.withColumn("listings_returned", F.when(failed, 0).otherwise(F.coalesce("listings_returned", F.lit(0))))
+        .withColumn("status", F.when(failed, "failed").when(F.col("listings_returned") > 0, "ok").otherwise("empty"))
+        .drop("_failed")
     )
 
 

@@ -10,9 +10,10 @@ from pricetide.functions import text as T
 from pricetide.operators import clean as CL
 from pricetide.operators import inspection as I
 from pricetide.operators import lifecycle as L
+from pricetide.operators import scans
 from pricetide.operators import similarity as S
 from pricetide.plans import views as V
-from pricetide.plans.q_linkage import PROFILES, life_frame
+from pricetide.plans.q_linkage import LIFE_CTES, PROFILES, SCORED_SQL, life_frame
 from pricetide.plans.q_market import zone_frame
 from pricetide.plans.q_lifecycle import replay_frame, REPLAY_SQL
 from pricetide.plans.registry import query
@@ -227,7 +228,37 @@ def alert_filter(spark, sf_dir):
     return out.select(*V.ENTITY, "price")
 
 
-@query("alert_messages")
+# fixed values: wording of the alerts
+_GROUPED = r"""CASE WHEN {0} IS NULL THEN '?' WHEN {0} = floor({0}) THEN format('{{:,}}', CAST({0} AS BIGINT))
+  ELSE regexp_replace(regexp_replace(format('{{:,.2f}}', {0}), '0+$', ''), '\\.$', '') END""".replace("\\\\", "\\")
+_TITLE = r"""coalesce(nullif(regexp_replace(coalesce(title, ''), '([_*`\[])', '\\\1', 'g'), ''), 'Sense títol')"""
+_SCORE = """coalesce(chr(10) || '🎯 Similitud: *' || similarity_score || '/100*' || coalesce(' · ' || similarity_profile, ''), '')"""
+_TAIL = f"""{_SCORE} || '🔗 [Veure anunci](' || coalesce(url, '') || ')'"""
+_ALERT_SQL = with_views(
+    ["obs", "properties"],
+    f"""{REPLAY_SQL}, {SCORED_SQL},
+    wanted AS (SELECT p.*, similarity_score, similarity_profile FROM properties p JOIN
+        (SELECT population, property_id, greatest(big, small) AS similarity_score, CASE WHEN greatest(big, small) = 0 THEN NULL
+           WHEN big >= small THEN 'big' ELSE 'small' END AS similarity_profile FROM scored) USING (population, property_id)
+      WHERE price < 60000 AND rooms >= 3 AND bathrooms >= 2 AND (contains(lower(title), 'ring') OR contains(lower(title), 'brand#2'))),
+    fresh AS (SELECT * FROM wanted SEMI JOIN (SELECT * FROM replayed WHERE event_type = 'inserted') USING (population, property_id)),
+    drops AS (SELECT w.* EXCLUDE (price), r.old_price, r.new_price AS price, r.old_price - r.new_price AS fall FROM wanted w
+      JOIN replayed r USING (population, property_id) WHERE r.event_type = 'price_change' AND r.new_price < r.old_price)
+    SELECT population, property_id, 'new' AS kind, '🏠 *Nova propietat detectada* '
+        || concat_ws(' ', CASE WHEN has_pool = 1 THEN '🏊' END, CASE WHEN has_ac = 1 THEN '❄️' END)
+        || chr(10) || chr(10) || '*' || {_TITLE} || '*' || chr(10) || '💰 Preu: *' || {_GROUPED.format('price')} || ' €*' || chr(10)
+        || '🛏 Habitacions: ' || coalesce(CAST(rooms AS VARCHAR), '?') || chr(10) || '🚿 Banys: ' || coalesce(CAST(bathrooms AS VARCHAR), '?')
+        || chr(10) || '📐 Superfície: ' || coalesce(CAST(sqm AS VARCHAR), '?') || ' m²' || chr(10) || {_TAIL} AS message FROM fresh
+    UNION ALL
+    SELECT population, property_id, 'price_drop', '📉 *Baixada de preu detectada!*' || chr(10) || chr(10) || '*' || {_TITLE} || '*' || chr(10)
+        || '💰 Preu antic: ~~' || {_GROUPED.format('old_price')} || ' €~~' || chr(10) || '💰 Preu nou:  *' || {_GROUPED.format('price')}
+        || ' €*' || chr(10) || '📉 Baixada: -' || {_GROUPED.format('fall')} || ' € (' || printf('%.1f', coalesce(fall / nullif(old_price, 0) * 100, 0.0))
+        || '%)' || chr(10) || '🛏 Habitacions: ' || coalesce(CAST(rooms AS VARCHAR), '?') || chr(10) || '🚿 Banys: '
+        || coalesce(CAST(bathrooms AS VARCHAR), '?') || chr(10) || {_TAIL} FROM drops""",
+)
+
+
+@query("alert_messages", _ALERT_SQL)
 def alert_messages(spark, sf_dir):
     """Texts of the alerts for matching new entities and price drops of the whole replayed history."""
     # scored once and written; both kinds of alert read it
@@ -392,12 +423,55 @@ def timeline(spark, sf_dir):
     return I.timeline(V.entities(spark, sf_dir), V.event_history(spark, sf_dir), V.property_events(spark, sf_dir))
 
 
-@query("inspector_payload")
-def inspector_payload(spark, sf_dir):
-    """Nested history of every unit with a re-published listing; nesting differs between engines."""
+def _spell_events(spark, sf_dir):
+    """Events of the spells: their insertion, later prices, and the end of those that are retired."""
+    spells, log = V.spells(spark, sf_dir), V.spell_history(spark, sf_dir)
+    steps = scans.neighbour(log, V.ENTITY, ["date", "price"], ["price"]).where(F.col("prev_price").isNotNull() & (F.col("prev_price") != F.col("price")))
+    parts = (
+        spells.select(*V.ENTITY, F.col("first_seen").alias("event_date"), F.lit("inserted").alias("event_type")),
+        steps.select(*V.ENTITY, F.col("date").alias("event_date"), F.lit("price_change").alias("event_type")),
+        spells.where("status = 'inactive'").select(*V.ENTITY, F.col("last_seen").alias("event_date"), F.lit("inactive").alias("event_type")),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _members(spark, sf_dir):
     lives = cut_lineage(life_frame(spark, sf_dir))
     seeds = lives.where(F.col("relist_count") == 1)
-    return I.inspector_payload(I.inspector_members(lives, seeds, V.spell_history(spark, sf_dir)))
+    return I.inspector_members(lives, seeds, V.spell_history(spark, sf_dir), _spell_events(spark, sf_dir))
+
+
+_MEMBERS_SQL = f"""{LIFE_CTES},
+  effective AS (SELECT p.population, p.property_id, round_even(date_diff('second', least(p.first_seen, coalesce(r.old_first, p.first_seen)),
+      TIMESTAMP '{V.OBS_AS_OF}') / 86400.0 * 10, 0) / 10 AS days_online_effective FROM spells p LEFT JOIN relist r USING (population, property_id)),
+  seeded AS (SELECT DISTINCT population, life_id FROM lives SEMI JOIN relist USING (population, property_id)),
+  unit AS (SELECT p.*, l.life_id, e.days_online_effective FROM spells p JOIN lives l USING (population, property_id)
+    JOIN effective e USING (population, property_id) SEMI JOIN seeded s ON s.population = l.population AND s.life_id = l.life_id),
+  log AS (SELECT population, property_id || '-' || year(seen_at) AS property_id, seen_at AS date, price FROM obs),
+  opening AS (SELECT u.population, u.property_id, u.first_seen, coalesce(u.price_first_seen, u.price) AS asked FROM unit u
+    LEFT JOIN (SELECT population, property_id, CAST(min(date) AS DATE) AS d FROM log GROUP BY 1, 2) f USING (population, property_id)
+    WHERE f.d IS NULL OR f.d > CAST(u.first_seen AS DATE)),
+  points AS (SELECT population, property_id, 'price' AS kind, date AS at_time, price AS asked, NULL AS event_type FROM log
+    UNION ALL SELECT population, property_id, 'price', first_seen, asked, NULL FROM opening
+    UNION ALL SELECT population, property_id, 'event', first_seen, NULL, 'inserted' FROM spells
+    UNION ALL SELECT population, property_id, 'event', date, NULL, 'price_change' FROM (SELECT *,
+      lag(price) OVER (PARTITION BY population, property_id ORDER BY date) AS before FROM log) WHERE before <> price
+    UNION ALL SELECT population, property_id, 'event', last_seen, NULL, 'inactive' FROM spells WHERE status = 'inactive')
+  SELECT u.population, u.property_id, u.life_id, u.source, u.status, u.url, u.title, u.neighborhood, u.sqm, u.days_online_effective,
+    u.first_seen, u.last_seen, u.price, p.kind, p.at_time, p.asked, p.event_type
+  FROM unit u LEFT JOIN points p USING (population, property_id)"""
+
+
+@query("inspector_members", with_views(["spells"], _MEMBERS_SQL))
+def inspector_members(spark, sf_dir):
+    """The payload in long form: a unit's listings with every price and event."""
+    return _members(spark, sf_dir).withColumnRenamed("at", "at_time")
+
+
+@query("inspector_payload")
+def inspector_payload(spark, sf_dir):
+    """The same, nested by member and month; nesting differs between engines, `inspector_members` is the compared form."""
+    return I.inspector_payload(_members(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ baselines
@@ -431,6 +505,37 @@ def baseline_series(spark, sf_dir):
     return B.zone_series(B.parse_zones(documents, "json"))
 
 
+@query(
+    "closing_cycle",
+    with_views(
+        ["closing_prices"],
+        f"""years AS (SELECT population, zone, year(closed_at) AS y, avg(amount) AS mean FROM closing_prices GROUP BY 1, 2, 3),
+        changes AS (SELECT *, {snug('(mean / lag(mean) OVER w - 1) * 100', 2)} AS change_pct FROM years
+          WINDOW w AS (PARTITION BY population, zone ORDER BY y) QUALIFY lag(mean) OVER w IS NOT NULL),
+        recent AS (SELECT population, zone, avg(amount) / 100 AS mean FROM closing_prices WHERE closed_at >= TIMESTAMP '1998-01-01' GROUP BY 1, 2)
+        SELECT population, zone, CAST(y AS VARCHAR) AS year, change_pct, {snug('r.mean')} AS closing_mean_eur_m2_12m
+        FROM changes c LEFT JOIN recent r USING (population, zone) QUALIFY row_number() OVER (PARTITION BY population, zone ORDER BY y DESC) <= 3""",
+    ),
+)
+def closing_cycle(spark, sf_dir):
+    """Yearly changes written as the nested JSON a baseline file holds; its last three years, a row each."""
+    deals = V.closing_prices(spark, sf_dir)
+    years = deals.groupBy("population", "zone", F.year("closed_at").alias("y")).agg(F.avg("amount").alias("mean"))
+    before = years.select("population", "zone", (F.col("y") + 1).alias("y"), F.col("mean").alias("before"))
+    changes = years.join(before, ["population", "zone", "y"]).select(
+        "population", "zone", F.struct(F.col("y").cast("string"), snug_col((F.col("mean") / F.col("before") - 1) * 100, 2)).alias("_c")
+    )
+    recent = deals.where(F.col("closed_at") >= F.to_timestamp(F.lit("1998-01-01"))).groupBy("population", "zone")
+    recent = recent.agg(F.struct((F.avg("amount") / 100).alias("mean_eur_m2")).alias("last_12m"))
+    maps = changes.groupBy("population", "zone").agg(F.map_from_entries(F.collect_list("_c")).alias("yoy_price_change_pct"))
+    documents = maps.join(recent, ["population", "zone"], "left").select(
+        "population", "zone", F.to_json(F.struct("last_12m", "yoy_price_change_pct")).alias("json")
+    )
+    cycles = B.closing_cycle(B.parse_zones(documents, "json"))
+    closing = snug_col(F.col("closing_mean_eur_m2_12m")).alias("closing_mean_eur_m2_12m")
+    return cycles.select("population", "zone", F.inline("cycle"), closing)
+
+
 @query(
     "year_bars",
     with_views(

@@ -39,6 +39,24 @@ def run_outcomes(spark, sf_dir):
     return runs_frame(spark, sf_dir)
 
 
+@query(
+    "source_outcomes",
+    with_views(
+        ["obs"],
+        f"""{RUNS_SQL} SELECT population, run_id, source, CASE WHEN broken THEN 0 ELSE listings_returned END AS listings_returned,
+          CASE WHEN broken THEN 'failed' ELSE status END AS status
+        FROM (SELECT r.*, s.s_acctbal < 0 AND CAST(right(run_id, 2) AS INT) % 6 = 1 AS broken FROM runs r JOIN supplier s ON s.s_suppkey = CAST(r.source AS BIGINT))""",
+    ),
+)
+def source_outcomes(spark, sf_dir):
+    """Outcomes of all runs, where sources in the red break off in January and July."""
+    obs = V.obs(spark, sf_dir)
+    red = V.table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("source"))
+    broken = obs.select("population", "source").distinct().join(red, "source").join(obs.select("population", "run_id").distinct(), "population")
+    broken = broken.where(F.right("run_id", F.lit(2)).cast("int") % 6 == 1)
+    return L.run_outcomes(obs, obs.select("population", "source"), failures=broken)
+
+
 REPLAY_SQL = f"""{RUNS_SQL},
   seen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY population, property_id, run_id
              ORDER BY seen_at DESC) AS rn FROM obs) WHERE rn = 1),

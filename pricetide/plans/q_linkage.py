@@ -138,22 +138,20 @@ def cluster_stats(spark, sf_dir):
     )
 
 
-_LIFE_SQL = with_views(
-        ["spells"],
-        _of_spells(
-            EDGE_SQL
-            + ","
-            + RELIST_SQL.split("FROM folded WHERE price IS NOT NULL AND sqm IS NOT NULL),")[1]
-            + """,
-        links AS (SELECT population, cluster_id AS a, property_id AS b FROM clustered UNION ALL
-          SELECT population, relisted_from, property_id FROM relist),
-        two_way AS (SELECT population, a, b FROM links UNION ALL SELECT population, b, a FROM links),
-        closure(population, node, seen) AS (SELECT population, property_id, property_id FROM properties
-          UNION SELECT c.population, c.node, l.b FROM closure c
-          JOIN two_way l ON l.population = c.population AND l.a = c.seen)
-        SELECT population, node AS property_id, min(seen) AS life_id FROM closure GROUP BY 1, 2"""
-        ),
-    )
+LIFE_CTES = _of_spells(
+    EDGE_SQL
+    + ","
+    + RELIST_SQL.split("FROM folded WHERE price IS NOT NULL AND sqm IS NOT NULL),")[1]
+    + """,
+    links AS (SELECT population, cluster_id AS a, property_id AS b FROM clustered UNION ALL
+      SELECT population, relisted_from, property_id FROM relist),
+    two_way AS (SELECT population, a, b FROM links UNION ALL SELECT population, b, a FROM links),
+    closure(population, node, seen) AS (SELECT population, property_id, property_id FROM properties
+      UNION SELECT c.population, c.node, l.b FROM closure c
+      JOIN two_way l ON l.population = c.population AND l.a = c.seen),
+    lives AS (SELECT population, node AS property_id, min(seen) AS life_id FROM closure GROUP BY 1, 2)"""
+)
+_LIFE_SQL = with_views(["spells"], f"{LIFE_CTES} SELECT * FROM lives")
 
 
 @query("market_life", _LIFE_SQL)
@@ -265,15 +263,18 @@ _SMALL = (
 )
 
 
+SCORED_SQL = f"""words AS (SELECT *, lower(strip_accents(title || ' ' || url || ' ' || source)) AS words,
+            lower(strip_accents(title || ' ' || url || ' ' || source || ' ' || neighborhood)) AS place
+          FROM properties),
+        scored AS (SELECT population, property_id, CAST(round_even({_BIG} * 100, 0) AS INT) AS big,
+          CAST(round_even({_SMALL} * 100, 0) AS INT) AS small FROM words)"""
+
+
 @query(
     "similarity",
     with_views(
         ["properties"],
-        f"""words AS (SELECT *, lower(strip_accents(title || ' ' || url || ' ' || source)) AS words,
-            lower(strip_accents(title || ' ' || url || ' ' || source || ' ' || neighborhood)) AS place
-          FROM properties),
-        scored AS (SELECT population, property_id, CAST(round_even({_BIG} * 100, 0) AS INT) AS big,
-          CAST(round_even({_SMALL} * 100, 0) AS INT) AS small FROM words)
+        f"""{SCORED_SQL}
         SELECT population, property_id, greatest(big, small) AS similarity_score,
           CASE WHEN greatest(big, small) = 0 THEN NULL WHEN big >= small THEN 'big' ELSE 'small' END
             AS similarity_profile FROM scored""",

@@ -37,6 +37,15 @@ def zone_figures(zones: DataFrame) -> DataFrame:
     )
 
 
+def closing_cycle(zones: DataFrame, years: int = 3) -> DataFrame:
+    """The last years' change of closing prices, and the mean of the last twelve months, of each zone that has them."""
+    kept = [c for c in zones.columns if c not in ("last_12m", *_SERIES)]
+    changes = F.col("yoy_price_change_pct")
+    last = F.slice(F.reverse(F.array_sort(F.map_keys(changes))), 1, years)
+    cycle = F.transform(F.reverse(last), lambda year: F.struct(year.alias("year"), F.try_element_at(changes, year).alias("change_pct")))
+    return zones.where(changes.isNotNull()).select(*kept, cycle.alias("cycle"), F.col("last_12m.mean_eur_m2").alias("closing_mean_eur_m2_12m"))
+
+
 def zone_series(zones: DataFrame) -> DataFrame:
     """Annual and monthly maps as (zone, measure, period, value) rows."""
     kept = [c for c in zones.columns if c not in ("last_12m", *_SERIES)]

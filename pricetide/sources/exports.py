@@ -32,11 +32,20 @@ def shortlist_lines(shortlist: DataFrame) -> DataFrame:
     note = F.concat(
         F.lit("# "), "title", F.lit(" | "), F.rint("price").cast("long"), F.lit("€ | "), "reasons"
     )
-    return shortlist.select(F.concat_ws("\n", note, F.col("property_id")).alias("value"))
+    return shortlist.select("*", F.concat_ws("\n", note, F.col("property_id")).alias("value"))
 
 
-def write_shortlist(shortlist: DataFrame, path: str) -> None:
-    shortlist_lines(shortlist.orderBy("price", "property_id")).coalesce(1).write.mode("overwrite").text(path)
+def write_shortlist(shortlist: DataFrame, path: str, population: str) -> None:
+    """A tenant's list as text: a heading, then a comment and an id for each entry, cheapest first.
+
+    The order is that of the files' names, so a list of any length is written by many tasks.
+    """
+    spark = shortlist.sparkSession
+    entries = shortlist_lines(shortlist.select("title", "price", "reasons", "property_id")).select("value", "price", "property_id", F.lit(1).alias("_part"))
+    # fixed values: wording of the heading
+    heading = spark.range(1).select(F.lit(f"# Shortlist de enriquecimiento — {population}").alias("value"), F.lit(0).alias("_part"))
+    rows = entries.unionByName(heading, allowMissingColumns=True)
+    rows.orderBy("_part", "price", "property_id").select("value").write.mode("overwrite").text(path)
 
 
 def new_entity_message(df: DataFrame) -> Column:

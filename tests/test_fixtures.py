@@ -461,8 +461,12 @@ def test_files(spark, tmp_path):
     assert baselines.zone_figures(read).first()["closing_median_eur_m2_latest_year"] == 3.0
     assert baselines.year_bars(baselines.zone_series(read)).count() == 2
     short = spark.createDataFrame([("7", "Pis", 9.6, "x, y")], "property_id string, title string, price double, reasons string")
-    exports.write_shortlist(short, str(tmp_path / "short"))
-    assert values(spark.read.text(str(tmp_path / "short")), "value") == ["# Pis | 10€ | x, y", "7"]
+    short = short.unionByName(spark.createDataFrame([("9", "Casa", 3.0, "z")], short.schema))
+    exports.write_shortlist(short, str(tmp_path / "short"), "p")
+    lines = [line for part in sorted((tmp_path / "short").glob("part-*")) for line in part.read_text().splitlines()]
+    assert lines == ["# Shortlist de enriquecimiento — p", "# Casa | 3€ | z", "9", "# Pis | 10€ | x, y", "7"]
+    cycles = baselines.parse_zones(spark.createDataFrame([("z", '{"last_12m": {"mean_eur_m2": 4000}, "yoy_price_change_pct": {"2022": 7.0, "2021": 1.0, "2023": -1.7, "2024": 9.5}}'), ("n", "{}")], "zone string, j string"), "j")
+    assert [(r.zone, [tuple(c) for c in r.cycle], r.closing_mean_eur_m2_12m) for r in baselines.closing_cycle(cycles).collect()] == [("z", [("2022", 7.0), ("2023", -1.7), ("2024", 9.5)], 4000.0)]
 
 
 def test_item_lists_and_details(spark):
