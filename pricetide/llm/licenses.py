@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. It matches a template if it holds at least `PERCENT` of the template's
-distinct words. Words are put in one global order, rarest in the corpus first. Of a template of n words
+A block is a line of a text, or a run of up to `RUN_LINES` lines that together hold no more than twice the words
+of the longest template, as a notice broken over lines does. It matches a template if it holds at least `PERCENT` of
+the template's distinct words. Words are put in one global order, rarest in the corpus first. Of a template of n words
 that must share t, only the first n - t + 1 can be the first common word (prefix filter), likewise of the
 block's words; a block of fewer than t template words cannot match (length filter); and the places of the
 first common word in both bound what can still follow (positional filter). What is left is verified on
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from pricetide.llm.common import LOWER, UPPER, id_and_text
 
 PERCENT = 80
+#: Lines of a run: at half of the usual 80 columns the longest template takes five.
+RUN_LINES = 6
 # fixed values: phrases of the base rule
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 # fixed values: opening sentences of public licenses and usual notices
@@ -62,6 +65,11 @@ def needed(size: int, percent: int = PERCENT) -> int:
     return -(-percent * size // 100)
 
 
+def run_words(templates=TEMPLATES) -> int:
+    """Words that a run of several lines may hold."""
+    return 2 * max((len(re.findall(_WORD, text.translate(str.maketrans(UPPER, LOWER)))) for _, text in templates), default=0)
+
+
 def _lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -80,7 +88,7 @@ def vocabulary(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") ->
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, line, label, template (its place in the table) and containment of every match."""
+    """doc_id, text_key, first line and lines of the block, label, template (its place in the table) and containment of every match."""
     order = vocabulary(docs, templates, text_col)
     rank = {w: i for i, w in enumerate(order)}
     index = []
@@ -93,13 +101,31 @@ def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, id_col
     table = F.broadcast(docs.sparkSession.createDataFrame(index, schema))  # fixed by `templates`, some hundred rows
 
     rows = id_and_text(docs, id_col, text_col).where("text IS NOT NULL")
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "block"))
     # lowering beyond A-Z can only add candidates; the words of what is left are taken exactly
-    rough = F.regexp_extract_all(F.lower("block"), F.lit(_WORD), F.lit(0))
-    near = lines.where(F.arrays_overlap(rough, _strings(prefix)))
-    exact = F.regexp_extract_all(_lowered(F.col("block")), F.lit(_WORD), F.lit(0))
-    blocks = near.select("doc_id", "text_key", "line", F.array_intersect(_strings(order), exact).alias("own"))
-    each = blocks.select("doc_id", "text_key", "line", "own", F.posexplode("own").alias("j", "word"))
+    rough = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    near = rows.where(F.arrays_overlap(rough, _strings(prefix)))
+    exact = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(_lowered(line), F.lit(_WORD), F.lit(0)))
+    kept = lambda words, i: F.struct(
+        i.alias("i"), F.size(words).alias("n"), F.array_intersect(_strings(order), words).alias("own"), F.arrays_overlap(words, _strings(prefix)).alias("rare")
+    )
+    lines = near.select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(exact, kept).alias("lines"))
+    # runs begin and end with a template word, since without that line they hold the same words, and hold one that can be the first common one
+    at = lambda first, k: F.slice("lines", first + 1, k)
+    ends = lambda run: (F.size(F.element_at(run, 1)["own"]) > 0) & (F.size(F.element_at(run, -1)["own"]) > 0)
+    words_in = lambda run: F.aggregate(run, F.lit(0), lambda total, line: total + line["n"])
+    good = lambda run: ends(run) & F.exists(run, lambda line: line["rare"]) & ((F.size(run) == 1) | (words_in(run) <= run_words(templates)))
+    spans = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size("lines") - 1),
+            lambda first: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN_LINES), F.size("lines") - first)), lambda k: F.struct(first.alias("line"), k.alias("n_lines"))),
+        )
+    )
+    blocks = (
+        lines.select("doc_id", "text_key", "lines", F.inline(F.filter(spans, lambda s: good(at(s["line"], s["n_lines"])))))
+        .withColumn("own", F.flatten(F.transform(at(F.col("line"), F.col("n_lines")), lambda line: line["own"])))
+        .select("doc_id", "text_key", "line", "n_lines", F.array_intersect(_strings(order), "own").alias("own"))
+    )
+    each = blocks.select("doc_id", "text_key", "line", "n_lines", "own", F.posexplode("own").alias("j", "word"))
     size, own, n = F.size("words"), F.size("own"), F.col("need")
     candidates = (
         each.where(F.col("word").isin(prefix))
@@ -111,7 +137,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, id_col
     common = F.size(F.array_intersect("own", "words"))
     return (
         candidates.where(common >= n)
-        .select("doc_id", "text_key", "line", "label", "template", (common / size).alias("containment"))
+        .select("doc_id", "text_key", "line", "n_lines", "label", "template", (common / size).alias("containment"))
         .distinct()
     )
 

@@ -40,12 +40,17 @@ WITH d AS (
 ), t AS (
   SELECT label, list_distinct(regexp_extract_all(lower(text), '@WORD')) AS words
   FROM (VALUES @TEMPLATES) v(label, text)
-), line AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(l, '@WORD')) AS own
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)
+), lines AS (
+  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: regexp_extract_all(l, '@WORD')) AS ls FROM d
+), run AS (
+  SELECT doc_id, k, flatten(ls[i:i + k - 1]) AS ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines), (SELECT unnest(range(1, @LINES + 1)) AS k)
+  WHERE i + k - 1 <= len(ls)
+), block AS (
+  SELECT DISTINCT doc_id, list_sort(list_distinct(ws)) AS own FROM run WHERE k = 1 OR len(ws) <= @MANY
 ), m AS (
   SELECT doc_id, list(DISTINCT label) AS found, max(common / size) AS score
-  FROM (SELECT doc_id, label, len(list_intersect(own, words)) AS common, len(words) AS size FROM line, t)
+  FROM (SELECT doc_id, label, len(list_intersect(own, words)) AS common, len(words) AS size FROM block, t)
   WHERE common * 100 >= @PERCENT * size GROUP BY doc_id
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
@@ -59,6 +64,8 @@ for _name, _value in {
     "@PHRASES": ", ".join(f"({_QUOTED(p)}, {_QUOTED(n)})" for p, n in licenses.PHRASES),
     "@TEMPLATES": ", ".join(f"({_QUOTED(n)}, {_QUOTED(t)})" for n, t in licenses.TEMPLATES),
     "@PERCENT": str(licenses.PERCENT),
+    "@LINES": str(licenses.RUN_LINES),
+    "@MANY": str(licenses.run_words()),
 }.items():
     _LICENSE_SQL = _LICENSE_SQL.replace(_name, _value)
 

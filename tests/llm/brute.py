@@ -113,3 +113,24 @@ def left_lines(docs, min_words=25, max_lines=8):
                 gone[d] |= {x[0] for x in a[p : p + n]}
     left = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
     return {d: t for d, t in left.items() if not gone[d] or words(t)}
+
+
+def license_labels(text, templates, percent, run_lines):
+    """Labels of the templates that any run of lines contains, and the best containment."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    tokens = lambda t: word.findall(t.translate(LOW))
+    most = 2 * max(len(tokens(t)) for _, t in templates)
+    lines = [tokens(line) for line in text.split("\n")]
+    labels, best = set(), 0.0
+    for i in range(len(lines)):
+        for k in range(1, run_lines + 1):
+            run = [w for line in lines[i : i + k] for w in line]
+            if i + k > len(lines) or (k > 1 and len(run) > most):
+                continue
+            for label, t in templates:
+                own = set(tokens(t))
+                share = len(own & set(run)) / len(own)
+                if 100 * len(own & set(run)) >= percent * len(own):
+                    labels.add(label)
+                    best = max(best, share)
+    return labels, best

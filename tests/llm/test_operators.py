@@ -158,6 +158,47 @@ def test_license_labels(spark):
     assert licenses.scan(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """A notice broken over lines, with comment signs and text around it, is found as one block."""
+    import textwrap
+
+    wrapped = []
+    for label, text in licenses.TEMPLATES:
+        for columns in (38, 80):
+            lines = textwrap.wrap(text, columns)
+            wrapped.append((label, "Some words before.\n" + "\n".join(f" * {line}" for line in lines) + "\n\nand after"))
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, [t for _, t in wrapped])).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, (label, _) in enumerate(wrapped))
+    far = "\n".join(f"{w} {' '.join('filler' for _ in range(12))}" for w in licenses.TEMPLATES[13][1].split())
+    assert licenses.scan(docs_of(spark, [far])).first().labels == ""
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_license_blocks_against_all_runs(spark, seed):
+    rng = random.Random(seed)
+    words = [w for _, t in licenses.TEMPLATES[:6] for w in t.split()] + ["filler", "Ünder", "\u212aey", ""]
+    starts = [t.split() for _, t in licenses.TEMPLATES]
+    texts = []
+    for _ in range(60):
+        own = rng.choice(starts)
+        own = [w for w in own if rng.random() < 0.93] + [rng.choice(words) for _ in range(rng.randint(0, 6))]
+        cut = lambda: rng.choice([" ", " ", " ", "\n", "\n* "])
+        texts.append("".join(w + cut() for w in own) + "\n" * rng.randint(0, 2) + " ".join(rng.choice(words) for _ in range(30)))
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, [*texts, None, ""])).collect()}
+    for i, text in enumerate(texts):
+        labels, score = brute.license_labels(text, licenses.TEMPLATES, licenses.PERCENT, licenses.RUN_LINES)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == labels | base and got[i].score == pytest.approx(score)
+
+
+def test_license_rows(spark):
+    """Null ids, repeated rows and clashing names."""
+    text = licenses.TEMPLATES[2][1]
+    rows = spark.createDataFrame([(None, text, "x", 1), (None, text, "y", 2), (4, text, None, 3), (4, "other", "z", 4)], "doc_id long, text string, label string, line int")
+    got = sorted((r.doc_id or -1, r.labels) for r in licenses.scan(rows).collect())
+    assert got == [(-1, "apache-2.0"), (-1, "apache-2.0"), (4, ""), (4, "apache-2.0")]
+
+
 # ---- byte-level BPE ------------------------------------------------------------------------------
 
 
