@@ -1,10 +1,10 @@
 """Chat formatting: schema fingerprints choose the mapping that turns a record into canonical turns.
 
 Records arrive as JSON in whatever layout their source uses. The fingerprint of a record hashes its
-sorted field paths (`messages[].role`), so records of one layout share it whatever they say; it selects
-a declarative mapping, a plain table of paths, and no code is written for a layout. Mappings may be added
-by the caller. A record whose fingerprint no mapping knows comes back as one row without a role, with
-its fingerprint, and is never dropped in silence.
+sorted field paths (`messages[].role`), less those that are declared to say nothing of the turns (`IGNORED`), so
+records of one layout share it whatever they say; it selects a declarative mapping, a plain table of paths, and no
+code is written for a layout. Mappings may be added by the caller. A record whose fingerprint no mapping knows comes
+back as one row without a role, with its fingerprint, and is never dropped in silence; `unmapped` counts them.
 
 Formatting writes `<|im_start|>role\\n`, the text and `<|im_end|>\\n` for each turn. Inside roles and texts
 every character that can begin a control string, and the escape character itself, is escaped
@@ -21,6 +21,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -50,56 +51,95 @@ def fingerprint(fields) -> str:
     return hashlib.sha256("\n".join(sorted(fields)).encode("utf-8")).hexdigest()[:16]
 
 
+#: Fields that describe a record or a turn without being part of what is said, at any depth.
+IGNORED = frozenset(
+    "id _id uid uuid name index idx source origin dataset split lang language model created created_at timestamp date meta metadata "
+    "tags tag category topic score rating weight license url hash num_turns turn_id message_id parent_id conversation_id".split()
+)
+
 #: A layout: the paths it has, and how each of its turns is found. `each` names a list of turns with the
-#: paths of role and text in it, `roles` what it calls the canonical ones; `turns` lists fixed roles with their paths. Absent optional fields simply
-#: make another fingerprint, so every variant is listed by `variants`.
+#: path of the role in it and the ways its text may be given (a path, then what else comes with it); `roles` says what it calls
+#: the canonical ones, `before` which fields outside the list make turns before it. `turns` lists fixed roles with their
+#: paths, whose texts are put together with a blank line. Fields outside `need` may be absent; every variant has its own fingerprint.
+_SAID = (("content",), ("content[].text", "content[].type"), ("content[].text",), ("content[]",))
+_SYSTEM = (("system", "system"),)
 LAYOUTS = (
-    {"each": "messages", "role": "role", "text": "content"},
-    {"each": "conversations", "role": "from", "text": "value", "roles": {"human": "user", "gpt": "assistant"}},
-    {"each": "dialog", "role": "speaker.kind", "text": "body.text"},
-    {"turns": (("user", "prompt"), ("assistant", "completion")), "optional": ("prompt", "completion")},
-    {"turns": (("system", "system"), ("user", "instruction"), ("assistant", "output")), "optional": ("system", "instruction", "output")},
-    {"turns": (("user", "question.text"), ("assistant", "answer.text")), "optional": ("question.text", "answer.text")},
-    {"role": "role", "text": "text"},
+    {"each": "messages", "role": "role", "text": _SAID, "before": _SYSTEM},
+    {"each": "conversations", "role": "from", "text": (("value",),), "roles": {"human": "user", "gpt": "assistant"}, "before": _SYSTEM},
+    {"each": "dialog", "role": "speaker.kind", "text": (("body.text",),)},
+    {"turns": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))},
+    {"turns": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), "need": ("response",)},
+    {"turns": (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))},
+    {"turns": (("user", ("question.text",)), ("assistant", ("answer.text",)))},
+    {"turns": (("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))},
+    {"role": "role", "text": (("text",),)},
 )
 
 
+def _subsets(items: tuple, least: int) -> Iterator[tuple]:
+    return itertools.chain.from_iterable(itertools.combinations(items, k) for k in range(least, len(items) + 1))
+
+
 def variants(layout: dict) -> Iterator[tuple[str, dict]]:
-    """Fingerprints of a layout, with the mapping for each."""
-    if "each" in layout:
-        base = layout["each"] + "[]."
-        yield fingerprint({base + layout["role"], base + layout["text"]}), layout
-    elif "turns" in layout:
-        optional = layout["optional"]
-        for bits in range(1, 1 << len(optional)):
-            gone = {p for i, p in enumerate(optional) if not bits >> i & 1}
-            turns = tuple(t for t in layout["turns"] if t[1] not in gone)
-            yield fingerprint({p for _, p in turns}), {"turns": turns}
-    else:
-        yield fingerprint({layout["role"], layout["text"]}), layout
+    """Fingerprints of a layout, each with the layout."""
+    if "turns" in layout:
+        optional = tuple(p for _, fields in layout["turns"] for p in fields if p not in layout.get("need", ()))
+        for some in _subsets(optional, 0 if "need" in layout else 1):
+            yield fingerprint({*some, *layout.get("need", ())}), layout
+        return
+    base = f"{layout['each']}[]." if "each" in layout else ""
+    for ways in _subsets(layout["text"], 1):
+        for before in _subsets(layout.get("before", ()), 0):
+            said = {f"{base}{p}" for way in ways for p in way}
+            yield fingerprint({base + layout["role"], *said, *(path for _, path in before)}), layout
 
 
 MAPPINGS = {key: mapping for layout in LAYOUTS for key, mapping in variants(layout)}
 
 
-def _at(record, path: str):
-    for part in path.split("."):
-        record = record.get(part) if isinstance(record, dict) else None
-    return record
+def telling(fields: set[str]) -> set[str]:
+    """Paths without those of ignored fields."""
+    return {p for p in fields if not any(part.removesuffix("[]") in IGNORED for part in p.split("."))}
+
+
+def _leaves(value, path: list[str]) -> Iterator:
+    """The values at a path, in order; where the record has a list or an object instead, none."""
+    if not path:
+        if not isinstance(value, (dict, list)):
+            yield value
+    elif path[0].endswith("[]"):
+        rows = value.get(path[0][:-2]) if isinstance(value, dict) else None
+        for row in rows if isinstance(rows, list) else ():
+            yield from _leaves(row, path[1:])
+    elif isinstance(value, dict) and path[0] in value:
+        yield from _leaves(value[path[0]], path[1:])
 
 
 def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _said(record, path: str) -> str:
+    return "".join(map(_text, _leaves(record, path.split("."))))
+
+
 def turns_of(record, mapping: dict) -> list[tuple[str, str]]:
     """(role, text) of each turn of a record."""
     if "turns" in mapping:
-        return [(role, _text(_at(record, path))) for role, path in mapping["turns"]]
-    rows = _at(record, mapping["each"]) if "each" in mapping else [record]
+        there = paths(record)
+        parts = ((role, [_said(record, p) for p in fields if p in there]) for role, fields in mapping["turns"])
+        return [(role, "\n\n".join(t for t in texts if t)) for role, texts in parts if texts]
+    rows = record[mapping["each"]] if "each" in mapping else [record]
     names = mapping.get("roles", {})
-    found = ((_text(_at(row, mapping["role"])), _text(_at(row, mapping["text"]))) for row in rows)
-    return [(names.get(role, role), text) for role, text in found]
+    ways = dict.fromkeys(way[0] for way in mapping["text"])
+    found = ((_said(row, mapping["role"]), "".join(_said(row, path) for path in ways)) for row in rows)
+    before = [(role, _said(record, path)) for role, path in mapping.get("before", ()) if path in record]
+    return before + [(names.get(role, role), text) for role, text in found]
+
+
+def unmapped(turns: DataFrame) -> DataFrame:
+    """The fingerprints of `canonical_turns` that no mapping knows, and how many records have them."""
+    return turns.where("role IS NULL").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records"))
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record", keys: tuple[str, ...] = ("conv_id", "turn"), mappings: dict | None = None) -> DataFrame:
@@ -115,7 +155,7 @@ def canonical_turns(records: DataFrame, json_col: str = "record", keys: tuple[st
                     record = json.loads(raw or "{}")
                 except ValueError:
                     record = {}
-                key = fingerprint(paths(record))
+                key = fingerprint(telling(paths(record)))
                 mapping = known.get(key)
                 for step, (role, text) in enumerate(turns_of(record, mapping) if mapping else [(None, raw)]):
                     at.append(row)

@@ -7,7 +7,9 @@ empty member between them), hence to any store that Spark reaches.
 
 Reader: a member or record must decompress, have a version line, whole headers, a block as long as
 announced, and the announced digest. After a failed check the reader goes on at the next place where
-a gzip member or a version line begins and passes all checks; the bytes skipped are logged as a gap.
+a gzip member or a version line begins and passes all checks; the bytes skipped are logged as a gap. The same holds inside
+a member: what it gives before it breaks off is read, records before and after a damaged one are kept, and such a gap
+has its offset inside the member (`inner_offset`) and counts uncompressed bytes.
 
 Nulls: a null payload is empty, a null url is left out, a page without an id is written with an empty
 one and read back as null. Pages that repeat the smallest id of their payload are all `response`. An
@@ -33,7 +35,7 @@ _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
-    "file string, offset long, record_id string, record_type string, url string, refers_to string, "
+    "file string, offset long, inner_offset long, record_id string, record_type string, url string, refers_to string, "
     "payload_bytes long, payload_digest string, payload binary, gap_bytes long, gap_reason string"
 )
 
@@ -112,57 +114,94 @@ def _record_at(data: bytes, at: int) -> tuple[dict, int] | str:
     }, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int] | str:
+def _decompressed(data: bytes, at: int, step: int) -> tuple[bytes, int, str | None]:
+    """What a member gives, where it ends or breaks off, and what is wrong with it."""
     unpacker = zlib.decompressobj(31)
     out, fed = [], at
     try:
         while not unpacker.eof and fed < len(data):
-            out.append(unpacker.decompress(data[fed : fed + 65536]))
-            fed += 65536
+            out.append(unpacker.decompress(data[fed : fed + step]))
+            fed += step
     except zlib.error:
-        return "member does not decompress"
+        return b"".join(out), fed, "member does not decompress"
     if not unpacker.eof:
-        return "member is cut short"
-    return b"".join(out), min(fed, len(data)) - len(unpacker.unused_data)
+        return b"".join(out), len(data), "member is cut short"
+    return b"".join(out), min(fed, len(data)) - len(unpacker.unused_data), None
+
+
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    whole = _decompressed(data, at, 65536)
+    # a failed call gives nothing of its own bytes, so a broken member is taken in small steps
+    return whole if whole[2] is None else _decompressed(data, at, 64)
+
+
+def _inside(inner: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]]]:
+    """The records of a member's bytes with their places, and the gaps between them: place, length, reason."""
+    records, gaps, at, lost, reason = [], [], 0, None, ""
+    while at < len(inner):
+        one = _record_at(inner, at)
+        if isinstance(one, str):
+            if lost is None:
+                lost, reason = at, one
+            at = inner.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        if lost is not None:
+            gaps.append((lost, at - lost, reason))
+            lost = None
+        records.append((at, one[0]))
+        at = one[1]
+    if lost is not None:
+        gaps.append((lost, len(inner) - lost, reason))
+    return records, gaps
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in order; each has `offset`, a gap has `gap_bytes` too."""
     at, lost, reason = 0, None, ""
     while at < len(data):
-        found: list[dict] = []
+        records, gaps, problem = [], [], None
         if data.startswith(_MAGIC, at):
-            got = _member_at(data, at)
-            if not isinstance(got, str):
-                inner, end = got
-                inside = 0
-                while inside < len(inner):
-                    one = _record_at(inner, inside)
-                    if isinstance(one, str):
-                        got = one
-                        break
-                    found.append(one[0])
-                    inside = one[1]
+            inner, end, problem = _member_at(data, at)
+            whole = problem is None
+            records, gaps = _inside(inner)
+            good = bool(records) or (whole and not gaps)
+            problem = problem or (gaps[0][2] if gaps else None)
         else:
-            got = _record_at(data, at)
-            if not isinstance(got, str):
-                found, end = [got[0]], got[1]
-        if isinstance(got, str):
+            one = _record_at(data, at)
+            good = whole = not isinstance(one, str)
+            if good:
+                records, end = [(0, one[0])], one[1]
+            else:
+                problem = one
+        if not good:
             if lost is None:
-                lost, reason = at, got
-            places = [p for p in (data.find(_MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+                lost, reason = at, problem
+            at = _next_place(data, at)
             continue
-        if lost is not None and (found or end == len(data)):
+        if lost is not None and at > lost and (records or end == len(data)):
             yield {"offset": lost, "gap_bytes": at - lost, "gap_reason": reason}
+        if records or end == len(data) or (lost is not None and at <= lost):
             lost = None
-        for one in found:
+        for _, one in records:
             yield {"offset": at, **one}
-        at = end
-    if lost is not None:
+        for inner_at, length, why in gaps:
+            yield {"offset": at, "inner_offset": inner_at, "gap_bytes": length, "gap_reason": why}
+        if whole:
+            at = end
+        else:  # the member broke off at `end`; a valid one may begin before that, in bytes it took for its own
+            lost, reason = end, problem
+            at = _next_place(data, at)
+    if lost is not None and lost < len(data):
         yield {"offset": lost, "gap_bytes": len(data) - lost, "gap_reason": reason}
 
 
+def _next_place(data: bytes, at: int) -> int:
+    places = [p for p in (data.find(_MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
+    return min(places, default=len(data))
+
+
 def with_originals(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """Pages (page_id, url, payload) and, where another holds the same payload, whose it is.
 

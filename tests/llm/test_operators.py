@@ -247,6 +247,29 @@ def test_remembered_words_are_bounded(codec, monkeypatch):
 # ---- chat ----------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("hit", range(6))
+def test_records_around_damage_inside_a_member(hit):
+    """Six records in one gzip member: a wrong byte costs one of them, a cut the last; gaps are told by inner offsets."""
+    parts = [warc.record(i, f"http://x/{i}", bytes(f"<p>{i} {'text ' * 40}</p>", "utf-8"), None, "2024-01-01T00:00:00Z") for i in range(6)]
+    inner = bytearray(b"".join(parts))
+    inner[sum(map(len, parts[:hit])) + parts[hit].index(b"<p>") + 4] ^= 1
+    found = list(warc.salvage(warc.member(bytes(inner))))
+    assert [r["record_id"] for r in found if "gap_bytes" not in r] == [str(i) for i in range(6) if i != hit]
+    assert [(r["offset"], r["inner_offset"], r["gap_bytes"]) for r in found if "gap_bytes" in r] == [(0, sum(map(len, parts[:hit])), len(parts[hit]))]
+
+    whole = warc.member(b"".join(parts))
+    cut = list(warc.salvage(whole[:-20] + warc.member(parts[0])))
+    ids = [r["record_id"] for r in cut if "gap_bytes" not in r]
+    assert ids[-1] == "0" and ids[:-1] == [str(i) for i in range(len(ids) - 1)] and len(ids) >= 5
+    assert any("gap_bytes" in r for r in cut)
+    last = list(warc.salvage(whole[:-20]))
+    assert [r["record_id"] for r in last if "gap_bytes" not in r][:4] == ["0", "1", "2", "3"]
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0x10  # wherever the stream breaks, what came before is kept
+    kept = [r["record_id"] for r in warc.salvage(bytes(flipped)) if "gap_bytes" not in r]
+    assert kept == sorted(kept) and set(kept) <= set("012345")
+
+
 def test_layouts_become_the_same_turns(spark):
     records = [
         '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}',
@@ -260,9 +283,25 @@ def test_layouts_become_the_same_turns(spark):
     rows = chat.canonical_turns(frame).collect()
     for i in range(len(records)):
         assert [(r.role, r.text) for r in rows if r.conv_id == i] == [("user", "q"), ("assistant", "a")]
+    usual = {
+        '{"id": 7, "messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a","name":"x"}], "meta": {"a": [1]}}': [("user", "q"), ("assistant", "a")],
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"q1"},{"type":"text","text":"q2"}]},{"role":"assistant","content":"a"},{"role":"user","content":[]},{"role":"assistant","content":null}]}':
+            [("user", "q1q2"), ("assistant", "a"), ("user", ""), ("assistant", "")],
+        '{"instruction":"i","input":"x","output":"a"}': [("user", "i\n\nx"), ("assistant", "a")],
+        '{"instruction":"i","input":"","output":"a"}': [("user", "i"), ("assistant", "a")],
+        '{"system":"s","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a","weight":1}],"source":"z"}': [("system", "s"), ("user", "q"), ("assistant", "a")],
+        '{"prompt":"q","response":"a","score":0.5}': [("user", "q"), ("assistant", "a")],
+        '{"question":"q","answer":3}': [("user", "q"), ("assistant", "3")],
+        '{"prompt":"q","completion":"a","context":"unknown"}': [(None, '{"prompt":"q","completion":"a","context":"unknown"}')],
+        '{"messages":[{"role":"user","content":[{"type":"image","image_url":"u"}]}]}': [(None, '{"messages":[{"role":"user","content":[{"type":"image","image_url":"u"}]}]}')],
+    }
+    turns = chat.canonical_turns(spark.createDataFrame([(i, None, r) for i, r in enumerate(usual)], frame.schema))
+    for i, want in enumerate(usual.values()):
+        assert [(r.role, r.text) for r in turns.where(turns.conv_id == i).orderBy("step").collect()] == want
+    assert sorted(r.records for r in chat.unmapped(turns).collect()) == [1, 1]
     unknown = spark.createDataFrame([(1, 0, '{"odd": 1}'), (2, 0, "{broken"), (3, 0, None)], frame.schema)
     assert [r.role for r in chat.canonical_turns(unknown).collect()] == [None] * 3
-    own = {chat.fingerprint({"odd"}): {"turns": (("user", "odd"),)}}
+    own = {chat.fingerprint({"odd"}): {"turns": (("user", ("odd",)),)}}
     assert [r.text for r in chat.canonical_turns(unknown, mappings=own).collect() if r.role] == ["1"]
 
 
