@@ -20,6 +20,7 @@ from pricetide.operators.survival import kaplan_meier
 from pricetide.plans import views as V
 from pricetide.plans.q_history import _STATS_SQL
 from pricetide.plans.q_linkage import CFG as LINK
+from pricetide.plans.q_linkage import EDGE_SQL, RELIST_SQL
 from pricetide.plans.q_market import GAP_SQL, SEARCH, zone_frame
 from pricetide.plans.q_panel import CURVE_SQL, curve_frame
 from pricetide.plans.registry import query
@@ -236,13 +237,18 @@ def _rank(expr: str) -> str:
       / count({expr}) OVER (PARTITION BY population) END)"""
 
 
-def _ranking_sql(where: str) -> str:
-    return f"""{_FEATURE_SQL},
+def _clipped(top: int) -> str:
+    return f"(CASE WHEN hedonic_residual_pct IS NOT NULL THEN least(greatest(hedonic_residual_pct, -35), {top}) END)"
+
+
+def _ranking_sql(where: str, features: str | None = None) -> str:
+    """CTEs ending in `parts`: the scores of the offered rows of `features`."""
+    return f"""{features or _FEATURE_SQL},
   pool AS (SELECT * FROM features WHERE status = 'active' AND price BETWEEN {SEARCH[0]} AND {SEARCH[1]}
            AND is_cluster_canonical = 1 {where}),
   ranked AS (SELECT *, {_rank('least(sqm, 350)')} AS r_sqm, {_rank('rooms')} AS r_rooms,
-      {_rank('bathrooms')} AS r_baths, {_rank('least(greatest(hedonic_residual_pct, -35), 40)')} AS r_over40,
-      {_rank('least(greatest(hedonic_residual_pct, -35), 50)')} AS r_over50, {_rank('price_per_sqm')} AS r_unit,
+      {_rank('bathrooms')} AS r_baths, {_rank(_clipped(40))} AS r_over40,
+      {_rank(_clipped(50))} AS r_over50, {_rank('price_per_sqm')} AS r_unit,
       {_rank('days_online_effective')} AS r_days, {_rank('n_cuts')} AS r_cuts FROM pool),
   parts AS (SELECT *,
       greatest(0, least(1, 0.28 * r_sqm + 0.14 * r_rooms + 0.10 * r_baths + 0.14 * has_pool + 0.08 * has_ac
@@ -345,19 +351,58 @@ def shortlist(spark, sf_dir):
     )
 
 
-_LADDER_SQL = f"""{_FEATURE_SQL}, {CURVE_SQL}, {GAP_SQL.strip()},
+def _margin_sql(source: str) -> str:
+    """CTEs ending in `margins`: the negotiation margin of the rows of `source`, given `curve` and `gap`."""
+    return f"""
   zone1 AS (SELECT population, arg_min(premium, zone) AS premium, arg_min(closing, zone) AS closing FROM gap GROUP BY 1),
   aged AS (SELECT f.*, z.premium, z.closing,
       (SELECT arg_max(c.survival, c.t) FROM curve c WHERE c.population = f.population
-         AND c.t <= f.days_online_effective) AS s FROM features f LEFT JOIN zone1 z USING (population)),
-  staled AS (SELECT *, 1 - coalesce(s, 1.0) AS stale FROM aged),
+         AND c.t <= f.days_online_effective) AS s FROM {source} f LEFT JOIN zone1 z USING (population)),
+  staled AS (SELECT *, 1 - coalesce(s, 1.0) AS stale, (price_per_sqm / nullif(closing, 0) - 1) * 100 AS own FROM aged),
   margins AS (SELECT *, least(18.0, 3 + CASE WHEN stale >= 0.9 THEN 6 WHEN stale >= 0.75 THEN 4 WHEN stale >= 0.5
         THEN 2 ELSE 0 END + CASE WHEN n_cuts > 0 THEN least(1.5 * n_cuts, 4) ELSE 0 END
       + CASE WHEN days_since_last_cut <= 21 THEN 1 ELSE 0 END + 2 * multi_listed + 2 * relist_count
       + CASE WHEN n_reactivations >= 2 THEN 1 ELSE 0 END + 2 * kw_any_motivated
       + CASE WHEN hedonic_residual_pct > 5 THEN least(0.5 * hedonic_residual_pct, 6) ELSE 0 END
-      + CASE WHEN (price_per_sqm / nullif(closing, 0) - 1) * 100 > coalesce(premium, 0) + 15 THEN 2 ELSE 0 END)::DOUBLE
-      AS m FROM staled)"""
+      + CASE WHEN own > coalesce(premium, 0) + 15 THEN 2 ELSE 0 END)::DOUBLE AS m FROM staled)"""
+
+
+_LADDER_SQL = f"""{_FEATURE_SQL}, {CURVE_SQL}, {GAP_SQL.strip()}, {_margin_sql('features')}"""
+
+
+def _one(expr: str) -> str:
+    return f"printf('%.1f', round_even(({expr}) * 10, 0) / 10)"
+
+
+def _rationale_sql(words: tuple[str, ...]) -> str:
+    """The checklist as SQL text; `words` are the seller flags that the rows have."""
+    said = "concat_ws(', ', " + ", ".join(f"CASE WHEN kw_{w} = 1 THEN '{w}' END" for w in words) + ")"
+    days, gone = _int("days_online_effective"), _int("stale * 100")
+    stale = lambda level, text, points: f"WHEN stale >= {level} THEN '✓ lleva ' || {days} || ' días publicado — {text} ' || {gone} || '% de {points}'"
+    return f"""concat_ws('; ',
+      '✓ base 3% — descuento mediano que acaban aceptando los anuncios que se retiran del mercado',
+      CASE {stale(0.9, 'ha durado más que el', 'anuncios comparables (+6%)')} {stale(0.75, 'más que el', 'comparables (+4%)')}
+        {stale(0.5, 'más que el', 'comparables (+2%)')} WHEN stale IS NOT NULL THEN '✗ días online: solo ' || {days} || ' días (percentil '
+        || {gone} || '%) — anuncio aún fresco, sin palanca (+0)' END,
+      CASE WHEN n_cuts > 0 THEN '✓ ya ha bajado el precio ' || n_cuts || ' vez/veces' || CASE WHEN cum_discount_pct > 0 THEN ', un '
+        || {_one('cum_discount_pct')} || '% acumulado' ELSE '' END || ' — vendedor que baja y no vende tiene más recorrido (+'
+        || {_one('least(1.5 * n_cuts, 4)')} || '%)' ELSE '✗ bajadas de precio: ninguna observada todavía (+0)' END,
+      CASE WHEN days_since_last_cut <= 21 THEN '✓ última bajada hace solo ' || days_since_last_cut || ' días — vendedor activamente nervioso (+1%)' END,
+      CASE WHEN multi_listed <> 0 THEN '✓ publicado en ' || n_sources || ' fuentes/agencias a la vez — mandato no exclusivo, agencias compitiendo (+2%)'
+        ELSE '✗ multi-agencia: solo lo vemos en una fuente (+0)' END,
+      CASE WHEN relist_count <> 0 THEN '✓ es un relistado (retirado y republicado para resetear el contador) — lleva más tiempo del que aparenta (+2%)'
+        ELSE '✗ relistado: no detectado (+0)' END,
+      CASE WHEN n_reactivations >= 2 THEN '✓ ' || n_reactivations || ' desactivaciones/reactivaciones — historial inestable (+1%)'
+        WHEN n_reactivations = 1 THEN '✗ reactivaciones: solo 1 (poco concluyente, puede ser ruido del scraping) (+0)'
+        ELSE '✗ reactivaciones: ninguna (+0)' END,
+      CASE WHEN kw_any_motivated <> 0 THEN '✓ el texto del anuncio sugiere vendedor motivado (' || {said} || ') (+2%)'
+        ELSE '✗ texto motivado: sin señales tipo herencia/urge/negociable (+0)' END,
+      CASE WHEN hedonic_residual_pct > 5 THEN '✓ pide un ' || {_int('hedonic_residual_pct')} || '% por encima de su valor de mercado (modelo hedónico) (+'
+          || {_one('least(hedonic_residual_pct * 0.5, 6.0)')} || '%)'
+        WHEN hedonic_residual_pct < -5 THEN '✗ sobreprecio: ya pide un ' || {_int('abs(hedonic_residual_pct)')}
+          || '% por DEBAJO de su valor de mercado — buen precio, poco recorrido extra (+0)'
+        WHEN hedonic_residual_pct IS NOT NULL THEN '✗ sobreprecio: precio en línea con su valor de mercado (+0)' END,
+      CASE WHEN own > coalesce(premium, 0) + 15 THEN '✓ su €/m² está un ' || {_int('own')} || '% por encima del cierre medio de zona (notariado) (+2%)' END)"""
 
 
 def _step(part: str) -> str:
@@ -406,7 +451,14 @@ def offer_affordability(spark, sf_dir):
     )
 
 
-@query("offer_rationale")
+@query(
+    "offer_rationale",
+    with_views(
+        ["price_history", "properties", "closing_prices"],
+        f"""{_LADDER_SQL} SELECT population, property_id, round_even(m * 10, 0) / 10 AS est_margin_pct,
+          {_rationale_sql(('renovation',))} AS rationale FROM margins""",
+    ),
+)
 def offer_rationale(spark, sf_dir):
     return _offers(spark, sf_dir).select(*V.ENTITY, "est_margin_pct", "rationale")
 
@@ -509,23 +561,122 @@ def budget_ranking(spark, sf_dir):
     return R.top(ranked, ["-final_score"], 100).select(*V.ENTITY, "position", "final_score", "why_it_ranks")
 
 
-@query("hedonic_fit")
+_SIZE = len(FV.INPUTS) + 1
+
+
+def hedonic_sql(source: str) -> str:
+    """CTEs ending in `hedonic_beta` and `hedonic`: ridge of log price per tenant by elimination, and the rows of `source` with its figures."""
+    low, high = CFG.train_sqm
+    inputs = ["1.0", "ln(sqm)", "coalesce(rooms, mid_rooms)", "coalesce(bathrooms, mid_bathrooms)"]
+    inputs += [f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in FV.FLAGS]
+    x = [f"x{i}" for i in range(_SIZE)]
+    rows = lambda penalty: "[" + ", ".join(
+        "[" + ", ".join(f"sum({a} * {b})" + (" + 1.0" if penalty and a == b and i else "") for b in x) + (f", sum({a} * y)" if penalty else "") + "]"
+        for i, a in enumerate(x)
+    ) + "]"
+    fair = " + ".join(f"beta[{i + 1}] * {c}" for i, c in enumerate(inputs))
+    return f"""
+  hedonic_mid AS (SELECT population, median(rooms) AS mid_rooms, median(bathrooms) AS mid_bathrooms FROM {source}
+    WHERE price BETWEEN {CFG.train_price[0]} AND {CFG.train_price[1]} AND sqm BETWEEN {low} AND {high} GROUP BY 1),
+  hedonic_x AS (SELECT population, {', '.join(f'{c} AS {n}' for c, n in zip(inputs, x))}, ln(price) AS y
+    FROM {source} JOIN hedonic_mid USING (population)
+    WHERE price BETWEEN {CFG.train_price[0]} AND {CFG.train_price[1]} AND sqm BETWEEN {low} AND {high}),
+  hedonic_sums AS (SELECT population, count(*) AS n, sum(y) AS y1, sum(y * y) AS yy, {rows(False)} AS gram,
+      [{', '.join(f'sum({a} * y)' for a in x)}] AS xy, {rows(True)} AS m0
+    FROM hedonic_x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in x)} GROUP BY 1),
+  eliminated(population, k, m) AS (SELECT population, 1, m0 FROM hedonic_sums
+    UNION ALL SELECT population, k + 1, list_transform(range(1, {_SIZE + 1}), lambda i: CASE WHEN i = k
+        THEN list_transform(m[k], lambda v: v / m[k][k])
+        ELSE list_transform(range(1, {_SIZE + 2}), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END)
+      FROM eliminated WHERE k <= {_SIZE}),
+  hedonic_beta AS (SELECT s.*, list_transform(m, lambda row: row[{_SIZE + 1}]) AS beta
+    FROM eliminated JOIN hedonic_sums s USING (population) WHERE k = {_SIZE + 1}),
+  hedonic_priced AS (SELECT s.*, CASE WHEN sqm BETWEEN {low} AND {high} THEN round_even(exp({fair}), 0) END AS hedonic_fair_price
+    FROM {source} s LEFT JOIN hedonic_mid USING (population) LEFT JOIN (SELECT population, beta FROM hedonic_beta) USING (population)),
+  hedonic AS (SELECT *, round_even((price - hedonic_fair_price) / nullif(hedonic_fair_price, 0) * 100 * 100, 0) / 100
+    AS hedonic_residual_pct FROM hedonic_priced)"""
+
+
+_B_NAMES = ["intercept", *(f"b_{n}" for n in FV.INPUTS)]
+_R2 = """1 - (yy - 2 * list_dot_product(beta, xy) + list_dot_product(beta, list_transform(gram, lambda row: list_dot_product(row, beta))))
+  / (yy - y1 * y1 / n)"""
+
+
+@query(
+    "hedonic_fit",
+    with_views(
+        ["properties"],
+        f"""{hedonic_sql('properties')} SELECT population, n AS n_train, {snug(_R2, 6)} AS r2,
+          {', '.join(f'{snug(f"beta[{i}]", 6)} AS {c}' for i, c in enumerate(_B_NAMES, 1))} FROM hedonic_beta""",
+    ),
+)
 def hedonic_fit(spark, sf_dir):
-    return FV.fit_hedonic(V.properties(spark, sf_dir), cfg=CFG)[1]
+    stats = FV.fit_hedonic(V.properties(spark, sf_dir), cfg=CFG)[1]
+    return stats.withColumns({c: snug_col(F.col(c), 6) for c in ("r2", *_B_NAMES)})
 
 
-@query("hedonic_scores")
+@query(
+    "hedonic_scores",
+    with_views(
+        ["properties"],
+        f"{hedonic_sql('properties')} SELECT population, property_id, price, hedonic_fair_price, hedonic_residual_pct FROM hedonic",
+    ),
+)
 def hedonic_scores(spark, sf_dir):
     out = FV.fit_hedonic(V.properties(spark, sf_dir), cfg=CFG)[0]
     return out.select(*V.ENTITY, "price", "hedonic_fair_price", "hedonic_residual_pct")
 
 
-@query("candidate_report")
+# fragments of the generated titles, standing for what sellers say
+TITLE_WORDS = {"renovation": r"\bbolt\b", "urgency": r"anvil", "negotiable": r"\bring\b"}
+_CHAIN_FEATURES = f"""{EDGE_SQL}, {RELIST_SQL.split("FROM folded WHERE price IS NOT NULL AND sqm IS NOT NULL),")[1].strip()}, {_STATS_SQL.strip()},
+  returns AS (SELECT population, property_id, count(*) AS n_reactivations FROM property_events WHERE event_type = 'reactivated' GROUP BY 1, 2),
+  true_age AS (SELECT c.*, least(c.first_seen, coalesce(r.old_first, c.first_seen)) AS effective_first_seen,
+      CAST(r.relisted_from IS NOT NULL AS INT) AS relist_count,
+      CAST(c.first_seen AS DATE) = CAST(min(c.first_seen) OVER (PARTITION BY c.population) AS DATE) AS preexisting
+    FROM clustered c LEFT JOIN relist r USING (population, property_id)),
+  true_days AS (SELECT *, round_even(date_diff('second', effective_first_seen, TIMESTAMP '{V.OBS_AS_OF}') / 86400.0 * 10, 0) / 10
+    AS days_online_effective FROM true_age),
+  groups AS (SELECT population, cluster_id, count(DISTINCT source) AS n_sources,
+      count(DISTINCT CASE WHEN source NOT IN ('1', '2', '3', '4', '5') THEN source END) AS n_agency_sources,
+      arg_min(property_id, (-days_online_effective, property_id)) AS head FROM true_days GROUP BY 1, 2),
+  signals AS (SELECT d.*, g.n_sources, CAST(g.n_agency_sources >= 2 OR g.n_sources >= 3 AS INT) AS multi_listed,
+      CAST(d.property_id = g.head AS INT) AS is_cluster_canonical, coalesce(s.n_cuts, 0) AS n_cuts, s.days_since_last_cut,
+      coalesce(b.n_reactivations, 0) AS n_reactivations, d.price / nullif(d.sqm, 0) AS price_per_sqm,
+      CASE WHEN d.price_first_seen > 0 THEN round_even((d.price_first_seen - d.price) / d.price_first_seen * 100 * 100, 0) / 100 END AS cum_discount_pct,
+      {', '.join(f"CAST(regexp_matches(lower(strip_accents(d.title)), '{p}') AS INT) AS kw_{n}" for n, p in TITLE_WORDS.items())}
+    FROM true_days d LEFT JOIN groups g USING (population, cluster_id) LEFT JOIN stats s USING (population, property_id)
+      LEFT JOIN returns b USING (population, property_id)),
+  spoken AS (SELECT *, greatest({', '.join(f'kw_{n}' for n in TITLE_WORDS)}) AS kw_any_motivated FROM signals),
+  {hedonic_sql('spoken').strip()},
+  features AS (SELECT * FROM hedonic)"""
+_CHAIN_CURVE = """
+  lengths AS (SELECT population, round_even(greatest(date_diff('second', effective_first_seen,
+      CASE WHEN status = 'inactive' THEN last_seen ELSE TIMESTAMP '@NOW' END) / 86400.0, 0.5), 0) AS t,
+      CAST(status = 'inactive' AS INT) AS e FROM features WHERE NOT preexisting),
+  sizes AS (SELECT population, CAST(t AS DOUBLE) AS t, CAST(sum(e) AS BIGINT) AS events, count(*) AS n FROM lengths GROUP BY 1, 2),
+  risks AS (SELECT *, CAST(sum(n) OVER (PARTITION BY population ORDER BY t DESC) AS BIGINT) AS at_risk FROM sizes),
+  curve AS (SELECT population, t, events, at_risk, product(1 - events / at_risk) OVER (PARTITION BY population ORDER BY t) AS survival
+    FROM risks)""".replace("@NOW", V.OBS_AS_OF)
+_CHAIN_SQL = f"""{_ranking_sql('', _CHAIN_FEATURES)}, {afford_sql('parts', 'price', 'paid')},
+  blended AS (SELECT *, 1 - least(greatest({_int('due')} - 1500.0, 0) / 600, 1) AS fit,
+    CAST(price BETWEEN 20000 AND 30000 AND (kw_renovation = 1 OR coalesce(hedonic_residual_pct < -10, false)) AS INT) AS reno FROM paid),
+  offered AS (SELECT * EXCLUDE (costs, full_loan, allowed, own, required, gap_cash, months, months_no_extras, due, verdict),
+    {_even('0.35 * value + 0.30 * leverage + 0.20 * fit + 0.10 * CAST(price BETWEEN 30000 AND 45000 AS INT) + 0.10 * reno', 4)} AS final_score
+    FROM blended),
+  {_CHAIN_CURVE.strip()}, {GAP_SQL.strip()}, {_margin_sql('offered').strip()}
+  SELECT population, property_id, price, cluster_id, hedonic_residual_pct, final_score, round_even(m * 10, 0) / 10 AS est_margin_pct,
+    {_step('0.6')} AS offer_target, CASE WHEN m >= 12 THEN 'ruthless (open 12-18% below asking)' WHEN m >= 8 THEN 'firm (open ~8-12% below)'
+      WHEN m >= 5 THEN 'standard (open ~5-8% below)' ELSE 'act fast (well-priced; open <5% below)' END AS bucket,
+    {_rationale_sql(('urgency', 'negotiable', 'renovation'))} AS rationale FROM margins"""
+
+
+@query("candidate_report", with_views(["price_history", "properties", "property_events", "closing_prices"], _CHAIN_SQL))
 def candidate_report(spark, sf_dir):
-    """The whole chain: features, fair value, survival, offers and ranking of every offered entity."""
+    """The whole chain: links, true ages, texts, fair value, survival, offers and ranking of every offered entity."""
     features = FE.build_features(
         V.properties(spark, sf_dir), V.price_history(spark, sf_dir), V.property_events(spark, sf_dir), V.OBS_AS_OF,
-        CFG, "edit",
+        CFG, "edit", seller=TITLE_WORDS,
     )
     # several consumers follow, so the features are written once
     priced = cut_lineage(FV.fit_hedonic(features, cfg=CFG)[0])
