@@ -134,3 +134,52 @@ def license_labels(text, templates, percent, run_lines):
                     labels.add(label)
                     best = max(best, share)
     return labels, best
+
+
+def overlaps(docs, items, min_matched=13, mismatch=-2):
+    """{(document, item): most equal words} of all ungapped alignments whose best stretch has enough of them."""
+    at = {i: words((t or "").translate(LOW)) for i, t in items.items()}
+    places = collections.defaultdict(list)
+    for i, ws in at.items():
+        for k, w in enumerate(ws):
+            places[w].append((i, k))
+    out = {}
+    for d, text in docs.items():
+        own = words((text or "").translate(LOW))
+        shifts = collections.Counter((i, p - k) for p, w in enumerate(own) for i, k in places.get(w, ()))
+        for (i, shift), equal in shifts.items():
+            item = at[i]
+            need = min(min_matched, -(-8 * len(item) // 10))
+            if equal < need:
+                continue
+            best, score, matched, top = 0, 0, 0, 0
+            for k, w in enumerate(item):
+                p = shift + k
+                if not 0 <= p < len(own):
+                    continue
+                same = own[p] == w
+                score, matched = score + (1 if same else mismatch), matched + same
+                if score <= 0:
+                    score, matched = 0, 0
+                elif score > best:
+                    best, top = score, matched
+            if top >= need:
+                out[d, i] = max(out.get((d, i), 0), top)
+    return out
+
+
+def archived(pages):
+    """{id: (bytes, digest, type, refers_to)} of pages by id, where equal payloads are stored once."""
+    import base64
+    import hashlib
+
+    first = {}
+    for i in sorted(pages):
+        first.setdefault((pages[i] or "").encode(), i)
+    out = {}
+    for i, html in pages.items():
+        data = (html or "").encode()
+        same = first[data]
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out[i] = (len(data), digest, "response" if same == i else "revisit", None if same == i else same)
+    return out

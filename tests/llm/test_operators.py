@@ -530,3 +530,59 @@ def test_lines_left_against_maximal_runs(spark, seed):
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(40)]
     got = {r.doc_id: r.text for r in lines.remove_repeated_runs(docs_of(spark, texts)).collect()}
     assert got == brute.left_lines(dict(enumerate(texts)))
+
+
+# ---- whole tables against brute force --------------------------------------------------------------
+
+
+def test_decontamination_against_all_alignments(spark, documents, texts):
+    """Every pair that any ungapped alignment gives is found, with the same number of equal words."""
+    for folder in (SF, "/root/testdata/sf0.01"):
+        docs, bench = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+        want = brute.overlaps({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in bench.collect()})
+        assert {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert len(want) > 10
+
+
+def test_decontamination_of_awkward_rows(spark):
+    """Null and repeated ids, empty and very long documents, empty tables, clashing names."""
+    words = [f"w{k}" for k in range(40)]
+    passage = " ".join(words)
+    rows = [(None, passage, 1), (3, passage, 2), (3, passage, 2), (3, "other words", 3), (4, "", 4), (5, None, 5), (6, "x " * 60_000 + passage + " y" * 60_000, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(9, passage.upper(), "s"), (None, " ".join(words[:20]), "s"), (7, None, "s"), (8, "", "s")], "item_id long, text string, seeds string")
+    got = sorted((r.doc_id or -1, r.item_id or -1, r.n_matched) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(d, i, n) for d in (-1, 3, 6) for i, n in ((-1, 20), (9, 40))]
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(r.text or "" for r in left.collect()) == ["", "", "other words"]
+    assert decontaminate.contaminated(docs.limit(0), items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_archives_against_plain_python(spark):
+    from pricetide.llm import registered
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in registered.op7_warc(spark, SF).collect()}
+    assert got == brute.archived(pages)
+
+
+def test_archives_of_awkward_rows(spark):
+    """Null ids, repeated smallest ids, null payloads and urls, empty tables."""
+    rows = [(None, "<a>", "u"), (1, "<b>", None), (1, "<b>", "u é"), (2, "<b>", "u"), (3, None, "u"), (4, "", "u")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string")
+    folder = scratch_folder(spark)
+    warc.write_archives(pages, folder)
+    got = sorted((r.record_id or "", r.record_type, r.refers_to or "", r.payload_bytes) for r in warc.records(warc.read_archives(spark, folder)).collect())
+    assert got == [("", "response", "", 3), ("1", "response", "", 3), ("1", "response", "", 3), ("2", "revisit", "1", 3), ("3", "response", "", 0), ("4", "revisit", "3", 0)]
+    folder = scratch_folder(spark)
+    warc.write_archives(pages.limit(0), folder)
+    assert warc.read_archives(spark, folder).count() == 0
+
+
+def test_near_duplicates_of_a_whole_table_have_recall_one(spark):
+    """All pairs of sf0.01 at both percentages; the trees' recall is then 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for percent in (85, 80):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, percent=percent).collect()}
+        assert got == brute.near_duplicates(texts, percent)
