@@ -216,8 +216,9 @@ def running_quantiles(
     parent = F.lit(0)
     for rung in [*_RUNGS, "_value"]:
         steps = base.groupBy(*keys, parent.cast("double").alias("_parent"), F.col(rung).cast("double").alias("_step"), "_day").agg(F.sum("_delta").alias("_delta"))
-        # a place per day: small, and read more than once by the next rung
-        open_steps = cut_lineage(_opened(open_steps, steps, keys))
+        open_steps = _opened(open_steps, steps, keys)
+        if rung != "_value":  # a place per day: small, and read more than once by the next rung
+            open_steps = cut_lineage(open_steps)
         parent = F.col(rung)
     found = {name: {} for name in wanted}
     for name, spot in spots.items():

@@ -203,9 +203,15 @@ _FEATURE_SQL = f"""{_STATS_SQL},
     FROM joined j JOIN levels l ON l.population = j.population)"""
 
 
-def feature_frame(spark, sf_dir):
-    props = cut_lineage(V.properties(spark, sf_dir))
-    stats = H.history_stats(V.price_history(spark, sf_dir), V.OBS_AS_OF).select(
+def _state(spark, sf_dir):
+    """Sightings and the properties they give, written once for all that derives from them."""
+    seen = cut_lineage(V.obs(spark, sf_dir))
+    return seen, cut_lineage(V.properties(spark, sf_dir, seen))
+
+
+def feature_frame(spark, sf_dir, state=None):
+    seen, props = state or _state(spark, sf_dir)
+    stats = H.history_stats(V.price_history(spark, sf_dir, seen), V.OBS_AS_OF).select(
         *V.ENTITY, "n_cuts", "days_since_last_cut"
     )
     level = props.groupBy("population").agg(F.rint(F.sum("price") / F.sum("sqm")).alias("_unit"))
@@ -410,8 +416,10 @@ def _step(part: str) -> str:
 
 
 def _offers(spark, sf_dir):
-    gap = M.gap_analysis(cut_lineage(V.properties(spark, sf_dir)), zone_frame(spark, sf_dir), SEARCH)
-    return OF.add_offers(feature_frame(spark, sf_dir), curve_frame(spark, sf_dir), None, gap, cfg=CFG)
+    state = _state(spark, sf_dir)
+    gap = M.gap_analysis(state[1], zone_frame(spark, sf_dir), SEARCH)
+    curve = kaplan_meier(CL.flag_preexisting(state[1]), V.OBS_AS_OF)
+    return OF.add_offers(feature_frame(spark, sf_dir, state), curve, None, gap, cfg=CFG)
 
 
 @query(

@@ -56,10 +56,10 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _population(spark, sf_dir, F.col("l_partkey"), lines).drop("l_partkey")
 
 
-def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sighting and every sighting at another price than the one before."""
+def price_history(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
+    """First sighting and every sighting at another price than the one before; `seen` are sightings at hand."""
     return scans.change_points(
-        obs(spark, sf_dir).select(*ENTITY, "seen_at", "price"), ENTITY, ["seen_at"], "price"
+        (obs(spark, sf_dir) if seen is None else seen).select(*ENTITY, "seen_at", "price"), ENTITY, ["seen_at"], "price"
     ).select(*ENTITY, F.col("seen_at").alias("date"), "price")
 
 
@@ -95,10 +95,10 @@ def fold_obs(df: DataFrame) -> DataFrame:
     )
 
 
-def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current state of every property."""
+def properties(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
+    """Current state of every property; `seen` are sightings at hand."""
     gone = F.col("last_seen") < F.to_timestamp(F.lit(INACTIVE_BEFORE))
-    state = fold_obs(obs(spark, sf_dir)).join(describe_parts(spark, sf_dir), "property_id")
+    state = fold_obs(obs(spark, sf_dir) if seen is None else seen).join(describe_parts(spark, sf_dir), "property_id")
     return state.withColumn("status", F.when(gone, "inactive").otherwise("active"))
 
 
