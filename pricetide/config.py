@@ -11,6 +11,7 @@ KEYS = ("population",)
 class Thresholds:
     """Numeric limits of the analysis, in the units of the price column."""
 
+    # fixed values: the default limits
     search_band: tuple[float, float] = (400_000, 700_000)
     trend_band: tuple[float, float] = (150_000, 1_500_000)
     target_band: tuple[float, float] = (500_000, 600_000)
@@ -132,39 +133,7 @@ SIMILARITY_WEIGHTS = {
     "location": 20, "features": 8, "terms": 5, "source": 3,
 }
 
-# --- fixed values: towns, their title rules and sub-areas ---
-TENANTS = {
-    "sant_cugat": TenantRules(
-        city_pattern=r"sant\s*cugat",
-        exclude_title_pattern=(
-            r"Centre|Estació|Monestir|Nau|El\s+Coll|Sant Francesc|Terreny|Terreno|Parcela|Parcel·la|Les\s+Planes"
-        ),
-        neighborhoods=(
-            "La Floresta", "Valldoreix", "Can Mates - Volpelleres", "Volpelleres", "Can Mates",
-            "Coll Favà - Can Magí", "Coll Favà", "Coll Fava", "Can Magí", "El Coll - Sant Francesc", "El Coll",
-            "Sant Francesc", "Centre - Estació", "Centre", "Estació", "Mira-sol", "Mirasol", "Can Matas",
-            "Torreblanca", "Monestir", "Can Barata", "Parc Central - El Colomer - Pla de la Pagesa",
-            "Parc Central", "El Colomer", "Pla de la Pagesa", "Sant Domènec", "Sant Domenec", "Mas Gener",
-        ),
-        zones=("sant_cugat", "zip_08173", "zip_08195"),
-    ),
-    "sant_quirze": TenantRules(
-        city_pattern=r"sant\s*quirze",
-        neighborhoods=(
-            "Sant Quirze Parc-Vallsuau-Castellet", "Sant Quirze Parc- Vallsuau - Castellet", "Sant Quirze Parc",
-            "Vallsuau", "Castellet", "Mas Duran", "Can Casablanques", "Can Llobateres - Can Pallars",
-            "Can Pallàs - Can Llobateras", "Can Llobateres", "Can Llobateras", "Can Pallars", "Can Pallàs",
-            "Poble Sec", "Les Fonts", "Cucut", "Centre",
-        ),
-    ),
-    "cerdanyola": TenantRules(
-        city_pattern=r"cerdanyola",
-        neighborhoods=(
-            "Centre - Cordelles", "Sant Ramon", "Sant Ramón", "Catalunya - Fontetes", "Altamira - Canaletes",
-            "Guiera - Montflorit", "Serraparera", "Bellaterra", "La Clota - Zona industrial", "La Clota", "Centre",
-        ),
-    ),
-}
+# --- fixed values: patterns of titles and texts ---
 NON_RESIDENTIAL = (
     r"^\s*(locales?\s+comerciales?|nau(\s+industrial)?|traster(o|os)\b|"
     r"plaza(s)?\s+de\s+(garaje|parking)|garaje(s)?\b)"

@@ -101,7 +101,7 @@ def _parts(df: DataFrame, p: C.IdealProfile) -> dict[str, Column]:
     return parts
 
 
-def similarity(df: DataFrame, profiles: Sequence[C.IdealProfile] = C.FAVOURITE_PROFILES) -> DataFrame:
+def similarity(df: DataFrame, profiles: Sequence[C.IdealProfile]) -> DataFrame:
     """Add the best profile's score 0-100, its name, and the parts that contributed.
 
     The first profile wins ties; a best score of 0 has no profile.

@@ -48,6 +48,7 @@ def write_shortlist(shortlist: DataFrame, path: str, population: str) -> None:
     rows.orderBy("_part", "price", "property_id").select("value").write.mode("overwrite").text(path)
 
 
+# fixed values: wording of the messages
 def new_entity_message(df: DataFrame) -> Column:
     extras = F.concat_ws(
         " ", *[F.when(F.col(c) == 1, F.lit(sign)) for c, sign in (("has_pool", "🏊"), ("has_ac", "❄️")) if c in df.columns]
