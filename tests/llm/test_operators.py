@@ -586,3 +586,15 @@ def test_near_duplicates_of_a_whole_table_have_recall_one(spark):
     for percent in (85, 80):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, percent=percent).collect()}
         assert got == brute.near_duplicates(texts, percent)
+
+
+def test_smallest_grams_both_ways(monkeypatch):
+    rng = np.random.default_rng(3)
+    for grams in (rng.integers(0, 2**63, 500, dtype=np.uint64), np.repeat(rng.integers(0, 2**63, 20, dtype=np.uint64), 25), np.zeros(300, np.uint64)):
+        low = np.uint64((1 << 9) - 1)
+        want = [i + int(np.argmin((grams & ~low)[i : i + 85])) for i in range(len(grams) - 84)]
+        monkeypatch.setattr(suffixes, "_PLACE_BITS", 9)
+        assert suffixes._smallest(grams, 85).tolist() == want
+        monkeypatch.setattr(suffixes, "_PLACE_BITS", 8)
+        want = [i + int(np.argmin((grams & ~np.uint64(255))[i : i + 85])) for i in range(len(grams) - 84)]
+        assert suffixes._smallest(grams, 85).tolist() == want
