@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import bpe, decontaminate, lines, neardup, quality
 from pricetide.llm.common import table
-from pricetide.session import cut_lineage
+from pricetide.session import cut_lineage, discard
 
 #: Documents whose word shingles agree to this percentage are near copies.
 NEAR_PERCENT = 80
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from documents on."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        before, docs = docs, cut_lineage(stage(spark, docs, sf_dir))
+        discard(before)  # a table of the stage before; the input is left alone
     return STAGES[-1][1](spark, docs, sf_dir)
