@@ -21,7 +21,7 @@ from pricetide.plans import views as V
 from pricetide.plans.q_history import _STATS_SQL
 from pricetide.plans.q_linkage import CFG as LINK
 from pricetide.plans.q_linkage import EDGE_SQL, RELIST_SQL
-from pricetide.plans.q_market import GAP_SQL, SEARCH, zone_frame
+from pricetide.plans.q_market import GAP_SQL, SEARCH, market_frame, zone_frame
 from pricetide.plans.q_panel import CURVE_SQL, curve_frame
 from pricetide.plans.registry import query
 from pricetide.plans.views import snug, snug_col, with_views
@@ -695,3 +695,23 @@ def candidate_report(spark, sf_dir):
         *V.ENTITY, "price", "cluster_id", "hedonic_residual_pct", "final_score", "est_margin_pct", "offer_target",
         "bucket", "rationale",
     )
+
+
+@query(
+    "headline_linked",
+    with_views(
+        ["price_history", "properties", "property_events"],
+        f"""{_CHAIN_FEATURES} SELECT coalesce(population, 'ALL') AS population, count(*) AS active,
+          count(*) FILTER (WHERE price BETWEEN {CFG.target_band[0]} AND {CFG.target_band[1]}) AS in_target,
+          CAST(sum(multi_listed) AS BIGINT) AS multi_listed, CAST(sum(relist_count) AS BIGINT) AS relisted
+        FROM features WHERE status = 'active' AND price BETWEEN {SEARCH[0]} AND {SEARCH[1]} AND is_cluster_canonical = 1
+        GROUP BY ROLLUP (population)""",
+    ),
+)
+def headline_linked(spark, sf_dir):
+    """The listed stock by its real links: canonical entries only, with those listed by several agencies and those re-published."""
+    features = FE.build_features(
+        V.properties(spark, sf_dir), V.price_history(spark, sf_dir), V.property_events(spark, sf_dir), V.OBS_AS_OF, CFG, "edit", seller=TITLE_WORDS,
+    )
+    figures = M.headline(market_frame(spark, sf_dir), cut_lineage(features), SEARCH, CFG.target_band)
+    return figures.select("population", "active", "in_target", "multi_listed", "relisted")
