@@ -19,7 +19,7 @@ with a loose cut on the sketches that a pair at the threshold misses once in a h
 a similarity of at least `TRANSIT` to the pivot. Families
 are the components of these stars. Each family's texts are then brought together once and compared
 exactly, on full sets, through an inverted index; that settles its components. A family of more than
-`FAMILY` texts is dealt out as pairs of parts, so no task holds more than two parts.
+`FAMILY` texts, or `FAMILY_SHINGLES` shingles, is dealt out as pairs of parts, so no task holds more than two parts.
 
 Nulls: a null text is empty; a document without words has an empty set and no links; a null id takes
 no part and gets a null component. Documents that share an id count as one node. An empty table gives an
@@ -44,6 +44,8 @@ from pricetide.session import cut_lineage
 SHINGLE, PERCENT = 5, 85
 SKETCH = 64
 SMALL, FAMILY = 2048, 4096
+#: Shingles of a part of a family; a task holds two parts, some hundred megabytes.
+FAMILY_SHINGLES = 1 << 21
 MISS, STRAY, TRANSIT = 2.8e-6, 1e-8, 0.7
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -272,7 +274,7 @@ def _exact_links(sets: list[np.ndarray], forest: _Forest, percent: int) -> None:
 
 
 def exact_links(docs: DataFrame, family: DataFrame, kind: str, percent: int = PERCENT) -> DataFrame:
-    """Stars (a_id, b_id) over what confirmed links connect within each family (rep, family).
+    """Stars (a_id, b_id) over what confirmed links connect within each family (rep, n_shingles, family).
 
     `whole` tells that the family was compared in one task, so that a_id already names the component.
     """
@@ -291,7 +293,9 @@ def exact_links(docs: DataFrame, family: DataFrame, kind: str, percent: int = PE
             whole = pa.array([group.column("parts")[0].as_py() == 1] * len(left), pa.bool_())
             yield pa.RecordBatch.from_arrays([*edges.columns, whole], ["a_id", "b_id", "whole"])
 
-    sized = family.join(family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts")), "family")
+    # a part holds a bounded number of texts and, where they are long, of shingles
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / FAMILY), F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES))
+    sized = family.join(family.groupBy("family").agg(many.alias("parts")), "family")
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     dealt = sized.select("family", "rep", "parts", part.alias("part"), other.alias("other"))
@@ -324,10 +328,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut_lineage(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("key_a", "key_b")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"))
     )
     loose = connected_components(families(classes, percent), keys=())
-    family = cut_lineage(loose.select(F.col("node").alias("rep"), F.col("component").alias("family")))
+    named = loose.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    family = cut_lineage(named.join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")), "rep"))
     linked = _components(cut_lineage(exact_links(rows, family, kind, percent)))
     found = classes.join(linked, "rep", "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("component")

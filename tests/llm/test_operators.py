@@ -408,9 +408,10 @@ def test_components_of_near_copies(spark, passages, monkeypatch):
         assert got == expected
 
 
-def test_large_families_are_dealt_in_parts(spark, passages, monkeypatch):
+@pytest.mark.parametrize("bound, value", [("FAMILY", 16), ("FAMILY_SHINGLES", 700)])
+def test_large_families_are_dealt_in_parts(spark, passages, monkeypatch, bound, value):
     texts = near_copies(passages[:2], 40)
-    monkeypatch.setattr(neardup, "FAMILY", 16)
+    monkeypatch.setattr(neardup, bound, value)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
     assert got == {d: c for d, (_, c, _) in brute.near_duplicates(dict(enumerate(texts))).items()}
 
