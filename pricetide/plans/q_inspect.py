@@ -648,6 +648,33 @@ def page_description(spark, sf_dir):
     return PG.best_description(pages, longest_kept=None).select("page_id", "description")
 
 
+@query(
+    "page_cards",
+    with_views(
+        ["properties"],
+        """SELECT population, property_id, title, price, CAST(rooms AS INT) AS rooms, CAST(bathrooms AS INT) AS bathrooms, CAST(sqm AS INT) AS sqm,
+          has_pool, has_ac, terrace, elevator, CAST(parking AS INT) AS parking FROM properties""",
+    ),
+)
+def page_cards(spark, sf_dir):
+    """Properties written as listing pages, in two wordings and with scripts that must not be read, and extracted again."""
+    other = F.col("property_id").cast("long") % 2 == 0
+    amount = F.translate(F.format_number("price", 2), ",.", ".,")
+    said = lambda one, two: F.when(other, F.lit(one)).otherwise(F.lit(two))
+    count = lambda column, one, two: F.when(F.col(column).isNotNull(), F.concat(F.lit("<li>"), F.col(column).cast("string"), said(one, two), F.lit("</li>"))).otherwise(F.lit(""))
+    named = lambda column, one, two: F.when(F.col(column) == 1, F.concat(F.lit("<p>"), said(one, two), F.lit("</p>"))).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit("<html><script>var p='9 € 7 hab 5 m2 piscina';</script><!-- 1 baño --><h1 class='t'> "), "title", F.lit("</h1><div>"),
+        F.when(other, F.concat(amount, F.lit(" €"))).otherwise(F.concat(F.lit("€ "), amount)), F.lit("</div><ul>"),
+        count("rooms", " hab.", " dormitorios"), count("bathrooms", " baños", " banys"), count("sqm", " m²", " m2"), F.lit("</ul>"),
+        named("has_pool", "Piscina comunitaria", "amb piscina"), named("has_ac", "Aire acondicionado", "aire condicionat"),
+        named("terrace", "Terraza", "gran terrassa"), named("elevator", "Con ascensor", "ascensor"), named("parking", "Garaje incluido", "plaça de pàrking o parking"),
+        F.lit("</html>"),
+    )
+    pages = V.properties(spark, sf_dir).select(*V.ENTITY, html.alias("html"))
+    return PG.extract_fields(pages)
+
+
 @query(
     "page_cells",
     with_views(
