@@ -288,8 +288,9 @@ def sighting_events(sightings: DataFrame, grace_days: int, keys: Sequence[str] =
     rows = sightings.select(*keys, "seen_at", F.col("price").cast("double").alias("price"), F.coalesce("gone", F.lit(False)).alias("gone"))
     rows = scans.neighbour(scans.neighbour(rows, keys, order, ["gone"]), keys, order, ["seen_at", "gone"], ahead=True)
     seen = scans.neighbour(rows.where(~F.col("gone")), keys, ["seen_at", "price"], ["seen_at", "price"], prefix="last_")
-    grace = F.make_dt_interval(F.lit(grace_days))
-    ends = F.col("seen_at") + grace
+    # days of 24 hours in every time zone
+    after = lambda at: F.timestamp_micros(F.unix_micros(at) + F.lit(int(grace_days) * 86_400_000_000))
+    ends = after("seen_at")
     number = F.lit(None).cast("double")
 
     def event(when: Column, kind: str, at: Column, old: Column = number, new: Column = number) -> Column:
@@ -297,7 +298,7 @@ def sighting_events(sightings: DataFrame, grace_days: int, keys: Sequence[str] =
         return F.when(F.coalesce(when, F.lit(False)), F.struct(*parts))
 
     at, new, known = F.col("seen_at"), F.col("price"), F.col("last_seen_at").isNotNull()
-    returned = F.col("prev_gone") | (at > F.col("last_seen_at") + grace)
+    returned = F.col("prev_gone") | (at > after("last_seen_at"))
     lapsed = F.col("next_seen_at").isNull() | (F.col("next_seen_at") > ends)
     made = F.array(
         event(~known, "inserted", at, new=new),

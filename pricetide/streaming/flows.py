@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,14 +151,17 @@ def split_late(events: DataFrame, ts: str, delay: str, keys: Sequence[str], part
     micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     options = {"timestampFormat": micros, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     packed = events.select(
-        F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part"), F.col(ts).alias("at"), F.to_json(F.struct(*events.columns), options).alias("row")
+        F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part"),
+        F.col(ts).alias("at"),
+        F.unix_micros(ts).alias("micros"),
+        F.to_json(F.struct(*events.columns), options).alias("row"),
     )
 
     def mark(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        passed = np.datetime64(state.getCurrentWatermarkMs(), "ms")
+        passed = state.getCurrentWatermarkMs() * 1000
         count = state.get[0] if state.exists else 0
         for batch in batches:
-            late = batch["at"].to_numpy().astype("datetime64[us]") <= passed
+            late = (batch["micros"] <= passed).to_numpy(bool)  # false for a row without an event time
             count += int(late.sum())
             yield pd.DataFrame({"row": batch["row"], "late": late})
         state.update((count,))

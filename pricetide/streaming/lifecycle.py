@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 _COLUMNS = ["population", "property_id", "event_type", "event_date", "old_price", "new_price"]
 _OUT = (
-    "population string, property_id string, event_type string, event_date timestamp, old_price double, "
+    "population string, property_id string, event_type string, event_date long, old_price double, "
     "new_price double"
 )
 _DAY = 86_400_000_000
@@ -53,7 +53,7 @@ class Lifecycle(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs()
         first = None
         for batch in rows:
-            at = batch["seen_at"].to_numpy().astype("datetime64[us]").astype("int64")
+            at = batch["at"].to_numpy("int64")
             buckets = at // self.bucket
             gone, price = batch["gone"].to_numpy(bool), batch["price"].to_numpy(float, na_value=np.nan)
             for b in np.unique(buckets).tolist():
@@ -122,8 +122,8 @@ class Lifecycle(StatefulProcessor):
 
     @staticmethod
     def _frame(key, made) -> pd.DataFrame:
-        frame = pd.DataFrame([(*key, kind, pd.Timestamp(at, unit="us"), old, new) for kind, at, old, new in made], columns=_COLUMNS)
-        return frame.astype({"event_date": "datetime64[us]", "old_price": float, "new_price": float})
+        frame = pd.DataFrame([(*key, kind, at, old, new) for kind, at, old, new in made], columns=_COLUMNS)
+        return frame.astype({"event_date": "int64", "old_price": float, "new_price": float})
 
 
 def stream_lifecycle(
@@ -139,10 +139,13 @@ def stream_lifecycle(
     """
     gone = F.coalesce("gone", F.lit(False)) if "gone" in sightings.columns else F.lit(False)
     processor = Lifecycle(int(grace_days) * _DAY, int(bucket_hours) * 3_600_000_000, None if forget_days is None else int(forget_days) * _DAY)
+    # instants travel as microseconds, whatever the session's time zone
+    micros = F.unix_micros("seen_at").alias("at")
     return (
-        sightings.select("population", "property_id", "seen_at", F.col("price").cast("double").alias("price"), gone.alias("gone"))
+        sightings.select("population", "property_id", "seen_at", micros, F.col("price").cast("double").alias("price"), gone.alias("gone"))
         .withWatermark("seen_at", delay)
         .groupBy("population", "property_id")
         .transformWithStateInPandas(processor, _OUT, "append", "eventTime")
         .where(F.col("property_id").isNotNull())
+        .withColumn("event_date", F.timestamp_micros("event_date"))
     )

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricetide.operators.lifecycle import sighting_events
 from pricetide.session import scratch_folder
@@ -171,3 +172,15 @@ def test_sighting_events_of_empty_tables_and_repeats(spark):
     assert sighting_events(spark.createDataFrame([], SEEN), 3).count() == 0
     rows = spark.createDataFrame(LIFE[:1] * 3, SEEN)
     assert [e[2] for e in events_of(sighting_events(rows, 3))] == ["inserted", "inactive"]
+
+
+def test_streams_do_not_depend_on_the_time_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame(LIFE, SEEN)
+        batch = sorted(map(str, sighting_events(rows, 3).withColumn("event_date", F.unix_micros("event_date")).collect()))
+        got, _ = run(spark, [LIFE], SEEN, lambda s: stream_lifecycle(s, 3, "1 day"), "seen_at")
+        assert sorted(map(str, got.withColumn("event_date", F.unix_micros("event_date")).collect())) == batch and len(batch) == len(LIFE_EVENTS)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
