@@ -576,3 +576,78 @@ def test_a_grown_forest_is_the_closure_of_all_links(spark, seed):
         whole = linkage.connected_components(spark.createDataFrame(sum(batches[: n + 1], []), edge))
         assert sorted(forest.collect()) == sorted(whole.select(*forest.columns).collect())
     assert linkage.grown_components(forest, spark.createDataFrame([], edge)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_clusters_and_relistings_with_titles_that_leave_type_or_street_open(spark, seed):
+    rng = random.Random(seed)
+    kinds = ["Pis", "Àtic", "Dúplex", "Estudi", "Casa", "Local", ""]
+    streets = ["", "carrer Major", "carrer Nou", "carrer Major Nou", "rambla del Mar Gran"]
+    rows = [("p", f"{i:03d}", "s", f"{rng.choice(kinds)} en venda {rng.choice(streets)}, Rubí", 3e5 * rng.uniform(1, 1.15), rng.randint(50, 66), rng.choice([None, 2]), day(rng.randint(0, 200)), day(rng.randint(0, 300)), rng.choice(["active", "inactive"])) for i in range(160)]
+    df = spark.createDataFrame(rows, LISTING)
+    cfg = C.Thresholds(cluster_price_tol=0.01)
+    facts = {r.property_id: r for r in linkage._signed(linkage._titled(df)).collect()}
+    up = {i: i for i in facts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def alike(a, b):
+        kind = a.kind is None or b.kind is None or a.kind == b.kind or frozenset((a.kind, b.kind)) in {frozenset(("piso", x)) for x in C.PISO_ALIASES}
+        street = not a.streets or not b.streets or set(a.streets) & set(b.streets)
+        return kind and street and abs(a.sqm - b.sqm) <= 3
+
+    def edit(s, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(t, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(s), len(t))
+
+    want = {}
+    live = [r for r in facts.values() if r.status == "active"]
+    for a in live:
+        for b in live:
+            if a.property_id < b.property_id and a.rooms == b.rooms and alike(a, b) and abs(a.price - b.price) / max(a.price, b.price) <= 0.01 and edit(a.title, b.title) >= 0.45:
+                x, y = find(a.property_id), find(b.property_id)
+                up[max(x, y)] = min(x, y)
+        old = [(b.first_seen, b.property_id) for b in facts.values() if b.status == "inactive" and -1 <= math.floor((a.first_seen - b.last_seen).total_seconds() / 86400) <= 90 and (a.rooms is None or b.rooms is None or a.rooms == b.rooms) and alike(a, b) and abs(a.price - b.price) / b.price <= 0.03 and edit(a.title, b.title) >= 0.45]
+        if old:
+            want[a.property_id] = min(old)[1]
+    assert {r.property_id: r.cluster_id for r in linkage.cluster_ids(df, cfg, similarity="edit").collect()} == {i: find(i) for i in up}
+    assert {r.property_id: r.relisted_from for r in linkage.relist_matches(df, cfg, "edit").collect()} == want
+    assert 3 < len({find(r.property_id) for r in live}) < len(live) and want
+
+
+def _met(monkeypatch):
+    """The number of pairs that meet, one entry a join."""
+    met, meet = [], linkage._meet
+
+    def counted(*sides):
+        pairs = meet(*sides)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(linkage, "_meet", counted)
+    return met
+
+
+def test_clusters_compare_only_what_is_not_joined_yet(spark, monkeypatch):
+    met = _met(monkeypatch)
+    rows = [("p", f"{i:04d}", "s", f"Pis en venda carrer sant w{i:03d}x", 500_000.0 + i, 90 + i % 2, 3, day(0), day(1), "active") for i in range(400)]
+    rows += [("p", "x", "s", "Zzzzzzz carrer sant qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq", 500_100.5, 90, 3, day(0), day(1), "active")]
+    got = linkage.cluster_ids(spark.createDataFrame(rows, LISTING), similarity="edit")
+    assert set(values(got, "cluster_id")) == {"0000", "x"}
+    assert sum(met) <= 3 * 2 * 400  # not 400 * 400 / 2
+
+
+def test_listings_of_other_times_and_streets_are_not_compared(spark, monkeypatch):
+    met = _met(monkeypatch)
+    rows = [("p", f"o{i:03d}", "s", f"Pis carrer {'sant' if i % 2 else 'vell'} {i % 7}", 500_000.0, 90, 3, day(10 * i), day(10 * i + 1), "inactive") for i in range(200)]
+    rows += [("p", f"n{i:03d}", "s", f"Pis carrer sant {i % 5}", 500_000.0, 90, 3, day(10 * i + 5), day(10 * i + 6), "active") for i in range(200)]
+    found = linkage.relist_matches(spark.createDataFrame(rows, LISTING), similarity="edit")
+    assert found.count() == 200 - 1
+    assert sum(met) <= 200 * 20  # not 200 * 200
