@@ -16,6 +16,7 @@ _OUT = (
     "new_price double"
 )
 _DAY = 86_400_000_000
+_AT_ONCE = 4_096  # events handed over in one frame
 
 
 class Lifecycle(StatefulProcessor):
@@ -23,7 +24,8 @@ class Lifecycle(StatefulProcessor):
 
     Sightings wait in the state, in buckets of event time, and are taken in event-time order once the
     watermark has passed a bucket, so neither arrival order nor the cut into batches changes
-    the result. A call holds one bucket of one entity. An entity has one timer at a time: for its
+    the result. A call holds one bucket of one entity and a bounded number of events: these are handed over in
+    frames of many, since a frame a bucket costs more than all else. An entity has one timer at a time: for its
     next waiting bucket, else for its retirement, else for forgetting it.
     """
 
@@ -62,7 +64,8 @@ class Lifecycle(StatefulProcessor):
                     continue  # settled already; these rows belong to the batch reconciliation
                 own = np.flatnonzero(buckets == b)
                 new = [(int(at[k]), bool(gone[k]), None if np.isnan(price[k]) else float(price[k])) for k in own]
-                old = self.waiting.getValue((b,))[0] if self.waiting.containsKey((b,)) else []
+                found = self.waiting.getValue((b,))
+                old = found[0] if found is not None else []
                 self.waiting.updateValue((b,), ([tuple(r) for r in old] + new,))
                 first = end if first is None else min(first, end)
         if first is not None:
@@ -74,17 +77,26 @@ class Lifecycle(StatefulProcessor):
         self.timer.clear()
         ends = sorted(((b + 1) * self.bucket // 1000, b) for (b,) in self.waiting.keys())
         last, price, active = self.known.get() if self.known.exists() else (None, None, False)
+        later = [end for end, _ in ends if end > passed]
+        made = []
         for end, b in ends:
             if end > passed:
                 break
             rows = sorted((tuple(r) for r in self.waiting.getValue((b,))[0]), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0.0))
-            made, last, price, active = self._taken(rows, last, price, active)
-            self.waiting.removeKey((b,))
-            yield self._frame(key, made)
-        later = [end for end, _ in ends if end > passed]
+            more, last, price, active = self._taken(rows, last, price, active)
+            made += more
+            if later:
+                self.waiting.removeKey((b,))
+            if len(made) >= _AT_ONCE:
+                yield self._frame(key, made)
+                made = []
+        if ends and not later:
+            self.waiting.clear()
         if active and self._end(last + self.grace) <= passed:
-            yield self._frame(key, [("inactive", last + self.grace, None, None)])
+            made.append(("inactive", last + self.grace, None, None))
             active = False
+        if made:
+            yield self._frame(key, made)
         if last is not None:
             self.known.update((last, price, active))
         if active:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pricetide.operators.lifecycle import sighting_events
 from pricetide.session import scratch_folder
-from pricetide.streaming import flows
+from pricetide.streaming import flows, lifecycle
 from pricetide.streaming.lifecycle import stream_lifecycle
 
 SEEN = "population string, property_id string, seen_at timestamp, price double, gone boolean"
@@ -184,3 +185,62 @@ def test_streams_do_not_depend_on_the_time_zone(spark):
         assert sorted(map(str, got.withColumn("event_date", F.unix_micros("event_date")).collect())) == batch and len(batch) == len(LIFE_EVENTS)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+class _Held:
+    """State of one entity in plain dictionaries, as a `Lifecycle` asks for it."""
+
+    def __init__(self):
+        self.held, self.timers = {}, set()
+
+    def __getattr__(self, name):
+        if name in ("getValueState", "getMapState"):
+            return lambda *_: _Held()
+        raise AttributeError(name)
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held.get(None)
+
+    def update(self, value):
+        self.held[None] = value
+
+    def clear(self):
+        self.held.clear()
+
+    def getValue(self, key):  # noqa: N802
+        return self.held.get(key)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.held
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_buckets_of_an_entity_leave_together(spark):
+    """An entity's settled buckets become few frames, whatever their number, and leave the state."""
+    hour = 3_600_000_000
+    processor = lifecycle.Lifecycle(48 * hour, 6 * hour, None)
+    processor.init(_Held())
+    rows = pd.DataFrame({"at": [6 * hour * k + 1 for k in range(300)], "gone": False, "price": [float(k) for k in range(300)]})
+    times = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    assert list(processor.handleInputRows(("T", "a"), iter([rows]), times(0))) == []
+    half = list(processor.handleExpiredTimer(("T", "a"), times(150 * 6 * hour // 1000), None))
+    assert len(half) == 1 and len(half[0]) == 150 and len(processor.waiting.held) == 150
+    rest = list(processor.handleExpiredTimer(("T", "a"), times(10**13), None))
+    assert len(rest) == 1 and rest[0]["event_type"].tolist() == ["price_change"] * 150 + ["inactive"] and not processor.waiting.held
