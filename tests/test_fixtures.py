@@ -651,3 +651,16 @@ def test_listings_of_other_times_and_streets_are_not_compared(spark, monkeypatch
     found = linkage.relist_matches(spark.createDataFrame(rows, LISTING), similarity="edit")
     assert found.count() == 200 - 1
     assert sum(met) <= 200 * 20  # not 200 * 200
+
+
+def test_buyers_are_dealt_to_all_cores_and_rates_sought_where_needed(spark, tmp_path):
+    from pricetide.plans import q_value
+
+    spark.createDataFrame([(i, 10.0 * i) for i in range(50)], "c_custkey long, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    out = q_value.scenario_grid(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "_rate" in plan
+    assert out.count() == 50 * len(q_value.GRID)
+    dear = spark.createDataFrame([(500_000.0, 0.0), (700_000.0, 0.0), (900_000.0, 0.0)], "price double, savings double")
+    paths = {r.price: r.path for r in finance.scenario_grid(dear, "price", {"savings": "savings"}).collect()}
+    assert "tipo" not in paths[500_000.0] and "tipo ≤ " in paths[700_000.0]
