@@ -14,6 +14,7 @@ from pricetide.functions.numbers import half_even, parse_amount, ratio
 from pricetide.operators.clean import flag_preexisting
 from pricetide.operators.history import history_stats
 from pricetide.operators.linkage import add_effective_age, cluster_listings
+from pricetide.session import cut_lineage
 
 TENANT = ("population",)
 
@@ -78,8 +79,8 @@ def build_features(
 ) -> DataFrame:
     """Every per-entity signal in one table: true age, clusters, price log, texts, unit price."""
     entity = [*keys, "property_id"]
-    aged = add_effective_age(flag_preexisting(properties, keys), as_of, cfg, similarity, keys)
-    linked = cluster_listings(aged, cfg, similarity=similarity, keys=keys)
+    aged = add_effective_age(cut_lineage(flag_preexisting(properties, keys)), as_of, cfg, similarity, keys)
+    linked = cluster_listings(cut_lineage(aged), cfg, similarity=similarity, keys=keys)
     counts = ("n_price_changes", "n_cuts", "n_increases", "total_cut_amount")
     back = (
         events.where(F.col("event_type") == "reactivated")
