@@ -53,8 +53,9 @@ def run_outcomes(
 
     `failures` names the sources whose collection broke off in a run; whatever they sent before counts as nothing.
     """
-    counts = batch.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("listings_returned"))
-    runs = batch.select(*keys).distinct()
+    # small and read twice, so the batch itself is passed over once
+    counts = cut_lineage(batch.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("listings_returned")))
+    runs = counts.select(*keys).distinct()
     shared = [k for k in keys if k in registry.columns]
     expected = runs.join(registry.select(*shared, "source").distinct(), shared)
     rows = expected.join(counts, [*keys, "source"], "left")

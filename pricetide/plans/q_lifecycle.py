@@ -10,7 +10,7 @@ from pricetide.operators import lifecycle as L
 from pricetide.plans import views as V
 from pricetide.plans.registry import query
 from pricetide.plans.views import with_views
-from pricetide.session import scratch_folder
+from pricetide.session import cut_lineage, scratch_folder
 from pricetide.sources import tables
 
 LAST_RUN = "2001-11"
@@ -27,8 +27,8 @@ RUNS_SQL = """
            FROM expected LEFT JOIN counts USING (population, run_id, source))"""
 
 
-def runs_frame(spark, sf_dir):
-    obs = V.obs(spark, sf_dir)
+def runs_frame(spark, sf_dir, seen=None):
+    obs = cut_lineage(V.obs(spark, sf_dir)) if seen is None else seen
     return L.run_outcomes(obs, obs.select("population", "source")).withColumn(
         "run_date", F.last_day(F.to_date(F.concat("run_id", F.lit("-01")))).cast("timestamp")
     )
@@ -79,8 +79,10 @@ REPLAY_SQL = f"""{RUNS_SQL},
       FROM flagged WHERE retired)"""
 
 
-def replay_frame(spark, sf_dir):
-    return L.replay(V.obs(spark, sf_dir), runs_frame(spark, sf_dir))
+def replay_frame(spark, sf_dir, seen=None):
+    """Events of the whole history; the sightings are written once, as the runs read them several times too."""
+    seen = cut_lineage(V.obs(spark, sf_dir)) if seen is None else seen
+    return L.replay(seen, runs_frame(spark, sf_dir, seen))
 
 
 @query("replay_events", with_views(["obs"], f"{REPLAY_SQL} SELECT * FROM replayed"))
