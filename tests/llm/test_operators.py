@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import brute
@@ -13,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from pricetide.llm import bpe, chat, decontaminate, licenses, lines, neardup, pitmanyor, quality, suffixes, warc
 from pricetide.session import scratch_folder
@@ -199,6 +201,28 @@ def test_license_rows(spark):
     assert got == [(-1, "apache-2.0"), (-1, "apache-2.0"), (4, ""), (4, "apache-2.0")]
 
 
+def test_license_words_are_cut_by_letters_they_hold(spark):
+    """The class that Spark runs holds what is not a separator."""
+    text = "".join(f"a{chr(c)}" for c in [*range(1, 0x250), 0x212A, 0x130, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF])
+    cut = F.regexp_extract_all("text", F.lit(licenses._IN_WORD), F.lit(0)).alias("words")
+    assert spark.createDataFrame([(text,)], "text string").select(cut).first().words == re.findall(licenses._WORD, text)
+    odd = [text, text.replace("a", "A "), "İ K"]
+    got = {r.doc_id: r.n_words for r in licenses.scan(docs_of(spark, odd)).collect()}
+    small = str.maketrans(licenses.UPPER, licenses.LOWER)
+    assert got == {i: len(re.findall(licenses._WORD, t.translate(small))) for i, t in enumerate(odd)}
+
+
+def test_licenses_read_texts_once(spark, tmp_path):
+    """What is left to run reads the written pass, which holds the texts that can match and no other."""
+    path = str(tmp_path / "docs")
+    docs_of(spark, ["Some words. All rights\nreserved", "All the rights are here", "plain", None]).write.parquet(path)
+    out = licenses.scan(spark.read.parquet(path))
+    assert out.inputFiles() and not any(path in file for file in out.inputFiles())
+    assert {r.doc_id: r.labels for r in out.collect()} == {0: "all-rights-reserved,reserved", 1: "", 2: "", 3: ""}
+    kept = licenses._read_once(spark.read.parquet(path), licenses.TEMPLATES, licenses.PERCENT, "doc_id", "text")
+    assert [r.doc_id for r in kept.where("text IS NOT NULL").collect()] == [0]
+
+
 # ---- byte-level BPE ------------------------------------------------------------------------------
 
 
