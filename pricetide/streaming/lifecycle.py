@@ -17,15 +17,18 @@ _OUT = (
 )
 _DAY = 86_400_000_000
 _AT_ONCE = 4_096  # events handed over in one frame
+_NEAR = 256  # waiting rows that an entity holds beside its state
+_ROWS = "array<struct<at:bigint,gone:boolean,price:double>>"
 
 
 class Lifecycle(StatefulProcessor):
     """One entity's state, and its sightings that wait for the watermark.
 
-    Sightings wait in the state, in buckets of event time, and are taken in event-time order once the
-    watermark has passed a bucket, so neither arrival order nor the cut into batches changes
-    the result. A call holds one bucket of one entity and a bounded number of events: these are handed over in
-    frames of many, since a frame a bucket costs more than all else. An entity has one timer at a time: for its
+    Sightings wait in the state and are taken in event-time order once the watermark has passed their bucket of event time,
+    so neither arrival order nor the cut into batches changes the result. Each question to the state costs more than taking
+    a sighting, so up to `_NEAR` waiting rows lie in one value with all else that is known of the entity: a call reads and
+    writes it once. An entity with more waiting rows holds them by bucket until none is left; a call then holds one bucket
+    and a bounded number of events, which are handed over in frames of many. An entity has one timer at a time: for its
     next waiting bucket, else for its retirement, else for forgetting it.
     """
 
@@ -34,81 +37,103 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "last_seen bigint, price double, active boolean")
-        self.timer = handle.getValueState("timer", "at bigint")
-        self.waiting = handle.getMapState("waiting", "bucket bigint", "rows array<struct<at:bigint,gone:boolean,price:double>>")
+        self.known = handle.getValueState("known", f"last bigint, price double, active boolean, timer bigint, crowded boolean, near {_ROWS}")
+        self.waiting = handle.getMapState("waiting", "bucket bigint", f"rows {_ROWS}")
 
     def _end(self, at: int) -> int:
         """End, in milliseconds, of the bucket that holds an instant in microseconds."""
         return (at // self.bucket + 1) * self.bucket // 1000
 
-    def _wake(self, at: int) -> None:
-        """See that the entity is woken at `at` or before."""
-        planned = self.timer.get()[0] if self.timer.exists() else None
-        if planned is None or at < planned:
-            if planned is not None:
-                self.handle.deleteTimer(planned)
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+    def _held(self):
+        """Last sighting, its price, whether listed, the timer, whether rows wait by bucket, and those that wait here."""
+        last, price, active, timer, crowded, near = self.known.get() or (None, None, False, None, False, [])
+        return last, price, active, timer, crowded, [tuple(r) for r in near]
+
+    def _spread(self, rows) -> None:
+        """Let rows wait by bucket."""
+        buckets: dict[int, list] = {}
+        for row in rows:
+            buckets.setdefault(row[0] // self.bucket, []).append(row)
+        for b, own in buckets.items():
+            found = self.waiting.getValue((b,))
+            self.waiting.updateValue((b,), ([tuple(r) for r in found[0]] + own if found is not None else own,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        first = None
+        first, held = None, None
         for batch in rows:
             at = batch["at"].to_numpy("int64")
-            buckets = at // self.bucket
+            ends = (at // self.bucket + 1) * self.bucket // 1000
+            # the rest is settled already; those rows belong to the batch reconciliation
+            open_ = np.flatnonzero(ends > passed)
+            if not len(open_):
+                continue
             gone, price = batch["gone"].to_numpy(bool), batch["price"].to_numpy(float, na_value=np.nan)
-            for b in np.unique(buckets).tolist():
-                end = (b + 1) * self.bucket // 1000
-                if end <= passed:
-                    continue  # settled already; these rows belong to the batch reconciliation
-                own = np.flatnonzero(buckets == b)
-                new = [(int(at[k]), bool(gone[k]), None if np.isnan(price[k]) else float(price[k])) for k in own]
-                found = self.waiting.getValue((b,))
-                old = found[0] if found is not None else []
-                self.waiting.updateValue((b,), ([tuple(r) for r in old] + new,))
-                first = end if first is None else min(first, end)
-        if first is not None:
-            self._wake(first)
+            new = [(int(at[k]), bool(gone[k]), None if np.isnan(price[k]) else float(price[k])) for k in open_]
+            first = int(ends[open_].min()) if first is None else min(first, int(ends[open_].min()))
+            *known, crowded, near = held or self._held()
+            near += new
+            if crowded or len(near) > _NEAR:
+                self._spread(near)
+                crowded, near = True, []
+            held = (*known, crowded, near)
+        if held is not None:
+            last, asked, active, timer, crowded, near = held
+            if timer is None or first < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+                timer = first
+            self.known.update((last, asked, active, timer, crowded, near))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        ends = sorted(((b + 1) * self.bucket // 1000, b) for (b,) in self.waiting.keys())
-        last, price, active = self.known.get() if self.known.exists() else (None, None, False)
-        later = [end for end, _ in ends if end > passed]
-        made = []
-        for end, b in ends:
-            if end > passed:
-                break
-            rows = sorted((tuple(r) for r in self.waiting.getValue((b,))[0]), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0.0))
-            more, last, price, active = self._taken(rows, last, price, active)
-            made += more
-            if later:
-                self.waiting.removeKey((b,))
-            if len(made) >= _AT_ONCE:
-                yield self._frame(key, made)
-                made = []
-        if ends and not later:
-            self.waiting.clear()
+        last, price, active, _, crowded, near = self._held()
+        in_order = lambda r: (r[0], r[1], r[2] is not None, r[2] or 0.0)
+        if crowded:
+            made = []
+            ends = sorted(((b + 1) * self.bucket // 1000, b) for (b,) in self.waiting.keys())
+            later = [end for end, _ in ends if end > passed]
+            for end, b in ends:
+                if end > passed:
+                    break
+                rows = sorted((tuple(r) for r in self.waiting.getValue((b,))[0]), key=in_order)
+                more, last, price, active = self._taken(rows, last, price, active)
+                made += more
+                if later:
+                    self.waiting.removeKey((b,))
+                if len(made) >= _AT_ONCE:
+                    yield self._frame(key, made)
+                    made = []
+            if not later:
+                self.waiting.clear()
+                crowded = False
+        else:
+            settled = sorted((r for r in near if self._end(r[0]) <= passed), key=in_order)
+            near = [r for r in near if self._end(r[0]) > passed]
+            later = [self._end(r[0]) for r in near]
+            made, last, price, active = self._taken(settled, last, price, active)
         if active and self._end(last + self.grace) <= passed:
             made.append(("inactive", last + self.grace, None, None))
             active = False
         if made:
             yield self._frame(key, made)
-        if last is not None:
-            self.known.update((last, price, active))
         if active:
             later.append(self._end(last + self.grace))
         elif last is not None and self.forget is not None:
             forgotten = self._end(last + self.forget)
             if forgotten <= passed and not later:
-                self.known.clear()
+                last = None
             else:
                 later.append(max(forgotten, passed + 1))
-        if later:
-            self._wake(min(later))
+        timer = min(later) if later else None
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        if timer is None and last is None:
+            self.known.clear()
+        else:
+            self.known.update((last, price, active, timer, crowded, near))
 
     def _taken(self, rows, last, price, active):
         """Events of sightings in order, and the state after them."""

@@ -244,3 +244,52 @@ def test_buckets_of_an_entity_leave_together(spark):
     assert len(half) == 1 and len(half[0]) == 150 and len(processor.waiting.held) == 150
     rest = list(processor.handleExpiredTimer(("T", "a"), times(10**13), None))
     assert len(rest) == 1 and rest[0]["event_type"].tolist() == ["price_change"] * 150 + ["inactive"] and not processor.waiting.held
+
+
+def test_few_questions_to_the_state(spark):
+    """A call asks for the state of an entity once and writes it once, whatever the number of its buckets."""
+    hour, asked = 3_600_000_000, []
+
+    class Counting(_Held):
+        def __getattr__(self, name):
+            if name in ("getValueState", "getMapState"):
+                return lambda *_: Counting()
+            raise AttributeError(name)
+
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "update", "clear", "getValue", "containsKey", "updateValue", "removeKey", "keys", "registerTimer", "deleteTimer"):
+                asked.append(name)
+            return super().__getattribute__(name)
+
+    processor = lifecycle.Lifecycle(48 * hour, 6 * hour, None)
+    processor.init(Counting())
+    rows = pd.DataFrame({"at": [6 * hour * k + 1 for k in range(100)], "gone": False, "price": [float(k) for k in range(100)]})
+    times = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    assert list(processor.handleInputRows(("T", "a"), iter([rows]), times(0))) == []
+    assert len(asked) <= 3
+    half = list(processor.handleExpiredTimer(("T", "a"), times(50 * 6 * hour // 1000), None))
+    assert len(half[0]) == 50 and len(asked) <= 6
+    rest = list(processor.handleExpiredTimer(("T", "a"), times(10**13), None))
+    assert rest[0]["event_type"].tolist() == ["price_change"] * 50 + ["inactive"] and len(asked) <= 9
+
+
+def test_crowded_entities_hold_rows_by_bucket(spark):
+    """Rows that come in parts, some before and some after an entity is crowded, give the events of the whole."""
+    hour = 3_600_000_000
+    at = [(2 * hour * k * 7) % (2_000 * hour) + 1 for k in range(700)]
+    times = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+
+    def events(cut, stops):
+        processor = lifecycle.Lifecycle(4 * hour, 6 * hour, None)
+        processor.init(_Held())
+        for k in range(0, 700, cut):
+            part = pd.DataFrame({"at": at[k : k + cut], "gone": [k % 5 == 0 for k in range(k, min(700, k + cut))], "price": [float(k % 3) for k in range(k, min(700, k + cut))]})
+            assert list(processor.handleInputRows(("T", "a"), iter([part]), times(0))) == []
+        out = [frame for ms in stops for frame in processor.handleExpiredTimer(("T", "a"), times(ms), None)]
+        assert not processor.waiting.held
+        return pd.concat(out).astype(str).to_numpy().tolist()
+
+    whole = events(700, [10**13])
+    assert len(whole) > 700
+    assert events(50, [600 * hour // 1000, 1_500 * hour // 1000, 10**13]) == whole
+    assert events(200, [2_001 * hour // 1000, 10**13]) == whole
